@@ -79,25 +79,3 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return found.select(*keys, *outs)
-
-
-def fill_order_gaps(df: DataFrame, keys: Sequence[str], order: str, value: str,
-                    out: str, forward: bool = False) -> DataFrame:
-    """Carry the next (or previous, ``forward``) non-null value along an order
-    that may be far longer than one task: block-local fill, then the nearest
-    non-null value of the following (preceding) blocks."""
-    keys = list(keys)
-    blocks = cut(df.repartitionByRange(*[F.col(c) for c in keys + [order]])
-                 .withColumn("_block", F.spark_partition_id()))
-    pair = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    edge = (F.max_by if forward else F.min_by)(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    edges = blocks.groupBy(*keys, "_block").agg(edge.alias("_edge"))
-    wk = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    step = F.col("_block") if forward else F.col("_block").desc()
-    carried = edges.select(*keys, "_block", F.last("_edge", ignorenulls=True).over(
-        wk.orderBy(step).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
-    o = F.col(order) if forward else F.col(order).desc()
-    near = F.last(pair, ignorenulls=True).over(
-        W.partitionBy(*keys, "_block").orderBy(o).rowsBetween(W.unboundedPreceding, 0))["v"]
-    return (blocks.withColumn("_near", near).join(carried, keys + ["_block"])
-            .withColumn(out, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_block"))

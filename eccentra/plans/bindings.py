@@ -95,23 +95,25 @@ VIEWS: dict[str, str] = {
                CAST(floor(o_totalprice) AS BIGINT) % 200 AS n_inliers,
                CAST(o_custkey % 64 AS DOUBLE) / 64e0 AS inlier_ratio
         FROM {orders}""",
-    # image file names, some with crop prefix, float position or broken form
+    # image file names: up to three modalities per acquisition, some with crop
+    # prefix, half-degree position or a name that must be rejected
     "v_files": """
-        SELECT concat(
-                 CASE WHEN o_orderkey % 9 = 0 THEN concat('CROP_', CAST(o_orderkey % 30 AS VARCHAR(9)), '_x', CAST(o_custkey % 535 AS VARCHAR(9)), 'y', CAST(o_orderkey % 535 AS VARCHAR(9)), '_') ELSE '' END,
-                 CASE WHEN o_orderkey % 23 = 0 THEN 'Patient' ELSE 'Subject' END, CAST(1 + o_custkey AS VARCHAR(20)),
-                 '_Session', CAST(1 + o_custkey % 400 AS VARCHAR(20)), '_',
-                 CASE WHEN o_custkey % 2 = 0 THEN 'OD' ELSE 'OS' END, '_(',
-                 CAST(o_orderkey % 21 - 10 AS VARCHAR(9)), CASE WHEN o_orderkey % 10 = 3 THEN '.5' ELSE '' END, ',',
-                 CAST(o_orderkey % 5 - 2 AS VARCHAR(9)), CASE WHEN o_orderkey % 10 = 3 THEN '.5' ELSE '' END, ')_1.5x1.5_',
-                 CAST(1000 + o_orderkey AS VARCHAR(20)), '_',
-                 CASE o_orderpriority WHEN '1-URGENT' THEN 'Confocal' WHEN '2-HIGH' THEN 'CalculatedSplit'
-                      WHEN '3-MEDIUM' THEN 'DarkField' WHEN '4-NOT SPECIFIED' THEN 'Direct' ELSE 'Avg' END,
-                 '_extract_reg_avg.tif') AS file_name,
-               1 + o_custkey AS dir_subject_id,
-               CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE 1 + o_custkey % 400 END AS dir_session_id,
-               o_orderkey AS file_no
-        FROM {orders}""",
+        SELECT file_no, subject AS dir_subject_id,
+               CASE WHEN file_no % 31 = 0 THEN 0 ELSE 1 + subject % 400 END AS dir_session_id,
+               concat(
+                 CASE WHEN acq % 9 = 0 THEN concat('CROP_', CAST(acq % 30 AS VARCHAR(9)), '_x', CAST(acq % 535 AS VARCHAR(9)), 'y', CAST(subject % 535 AS VARCHAR(9)), '_') ELSE '' END,
+                 CASE WHEN file_no % 23 = 0 THEN 'Patient' ELSE 'Subject' END, CAST(subject AS VARCHAR(20)),
+                 '_Session', CAST(1 + subject % 400 AS VARCHAR(20)), '_',
+                 CASE WHEN subject % 2 = 0 THEN 'OD' ELSE 'OS' END, '_(',
+                 CAST(acq % 21 - 10 AS VARCHAR(9)), CASE WHEN acq % 10 = 3 THEN '.5' ELSE '' END, ',',
+                 CAST(acq % 5 - 2 AS VARCHAR(9)), CASE WHEN acq % 10 = 3 THEN '.5' ELSE '' END, ')_1.5x1.5_',
+                 CAST(1000 + acq AS VARCHAR(20)), '_',
+                 CASE file_no % 3 WHEN 0 THEN 'Confocal' WHEN 1 THEN 'CalculatedSplit'
+                      ELSE CASE WHEN file_no % 17 = 0 THEN '850nm' ELSE 'DarkField' END END,
+                 '_extract_reg_avg.tif') AS file_name
+        FROM (SELECT o_orderkey AS file_no, CAST(floor(o_orderkey / 3) AS BIGINT) AS acq,
+                     CAST(1 + floor(o_orderkey / 120) AS BIGINT) AS subject
+              FROM {orders}) AS f""",
 }
 
 # The tile view needs an array explode, whose spelling differs between engines.
