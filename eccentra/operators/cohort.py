@@ -114,3 +114,20 @@ def leave_one_out_bands(df: DataFrame, keys: Sequence[str], value: str,
 def median_std_text(median: Column, std: Column) -> Column:
     """``median (std)`` with six significant digits."""
     return F.format_string("%.6g (%.6g)", median, std)
+
+
+def best_resolution(datasets: DataFrame, keys: Sequence[str], dataset: str, rows: str, total: Column) -> DataFrame:
+    """Dataset with most rows, then the largest product of its shape; the
+    smallest id among equals, with the number of equals."""
+    t = datasets.withColumn("total", total)
+    best = t.groupBy(*keys).agg(F.max(F.struct(rows, "total")).alias("_b"))
+    same = t.join(best, list(keys)).filter((F.col(rows) == F.col(f"_b.{rows}")) & (F.col("total") == F.col("_b.total")))
+    return same.groupBy(*keys, rows, "total").agg(F.min(dataset).alias(dataset), F.count("*").alias("n_best"))
+
+
+def study_validity(datasets: DataFrame, study: Sequence[str], laterality: str) -> DataFrame:
+    """A study needs a cube and both line scans of the wanted eye."""
+    def has(v):
+        return F.count_if((F.col("variant") == v) & (F.col("laterality") == laterality)) > 0
+    return datasets.groupBy(*study).agg((has("CUBE") & has("LINE_0") & has("LINE_90")).alias("valid"),
+                                        F.count("*").alias("n_datasets"))

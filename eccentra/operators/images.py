@@ -31,3 +31,50 @@ def match_lookup(cdf: DataFrame) -> DataFrame:
 def lut_apply(pixels: DataFrame, lut: DataFrame) -> DataFrame:
     return (pixels.withColumn("level", F.floor("v").cast("double")).join(lut, ["tile_id", "level"])
             .select("tile_id", "pos", F.col("lookup").alias("v")))
+
+
+def count_histogram(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """Unit-width histogram over [0, max]; the last bin is closed."""
+    counts = df.groupBy(*keys, n).agg(F.count("*").alias("_c"))
+    top = counts.groupBy(*keys).agg(F.max(n).alias("_max"))
+    return counts.join(top, list(keys)).groupBy(*keys, F.least(F.col(n), F.col("_max") - 1).alias("bin")).agg(
+        F.sum("_c").alias("n_patches"))
+
+
+def histogram_stats(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted mean, variance and median of level midpoints (at most 256 rows
+    per key)."""
+    w = W.partitionBy(*keys)
+    mid = F.col("level") + 0.5
+    h = (hist.withColumn("_total", F.sum("n").over(w))
+         .withColumn("_run", F.sum("n").over(w.orderBy("level").rowsBetween(W.unboundedPreceding, 0)))
+         .withColumn("_mean", F.sum(F.col("n") * mid).over(w) / F.col("_total")))
+    return h.groupBy(*keys).agg(
+        F.first("_mean").alias("mean"), (F.sum(F.col("n") * (mid - F.col("_mean")) * (mid - F.col("_mean"))) / F.first("_total")).alias("var"),
+        F.min(F.when(F.col("_run") >= F.col("_total") / 2, mid)).alias("median"))
+
+
+def robust_mode(df: DataFrame, keys: Sequence[str], v: str, bins: int = 100, width: int = 5) -> DataFrame:
+    """Most probable value and population deviation.
+
+    A histogram of ``bins`` cells is summed over ``width`` trailing cells; the
+    two highest sums give the mode. Values are collapsed to distinct ones
+    before the range is joined back.
+    """
+    keys = list(keys)
+    distinct = df.groupBy(*keys, v).agg(F.count("*").alias("_n"))
+    r = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.stddev_pop(v).alias("std"))
+    cell = F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))
+    h = distinct.join(r, keys).groupBy(*keys, cell.alias("_c")).agg(F.sum("_n").alias("_n"))
+    spread = h.withColumn("_i", F.explode(F.sequence(F.col("_c"), F.col("_c") + width - 1)))
+    m = spread.groupBy(*keys, "_i").agg(F.sum("_n").alias("_m"))
+    top = m.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("_m", "_i")), asc=False), 1, 2).alias("_t"))
+    t = top.join(r, keys)
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    i1, i0 = F.col("_t")[0]["_i"], F.coalesce(F.get(F.col("_t"), 1)["_i"], F.lit(0))
+    m1, m0 = F.col("_t")[0]["_m"], F.coalesce(F.get(F.col("_t"), 1)["_m"], F.lit(0))
+
+    def edge(i):
+        return F.col("_lo") + step * F.least(i, F.lit(bins))
+    mode = F.when(m1 > m0 * 2, edge(i1)).otherwise((edge(F.least(i0, i1)) + edge(F.greatest(i0, i1) + 1)) / 2)
+    return t.select(*keys, mode.alias("mode"), "std")

@@ -1,4 +1,4 @@
 """All named queries."""
 
-from eccentra.plans import q_join, q_projection  # noqa: F401
+from eccentra.plans import q_aggregate, q_join, q_projection, q_stats  # noqa: F401
 from eccentra.plans.registry import ORACLES, QUERIES  # noqa: F401

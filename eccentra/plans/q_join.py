@@ -125,15 +125,20 @@ def _other(p):
                     F.col("py").alias("oy"), F.col("n_points").alias("o_points"))
 
 
+def _near_far(pairs, *keys):
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n_others"), F.min("distance").alias("nearest"), F.sum("distance").alias("total"))
+
+
 @query("patch_distance_pairs", f"""
-    WITH {PATCH} SELECT a.element_id, a.patch_no, o.patch_no AS other_no, sqrt(power(a.px - o.px, 2) + power(a.py - o.py, 2)) AS distance
-    FROM patch a JOIN patch o USING (element_id) WHERE a.patch_no <> o.patch_no""", rounded="distance")
+    WITH {PATCH}, d AS (SELECT a.element_id, a.patch_no, sqrt(power(a.px - o.px, 2) + power(a.py - o.py, 2)) AS distance
+    FROM patch a JOIN patch o USING (element_id) WHERE a.patch_no <> o.patch_no)
+    SELECT element_id, patch_no, count(*) AS n_others, min(distance) AS nearest, sum(distance) AS total FROM d GROUP BY ALL""", rounded="nearest total")
 def _(b):
     """All patches of one image; their number is set by the image size."""
     p = patches(b)
     j = p.join(_other(p), (F.col("element_id") == F.col("o_element")) & (F.col("patch_no") != F.col("other_no")))
     dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
-    return j.select("element_id", "patch_no", "other_no", F.sqrt((dx * dx + dy * dy).cast("double")).alias("distance"))
+    return _near_far(j.withColumn("distance", F.sqrt((dx * dx + dy * dy).cast("double"))), "element_id", "patch_no")
 
 
 def _cross(b):
@@ -153,9 +158,10 @@ CROSS = f"""{PATCH}, cross_d AS (SELECT a.element_id, a.patch_no, o.element_id A
       JOIN patch a ON a.element_id = g.element_id JOIN patch o ON o.element_id = g.other_id)"""
 
 
-@query("cross_image_distance", f"WITH {CROSS} SELECT element_id, patch_no, other_id, other_no, distance FROM cross_d", rounded="distance")
+@query("cross_image_distance", f"""WITH {CROSS} SELECT element_id, patch_no, other_id, count(*) AS n_others, min(distance) AS nearest, sum(distance) AS total
+    FROM cross_d GROUP BY ALL""", rounded="nearest total")
 def _(b):
-    return _cross(b).select("element_id", "patch_no", "other_id", "other_no", "distance")
+    return _near_far(_cross(b), "element_id", "patch_no", "other_id")
 
 
 BEST = f"""{CROSS}, scored AS (
@@ -245,9 +251,9 @@ def _(b):
 
 @query("nearest_neighbor_distance", """
     WITH s AS (SELECT image_id, x, y, count(*) AS n_here FROM v_points GROUP BY ALL)
-    SELECT a.image_id, a.x, a.y, a.n_here, CASE WHEN a.n_here > 1 THEN 0e0 ELSE
+    SELECT a.image_id, a.x, a.y, a.n_here, CASE WHEN max(a.n_here) > 1 THEN 0e0 ELSE
       sqrt(min(CASE WHEN a.x <> o.x OR a.y <> o.y THEN power(a.x - o.x, 2) + power(a.y - o.y, 2) END)) END AS distance
-    FROM s a JOIN s o USING (image_id) GROUP BY ALL""", rounded="distance")
+    FROM s a JOIN s o USING (image_id) GROUP BY a.image_id, a.x, a.y, a.n_here""", rounded="distance")
 def _(b):
     return joins.nearest_distance(b.v_points, ["image_id"])
 
@@ -271,18 +277,18 @@ def _(b):
 
 
 @query("cross_patch_radius_join", f"""
-    WITH {PATCH} SELECT a.element_id, a.patch_no, o.element_id AS other_id, o.patch_no AS other_no,
-      sqrt(power(o.px - a.px + o.a13 - a.a13, 2) + power(o.py - a.py + o.a23 - a.a23, 2)) AS distance
+    WITH {PATCH}, d AS (SELECT a.element_id, a.patch_no, sqrt(power(o.px - a.px + o.a13 - a.a13, 2) + power(o.py - a.py + o.a23 - a.a23, 2)) AS distance
     FROM patch a JOIN patch o USING (mosaic_id) WHERE abs(a.gx - o.gx) <= 1 AND abs(a.gy - o.gy) <= 1
-      AND power(o.px - a.px + o.a13 - a.a13, 2) + power(o.py - a.py + o.a23 - a.a23, 2) BETWEEN 1e-9 AND 480 * 480 - 1e-9""", rounded="distance")
+      AND power(o.px - a.px + o.a13 - a.a13, 2) + power(o.py - a.py + o.a23 - a.a23, 2) BETWEEN 1e-9 AND 480 * 480 - 1e-9)
+    SELECT element_id, patch_no, count(*) AS n_others, min(distance) AS nearest, sum(distance) AS total FROM d GROUP BY ALL""", rounded="nearest total")
 def _(b):
     near = montage.neighbours(b.v_elements, montage.EIGHT + [(0, 0)], carry=["a13", "a23"]).select(
         "element_id", "other_id", (F.col("o_a13") - F.col("a13")).alias("sx"), (F.col("o_a23") - F.col("a23")).alias("sy"))
     p = patches(b)
     j = p.join(near, "element_id").join(_other(p), F.col("other_id") == F.col("o_element"))
     dx, dy = F.col("ox") - F.col("px") + F.col("sx"), F.col("oy") - F.col("py") + F.col("sy")
-    return j.withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter("distance > 0 AND distance < 480").select(
-        "element_id", "patch_no", "other_id", "other_no", "distance")
+    near = j.withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter("distance > 0 AND distance < 480")
+    return _near_far(near, "element_id", "patch_no")
 
 
 @query("patch_overlap_boxes", f"""
