@@ -58,7 +58,7 @@ def count_density(count: Column, area: Column, threshold: float = K.AREA_THRESHO
 
 def density_spacing(density: Column) -> Column:
     """Spacing in arcmin of a hexagonal mosaic with the given density."""
-    return F.sqrt(2.0 / density / F.sqrt(F.lit(3.0))) / K.MM_PER_DEGREE * 60.0
+    return F.sqrt(2.0 / F.nullif(density, F.lit(0.0)) / F.sqrt(F.lit(3.0))) / K.MM_PER_DEGREE * 60.0
 
 
 def ring_density(radius: Column, size: Column) -> Column:

@@ -7,10 +7,16 @@ group, never the data.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
+
+# Executors need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -50,13 +56,13 @@ def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_cdf(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     v = regularised_beta(a.to_numpy(float), b.to_numpy(float), x.to_numpy(float))
     return pd.Series(v).where(~np.isnan(v), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 

@@ -64,7 +64,8 @@ def robust_mode(df: DataFrame, keys: Sequence[str], v: str, bins: int = 100, wid
     keys = list(keys)
     distinct = df.groupBy(*keys, v).agg(F.count("*").alias("_n"))
     r = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.stddev_pop(v).alias("std"))
-    cell = F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(
+        (F.col(v) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int"))).otherwise(0)
     h = distinct.join(r, keys).groupBy(*keys, cell.alias("_c")).agg(F.sum("_n").alias("_n"))
     spread = h.withColumn("_i", F.explode(F.sequence(F.col("_c"), F.col("_c") + width - 1)))
     m = spread.groupBy(*keys, "_i").agg(F.sum("_n").alias("_m"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def split_parts(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -15,3 +21,223 @@ def split_parts(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFr
              ("third", (e > 0) & (e <= F.col("upper"))), ("fourth", (e > 0) & (e >= F.col("upper")))]
     parts = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests]), lambda p: p.isNotNull())
     return df.join(limits, list(keys)).withColumn("part", F.explode(parts))
+
+
+def find_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Strict local maxima (+1) and minima (-1); a flat top counts once, at the
+    middle of its run. Positions are 0-based places within the profile."""
+    keys = list(keys)
+    w = W.partitionBy(*keys).orderBy(order)
+    t = (df.select(*keys, order, value).withColumn("_i", F.row_number().over(w) - 1)
+         .withColumn("_new", F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1)))
+         .withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    runs = t.groupBy(*keys, "_run").agg(F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.first(value).alias(value))
+    r = W.partitionBy(*keys).orderBy("_run")
+    runs = runs.withColumn("_l", F.lag(value).over(r)).withColumn("_r", F.lead(value).over(r))
+    v = F.col(value)
+    kind = F.when((v > F.col("_l")) & (v > F.col("_r")), 1).when((v < F.col("_l")) & (v < F.col("_r")), -1)
+    p = runs.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
+        *keys, "kind", F.floor((F.col("_a") + F.col("_b")) / 2).cast("int").alias("place"), value)
+    return p.join(t.select(*keys, F.col("_i").alias("place"), order), keys + ["place"])
+
+
+def peak_limits(peaks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Positions of the two peaks of profiles that have exactly two."""
+    p = peaks.filter("kind = 1").groupBy(*keys).agg(F.min(order).alias("lower"), F.max(order).alias("upper"), F.count("*").alias("_n"))
+    return p.filter("_n = 2").drop("_n")
+
+
+def width_at(df: DataFrame, keys: Sequence[str], order: str, value: str, percent: float) -> DataFrame:
+    """Width of the highest peak at a percentage of its height, with linear
+    crossings; open sides end at the profile's end."""
+    keys = list(keys)
+    w = W.partitionBy(*keys).orderBy(order)
+    me = F.struct(F.col(order).cast("double").alias("x"), F.col(value).alias("y"))
+    t = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w)).withColumn("_me", me)
+    t = t.withColumn("_next", F.lead("_me").over(w)).withColumn("_prev", F.lag("_me").over(w))
+    top = t.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col("_i")).alias("neg"))).alias("m"))
+    j = t.join(top, keys).withColumn("_top", -F.col("m.neg")).withColumn("_thr", F.col("m.v") * percent / 100.0)
+    below = F.col(value) <= F.col("_thr")
+    left, right = below & (F.col("_i") < F.col("_top")), below & (F.col("_i") >= F.col("_top"))
+    e = F.struct("_i", "_me", "_next", "_prev")
+    a = j.groupBy(*keys).agg(F.first("_thr").alias("thr"), F.first("_top").alias("top"),
+                             F.coalesce(F.max_by(e, F.when(left, F.col("_i"))), F.min_by(e, "_i")).alias("l"),
+                             F.coalesce(F.min_by(e, F.when(right, F.col("_i"))), F.max_by(e, "_i")).alias("r"))
+
+    def cross(p, q):
+        flat = F.col(q + ".y") == F.col(p + ".y")
+        return F.when(flat, F.col(p + ".x")).otherwise(F.col(p + ".x") + (F.col("thr") - F.col(p + ".y")) * (
+            F.col(q + ".x") - F.col(p + ".x")) / (F.col(q + ".y") - F.col(p + ".y")))
+    lx = F.when(F.col("l._i") < F.col("top") - 1, cross("l._me", "l._next")).otherwise(F.col("l._me.x"))
+    rx = F.when(F.col("r._i") > F.col("top"), cross("r._prev", "r._me")).otherwise(F.col("r._me.x"))
+    return a.select(*keys, F.abs(rx - lx).alias("width"))
+
+
+def _gradient(value: str, order: str, w) -> Column:
+    l, r = F.lag(value).over(w), F.lead(value).over(w)  # noqa: E741
+    x, lx, rx = F.col(order), F.lag(order).over(w), F.lead(order).over(w)
+    inner = (r - l) / (rx - lx)
+    return F.when(lx.isNull(), (r - F.col(value)) / (rx - x)).when(rx.isNull(), (F.col(value) - l) / (x - lx)).otherwise(inner)
+
+
+def inflection(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Steepest descent among the turning points of an evenly spaced profile."""
+    w = W.partitionBy(*keys).orderBy(x)
+    t = df.filter(F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), y)
+    t = t.withColumn("d1", _gradient(y, x, w))
+    t = t.withColumn("d2", _gradient("d1", x, w))
+    t = t.withColumn("d3", _gradient("d2", x, w)).withColumn("_turn", F.signum("d2") != F.signum(F.lead("d2").over(w)))
+    return t.filter(F.col("_turn") & (F.col("d3") > 0)).groupBy(*keys).agg(F.min(F.struct("d1", x)).alias("b")).select(
+        *keys, F.col(f"b.{x}").alias(x), F.col("b.d1").alias("slope"))
+
+
+def pit_minimum(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 10) -> DataFrame:
+    """Vertex value of the parabola through the lowest points of a profile."""
+    w = W.partitionBy(*keys).orderBy(y, x)
+    low = df.filter(F.col(y).isNotNull()).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= points)
+    u, v = F.col(x).cast("double"), F.col(y)
+    s = low.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.pow(u, F.lit(float(k)))).alias(f"s{k}") for k in range(1, 5)],
+                               *[F.sum(F.pow(u, F.lit(float(k))) * v).alias(f"t{k}") for k in range(3)])
+    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c).cast("double") for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)
+    a = (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / det
+    b = (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / det
+    c = (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / det
+    f = s.withColumn("_det", det).filter("abs(_det) > 0").select(*keys, a.alias("a"), b.alias("b"), c.alias("c"))
+    return f.filter("a <> 0").select(*keys, "a", (F.col("c") - F.col("b") * F.col("b") / (4 * F.col("a"))).alias("minimum"))
+
+
+def otsu(hist: DataFrame, keys: Sequence[str], bin_col: str = "bin", n: str = "n") -> DataFrame:
+    """Threshold of largest between-class variance; bins of unit width."""
+    w = W.partitionBy(*keys).orderBy(bin_col)
+    mid = F.col(bin_col) + 0.5
+    up = w.rowsBetween(W.unboundedPreceding, 0)
+    rest = w.rowsBetween(1, W.unboundedFollowing)
+    t = (hist.withColumn("_w1", F.sum(n).over(up)).withColumn("_m1", F.sum(F.col(n) * mid).over(up))
+         .withColumn("_w2", F.sum(n).over(rest)).withColumn("_m2", F.sum(F.col(n) * mid).over(rest)))
+    gap = F.col("_m1") / F.col("_w1") - F.col("_m2") / F.col("_w2")
+    t = t.filter("_w2 > 0").withColumn("_v", F.col("_w1") * F.col("_w2") * gap * gap)
+    best = t.groupBy(*keys).agg(F.max(F.struct("_v", (-F.col(bin_col)).alias("neg"))).alias("b"))
+    return best.select(*keys, (0.5 - F.col("b.neg")).alias("threshold"))
+
+
+def valley_threshold(hist: DataFrame, keys: Sequence[str], bin_col: str, n: str, bins: int) -> DataFrame:
+    """Bin of the largest slope change between 25 and 75 % of the way to the
+    main peak of a smoothed, dense histogram; the middle bin without one."""
+    keys = list(keys)
+    w = W.partitionBy(*keys).orderBy(bin_col)
+    t = hist.withColumn("_s", F.lead(n).over(w) - F.col(n))
+    t = t.withColumn("_d", F.lead("_s").over(w) - F.col("_s"))
+    centre = (bins - 1) / 2.0
+    spread = ((bins * bins - 1) / 12.0) ** 0.5
+    p = find_peaks(hist, keys, bin_col, n).filter("kind = 1")
+    main = p.groupBy(*keys).agg(
+        F.max(F.when(F.col(bin_col) > centre - spread, F.struct(F.col(n).alias("v"), (-F.col("place")).alias("neg")))).alias("_m"),
+        F.min("place").alias("_first")).select(*keys, F.coalesce(-F.col("_m.neg"), F.col("_first")).alias("_peak"))
+    j = t.join(main, keys)
+    i, pk = F.col(bin_col), F.col("_peak")
+    ok = (i + 1 < pk - 3) & (i >= 0.25 * pk) & (i <= 0.75 * pk)
+    best = j.filter(ok).groupBy(*keys).agg(F.max(F.struct("_d", (-i).alias("neg"))).alias("_b"))
+    return hist.select(*keys).distinct().join(best, keys, "left").select(
+        *keys, F.coalesce(-F.col("_b.neg"), F.lit(round(bins / 2))).cast("int").alias("threshold"))
+
+
+def model_slopes(params: DataFrame, side: int, target: float = 8000.0) -> DataFrame:
+    """Width where the model's slope falls to ``target`` (0.5..6 degrees from
+    the centre) and its largest slope within 3 degrees.
+
+    Log density is a - b*X + d/(X + e) at distance X; both numbers come from a
+    fixed grid of distances, row by row.
+    """
+    a, b, d, e = (F.col(c) for c in ("a", "b", "d", "e"))
+
+    def slope(x):
+        return F.exp(a - b * x + d / (x + e)) * (b + d / ((x + e) * (x + e)))
+    xs = F.transform(F.sequence(F.lit(50), F.lit(600)), lambda k: k / 100.0)
+    low = F.filter(xs, lambda x: slope(x) <= target)[0]
+    before = low - 0.01
+    width = F.when(low <= 0.5, low).otherwise(before + 0.01 * (slope(before) - target) / (slope(before) - slope(low)))
+    steep = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: slope(0.001 + k * (2.999 / 999))))
+    return params.withColumn("width", width).withColumn("max_slope", steep).withColumn("side", F.lit(side))
+
+
+# --- whole-profile searches: array work inside the task that holds one profile ----------------------
+
+def _mirror_smooth(v: np.ndarray, sigma: float) -> np.ndarray:
+    """Mirror-ended Gaussian that ignores NaN."""
+    if sigma <= 0:
+        return v.astype(float)
+    r, n = int(4 * sigma + 0.5), len(v)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    at = np.arange(-r, n + r) % (2 * n)
+    at = np.where(at < n, at, 2 * n - 1 - at)
+    ok = ~np.isnan(v)
+    num = np.convolve(np.where(ok, v, 0)[at], k, mode="valid")
+    den = np.convolve(ok.astype(float)[at], k, mode="valid")
+    return np.where(den > 0, num / np.where(den > 0, den, 1), np.nan)
+
+
+def _maxima(v: np.ndarray) -> np.ndarray:
+    """Places of strict maxima, flat tops at their middle."""
+    if len(v) < 3:
+        return np.zeros(0, int)
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    stop = np.r_[start[1:] - 1, len(v) - 1]
+    run = v[start]
+    inner = (run[1:-1] > run[:-2]) & (run[1:-1] > run[2:])
+    return (start[1:-1][inner] + stop[1:-1][inner]) // 2
+
+
+def two_peaks_one_valley(df: DataFrame, keys: Sequence[str], order: str, value: str, top: int = 100) -> DataFrame:
+    """Smallest whole sigma whose smoothed profile has two peaks and one valley,
+    with the peak positions; null where none up to ``top`` does."""
+    d = df.filter(F.col(value).isNotNull()).select(*keys, order, value)
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("sigma", "lower", "upper")])
+
+    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        v, at = pdf[value].to_numpy(float), pdf[order].to_numpy()
+        for sigma in range(top + 1):
+            s = _mirror_smooth(v, sigma)
+            p = _maxima(s)
+            if len(p) == 2 and len(_maxima(-s)) == 1:
+                return pd.DataFrame([[*key, sigma, at[p[0]], at[p[1]]]])
+        return pd.DataFrame([[*key, None, None, None]])
+
+    return d.groupBy(*keys).applyInPandas(search, schema)
+
+
+def pit_width(df: DataFrame, keys: Sequence[str], order: str, value: str, reach: int = 60) -> DataFrame:
+    """Width of the central pit at 20 % of its depth, in degrees.
+
+    Smooth until a peak stands in each outer third, level the profile between
+    the mean peaks, smooth again and take the outermost crossings.
+    """
+    d = df.filter(F.abs(F.col(order)) <= reach).select(*keys, order, value)
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("width", T.DoubleType())])
+
+    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values(order)
+        at = np.arange(-reach, reach + 1)
+        none = pd.DataFrame([[*key, None]])
+        if len(pdf) < 3:
+            return none
+        x, y = pdf[order].to_numpy(), pdf[value].to_numpy(float)
+        v = np.interp(at, x, y, left=np.nan, right=np.nan)
+        left, right, sigma, n = [], [], 3, len(at)
+        while not (len(left) and len(right)) and sigma < 10:
+            p = _maxima(_mirror_smooth(v, sigma))
+            left, right = p[p < n / 3], p[p > 2 * n / 3]
+            sigma += 1
+        if not (len(left) and len(right)):
+            return none
+        a, z = round(float(np.mean(left))), round(float(np.mean(right)))
+        level = v - (v[z] - v[a]) / (z - a) * (np.arange(n) - a)
+        s = _mirror_smooth(level, 2)
+        low = np.nanmin(s[a:z]) if z > a and not np.isnan(s[a:z]).all() else np.nan
+        cross = np.flatnonzero(np.diff(np.sign(s - (low + (s[a] - low) / 5))))
+        if np.isnan(low) or not len(cross):
+            return none
+        return pd.DataFrame([[*key, (at[cross[-1] + 1] - at[cross[0]]) / 10.0]])
+
+    return d.groupBy(*keys).applyInPandas(measure, schema)

@@ -7,15 +7,20 @@ known to be one profile (at most 201 steps) a window is enough (``bounded``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from eccentra.functions.pvalues import binomial_upper, correlation_p, normal_two_sided, t_two_sided
 from eccentra.operators import ordered
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _complete(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -110,7 +115,7 @@ def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int =
     rest = F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r"))
     return s.select(
         *keys, "n", "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"), "r",
-        F.when(F.col("n") > 2, F.sqrt(rest * F.col("_vy") / F.col("_vx") / (F.col("n") - 2))).alias("stderr"),
+        F.when((F.col("n") > 2) & (F.col("_vx") > 0), F.sqrt(rest * F.col("_vy") / F.col("_vx") / (F.col("n") - 2))).alias("stderr"),
         F.sqrt(rest * F.col("_vy")).alias("rmse")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
@@ -129,7 +134,7 @@ def zscore(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame
     return out.drop(*[f"_{n}_{c}" for c in cols for n in "ms"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _solve_centred(cov: pd.Series, rhs: pd.Series) -> pd.Series:
     """Least-squares coefficients of stacked k x k systems."""
     b = np.array([np.asarray(v, float) for v in rhs])
@@ -246,11 +251,12 @@ def random_intercept(df: DataFrame, keys: Sequence[str], subject: str, x: str, y
         return s.withColumn("ll", ll).groupBy(*keys).agg(F.max(F.struct(
             "ll", "ratio", "slope", "intercept", "se", F.col("N").cast("bigint").alias("n"))).alias("b"))
 
-    coarse = profile(per.withColumn("ratio", F.explode(F.array(*[F.lit(float(g)) for g in grid]))))
-    around = coarse.select(*keys, F.col("b.ratio").alias("_r"))
-    fine = F.transform(F.sequence(F.lit(-refine), F.lit(refine)), lambda k: F.when(
-        F.col("_r") > 0, F.col("_r") * F.pow(F.lit(10.0), k / (10.0 * refine))).otherwise(F.lit(0.0)))
-    best = profile(per.join(around, keys).withColumn("ratio", F.explode(F.array_distinct(fine))))
+    best = profile(per.withColumn("ratio", F.explode(F.array(*[F.lit(float(g)) for g in grid]))))
+    if refine:
+        around = best.select(*keys, F.col("b.ratio").alias("_r"))
+        fine = F.transform(F.sequence(F.lit(-refine), F.lit(refine)), lambda k: F.when(
+            F.col("_r") > 0, F.col("_r") * F.pow(F.lit(10.0), k / (10.0 * refine))).otherwise(F.lit(0.0)))
+        best = profile(per.join(around, keys).withColumn("ratio", F.explode(F.array_distinct(fine))))
     out = best.select(*keys, F.col("b.n").alias("n"), F.col("b.slope").alias("slope"), F.col("b.intercept").alias("intercept"),
                       F.col("b.ratio").alias("ratio"), F.col("b.se").alias("se"))
     return out.withColumn("p", normal_two_sided(F.col("slope") / F.col("se")))

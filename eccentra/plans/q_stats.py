@@ -77,7 +77,7 @@ def _(b):
     c = stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True).filter("n > 2 AND rho IS NOT NULL")
     yes, no = F.count_if(F.col("p") < 0.05), F.count_if(F.col("p") > 0.05)
     return c.groupBy("axis", "layer", "side").agg(yes.alias("n_significant"), no.alias("n_other"), F.avg(
-        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), (yes / (yes + no)).alias("share"))
+        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), (yes / F.nullif(yes + no, F.lit(0))).alias("share"))
 
 
 @query("zscore_inter", """SELECT subject_id, axis, e10, (density - avg(density) OVER w) / nullif(stddev_pop(density) OVER w, 0) AS density,
@@ -224,11 +224,13 @@ def _(b):
     return stats.quadrants(zpairs(b), ["layer", "axis"], "density", "thickness")
 
 
-@query("slice_correlation", f"""WITH {PAIRS}, {ZP.replace("zz AS (SELECT * FROM z WHERE", "zz AS (SELECT * FROM z WHERE e10 BETWEEN 5 AND 15 AND")}, {QUAD},
+@query("slice_correlation", f"""WITH {PAIRS}, {ZP.replace("zz AS (SELECT * FROM z WHERE", "zz AS (SELECT layer, axis, floor(x * 1048576e0 + 5e-1) / 1048576e0 AS x, floor(y * 1048576e0 + 5e-1) / 1048576e0 AS y FROM z WHERE e10 BETWEEN 5 AND 15 AND")}, {QUAD},
     s AS {rho_sql('zz', 'layer, axis', 'x', 'y')}
     SELECT layer, axis, s.rho, s.n, {r_tail('s.rho', 's.n')} AS rho_p, q.r AS pearson, qq.p AS binomial_p FROM s JOIN q USING (layer, axis) JOIN qq USING (layer, axis)""", rounded="rho rho_p pearson binomial_p", digits=4)
 def _(b):
     z = zpairs(b).filter("e10 BETWEEN 5 AND 15")
+    for c in ("density", "thickness"):  # equal readings must stay ties after scaling
+        z = z.withColumn(c, F.floor(F.col(c) * 1048576.0 + 0.5) / 1048576.0)
     s = stats.spearman(z, ["layer", "axis"], "density", "thickness").withColumnRenamed("p", "rho_p")
     q = stats.quadrants(z, ["layer", "axis"], "density", "thickness").select("layer", "axis", F.col("r").alias("pearson"), F.col("p").alias("binomial_p"))
     return s.join(q, ["layer", "axis"])
