@@ -64,8 +64,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool =
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
-def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Tau-b with its normal p-value, counted without forming pairs.
+def _pair_counts(d: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Concordant and discordant pairs of weighted distinct rows (x, y, _w),
+    counted without forming pairs.
 
     y is replaced by its dense rank and read bit by bit: two values differ
     first at exactly one bit, where they share the higher bits. At every bit,
@@ -73,7 +74,6 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     how many ones precede each zero (discordant). n values cost n*log2(n) rows.
     """
     keys = list(keys)
-    d = _complete(df, x, y).groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
     ranks = ordered.running_sums(d.groupBy(*keys, y).agg(F.sum("_w").alias("_t")), keys, [y],
                                  {"_one": F.lit(1).cast("long")})
     ranked = d.join(ranks.select(*keys, y, F.col("_one_before").alias("_dense"), F.col("_one_total").alias("_d")), keys + [y])
@@ -83,8 +83,19 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     lv = lv.select(*keys, "_level", F.expr("shiftright(_dense, _level + 1)").alias("_prefix"), x, "_w", (shifted % 2).alias("_bit"))
     rs = ordered.running_sums(lv, keys + ["_level", "_prefix"], [x], {
         "_z": F.when(F.col("_bit") == 0, F.col("_w")).otherwise(0), "_o": F.when(F.col("_bit") == 1, F.col("_w")).otherwise(0)})
-    pairs = rs.groupBy(*keys).agg(F.sum(F.col("_o") * F.col("_z_before")).alias("concordant"),
-                                  F.sum(F.col("_z") * F.col("_o_before")).alias("discordant"))
+    return rs.groupBy(*keys).agg(F.sum(F.col("_o") * F.col("_z_before")).alias("concordant"),
+                                 F.sum(F.col("_z") * F.col("_o_before")).alias("discordant"))
+
+
+def discordant_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    return _pair_counts(df.groupBy(*keys, x, y).agg(F.count("*").alias("_w")), keys, x, y).select(*keys, "discordant")
+
+
+def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Tau-b with its normal p-value."""
+    keys = list(keys)
+    d = _complete(df, x, y).groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
+    pairs = _pair_counts(d, keys, x, y)
 
     def ties(c, tag):
         t = F.col("_t").cast("double")

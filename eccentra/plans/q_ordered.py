@@ -267,10 +267,10 @@ def _(b):
 
 
 @query("nth_observation_curves", """WITH n AS (SELECT axis, e10, count(*) AS n FROM v_obs GROUP BY ALL), m AS (SELECT axis, min(n) AS m FROM n GROUP BY axis),
-    r AS (SELECT axis, e10, subject_id, obs_id, thickness, row_number() OVER (PARTITION BY axis, e10 ORDER BY subject_id, obs_id) AS curve FROM v_obs)
+    r AS (SELECT axis, e10, subject_id, obs_id, thickness, row_number() OVER (PARTITION BY axis, e10 ORDER BY subject_id, obs_id, thickness) AS curve FROM v_obs)
     SELECT axis, e10, curve, thickness FROM r JOIN m USING (axis) WHERE curve <= m""")
 def _(b):
-    return profiles.nth_curves(b.v_obs, ["axis"], ["subject_id", "obs_id"]).select("axis", "e10", "curve", "thickness")
+    return profiles.nth_curves(b.v_obs, ["axis"], ["subject_id", "obs_id", "thickness"]).select("axis", "e10", "curve", "thickness")
 
 
 # --- integrals ---------------------------------------------------------------------------------------
