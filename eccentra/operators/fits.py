@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from typing import Any, Tuple
 
 import numpy as np
 import pandas as pd
@@ -157,7 +158,7 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
     d = df.filter(F.col(density) > 0).select(*keys, *cols)
     schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in BILATERAL_FIELDS])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, n = pdf["_x"].to_numpy() * K.MM_PER_DEGREE, np.log(pdf["_y"].to_numpy()), pdf["_n"].to_numpy()
         peak = (math.log(145_000), math.log(350_000))
         t = pdf["_t"].iloc[0]

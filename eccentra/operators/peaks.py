@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from typing import Any, Tuple
 
 import numpy as np
 import pandas as pd
@@ -194,7 +195,7 @@ def two_peaks_one_valley(df: DataFrame, keys: Sequence[str], order: str, value:
     d = df.filter(F.col(value).isNotNull()).select(*keys, order, value)
     schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("sigma", "lower", "upper")])
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         v, at = pdf[value].to_numpy(float), pdf[order].to_numpy()
         for sigma in range(top + 1):
@@ -216,7 +217,7 @@ def pit_width(df: DataFrame, keys: Sequence[str], order: str, value: str, reach:
     d = df.filter(F.abs(F.col(order)) <= reach).select(*keys, order, value)
     schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("width", T.DoubleType())])
 
-    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna().sort_values(order)
         at = np.arange(-reach, reach + 1)
         none = pd.DataFrame([[*key, None]])
