@@ -56,9 +56,9 @@ def _(b):
     return out.groupBy("user_id").agg(F.max_by("average", "last_ts").alias("average"))
 
 
-@query("tile_density_stream", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, CAST(floor(event_id * 7 % 720 / 180) AS INT) AS ty, CAST(floor(user_id * 13 % 720 / 180) AS INT) AS tx, count(*) AS n_points FROM events
-    GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("tile_density_stream", """WITH t AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, CAST(floor(event_id * 7 % 720 / 180) AS INT) AS ty, CAST(floor(user_id * 53 % 720 / 180) AS INT) AS tx FROM events)
+    SELECT window_start, ty, tx, count(*) AS n_points FROM t WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY window_start, ty, tx""")
 def _(b):
-    p = b.events.select(F.col("ts").cast("timestamp"), (F.col("event_id") * 7 % 720).alias("y"), (F.col("user_id") * 13 % 720).alias("x"))
+    p = b.events.select(F.col("ts").cast("timestamp"), (F.col("event_id") * 7 % 720).alias("y"), (F.col("user_id") * 53 % 720).alias("x"))
     out = A.drain(A.tile_counts(_arrive(b, p, "points"), "ts", "1 day", "10 minutes", 180), "tiles")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
