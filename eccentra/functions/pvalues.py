@@ -18,7 +18,9 @@ from pyspark.sql.types import DoubleType
 # Executors need not have this package installed: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(v: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(t) for t in v])
 
 
 def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

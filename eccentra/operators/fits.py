@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from eccentra import constants as K
+from eccentra.constants import MM_PER_DEGREE
 from eccentra.operators import ordered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,7 +97,7 @@ def _loss(res: np.ndarray, dist: np.ndarray) -> np.ndarray:
 def _bilateral(x: np.ndarray, y: np.ndarray, n: np.ndarray, centres, shapes, peak: tuple[float, float], rounds: int = 6):
     """Best (loss, centre, e_l, e_r, P, b_l, d_l, b_r, d_r) over the grid."""
     best = None
-    steps = np.linspace(-K.MM_PER_DEGREE, K.MM_PER_DEGREE, 21)
+    steps = np.linspace(-MM_PER_DEGREE, MM_PER_DEGREE, 21)
     for c in centres:
         side, dist = x < c, np.abs(x - c)
         for el in shapes:
@@ -159,7 +159,7 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
     schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in BILATERAL_FIELDS])
 
     def fit(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, n = pdf["_x"].to_numpy() * K.MM_PER_DEGREE, np.log(pdf["_y"].to_numpy()), pdf["_n"].to_numpy()
+        x, y, n = pdf["_x"].to_numpy() * MM_PER_DEGREE, np.log(pdf["_y"].to_numpy()), pdf["_n"].to_numpy()
         peak = (math.log(145_000), math.log(350_000))
         t = pdf["_t"].iloc[0]
         if t is not None and not math.isnan(t):

@@ -61,6 +61,13 @@ def chain_transforms(df: DataFrame, node: str, parent: str, max_rounds: int = 64
     raise ValueError("parent pointers contain a cycle")
 
 
+def _fingerprint(df: DataFrame) -> tuple:
+    """Row count and two order-free hash sums: three numbers for the driver."""
+    def h(seed):
+        return F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)"))
+    return tuple(df.agg(F.count("*"), h(1), h(2)).first())
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col: str,
                a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """Smallest id of the connected component of every node.
@@ -72,6 +79,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
     keys = list(keys)
     both = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v"))
     cur = cut(both.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    before = _fingerprint(cur)
     for _ in range(max_rounds):
         sym = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -83,10 +91,11 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
         small = (small.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
                  .unionByName(mins.select(*keys, "u", F.col("m").alias("v"))).distinct())
         nxt = cut(small.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        changed = not nxt.exceptAll(cur).isEmpty() or not cur.exceptAll(nxt).isEmpty()
+        now = _fingerprint(nxt)
         cur = nxt
-        if not changed:
+        if now == before:
             break
+        before = now
     else:
         raise ValueError("components did not settle")
     labels = cur.groupBy(*keys, F.col("u").alias(id_col)).agg(F.min("v").alias("_label"))

@@ -1,7 +1,8 @@
 """Integrals over profiles and over the fitted pit surface.
 
-A gridded profile is a fixed-length array of 201 values, so integration along a
-ray is an array expression of its row; only the arrays are shuffled once.
+Interpolation on the grid is linear in the grid values, so an integral along
+fixed radii is a weighted sum over the rows of a profile, with weights known
+beforehand: one aggregation and no expansion of radii.
 """
 
 from __future__ import annotations
@@ -18,24 +19,10 @@ from eccentra.operators import profiles
 MIDDLE = K.GRID_LIMIT
 
 
-def as_arrays(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per key with arrays ``x`` and ``y`` of the two axes, nulls
-    interpolated and ends held."""
-    keys = list(keys)
-    full = profiles.interpolate_nulls(profiles.on_grid(df.select(*keys, "axis", "e10", value), keys + ["axis"]), keys + ["axis"], value)
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("e10", F.col(value).alias("v")))), lambda s: s["v"])
-    one = full.groupBy(*keys, "axis").agg(arr.alias("_a"))
-    return one.groupBy(*keys).agg(F.first(F.when(F.col("axis") == "X", F.col("_a")), True).alias("x"),
-                                  F.first(F.when(F.col("axis") == "Y", F.col("_a")), True).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-
-
-def read_at(values: Column, steps: Column, clamp: bool) -> Column:
-    """Linear reading of a grid array at a position in steps from the centre."""
-    at = steps + MIDDLE
-    if clamp:
-        at = F.greatest(F.lit(0.0), F.least(F.lit(2.0 * MIDDLE), at))
-    lo = F.greatest(F.lit(0), F.least(F.lit(2 * MIDDLE - 1), F.floor(at).cast("int")))
-    return values[lo] + (values[lo + 1] - values[lo]) * (at - lo)
+def dense(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Complete grid profiles: nulls interpolated, ends held."""
+    full = profiles.on_grid(df.select(*keys, "e10", value), keys)
+    return profiles.interpolate_nulls(full, keys, value)
 
 
 def interp_at(profile: DataFrame, positions: DataFrame, keys: Sequence[str], value: str, at: str) -> DataFrame:
@@ -50,58 +37,127 @@ def interp_at(profile: DataFrame, positions: DataFrame, keys: Sequence[str], val
     return j.withColumn(value, F.col("_vl") + (F.col("_vh") - F.col("_vl")) * (F.col("_at") - F.col("_lo"))).drop("_at", "_lo", "_vl", "_vh")
 
 
-def sub_grid_peak(values: Column) -> Column:
+def both_axes(df: DataFrame, subject: Sequence[str]) -> DataFrame:
+    """Subjects that have a profile on either axis."""
+    have = df.groupBy(*subject).agg(F.count_distinct("axis").alias("_a")).filter("_a = 2").drop("_a")
+    return df.join(have, list(subject), "left_semi")
+
+
+def sub_grid_peak(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Vertex (in steps) of the parabola through the five values around the top."""
-    top = F.array_position(values, F.array_max(values)).cast("int") - 1
-    c = F.greatest(F.lit(2), F.least(F.lit(2 * MIDDLE - 2), top))
-    v = [values[c + k] for k in (-2, -1, 0, 1, 2)]
-    a = (2 * v[0] - v[1] - 2 * v[2] - v[3] + 2 * v[4]) / 14.0
-    b = (-2 * v[0] - v[1] + v[3] + 2 * v[4]) / 10.0
-    vertex = F.when(a != 0, -b / (2 * F.nullif(a, F.lit(0.0)))).otherwise(0.0)
-    return c - MIDDLE + vertex
-
-
-def disk_cell_count(arrays: DataFrame, radius_deg: float, points: int = 500) -> DataFrame:
-    """Cells in a disk around the peak: mean of four rays, trapezoid over r."""
-    start, h = 0.0001, (radius_deg - 0.0001) / (points - 1)
-    t = arrays.withColumn("_px", sub_grid_peak(F.col("x"))).withColumn("_py", sub_grid_peak(F.col("y")))
-
-    def f(k):
-        r = start + k * h
-        rays = [read_at(F.col(a), F.col(p) + s * r * 10, True) for a, p in (("x", "_px"), ("y", "_py")) for s in (1, -1)]
-        return (rays[0] + rays[1] + rays[2] + rays[3]) / 4.0 * r
-    w = lambda k: F.when((k == 0) | (k == points - 1), 0.5).otherwise(1.0)
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), F.lit(0.0), lambda acc, k: acc + w(k) * f(k))
-    return t.withColumn("cells", total * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).drop("_px", "_py")
-
-
-def simpson_weight(k: Column, n: int) -> Column:
-    """Weight of point k of n evenly spaced ones, in units of the spacing; an
-    even n ends with the third-order correction of the last interval."""
+    keys = list(keys)
+    top = profile.groupBy(*keys).agg(F.max(F.struct(F.col(value), (-F.col("e10")).alias("neg"))).alias("_t"))
+    top = top.select(*keys, F.greatest(F.lit(2 - MIDDLE), F.least(F.lit(MIDDLE - 2), -F.col("_t.neg"))).alias("_c"))
+    d = F.col("e10") - F.col("_c")
+    bend = F.when(F.abs(d) == 2, 2).when(F.abs(d) == 1, -1).otherwise(-2)
+    near = profile.join(top, keys).filter(F.abs(d) <= 2)
+    s = near.groupBy(*keys, "_c").agg((F.sum(bend * F.col(value)) / 14.0).alias("_a"), (F.sum(d * F.col(value)) / 10.0).alias("_b"))
+    vertex = F.when(F.col("_a") != 0, -F.col("_b") / (2 * F.nullif(F.col("_a"), F.lit(0.0)))).otherwise(0.0)
+    return s.select(*keys, (F.col("_c") + vertex).alias("peak"))
+
+
+def disk_cell_count(profile: DataFrame, subject: Sequence[str], value: str, radius_deg: float, points: int = 500) -> DataFrame:
+    """Cells in a disk around the peak: mean of four rays, trapezoid over r.
+
+    The sample radii r = a + k*h that fall between two grid steps form a run of
+    whole k, over which the linear reading sums in closed form. Every grid step
+    therefore adds one term per ray direction.
+    """
+    subject = list(subject)
+    keys = subject + ["axis"]
+    a, h = 0.0001, (radius_deg - 0.0001) / (points - 1)
+    p = both_axes(profile, subject)
+    t = p.join(sub_grid_peak(p, keys, value), keys).withColumn(
+        "_next", F.coalesce(F.lead(value).over(W.partitionBy(*keys).orderBy("e10")), F.col(value)))
+
+    def count_below(step: Column, sign: int) -> Column:
+        """Number of samples of a ray that lie before ``step`` along the ray."""
+        k = F.ceil((sign * (step - F.col("peak")) / 10 - a) / h)
+        return F.greatest(F.lit(0), F.least(F.lit(points), k)).cast("double")
+
+    def run(lo: Column, hi: Column, v0: Column, v1: Column, sign: int) -> Column:
+        """Sum of r * reading for k in [lo, hi) on the segment from v0 at e10."""
+        n = hi - lo
+        s1 = n * (lo + hi - 1) / 2
+        s2 = (hi - 1) * hi * (2 * hi - 1) / 6 - (lo - 1) * lo * (2 * lo - 1) / 6
+        r1 = a * n + h * s1
+        r2 = a * a * n + 2 * a * h * s1 + h * h * s2
+        flat = v0 + (v1 - v0) * (F.col("peak") - F.col("e10"))
+        s = flat * r1 + sign * 10 * (v1 - v0) * r2
+        for k, r in ((0, a), (points - 1, radius_deg)):  # end points count half
+            here = (lo <= k) & (hi > k)
+            s = s - F.when(here, 0.5 * r * (flat + sign * 10 * (v1 - v0) * r)).otherwise(0.0)
+        return s
+
+    e, v, nxt = F.col("e10"), F.col(value), F.col("_next")
+    first, last = e == -MIDDLE, e == MIDDLE
+    up_lo = F.when(first, 0.0).otherwise(count_below(e, 1))
+    up_hi = F.when(last, float(points)).otherwise(count_below(e + 1, 1))
+    down_lo = F.when(last, 0.0).otherwise(count_below(e + 1, -1))
+    down_hi = F.when(first, count_below(e, -1)).otherwise(count_below(e, -1))
+    edge = F.when(first, float(points)).otherwise(down_hi)
+    # readings are clamped outside the grid, so the outer runs use the end value
+    before = F.when(first, run(F.lit(0.0), count_below(e, 1), v, v, 1)).otherwise(0.0)
+    up = F.when(first, before + run(count_below(e, 1), up_hi, v, nxt, 1)).otherwise(run(up_lo, up_hi, v, nxt, 1))
+    down = run(down_lo, down_hi, v, nxt, -1) + F.when(first, run(count_below(e, -1), edge, v, v, -1)).otherwise(0.0)
+    return t.groupBy(*subject).agg((F.sum(up + down) / 4.0 * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).alias("cells"))
+
+
+def simpson_weights(n: int) -> np.ndarray:
+    """Weights of n evenly spaced points in units of the spacing; an even n ends
+    with the third-order correction of the last interval."""
     m = n if n % 2 else n - 1
-    base = F.when(k >= m, 0.0).when((k == 0) | (k == m - 1), 1 / 3).when(k % 2 == 1, 4 / 3).otherwise(2 / 3)
-    if n % 2:
-        return base
-    return base + F.when(k == n - 1, 5 / 12).when(k == n - 2, 8 / 12).when(k == n - 3, -1 / 12).otherwise(0.0)
+    w = np.zeros(n)
+    w[:m] = 2 / 3
+    w[1:m:2] = 4 / 3
+    w[0] = w[m - 1] = 1 / 3
+    if n % 2 == 0:
+        w[-3:] += np.array([-1, 8, 5]) / 12
+    return w
+
 
+def _readings(radii_mm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grid step below each radius and the fraction beyond it."""
+    at = radii_mm / K.MM_PER_DEGREE * 10
+    lo = np.minimum(np.floor(at).astype(int), MIDDLE - 1)
+    return lo, at - lo
 
-def polar_integral(radius_mm: float, hole_mm: float = 0.0, points: int = 400) -> Column:
-    """Integral of (X cos^2 + Y sin^2) r over the disk; the angle gives pi."""
-    h = (radius_mm - hole_mm) / (points - 1)
 
-    def f(k):
-        r = hole_mm + k * h
-        steps = r / K.MM_PER_DEGREE * 10
-        return (read_at(F.col("x"), steps, False) + read_at(F.col("y"), steps, False)) * r
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), F.lit(0.0),
-                        lambda acc, k: acc + simpson_weight(k, points) * f(k))
-    return total * (h * math.pi)
+def _at_step(values: np.ndarray) -> Column:
+    """Constant of the row's grid step (0..100)."""
+    return F.array(*[F.lit(float(v)) for v in values])[F.col("e10")]
 
 
-def ray_maximum(axis: str, radius_mm: float, points: int = 400) -> Column:
-    h = radius_mm / (points - 1)
-    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                                   lambda k: read_at(F.col(axis), k * h / K.MM_PER_DEGREE * 10, False)))
+def polar_integrals(profile: DataFrame, subject: Sequence[str], value: str, disks: dict[str, tuple[float, float]],
+                    points: int = 400, maxima: float | None = None) -> DataFrame:
+    """Integrals of (X cos^2 + Y sin^2) r over disks {name: (radius, hole)} in mm.
+
+    The angle integrates to pi on both axes, so each disk is one weighted sum
+    over both profiles. ``maxima`` adds the largest reading of each axis up to
+    that radius.
+    """
+    half = both_axes(profile, subject).filter(F.col("e10") >= 0)
+    aggs = []
+    for name, (radius, hole) in disks.items():
+        r = np.linspace(hole, radius, points)
+        w = simpson_weights(points) * r * (radius - hole) / (points - 1) * math.pi
+        lo, f = _readings(r)
+        c = np.bincount(lo, w * (1 - f), MIDDLE + 1) + np.bincount(lo + 1, w * f, MIDDLE + 1)
+        aggs.append(F.sum(_at_step(c) * F.col(value)).alias(name))
+    if maxima is not None:
+        lo, f = _readings(np.linspace(0, maxima, points))
+        ends = np.full((2, MIDDLE + 1), np.nan)
+        for k, fr in zip(lo, f):
+            ends[0, k] = np.fmin(ends[0, k], fr)
+            ends[1, k] = np.fmax(ends[1, k], fr)
+        used = ~np.isnan(ends[0])
+        keys = [*subject, "axis"]
+        half = half.withColumn("_next", F.coalesce(F.lead(value).over(W.partitionBy(*keys).orderBy("e10")), F.col(value)))
+        step = F.col("_next") - F.col(value)
+        top = F.greatest(*[F.col(value) + step * _at_step(np.where(used, e, 0)) for e in ends])
+        top = F.when(_at_step(used) > 0, top)
+        aggs += [F.max(F.when(F.col("axis") == a, top)).alias(f"max_{a.lower()}") for a in "XY"]
+    return half.groupBy(*subject).agg(*aggs)
 
 
 def strip_integral(df: DataFrame, keys: Sequence[str], x: str, y: str, radius: float, hole: float | None = None) -> DataFrame:
@@ -124,7 +180,6 @@ def strip_integral(df: DataFrame, keys: Sequence[str], x: str, y: str, radius: f
     part = (F.when((n == 2) & (i == 0), two)
             .when((n > 2) & (i % 2 == 1) & (i <= n - 2), pair).otherwise(0.0)
             + F.when((n > 2) & (n % 2 == 0) & (i == n - 2), last).otherwise(0.0))
-    part = part - F.when((n > 2) & (n % 2 == 0) & (i == n - 1), F.lit(0.0)).otherwise(0.0)
     return t.groupBy(*keys).agg(F.sum(part).alias("integral"))
 
 

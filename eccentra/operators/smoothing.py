@@ -29,15 +29,17 @@ def indexed(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def _scatter_gauss(df: DataFrame, keys: Sequence[str], cols: Sequence[str], sigma: float) -> DataFrame:
     """Weighted sums of ``cols`` over the mirrored neighbourhood of each position."""
     r = int(4 * sigma + 0.5)
-    n, i = F.col("_n"), F.col("_i")
-    turns = F.sequence(-F.ceil((F.lit(r) + 1) / (2 * n)).cast("int"), F.ceil((F.lit(r) + 1) / (2 * n)).cast("int"))
-    images = F.flatten(F.transform(turns, lambda m: F.array(i + 2 * n * m, -1 - i + 2 * n * m)))
-    near = F.filter(images, lambda p: (p >= -r) & (p <= n - 1 + r))
-    hits = F.flatten(F.transform(near, lambda p: F.transform(
-        F.sequence(F.greatest(F.lit(0), p - r), F.least(n - 1, p + r)), lambda j: F.struct(j.alias("j"), (p - j).alias("d")))))
-    t = df.select(*keys, *cols, F.explode(hits).alias("_h"))
-    w = F.exp(F.col("_h.d") * F.col("_h.d") * (-0.5 / (sigma * sigma)))
-    return t.groupBy(*keys, F.col("_h.j").alias("_i")).agg(
+    n, i, q = F.col("_n"), F.col("_i"), F.col("_q")
+    turns = F.ceil((F.lit(r) + 1) / (2 * n)).cast("int")
+    # places of the sample in the mirrored continuation of the profile
+    mirror = F.transform(F.sequence(-turns, turns), lambda m: F.array(i + 2 * n * m, -1 - i + 2 * n * m))
+    seen = F.filter(F.flatten(mirror), lambda p: (p >= -r) & (p <= n - 1 + r))
+    near = (i < r) | (i >= n - r)
+    t = df.select(*keys, *cols, "_n", F.explode(F.when(near, seen).otherwise(F.array(i))).alias("_q"))
+    t = t.select(*keys, *cols, "_q", F.explode(F.sequence(F.greatest(F.lit(0), q - r), F.least(n - 1, q + r))).alias("_j"))
+    d = q - F.col("_j")
+    w = F.exp(d * d * (-0.5 / (sigma * sigma)))
+    return t.groupBy(*keys, F.col("_j").alias("_i")).agg(
         F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(c) for c in cols])
 
 

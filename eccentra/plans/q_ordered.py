@@ -24,8 +24,7 @@ def prof(b):
 
 
 def dense(b):
-    g = profiles.on_grid(prof(b).select(*KEY, "e10", F.col("density").alias("v")), KEY)
-    return profiles.interpolate_nulls(g, KEY, "v")
+    return I.dense(prof(b).withColumnRenamed("density", "v"), KEY, "v")
 
 
 @query("sort_by_ecc", "SELECT subject_id, axis, e10, density, row_number() OVER (PARTITION BY subject_id, axis ORDER BY e10) AS place FROM v_profile")
@@ -282,10 +281,6 @@ def _(b):
     return I.interp_at(dense(b), b.v_raw_density.select(*KEY, "ecc"), KEY, "v", "ecc")
 
 
-def arrays(b):
-    return I.as_arrays(prof(b).select("subject_id", "axis", "e10", "density"), ["subject_id"], "density")
-
-
 @query("disk_cell_count", f"""WITH {DENSE}, tp AS (SELECT subject_id, axis, greatest(-98, least(98, arg_max(e10, (v, -e10)))) AS c FROM dn GROUP BY ALL),
     q5 AS (SELECT tp.subject_id, tp.axis, tp.c, sum(CASE abs(e10 - c) WHEN 2 THEN 2 WHEN 1 THEN -1 ELSE -2 END * v) / 14e0 AS a, sum((e10 - c) * v) / 10e0 AS b FROM tp JOIN dn USING (subject_id, axis) WHERE abs(e10 - c) <= 2 GROUP BY ALL),
     vx AS (SELECT subject_id, axis, c + CASE WHEN a <> 0 THEN -b / (2 * a) ELSE 0 END AS peak FROM q5),
@@ -295,7 +290,7 @@ def arrays(b):
     m AS (SELECT subject_id, k, r, avg(v) AS v, count(*) AS c FROM rv GROUP BY ALL)
     SELECT subject_id, sum(CASE WHEN k = 0 OR k = 499 THEN 5e-1 ELSE 1 END * v * r) * ((333e-2 - 1e-4) / 499) * 291e-3 * 291e-3 * 2 * pi() AS cells FROM m WHERE c = 4 GROUP BY subject_id""", rounded="cells", digits=2)
 def _(b):
-    return I.disk_cell_count(arrays(b), 3.33).select("subject_id", "cells")
+    return I.disk_cell_count(dense(b), ["subject_id"], "v", 3.33)
 
 
 SW = "(CASE WHEN k >= 399 THEN 0 WHEN k = 0 OR k = 398 THEN 1 / 3e0 WHEN k % 2 = 1 THEN 4 / 3e0 ELSE 2 / 3e0 END + CASE k WHEN 399 THEN 5 / 12e0 WHEN 398 THEN 8 / 12e0 WHEN 397 THEN -1 / 12e0 ELSE 0 END)"
@@ -312,8 +307,7 @@ def polar_sql(radius, hole=0.0):
 @query("polar_integral", f"WITH {DENSE} SELECT p.subject_id, p.total, h.total AS without_centre, p.max_x, p.max_y FROM {polar_sql(1.0)} p JOIN {polar_sql(1.0, 0.3)} h USING (subject_id)",
        rounded="total without_centre max_x max_y", digits=2)
 def _(b):
-    return arrays(b).select("subject_id", I.polar_integral(1.0).alias("total"), I.polar_integral(1.0, 0.3).alias("without_centre"),
-                            I.ray_maximum("x", 1.0).alias("max_x"), I.ray_maximum("y", 1.0).alias("max_y"))
+    return I.polar_integrals(dense(b), ["subject_id"], "v", {"total": (1.0, 0.0), "without_centre": (1.0, 0.3)}, maxima=1.0)
 
 
 @query("strip_integral", f"""WITH {DENSE}, m AS (SELECT subject_id, axis, e10, v, row_number() OVER (PARTITION BY subject_id, axis ORDER BY e10) - 1 AS i, count(*) OVER (PARTITION BY subject_id, axis) AS n FROM dn WHERE abs(e10 * 291e-4) < 1e0)
@@ -323,7 +317,12 @@ def _(b):
     return I.strip_integral(d, KEY, "x", "v", 1.0)
 
 
-@query("strip_integral_hole")
+@query("strip_integral_hole", f"""WITH {DENSE}, m AS (SELECT subject_id, axis, e10 * 291e-4 AS x, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY subject_id, axis) AS n,
+        e10 * 291e-4 - lag(e10 * 291e-4) OVER w AS h0, lead(e10 * 291e-4) OVER w - e10 * 291e-4 AS h1, lag(v) OVER w AS f0, lead(v) OVER w AS f2
+      FROM dn WHERE abs(e10 * 291e-4) < 1e0 AND abs(e10 * 291e-4) > 3e-1 WINDOW w AS (PARTITION BY subject_id, axis ORDER BY e10))
+    SELECT subject_id, axis, coalesce(sum((h0 + h1) / 6 * ((2 - h1 / h0) * f0 + power(h0 + h1, 2) / (h0 * h1) * v + (2 - h0 / h1) * f2)) FILTER (i % 2 = 1 AND i <= n - 2), 0)
+      + coalesce(sum(f2 * (2 * h1 * h1 + 3 * h0 * h1) / (6 * (h0 + h1)) + v * (h1 * h1 + 3 * h0 * h1) / (6 * h0) - f0 * power(h1, 3) / (6 * h0 * (h0 + h1))) FILTER (n % 2 = 0 AND i = n - 2), 0) AS integral
+    FROM m GROUP BY subject_id, axis""", rounded="integral", digits=3)
 def _(b):
     d = dense(b).withColumn("x", F.col("e10") * 0.0291)
     return I.strip_integral(d, KEY, "x", "v", 1.0, hole=0.3)
@@ -332,7 +331,7 @@ def _(b):
 @query("region_cell_counts", f"WITH {DENSE} SELECT a.subject_id, a.total AS central, b.total AS inner_ring, c.total AS outer_ring FROM {polar_sql(0.5)} a JOIN {polar_sql(1.5)} b USING (subject_id) JOIN {polar_sql(3.0)} c USING (subject_id)",
        rounded="central inner_ring outer_ring", digits=2)
 def _(b):
-    return arrays(b).select("subject_id", I.polar_integral(0.5).alias("central"), I.polar_integral(1.5).alias("inner_ring"), I.polar_integral(3.0).alias("outer_ring"))
+    return I.polar_integrals(dense(b), ["subject_id"], "v", {"central": (0.5, 0.0), "inner_ring": (1.5, 0.0), "outer_ring": (3.0, 0.0)})
 
 
 PIT = """pit AS (SELECT subject_id, (subject_id % 7) / 64e0 AS A00, (subject_id % 5 - 2) / 128e0 AS A10, (subject_id % 3 - 1) / 128e0 AS A01, (subject_id % 4) / 256e0 AS A20, (subject_id % 6) / 256e0 AS A02, (subject_id % 9 - 4) / 512e0 AS A11,

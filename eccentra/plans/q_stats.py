@@ -188,11 +188,12 @@ def _(b):
 BIN = "CAST(floor((e10 + 100) / 5e0) AS INT)"
 
 
-@query("interval_axial_corr", f"""WITH {SUBJ}, a AS (SELECT subject_id, layer, axis, {BIN} AS bin, avg(thickness) AS v FROM v_layer_profile GROUP BY ALL),
+@query("interval_axial_corr", f"""WITH {SUBJ}, a AS (SELECT subject_id, layer, axis, {BIN} AS bin, floor(avg(thickness) * 1048576e0 + 5e-1) / 1048576e0 AS v FROM v_layer_profile GROUP BY ALL),
     j AS (SELECT a.*, axial_length FROM a JOIN subj USING (subject_id))
     SELECT layer, axis, bin, CASE WHEN bin = 40 THEN 10e0 ELSE (bin * 5 - 98) / 10e0 END AS centre, rho, n FROM {rho_sql('j', 'layer, axis, bin', 'axial_length', 'v')} AS t WHERE n > 2""", rounded="rho")
 def _(b):
-    a = b.v_layer_profile.groupBy("subject_id", "layer", "axis", F.floor((F.col("e10") + 100) / 5).cast("int").alias("bin")).agg(F.avg("thickness").alias("v"))
+    a = b.v_layer_profile.groupBy("subject_id", "layer", "axis", F.floor((F.col("e10") + 100) / 5).cast("int").alias("bin")).agg(
+        (F.floor(F.avg("thickness") * 1048576.0 + 0.5) / 1048576.0).alias("v"))  # equal means stay ties
     j = a.join(cohort.with_subject_values(b.v_baseline).select("subject_id", "axial_length"), "subject_id")
     out = stats.spearman(j, ["layer", "axis", "bin"], "axial_length", "v").filter("n > 2").drop("p")
     return out.withColumn("centre", F.when(F.col("bin") == 40, 10.0).otherwise((F.col("bin") * 5 - 98) / 10.0))
