@@ -136,6 +136,8 @@ def _lowess_array(x: np.ndarray, y: np.ndarray, share: float, rounds: int) -> np
             break
         r = np.abs(y - fit)
         scale = 6 * np.median(r)
+        if scale <= 1e-12 * np.abs(y).max():  # an exact fit: only rounding is left
+            break
         robust = (1 - np.minimum(r / scale, 1) ** 2) ** 2 if scale > 0 else (r == 0).astype(float)
     return fit
 
