@@ -204,7 +204,7 @@ def band_split(df: DataFrame, log_density: Column, model: Column, slope: Column,
 
 # --- Theil-Sen ----------------------------------------------------------------------------------------
 
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, small: int = 2000, rounds: int = 16, fan: int = 8) -> DataFrame:
+def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, small: int = 256, rounds: int = 16, fan: int = 8) -> DataFrame:
     """Median of all pairwise slopes, the matching intercept and the 95 % limits.
 
     Groups of at most ``small`` points form their pairs (a checked bound).
@@ -271,20 +271,20 @@ def _counted_slopes(d: DataFrame, keys: Sequence[str], rounds: int, fan: int) ->
     m = gaps.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c_before")).alias("m"))
     lim = _limits(d, keys, ext.select(*keys, "n").join(m, keys)).join(ext.select(*keys, "scale"), keys)
     names = ["k_lo", "k_hi", "k_lower", "k_upper"]
-    want = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("k")) for k in names]))
+    want = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.col(k).alias("_k")) for k in names]))
     # slopes are searched as scale * tan(angle), which needs no bound on them
-    state = cut(lim.select(*keys, "n", "scale", F.lit(-math.pi / 2).alias("lo"), F.lit(math.pi / 2).alias("hi"), want.alias("w"))
-                .select(*keys, "n", "scale", "lo", "hi", "w.name", "w.k"))
+    state = cut(lim.select(*keys, "n", "scale", F.lit(-math.pi / 2).alias("lo"), F.lit(math.pi / 2).alias("hi"), want.alias("_w"))
+                .select(*keys, "n", "scale", "lo", "hi", "_w._name", "_w._k"))
     for _ in range(rounds):
         trial = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / fan)
         asked = state.select(*keys, "scale", F.explode(trial).alias("_a")).distinct()
-        tilted = d.join(asked, keys).select(*keys, "_a", "_x", (F.col("_y") - F.col("scale") * F.tan("_a") * F.col("_x")).alias("_v"))
+        tilted = cut(d.join(asked, keys).select(*keys, "_a", "_x", (F.col("_y") - F.col("scale") * F.tan("_a") * F.col("_x")).alias("_v")))
         below = cut(discordant_pairs(tilted, keys + ["_a"], "_x", "_v"))
         c = state.select("*", F.explode(trial).alias("_a")).join(below, keys + ["_a"])
-        state = cut(c.groupBy(*keys, "n", "scale", "name", "k", "lo", "hi").agg(
-            F.max(F.when(F.col("discordant") <= F.col("k"), F.col("_a"))).alias("_lo"),
-            F.min(F.when(F.col("discordant") > F.col("k"), F.col("_a"))).alias("_hi")).select(
-            *keys, "n", "scale", "name", "k", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
+        state = cut(c.groupBy(*keys, "n", "scale", "_name", "_k", "lo", "hi").agg(
+            F.max(F.when(F.col("discordant") <= F.col("_k"), F.col("_a"))).alias("_lo"),
+            F.min(F.when(F.col("discordant") > F.col("_k"), F.col("_a"))).alias("_hi")).select(
+            *keys, "n", "scale", "_name", "_k", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
     v = F.col("scale") * F.tan((F.col("lo") + F.col("hi")) / 2)
-    r = state.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == k, v)).alias(k) for k in names])
+    r = state.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_name") == k, v)).alias(k) for k in names])
     return r.select(*keys, "n", ((F.col("k_lo") + F.col("k_hi")) / 2).alias("slope"), F.col("k_lower").alias("lower"), F.col("k_upper").alias("upper"))

@@ -230,3 +230,12 @@ def test_lookup_takes_the_first_reference_level(spark):
 def test_clip_rejects_unknown_modes(spark):
     with pytest.raises(ValueError):
         images.clip_outliers(flat(spark), ["s"], "v", replace="mean")
+
+
+def test_counted_slopes_close_in_on_the_pair_median(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([("a", float(rng.randrange(30)), float(rng.randrange(30))) for _ in range(40)], "g string, x double, y double")
+    exact = fits.theil_sen(df, ["g"], "x", "y").first()
+    near = fits.theil_sen(df, ["g"], "x", "y", small=1, rounds=5, fan=32).first()
+    assert near.slope == pytest.approx(exact.slope, abs=1e-5)
+    assert near.lower == pytest.approx(exact.lower, abs=1e-5) and near.upper == pytest.approx(exact.upper, abs=1e-5)
