@@ -43,17 +43,18 @@ def both_axes(df: DataFrame, subject: Sequence[str]) -> DataFrame:
     return df.join(have, list(subject), "left_semi")
 
 
-def sub_grid_peak(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Vertex (in steps) of the parabola through the five values around the top."""
-    keys = list(keys)
-    top = profile.groupBy(*keys).agg(F.max(F.struct(F.col(value), (-F.col("e10")).alias("neg"))).alias("_t"))
-    top = top.select(*keys, F.greatest(F.lit(2 - MIDDLE), F.least(F.lit(MIDDLE - 2), -F.col("_t.neg"))).alias("_c"))
+def with_sub_grid_peak(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``peak``: the vertex (in steps) of the parabola through the five
+    values around the top of each profile."""
+    w = W.partitionBy(*keys)
+    top = F.max(F.struct(F.col(value), (-F.col("e10")).alias("neg"))).over(w)
+    t = profile.withColumn("_c", F.greatest(F.lit(2 - MIDDLE), F.least(F.lit(MIDDLE - 2), -top["neg"])))
     d = F.col("e10") - F.col("_c")
-    bend = F.when(F.abs(d) == 2, 2).when(F.abs(d) == 1, -1).otherwise(-2)
-    near = profile.join(top, keys).filter(F.abs(d) <= 2)
-    s = near.groupBy(*keys, "_c").agg((F.sum(bend * F.col(value)) / 14.0).alias("_a"), (F.sum(d * F.col(value)) / 10.0).alias("_b"))
+    bend = F.when(F.abs(d) == 2, 2).when(F.abs(d) == 1, -1).when(d == 0, -2).otherwise(0)
+    tilt = F.when(F.abs(d) <= 2, d).otherwise(0)
+    t = t.withColumn("_a", F.sum(bend * F.col(value)).over(w) / 14.0).withColumn("_b", F.sum(tilt * F.col(value)).over(w) / 10.0)
     vertex = F.when(F.col("_a") != 0, -F.col("_b") / (2 * F.nullif(F.col("_a"), F.lit(0.0)))).otherwise(0.0)
-    return s.select(*keys, (F.col("_c") + vertex).alias("peak"))
+    return t.withColumn("peak", F.col("_c") + vertex).drop("_a", "_b", "_c")
 
 
 def disk_cell_count(profile: DataFrame, subject: Sequence[str], value: str, radius_deg: float, points: int = 500) -> DataFrame:
@@ -61,46 +62,43 @@ def disk_cell_count(profile: DataFrame, subject: Sequence[str], value: str, radi
 
     The sample radii r = a + k*h that fall between two grid steps form a run of
     whole k, over which the linear reading sums in closed form. Every grid step
-    therefore adds one term per ray direction.
+    therefore adds one term per ray direction; readings are clamped outside the
+    grid, so the outer runs use the end value.
     """
     subject = list(subject)
     keys = subject + ["axis"]
     a, h = 0.0001, (radius_deg - 0.0001) / (points - 1)
-    p = both_axes(profile, subject)
-    t = p.join(sub_grid_peak(p, keys, value), keys).withColumn(
-        "_next", F.coalesce(F.lead(value).over(W.partitionBy(*keys).orderBy("e10")), F.col(value)))
+    e, v = F.col("e10"), F.col(value)
+    t = with_sub_grid_peak(profile, keys, value).withColumn(
+        "_next", F.coalesce(F.lead(value).over(W.partitionBy(*keys).orderBy("e10")), v))
 
-    def count_below(step: Column, sign: int) -> Column:
+    def before(step: Column, sign: int) -> Column:
         """Number of samples of a ray that lie before ``step`` along the ray."""
         k = F.ceil((sign * (step - F.col("peak")) / 10 - a) / h)
         return F.greatest(F.lit(0), F.least(F.lit(points), k)).cast("double")
 
-    def run(lo: Column, hi: Column, v0: Column, v1: Column, sign: int) -> Column:
-        """Sum of r * reading for k in [lo, hi) on the segment from v0 at e10."""
-        n = hi - lo
-        s1 = n * (lo + hi - 1) / 2
-        s2 = (hi - 1) * hi * (2 * hi - 1) / 6 - (lo - 1) * lo * (2 * lo - 1) / 6
-        r1 = a * n + h * s1
-        r2 = a * a * n + 2 * a * h * s1 + h * h * s2
-        flat = v0 + (v1 - v0) * (F.col("peak") - F.col("e10"))
-        s = flat * r1 + sign * 10 * (v1 - v0) * r2
-        for k, r in ((0, a), (points - 1, radius_deg)):  # end points count half
-            here = (lo <= k) & (hi > k)
-            s = s - F.when(here, 0.5 * r * (flat + sign * 10 * (v1 - v0) * r)).otherwise(0.0)
-        return s
-
-    e, v, nxt = F.col("e10"), F.col(value), F.col("_next")
-    first, last = e == -MIDDLE, e == MIDDLE
-    up_lo = F.when(first, 0.0).otherwise(count_below(e, 1))
-    up_hi = F.when(last, float(points)).otherwise(count_below(e + 1, 1))
-    down_lo = F.when(last, 0.0).otherwise(count_below(e + 1, -1))
-    down_hi = F.when(first, count_below(e, -1)).otherwise(count_below(e, -1))
-    edge = F.when(first, float(points)).otherwise(down_hi)
-    # readings are clamped outside the grid, so the outer runs use the end value
-    before = F.when(first, run(F.lit(0.0), count_below(e, 1), v, v, 1)).otherwise(0.0)
-    up = F.when(first, before + run(count_below(e, 1), up_hi, v, nxt, 1)).otherwise(run(up_lo, up_hi, v, nxt, 1))
-    down = run(down_lo, down_hi, v, nxt, -1) + F.when(first, run(count_below(e, -1), edge, v, v, -1)).otherwise(0.0)
-    return t.groupBy(*subject).agg((F.sum(up + down) / 4.0 * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).alias("cells"))
+    t = (t.withColumn("_up0", before(e, 1)).withColumn("_up1", before(e + 1, 1))
+         .withColumn("_down0", before(e, -1)).withColumn("_down1", before(e + 1, -1)))
+    first, last, end = e == -MIDDLE, e == MIDDLE, F.lit(float(points))
+
+    def piece(lo, hi, v1, sign: float) -> Column:
+        return F.struct(lo.alias("_lo"), hi.alias("_hi"), v1.alias("_v1"), F.lit(sign).alias("_sign"))
+    pieces = F.array(
+        piece(F.col("_up0"), F.when(last, end).otherwise(F.col("_up1")), F.col("_next"), 1.0),
+        piece(F.when(last, F.lit(0.0)).otherwise(F.col("_down1")), F.col("_down0"), F.col("_next"), -1.0),
+        piece(F.lit(0.0), F.when(first, F.col("_up0")).otherwise(F.lit(0.0)), v, 1.0),
+        piece(F.col("_down0"), F.when(first, end).otherwise(F.col("_down0")), v, -1.0))
+    r = (t.select(*keys, "e10", "peak", v.alias("_v"), F.explode(pieces).alias("_p"))
+         .select(*keys, "e10", "peak", "_v", "_p.*").filter("_lo < _hi"))
+    lo, hi, rise = F.col("_lo"), F.col("_hi"), F.col("_v1") - F.col("_v")
+    r = r.withColumn("_rise", rise * 10 * F.col("_sign")).withColumn("_flat", F.col("_v") + rise * (F.col("peak") - e))
+    n, s1 = hi - lo, (hi - lo) * (lo + hi - 1) / 2
+    s2 = (hi - 1) * hi * (2 * hi - 1) / 6 - (lo - 1) * lo * (2 * lo - 1) / 6
+    total = F.col("_flat") * (a * n + h * s1) + F.col("_rise") * (a * a * n + 2 * a * h * s1 + h * h * s2)
+    for k, rad in ((0, a), (points - 1, radius_deg)):  # end points count half
+        total = total - F.when((lo <= k) & (hi > k), 0.5 * rad * (F.col("_flat") + F.col("_rise") * rad)).otherwise(0.0)
+    out = r.groupBy(*subject).agg(F.sum(total).alias("_s"), F.count_distinct("axis").alias("_axes"))
+    return out.filter("_axes = 2").select(*subject, (F.col("_s") / 4.0 * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).alias("cells"))
 
 
 def simpson_weights(n: int) -> np.ndarray:
