@@ -37,12 +37,6 @@ def interp_at(profile: DataFrame, positions: DataFrame, keys: Sequence[str], val
     return j.withColumn(value, F.col("_vl") + (F.col("_vh") - F.col("_vl")) * (F.col("_at") - F.col("_lo"))).drop("_at", "_lo", "_vl", "_vh")
 
 
-def both_axes(df: DataFrame, subject: Sequence[str]) -> DataFrame:
-    """Subjects that have a profile on either axis."""
-    have = df.groupBy(*subject).agg(F.count_distinct("axis").alias("_a")).filter("_a = 2").drop("_a")
-    return df.join(have, list(subject), "left_semi")
-
-
 def with_sub_grid_peak(profile: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``peak``: the vertex (in steps) of the parabola through the five
     values around the top of each profile."""
@@ -97,8 +91,8 @@ def disk_cell_count(profile: DataFrame, subject: Sequence[str], value: str, radi
     total = F.col("_flat") * (a * n + h * s1) + F.col("_rise") * (a * a * n + 2 * a * h * s1 + h * h * s2)
     for k, rad in ((0, a), (points - 1, radius_deg)):  # end points count half
         total = total - F.when((lo <= k) & (hi > k), 0.5 * rad * (F.col("_flat") + F.col("_rise") * rad)).otherwise(0.0)
-    out = r.groupBy(*subject).agg(F.sum(total).alias("_s"), F.count_distinct("axis").alias("_axes"))
-    return out.filter("_axes = 2").select(*subject, (F.col("_s") / 4.0 * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).alias("cells"))
+    out = r.groupBy(*subject).agg(F.sum(total).alias("_s"), (F.min("axis") != F.max("axis")).alias("_both"))
+    return out.filter("_both").select(*subject, (F.col("_s") / 4.0 * h * K.MM_PER_DEGREE ** 2 * 2 * math.pi).alias("cells"))
 
 
 def simpson_weights(n: int) -> np.ndarray:
@@ -134,8 +128,8 @@ def polar_integrals(profile: DataFrame, subject: Sequence[str], value: str, disk
     over both profiles. ``maxima`` adds the largest reading of each axis up to
     that radius.
     """
-    half = both_axes(profile, subject).filter(F.col("e10") >= 0)
-    aggs = []
+    half = profile.filter(F.col("e10") >= 0)
+    aggs = [(F.min("axis") != F.max("axis")).alias("_both")]
     for name, (radius, hole) in disks.items():
         r = np.linspace(hole, radius, points)
         w = simpson_weights(points) * r * (radius - hole) / (points - 1) * math.pi
@@ -155,7 +149,7 @@ def polar_integrals(profile: DataFrame, subject: Sequence[str], value: str, disk
         top = F.greatest(*[F.col(value) + step * _at_step(np.where(used, e, 0)) for e in ends])
         top = F.when(_at_step(used) > 0, top)
         aggs += [F.max(F.when(F.col("axis") == a, top)).alias(f"max_{a.lower()}") for a in "XY"]
-    return half.groupBy(*subject).agg(*aggs)
+    return half.groupBy(*subject).agg(*aggs).filter("_both").drop("_both")
 
 
 def strip_integral(df: DataFrame, keys: Sequence[str], x: str, y: str, radius: float, hole: float | None = None) -> DataFrame:
