@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def randoms(n: int, seed: int) -> np.ndarray:
-    return mix(mix(np.arange(1, n + 1, dtype=np.uint64) + U64(seed) * U64(0x9E3779B97F4A7C15)))
+    return mix(mix(np.arange(1, n + 1, dtype=np.uint64) + U64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
 
 
 def byte_values(seed: int, lower: bool) -> np.ndarray:
@@ -152,7 +152,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
         sh, owner = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     short = np.flatnonzero((count > 0) & (count < width))
     if len(short):
-        extra = np.array([(words[at[d]: at[d + 1]] * k[: count[d]]).sum() + k[width] * U64(count[d]) for d in short], dtype=np.uint64)
+        extra = np.array([np.append(words[at[d]: at[d + 1]] * k[: count[d]], k[width: width + 1] * U64(count[d])).sum() for d in short], dtype=np.uint64)
         sh, owner = np.concatenate([sh, extra]), np.concatenate([owner, short])
     sh = mix(sh)
     order = np.lexsort((sh, owner))
@@ -223,7 +223,7 @@ def content_filter(keys: DataFrame, key: str, bits: int = 1 << 26):
     h = F.col(key)
     pos = F.array(F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h), F.lit(bits)))
     rows = (keys.select(F.explode(pos).alias("p"))
-            .groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("v"))
+            .groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
             .toArrow())
     out = np.zeros(words, dtype=np.int64)
     out[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
