@@ -212,16 +212,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def content_filter(keys: DataFrame, key: str, bits: int = 1 << 26):
-    """A membership filter of fixed size over the longs in ``keys``: (numpy words).
+def content_filter(keys: DataFrame, key: str, bits: int = 1 << 26, second: bool = True) -> np.ndarray:
+    """A membership filter of fixed size over the longs in ``keys``, as an array of words.
 
-    Two positions per key are set. The filter is built by an aggregation and
+    Two positions per key are set, or without ``second`` its own only. The filter is built by an aggregation and
     holds ``bits / 8`` bytes whatever the input; when it fills up it lets more
     rows pass and the join behind it does the rest.
     """
     words = bits // 64
     h = F.col(key)
-    pos = F.array(F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h), F.lit(bits)))
+    pos = F.array(F.pmod(h, F.lit(bits)), *[F.pmod(F.xxhash64(h), F.lit(bits))] * second)
     rows = (keys.select(F.explode(pos).alias("p"))
             .groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
             .toArrow())

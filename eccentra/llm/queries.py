@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from eccentra.llm import op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op10_warc
+from eccentra.llm import op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op9_suffix_dedup, op10_warc
 
 QUERIES = {
     "op4_url_reputation": op4_url_reputation.query,
     "op5_token_counts": op5_token_counts.query,
     "op6_best_two_fit": op6_packing.query,
     "op7_chosen_path": op7_near_dedup.query,
+    "op9_suffix_blocks": op9_suffix_dedup.query,
     "op10_warc_zstd": op10_warc.query,
 }
 ORACLES = {"op4_url_reputation": op4_url_reputation.ORACLE, "op7_chosen_path": op7_near_dedup.ORACLE, "op10_warc_zstd": op10_warc.ORACLE}
