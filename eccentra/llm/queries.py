@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from eccentra.llm import op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op9_suffix_dedup, op10_warc
+from eccentra.llm import op1_decontamination, op2_bottom_k, op3_quality, op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op9_suffix_dedup, op10_warc
 
 QUERIES = {
+    "op1_spaced_seeds": op1_decontamination.query,
+    "op2_bottom_k": op2_bottom_k.query,
+    "op3_neighbour_votes": op3_quality.query,
     "op4_url_reputation": op4_url_reputation.query,
     "op5_token_counts": op5_token_counts.query,
     "op6_best_two_fit": op6_packing.query,
