@@ -39,20 +39,28 @@ def let(value: Column, use) -> Column:
 
 
 def word_keys(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    def whole(w: Column) -> Column:  # a separator at either end leaves an empty word there
+        first, last = (F.get(w, F.lit(0)) == "").cast("int"), (F.element_at(w, -1) == "").cast("int")
+        return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
+
+    words = let(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), whole)
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column, masks=MASKS) -> Column:
-    """Per start (from 0) an array of one hash per mask; null where a mask leaves the text."""
-    def at(i: Column) -> Column:
-        out = []
-        for m, mask in enumerate(masks):
-            out.append(F.when(i + mask[-1] < F.size(words), F.xxhash64(F.lit(m), *[F.get(words, i + p) for p in mask])))
-        return F.array(*out)
+def pair(words: Column, i: Column) -> Column:
+    """A cheap hash of the first two places of every mask."""
+    return F.get(words, i).bitwiseXOR(F.shiftleft(F.get(words, i + 1), 1))
+
+
+def seeds_at(words: Column, i: Column, masks=MASKS) -> list[Column]:
+    """One hash per mask for the start ``i`` (from 0); null where a mask leaves the text."""
+    return [F.when(i + mask[-1] < F.size(words), F.xxhash64(F.lit(m), *[F.get(words, i + p) for p in mask])) for m, mask in enumerate(masks)]
+
 
+def starts(words: Column, masks=MASKS) -> Column:
+    """All places where the shortest mask can start."""
     n = F.size(words) - min(m[-1] for m in masks)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)).otherwise(F.array().cast("array<array<bigint>>"))
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def bits_of(hashes: DataFrame, column: str, bits: int = BITS) -> Column:
@@ -65,13 +73,14 @@ def bits_of(hashes: DataFrame, column: str, bits: int = BITS) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
 
 
-def may_hold(filled: Column, h: Column, bits: int = BITS) -> Column:
-    def bit(x: Column) -> Column:
-        p = F.pmod(x, F.lit(bits))
-        word = F.get(filled, F.floor(p / 64).cast("int"))
-        return F.call_function("shiftright", word, F.pmod(p, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+def bit(filled: Column, x: Column, bits: int = BITS) -> Column:
+    p = F.pmod(x, F.lit(bits))
+    word = F.get(filled, F.call_function("shiftright", p, F.lit(6)).cast("int"))
+    return F.call_function("shiftright", word, p.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
 
-    return bit(h) & bit(F.xxhash64(h))
+def may_hold(filled: Column, h: Column, bits: int = BITS) -> Column:
+    return bit(filled, h, bits) & bit(filled, F.xxhash64(h), bits)
 
 
 def keys(text: Column) -> list[Column]:
@@ -82,19 +91,21 @@ def keys(text: Column) -> list[Column]:
 def overlaps(docs: DataFrame, tests: DataFrame, masks=MASKS, span: int = SPAN, share: float = SHARE) -> DataFrame:
     """(k1, k2, item_id, equal): distinct texts with the tests they overlap, and the most equal words of a stretch."""
     items = keep(tests.select("item_id", word_keys(F.col("text")).alias("words")), "items")
-    own = items.select("item_id", F.posexplode(seeds(F.col("words"), masks)).alias("j", "hs"))
-    probes = keep(own.select("item_id", "j", F.explode("hs").alias("h")).filter("h is not null"), "probes")
+    own = items.select("item_id", "words", F.explode(starts(F.col("words"), masks)).alias("j"))
+    probes = keep(own.select("item_id", "j", pair(F.col("words"), F.col("j")).alias("pair"), F.explode(F.array(*seeds_at(F.col("words"), F.col("j"), masks))).alias("h"))
+                  .filter("h is not null"), "probes")
     if probes.isEmpty():
         return items.sparkSession.createDataFrame([], f"k1 long, k2 long, item_id {tests.schema['item_id'].dataType.simpleString()}, equal int")
-    filled = bits_of(probes.select("h").distinct(), "h")
+    filled, pairs_filled = bits_of(probes.select("h").distinct(), "h"), bits_of(probes.select("pair").distinct(), "pair")
 
     def hits(words: Column) -> Column:
-        all_ = seeds(words, masks)
-        flat = F.flatten(F.transform(all_, lambda hs, i: F.transform(hs, lambda h: F.struct(i.alias("i"), h.alias("h")))))
+        # places whose first two words are together in some test, then their seeds
+        likely = F.filter(starts(words, masks), lambda i: bit(pairs_filled, pair(words, i)))
+        flat = F.flatten(F.transform(likely, lambda i: F.array(*[F.struct(i.alias("i"), h.alias("h")) for h in seeds_at(words, i, masks)])))
         return F.filter(flat, lambda x: x["h"].isNotNull() & may_hold(filled, x["h"]))
 
     marked = docs.select(*keys(F.col("text")), F.explode(let(word_keys(F.col("text")), hits)).alias("x"))
-    found = (marked.select("k1", "k2", F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(probes, "h")
+    found = (marked.select("k1", "k2", F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(probes.drop("pair"), "h")
              .select("k1", "k2", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct())
     found = keep(found, "hits")
 
