@@ -11,12 +11,12 @@ at the threshold that meets no large node) that a pair shares a node.
 
 In the nodes, pairs are compared on their full sets, as far as they can change
 the groups: first every member with the node's least member, then, where a node
-still holds several groups, all pairs across groups in small nodes, and in large
-nodes pairs with members outside the largest group, some at a time until none is
-open. Pairs inside one group are never compared, so a large group of copies
-costs rows in proportion to its size, and no link that could join two groups is
-left out. Pairs whose minwise tokens agree far too seldom are not compared (the
-estimate must be 0.3 below the threshold, over six deviations).
+still holds several groups, all pairs across groups; in large nodes the members
+outside the largest group are set against all, in blocks. Pairs inside one group
+are never compared, so a large group of copies costs rows in proportion to its
+size, and no link that could join two groups is left out. Pairs whose minwise
+tokens agree far too seldom are not compared on full sets (the estimate must be
+0.2 below the threshold, over four deviations).
 
 Copies are not expanded: a class is one row whatever its number of documents.
 Null ids are rows like others and are never the least id unless all are null;
@@ -38,7 +38,7 @@ by_value(__name__)
 TREES, BASE, DEPTH, SMALL = 16, 3, 9, 24
 EXTRA = 32
 COORDS = TREES * BASE + EXTRA
-PIVOTS = 16
+MARGIN, BLOCK, CHUNK = 0.2, 512, 2048
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             n = batch.num_rows
             if n:
                 one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(n, COORDS) for c in ("sig_a", "sig_b"))
-                good = (one == two).mean(axis=1) >= threshold - 0.3
+                good = (one == two).mean(axis=1) >= threshold - MARGIN
                 if good.any():
                     yield batch.select(["a", "b"]).filter(pa.array(good))
 
@@ -192,6 +192,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def outside_pairs(large: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (a, b) across groups in large nodes, from rows (node, cid, root).
+
+    The members outside a node's largest group are set against all its members,
+    ``BLOCK`` of them against ``CHUNK`` members at a time: a group of rows holds
+    no more than about both, whatever the size of the node.
+    """
+    counts = large.groupBy("node", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outside"))
+    told = (large.join(main, "node").join(classes.select("cid", "sig"), "cid")
+            .withColumn("blocks", F.ceil(F.col("outside") / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")))
+    own = F.xxhash64("cid")
+    block, chunk = F.pmod(own, F.col("blocks")).cast("int"), F.pmod(F.xxhash64(own), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    asked = told.filter("root <> main").select("node", block.alias("block"), F.explode(every).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "sig")
+    given = told.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("side"), "cid", "root", "sig")
+
+    def compare(one, other):
+        # rows (root, cid, sig) of the asked and of the given
+        s1, s2 = (np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(len(rows), COORDS) for rows in (one, other))
+        agree = np.zeros((len(one), len(other)), dtype=np.int16)
+        for i in range(COORDS):
+            agree += s1[:, i][:, None] == s2[:, i][None, :]
+        names = {r: k for k, r in enumerate({r[0] for r in one} | {r[0] for r in other})}
+        g1, g2 = (np.array([names[r[0]] for r in rows]) for rows in (one, other))
+        found = np.nonzero((agree >= (threshold - MARGIN) * COORDS) & (g1[:, None] != g2[None, :]))
+        return sorted({tuple(sorted((one[i][1], other[j][1]))) for i, j in zip(*found)})
+
+    def run(batches):
+        at, one, other = None, [], []
+
+        def out():
+            if one and other and (pairs := compare(one, other)):
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("node", "block", "chunk", "side", "root", "cid", "sig")]
+            for node, blk, chk, side, root, cid, sig in zip(*cols):
+                if (node, blk, chk) != at:
+                    yield from out()
+                    at, one, other = (node, blk, chk), [], []
+                (other if side else one).append((root, cid, sig))
+                if len(other) == CHUNK:  # the asked come first
+                    yield from out()
+                    other = []
+        yield from out()
+
+    laid = asked.unionByName(given).repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk", "side")
+    return laid.mapInArrow(run, "a binary, b binary")
+
+
 def groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents (id, key, n_shingles, cid) and the groups (cid, root) of linked classes.
 
@@ -209,38 +260,18 @@ def groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
 
     least = leaf.groupBy("node").agg(F.min("cid").alias("a"))
     pairs = keep(leaf.join(least, "node").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "pairs")
-    tried = pairs
     links = keep(confirm(keep(likely(pairs, classes, threshold), "likely"), texts, threshold, width), "links")
-    pivoted = None
-    while True:
-        labels = components(links)
-        of = leaf.join(labels, leaf.cid == labels.node, "left").select(leaf.node, "cid", "size", F.coalesce("root", "cid").alias("root"))
-        mixed = of.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
-        open_ = keep(of.join(mixed, "node"), "open")
-        small, large = open_.filter(F.col("size") <= SMALL), open_.filter(F.col("size") > SMALL)
-        x, y = (small.select("node", F.col("cid").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        more = x.join(y, "node").filter("a < b and root_a <> root_b").select("a", "b")
-        # in a large node: members outside its largest group, some of those not yet tried there
-        main = large.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        outside = large.join(main, "node").filter("root <> main").select("node", "cid", "root")
-        if pivoted is not None:
-            outside = outside.join(pivoted, ["node", "cid"], "left_anti")
-        chosen = keep(outside.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("cid", "root")).alias("p"))
-                      .select("node", F.col("p.cid").alias("cid"), F.col("p.root").alias("root")), "pivots")
-        z = chosen.select("node", F.col("cid").alias("p"), F.col("root").alias("root_p"))
-        against = large.join(z, "node").filter("root <> root_p").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
-        more = keep(likely(more.unionByName(against).distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold), "pairs")
-        new = keep(confirm(more, texts, threshold, width), "links")
-        done = chosen.isEmpty()
-        if not new.isEmpty():
-            links = links.unionByName(new)
-        elif done:
-            return drawn, labels
-        if done:
-            # small nodes are fully compared now; what they joined needs no further pair
-            return drawn, components(links)
-        tried = tried.unionByName(more)
-        pivoted = chosen.select("node", "cid") if pivoted is None else pivoted.unionByName(chosen.select("node", "cid"))
+    labels = components(links)
+    of = leaf.join(labels, leaf.cid == labels.node, "left").select(leaf.node, "cid", "size", F.coalesce("root", "cid").alias("root"))
+    mixed = of.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
+    open_ = keep(of.join(mixed, "node"), "open")
+    small, large = open_.filter(F.col("size") <= SMALL), open_.filter(F.col("size") > SMALL)
+    x, y = (small.select("node", F.col("cid").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    across = likely(x.join(y, "node").filter("a < b and root_a <> root_b").select("a", "b").distinct(), classes, threshold)
+    across = keep(across.unionByName(outside_pairs(large, classes, threshold)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if across.isEmpty():
+        return drawn, labels
+    return drawn, components(links.unionByName(confirm(across, texts, threshold, width)))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
