@@ -165,3 +165,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return pack(keep(pieces(table(spark, sf_dir, "documents")), "pieces"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return pack(keep(pieces(docs), "pieces"))

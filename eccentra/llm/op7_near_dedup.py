@@ -291,10 +291,24 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id, once; documents without id stay only alone."""
-    out = near_duplicates(docs, 0.8, 5)
+    """One document of each group stays: that with the least id, and of repeated rows of that id one.
+
+    Documents without a set stay. Documents without id go if their group has one with an id.
+    """
+    out = keep(near_duplicates(docs, 0.8, 5), "groups")
     gone = out.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id"))
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    # repeated rows of an id, in one group: one of them stays
+    several = out.filter("n_shingles > 0").groupBy("id", "component_id").agg(F.count("*").alias("n")).filter("n > 1 and id <=> component_id")
+    several = keep(several.select(F.col("id").alias("doc_id")).distinct(), "several")
+    kept = docs.join(gone.filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if not gone.filter("doc_id is null").isEmpty():
+        lone = out.filter("id is null and (component_id is null or n_shingles = 0)").select("key").distinct()
+        own = F.xxhash64("text")
+        kept = kept.filter("doc_id is not null").unionByName(kept.filter("doc_id is null").withColumn("_key", own).join(lone, F.col("_key").eqNullSafe(lone.key), "left_semi").select(*docs.columns))
+    if several.isEmpty():
+        return kept
+    again = kept.join(several, kept.doc_id.eqNullSafe(several.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(several, kept.doc_id.eqNullSafe(several.doc_id), "left_anti").unionByName(again)
 
 
 ORACLE = r"""

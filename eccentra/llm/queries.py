@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eccentra.llm import op1_decontamination, op2_bottom_k, op3_quality, op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op9_suffix_dedup, op10_warc
+from eccentra.llm import op1_decontamination, op2_bottom_k, op3_quality, op4_url_reputation, op5_token_counts, op6_packing, op7_near_dedup, op8_pseudo_likelihood, op9_suffix_dedup, op10_warc
 
 QUERIES = {
     "op1_spaced_seeds": op1_decontamination.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts.query,
     "op6_best_two_fit": op6_packing.query,
     "op7_chosen_path": op7_near_dedup.query,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood.query,
     "op9_suffix_blocks": op9_suffix_dedup.query,
     "op10_warc_zstd": op10_warc.query,
 }
