@@ -214,7 +214,7 @@ def hashed_parts(rows: DataFrame, windows: bool) -> DataFrame:
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """(k1, k2, i, n): runs of windows that start more than once, per distinct text; texts as ``keyed``."""
+    """(k1, k2, i, n): distinct runs of windows that start more than once, per distinct text; texts as ``keyed``."""
     buckets = (runs(texts).groupBy("bucket").agg(F.count("*").alias("seen"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("seen > 1"))
     buckets = keep(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("tied")), "buckets")
     shared = keep(runs(texts, bucket_filter(buckets)).join(buckets, "bucket"), "shared")
@@ -235,13 +235,13 @@ def repeated(texts: DataFrame) -> DataFrame:
              .agg(F.collect_list(F.struct("i", "n", "d", "bucket", "c", "j")).alias("runs")))
     windows = keep(hashed_parts(base.drop("runs").join(asked, ["k1", "k2"]), windows=True), "windows")
     same = windows.groupBy("bucket", "hash").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", "hash")
-    return spans.unionByName(windows.filter("c = 1").join(same, ["bucket", "hash"]).select("k1", "k2", "i", "n"))
+    # only copies of a text repeat runs; the windows come from one run per rank and are distinct
+    return spans.distinct().unionByName(windows.filter("c = 1").join(same, ["bucket", "hash"]).select("k1", "k2", "i", "n"))
 
 
 def spans_by_text(texts: DataFrame) -> DataFrame:
     """(k1, k2, spans): an array of (i, n) per distinct text that has repeated windows."""
-    found = repeated(texts).distinct()
-    return keep(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n")).alias("spans")), "spans")
+    return keep(repeated(texts).groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n")).alias("spans")), "spans")
 
 
 def covered(spans: np.ndarray) -> np.ndarray:
