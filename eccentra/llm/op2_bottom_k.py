@@ -95,7 +95,6 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     put at the end of the block before it.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    spark = docs.sparkSession
     # one pass over the ids: at most ``blocks`` numbers for the driver
     cuts = sorted(set(own.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or [])) if blocks > 1 else []
     # block 0 has the largest ids; nulls come after all others
@@ -106,10 +105,11 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     if not tops:
         return own.select("id", "text", F.array().cast("array<bigint>").alias("fp"), F.col("text").alias("next_text"), F.array().cast("array<bigint>").alias("next_fp"))
     present = sorted(tops)
-    before = spark.createDataFrame([(b, tops[b], present[i - 1]) for i, b in enumerate(present)], "block int, id long, at int")
+    before = F.create_map(*[F.lit(x).cast("int") for i, b in enumerate(present) for x in (b, present[i - 1])])
     # of repeated ids the least text heads the block
-    heads = (dealt.filter(F.col("id").isin([v for v in tops.values() if v is not None]) | F.col("id").isNull()).groupBy("block", "id").agg(F.min("text").alias("text"))
-             .join(before, (dealt.block == before.block) & dealt.id.eqNullSafe(before.id)).select(dealt.id, "text", F.col("at").alias("block"), F.lit(True).alias("ghost")))
+    heads = (dealt.filter(F.col("id").isin([v for v in tops.values() if v is not None]) | F.col("id").isNull())
+             .groupBy("block", "id").agg(F.min("text").alias("text"))
+             .select("id", "text", F.element_at(before, F.col("block")).alias("block"), F.lit(True).alias("ghost")))
     rows = dealt.select("id", "text", "block", "ghost").unionByName(heads)
     w = W.partitionBy("block").orderBy(F.col("ghost"), *order)
     beside = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("fp", sketch(F.col("text")))
