@@ -35,7 +35,7 @@ from eccentra.llm.common import (U64, by_value, components, content_filter, keep
 
 by_value(__name__)
 
-TREES, BASE, DEPTH, SMALL = 16, 3, 9, 24
+TREES, BASE, DEPTH, SMALL, ALIKE = 16, 3, 9, 24, 0.6
 EXTRA = 32
 COORDS = TREES * BASE + EXTRA
 MARGIN, BLOCK, CHUNK = 0.2, 512, 2048
@@ -95,8 +95,8 @@ def base_nodes(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sig").mapInArrow(run, "node long, cid binary")
 
 
-def branch(members: DataFrame, threshold: float, level: int) -> DataFrame:
-    """Members (node, cid, sig) of large nodes, one level further down."""
+def branch(members: DataFrame, level: int) -> DataFrame:
+    """(parent, first, node, cid): members (node, cid, sig) of large nodes one level further down, along two tokens each."""
     def run(batches):
         for batch in batches:
             n = batch.num_rows
@@ -105,34 +105,32 @@ def branch(members: DataFrame, threshold: float, level: int) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(n, COORDS)
             node = batch.column("node").to_numpy().view(np.uint64)
             seed = mix(node + U64(level))
-            second = (mix(seed ^ U64(77)) >> U64(11)).astype(np.float64) / 2.0**53 < 1 / threshold - 1
-            first = TREES * BASE + (seed % U64(EXTRA)).astype(np.int64)
-            step = 1 + (mix(seed) % U64(EXTRA - 1)).astype(np.int64)
-            other = TREES * BASE + (first - TREES * BASE + step) % EXTRA
-            rows = np.concatenate([np.arange(n), np.flatnonzero(second)])
-            coord = np.concatenate([first, other[second]])
-            token = sig[rows, coord].astype(np.uint64)
-            down = mix(node[rows] ^ mix(token + (coord.astype(np.uint64) << U64(40)) + (U64(level) << U64(50))))
-            yield pa.RecordBatch.from_arrays([pa.array(down.view(np.int64)), batch.column("cid").take(pa.array(rows))], ["node", "cid"])
+            one = (seed % U64(EXTRA)).astype(np.int64)
+            two = (one + 1 + (mix(seed) % U64(EXTRA - 1)).astype(np.int64)) % EXTRA
+            for first, coord in ((True, TREES * BASE + one), (False, TREES * BASE + two)):
+                token = sig[np.arange(n), coord].astype(np.uint64)
+                down = mix(node ^ mix(token + (coord.astype(np.uint64) << U64(40)) + (U64(level) << U64(50))))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.full(n, first)), pa.array(down.view(np.int64)), batch.column("cid")], ["parent", "first", "node", "cid"])
 
-    return members.mapInArrow(run, "node long, cid binary")
+    return members.mapInArrow(run, "parent long, first boolean, node long, cid binary")
 
 
-def leaves(classes: DataFrame, threshold: float) -> DataFrame:
+def leaves(classes: DataFrame) -> DataFrame:
     """(node, cid, size) of all nodes with two members at least that are not branched further."""
     found, current = [], keep(base_nodes(classes), "nodes")
     for level in range(BASE, DEPTH + 1):
         sizes = current.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        counted = current.join(sizes, "node")
-        if level == DEPTH:
-            found.append(counted)
-            break
-        counted = keep(counted, "nodes")
-        found.append(counted.filter(F.col("size") <= SMALL))
+        counted = keep(current.join(sizes, "node"), "nodes")
         large = counted.filter(F.col("size") > SMALL)
-        if large.isEmpty():
+        if level == DEPTH or large.isEmpty():
+            found.append(counted)
             break
-        current = keep(branch(large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig"), threshold, level), "nodes")
+        down = keep(branch(large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig"), level), "nodes")
+        # of a node that is alike, most go the same way
+        ways = down.filter("first").groupBy("parent", "node").agg(F.count("*").alias("n"))
+        alike = keep(ways.groupBy("parent").agg((F.max("n") / F.sum("n")).alias("share")).filter(F.col("share") >= ALIKE).select("parent"), "alike")
+        found.append(counted.filter(F.col("size") <= SMALL).unionByName(large.join(alike, large.node == alike.parent, "left_semi")))
+        current = down.join(alike, "parent", "left_anti").select("node", "cid")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -250,7 +248,7 @@ def groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
     """
     drawn = keep(sketch(docs, width, id_col, text_col), "sketch")
     classes = keep(drawn.filter("cid is not null").groupBy("cid").agg(F.min("key").alias("key"), F.first("sig").alias("sig")), "classes")
-    leaf = leaves(classes, threshold)
+    leaf = leaves(classes)
 
     # the texts of classes that share a node, one document each
     needed = keep(classes.join(leaf.select("cid").distinct(), "cid").select("cid", "key"), "needed")
