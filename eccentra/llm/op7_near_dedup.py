@@ -11,8 +11,8 @@ at the threshold that meets no large node) that a pair shares a node.
 
 In the nodes, pairs are compared on their full sets, as far as they can change
 the groups: first every member with the node's least member, then, where a node
-still holds several groups, all pairs across groups; in large nodes the members
-outside the largest group are set against all, in blocks. Pairs inside one group
+still holds several groups, the members outside its largest group with all
+members, in blocks, until their groups are linked. Pairs inside one group
 are never compared, so a large group of copies costs rows in proportion to its
 size, and no link that could join two groups is left out. Pairs whose minwise
 tokens agree far too seldom are not compared on full sets (the estimate must be
@@ -38,7 +38,7 @@ by_value(__name__)
 TREES, BASE, DEPTH, SMALL, ALIKE = 16, 3, 9, 24, 0.6
 EXTRA = 32
 COORDS = TREES * BASE + EXTRA
-MARGIN, BLOCK, CHUNK = 0.2, 512, 2048
+MARGIN, BLOCK, CHUNK = 0.2, 256, 512
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
 
 
 def base_nodes(classes: DataFrame) -> DataFrame:
-    """(node, cid): the node of every class after the first levels, in every tree."""
+    """(node, cid, tree): the node of every class after the first levels, in every tree."""
     def run(batches):
         salt = randoms(TREES, 31)
         for batch in batches:
@@ -90,13 +90,14 @@ def base_nodes(classes: DataFrame) -> DataFrame:
                 for level in range(BASE):
                     v = mix(v ^ mix(sig[:, t * BASE + level] + U64(level << 40)))
                 nodes[:, t] = v
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), batch.column("cid").take(pa.array(np.repeat(np.arange(n), TREES)))], ["node", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), batch.column("cid").take(pa.array(np.repeat(np.arange(n), TREES))),
+                                                  pa.array(np.tile(np.arange(TREES, dtype=np.int32), n))], ["node", "cid", "tree"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "node long, cid binary")
+    return classes.select("cid", "sig").mapInArrow(run, "node long, cid binary, tree int")
 
 
 def branch(members: DataFrame, level: int) -> DataFrame:
-    """(parent, first, node, cid): members (node, cid, sig) of large nodes one level further down, along two tokens each."""
+    """(parent, first, node, cid, tree): members (node, cid, tree, sig) of large nodes one level further down, along two tokens each."""
     def run(batches):
         for batch in batches:
             n = batch.num_rows
@@ -110,27 +111,27 @@ def branch(members: DataFrame, level: int) -> DataFrame:
             for first, coord in ((True, TREES * BASE + one), (False, TREES * BASE + two)):
                 token = sig[np.arange(n), coord].astype(np.uint64)
                 down = mix(node ^ mix(token + (coord.astype(np.uint64) << U64(40)) + (U64(level) << U64(50))))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.full(n, first)), pa.array(down.view(np.int64)), batch.column("cid")], ["parent", "first", "node", "cid"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.full(n, first)), pa.array(down.view(np.int64)), batch.column("cid"), batch.column("tree")], ["parent", "first", "node", "cid", "tree"])
 
-    return members.mapInArrow(run, "parent long, first boolean, node long, cid binary")
+    return members.mapInArrow(run, "parent long, first boolean, node long, cid binary, tree int")
 
 
 def leaves(classes: DataFrame) -> DataFrame:
-    """(node, cid, size) of all nodes with two members at least that are not branched further."""
+    """(node, cid, tree, size, base) of all nodes with two members at least that are not branched further; ``base``: nor were before."""
     found, current = [], keep(base_nodes(classes), "nodes")
     for level in range(BASE, DEPTH + 1):
         sizes = current.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        counted = keep(current.join(sizes, "node"), "nodes")
+        counted = keep(current.join(sizes, "node").withColumn("base", F.lit(level == BASE)), "nodes")
         large = counted.filter(F.col("size") > SMALL)
         if level == DEPTH or large.isEmpty():
             found.append(counted)
             break
-        down = keep(branch(large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig"), level), "nodes")
+        down = keep(branch(large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "tree", "sig"), level), "nodes")
         # of a node that is alike, most go the same way
         ways = down.filter("first").groupBy("parent", "node").agg(F.count("*").alias("n"))
         alike = keep(ways.groupBy("parent").agg((F.max("n") / F.sum("n")).alias("share")).filter(F.col("share") >= ALIKE).select("parent"), "alike")
         found.append(counted.filter(F.col("size") <= SMALL).unionByName(large.join(alike, large.node == alike.parent, "left_semi")))
-        current = down.join(alike, "parent", "left_anti").select("node", "cid")
+        current = down.join(alike, "parent", "left_anti").select("node", "cid", "tree")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -190,54 +191,99 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def outside_pairs(large: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) across groups in large nodes, from rows (node, cid, root).
+def outside_links(mixed: DataFrame, trees: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) across groups in nodes with several, from rows (node, cid, tree, root) and (cid, trees).
 
     The members outside a node's largest group are set against all its members,
     ``BLOCK`` of them against ``CHUNK`` members at a time: a group of rows holds
-    no more than about both, whatever the size of the node.
+    no more than about both, whatever the size of the node. Likely pairs are
+    compared on full sets where they meet, best first, until the two groups are
+    known to be linked; only links leave the task. A pair that shares a node in
+    several trees is left to the first: ``trees`` has the bits of the trees whose
+    node of a class was not branched, so that all its members meet there.
     """
-    counts = large.groupBy("node", "root").agg(F.count("*").alias("n"))
+    percent = round(threshold * 100)
+    counts = mixed.groupBy("node", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outside"))
-    told = (large.join(main, "node").join(classes.select("cid", "sig"), "cid")
+    told = (mixed.select("node", "cid", "tree", "root").join(main, "node")
             .withColumn("blocks", F.ceil(F.col("outside") / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")))
     own = F.xxhash64("cid")
     block, chunk = F.pmod(own, F.col("blocks")).cast("int"), F.pmod(F.xxhash64(own), F.col("chunks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    asked = told.filter("root <> main").select("node", block.alias("block"), F.explode(every).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "sig")
-    given = told.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("side"), "cid", "root", "sig")
+    asked = told.filter("root <> main").select("node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cid", "tree", "root")
+    given = told.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("side"), "cid", "tree", "root")
+    laid = asked.unionByName(given).join(classes.select("cid", "sig"), "cid").join(trees, "cid").join(texts, "cid")
+
+    def sets_of(rows, known):
+        new = [r for r in rows if r[1] not in known]
+        if new:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[3] for r in new], pa.string())], ["text"])
+            for lo, hi, data, offsets in text_chunks(batch):
+                sh, at = shingle_sets(data, offsets, width)
+                for j in range(lo, hi):
+                    known[new[j][1]] = sh[at[j - lo]: at[j - lo + 1]]
 
-    def compare(one, other):
-        # rows (root, cid, sig) of the asked and of the given
+    def compare(one, other, tree):
+        # rows (root, cid, sig, text, trees) of the asked and of the given
         s1, s2 = (np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(len(rows), COORDS) for rows in (one, other))
         agree = np.zeros((len(one), len(other)), dtype=np.int16)
+        before = np.zeros(agree.shape, dtype=bool)
+        whole = np.array([row[4] for row in one])
         for i in range(COORDS):
-            agree += s1[:, i][:, None] == s2[:, i][None, :]
-        names = {r: k for k, r in enumerate({r[0] for r in one} | {r[0] for r in other})}
+            eq = s1[:, i][:, None] == s2[:, i][None, :]
+            agree += eq
+            if i < tree * BASE:
+                path = eq if i % BASE == 0 else path & eq
+                if i % BASE == BASE - 1:
+                    before |= path & ((whole >> (i // BASE) & 1) == 1)[:, None]
+        names = {r: k for k, r in enumerate(sorted({r[0] for r in one} | {r[0] for r in other}))}
         g1, g2 = (np.array([names[r[0]] for r in rows]) for rows in (one, other))
-        found = np.nonzero((agree >= (threshold - MARGIN) * COORDS) & (g1[:, None] != g2[None, :]))
-        return sorted({tuple(sorted((one[i][1], other[j][1]))) for i, j in zip(*found)})
+        i, j = np.nonzero((agree >= (threshold - MARGIN) * COORDS) & (g1[:, None] != g2[None, :]) & ~before)
+        if not len(i):
+            return []
+        order = np.argsort(-agree[i, j], kind="stable")
+        known: dict = {}
+        sets_of([one[k] for k in np.unique(i)], known)
+        sets_of([other[k] for k in np.unique(j)], known)
+        top = list(range(len(names)))
+
+        def find(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        found = []
+        for k in order:
+            a, b = find(g1[i[k]]), find(g2[j[k]])
+            if a != b:
+                x, y = known[one[i[k]][1]], known[other[j[k]][1]]
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        top[a] = b
+                        found.append(tuple(sorted((one[i[k]][1], other[j[k]][1]))))
+        return found
 
     def run(batches):
         at, one, other = None, [], []
 
         def out():
-            if one and other and (pairs := compare(one, other)):
+            if one and other and (pairs := compare(one, other, at[3])):
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("node", "block", "chunk", "side", "root", "cid", "sig")]
-            for node, blk, chk, side, root, cid, sig in zip(*cols):
-                if (node, blk, chk) != at:
+            cols = [batch.column(c).to_pylist() for c in ("node", "block", "chunk", "tree", "side", "root", "cid", "sig", "text", "trees")]
+            for node, blk, chk, tree, side, *row in zip(*cols):
+                if (node, blk, chk, tree) != at:
                     yield from out()
-                    at, one, other = (node, blk, chk), [], []
-                (other if side else one).append((root, cid, sig))
+                    at, one, other = (node, blk, chk, tree), [], []
+                (other if side else one).append(row)
                 if len(other) == CHUNK:  # the asked come first
                     yield from out()
                     other = []
         yield from out()
 
-    laid = asked.unionByName(given).repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk", "side")
+    laid = laid.repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk", "side")
     return laid.mapInArrow(run, "a binary, b binary")
 
 
@@ -260,16 +306,14 @@ def groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
     pairs = keep(leaf.join(least, "node").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "pairs")
     links = keep(confirm(keep(likely(pairs, classes, threshold), "likely"), texts, threshold, width), "links")
     labels = components(links)
-    of = leaf.join(labels, leaf.cid == labels.node, "left").select(leaf.node, "cid", "size", F.coalesce("root", "cid").alias("root"))
+    of = leaf.join(labels, leaf.cid == labels.node, "left").select(leaf.node, "cid", "tree", F.coalesce("root", "cid").alias("root"))
     mixed = of.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("node")
     open_ = keep(of.join(mixed, "node"), "open")
-    small, large = open_.filter(F.col("size") <= SMALL), open_.filter(F.col("size") > SMALL)
-    x, y = (small.select("node", F.col("cid").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    across = likely(x.join(y, "node").filter("a < b and root_a <> root_b").select("a", "b").distinct(), classes, threshold)
-    across = keep(across.unionByName(outside_pairs(large, classes, threshold)).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    trees = leaf.groupBy("cid").agg(F.bit_or(F.when(F.col("base"), F.expr("shiftleft(1, tree)")).otherwise(0)).alias("trees"))
+    across = keep(outside_links(open_, trees, classes, texts, threshold, width).distinct(), "across")
     if across.isEmpty():
         return drawn, labels
-    return drawn, components(links.unionByName(confirm(across, texts, threshold, width)))
+    return drawn, components(links.unionByName(across))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
