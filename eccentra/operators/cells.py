@@ -24,10 +24,11 @@ def tile_of(col: str, size: int) -> Column:
 
 
 def drop_mostly_dark(pixels: DataFrame, image: Sequence[str], size: int, bright: Column, share: float) -> DataFrame:
-    """Tiles whose bright pixels make up at least ``share`` of the tile."""
+    """Tiles whose bright pixels make up at least ``share`` of the tile's area;
+    pixels without a row count as dark."""
     t = pixels.groupBy(*image, tile_of("x", size).alias("tx"), tile_of("y", size).alias("ty")).agg(
         F.count(F.when(bright, 1)).alias("bright"), F.count("*").alias("n"))
-    return t.filter(F.col("bright") >= share * F.col("n"))
+    return t.filter(F.col("bright") >= share * size * size)
 
 
 def _both_axes(df: DataFrame) -> DataFrame:

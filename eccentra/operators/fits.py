@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from eccentra.constants import MM_PER_DEGREE
 from eccentra.operators import ordered
+from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,13 +151,14 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
     """Two-sided fit of gridded profiles (at most 201 weighted points each).
 
     ``target`` names a column with a wanted peak; the peak is then held within
-    5000 of it. Profiles that admit no allowed shape give no row.
+    5000 of it. Profiles without a fit have nulls and a ``reason``: too few
+    points, no room for the peak, or no allowed shape.
     """
     cols = [F.col(ecc_deg).cast("double").alias("_x"), F.col(density).alias("_y"),
             (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_n"),
             (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("_t")]
     d = df.filter(F.col(density) > 0).select(*keys, *cols)
-    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in BILATERAL_FIELDS])
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in BILATERAL_FIELDS] + [T.StructField("reason", T.StringType())])
 
     def fit(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, n = pdf["_x"].to_numpy() * MM_PER_DEGREE, np.log(pdf["_y"].to_numpy()), pdf["_n"].to_numpy()
@@ -164,17 +166,23 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
         t = pdf["_t"].iloc[0]
         if t is not None and not math.isnan(t):
             peak = (max(peak[0], math.log(max(t - 5000, 1))), min(peak[1], math.log(t + 5000)))
-        none = pd.DataFrame(columns=[f.name for f in schema])
-        if len(x) < 6 or peak[0] > peak[1]:
-            return none
+
+        def row(values, reason):
+            return pd.DataFrame([[*key, *values, reason]], columns=[f.name for f in schema])
+
+        missing = [None] * len(BILATERAL_FIELDS)
+        if len(x) < 6:
+            return row(missing, "too few points")
+        if peak[0] > peak[1]:
+            return row(missing, "no room for the peak")
         best = _bilateral(x, y, n, np.linspace(-0.1, 0.1, 5), (0.1, 0.25, 0.4, 0.6), peak)
         if best is None:
-            return none
+            return row(missing, "no allowed shape")
         c, shapes = best[1], sorted({round(v, 3) for e in best[2:4] for v in (e - 0.06, e, e + 0.06) if 0.1 <= v <= 0.6})
         fine = _bilateral(x, y, n, (c - 0.025, c, c + 0.025), shapes, peak)
         if fine is not None and fine[0] < best[0]:
             best = fine
-        return pd.DataFrame([[*key, *best]], columns=[f.name for f in schema])
+        return row(best, None)
 
     return d.groupBy(*keys).applyInPandas(fit, schema)
 
@@ -204,30 +212,108 @@ def band_split(df: DataFrame, log_density: Column, model: Column, slope: Column,
 
 # --- Theil-Sen ----------------------------------------------------------------------------------------
 
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, small: int = 256, rounds: int = 16, fan: int = 8) -> DataFrame:
+PAIR_BLOCK = 2048
+
+
+def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Median of all pairwise slopes, the matching intercept and the 95 % limits.
 
-    Groups of at most ``small`` points form their pairs (a checked bound).
-    Larger groups never do: the number of slopes below a trial value t equals
-    the number of discordant pairs of (x, y - t*x), which the rank counter of
-    ``kendall`` gives; a fan of trial values per round closes in on each
-    wanted order statistic.
+    Exact for groups of any size. Points are dealt into blocks and every pair of
+    blocks is a task's work, so no pair of points is ever a row: a first pass
+    counts the slopes between edges taken from a sample, a second lists those
+    in the few intervals that hold the wanted places, and these are picked by
+    their distributed positions.
     """
     keys = list(keys)
     d = cut_complete(df, keys, x, y)
     n = d.groupBy(*keys).agg(F.count("*").alias("n"))
-    few = _pair_slopes(d.join(n.filter(F.col("n") <= small), keys), keys)
-    out = [few]
-    if not n.filter(F.col("n") > small).isEmpty():
-        out.append(_counted_slopes(d.join(n.filter(F.col("n") > small).drop("n"), keys), keys, rounds, fan))
-    s = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    own = d.join(n, keys).withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select(*keys, F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), "_b", "_x", "_y")
+    # about a hundred points a group give the edges
+    some = own.filter(F.pmod(F.xxhash64("_i", F.lit(3)), F.ceil(F.col("n") / 96)) == 0).groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y")).alias("_s"))
+    edges = cut(n.join(some, keys, "left").select(*keys, _edges("_s").alias("_e")))
+
+    counted = _by_blocks(dealt, edges, keys, None)
+    below = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = cut(counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0).cast("long"))))
+    lim = cut(_limits(d, keys, n.join(bins.groupBy(*keys).agg(F.sum("_n").alias("m")), keys)))
+    names = ["k_lo", "k_hi", "k_lower", "k_upper"]
+    want = lim.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.col(k).alias("_k")) for k in names])).alias("_w")).select(*keys, "_w._name", "_w._k")
+    hit = cut(bins.join(want, keys).filter("_before <= _k AND _k < _before + _n").select(*keys, "_bin", "_name", (F.col("_k") - F.col("_before")).alias("_k")))
+    chosen = edges.join(hit.groupBy(*keys).agg(F.collect_set("_bin").alias("_bins")), keys)
+    listed = _by_blocks(dealt, chosen, keys, "_bins")
+    pos = ordered.running_sums(listed, keys + ["_bin"], ["_s"], {"_c": F.col("_n")})
+    got = pos.join(hit, keys + ["_bin"]).filter("_c_before <= _k AND _k < _c_before + _c")
+    r = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == k, F.col("_s"))).alias(k) for k in names])
+    s = n.join(r, keys, "left").select(*keys, "n", ((F.col("k_lo") + F.col("k_hi")) / 2).alias("slope"), F.col("k_lower").alias("lower"), F.col("k_upper").alias("upper"))
     med = ordered.quantiles(d, keys, "_x", {"mx": 0.5}).join(ordered.quantiles(d, keys, "_y", {"my": 0.5}), keys)
     return s.join(med, keys).select(*keys, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "lower", "upper")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _edges(samples: pd.Series) -> pd.Series:
+    """Up to 255 distinct quantiles of the slopes between sampled points."""
+    out = []
+    for s in samples:
+        p = np.array([[v["_x"], v["_y"]] for v in s]) if s is not None and len(s) else np.zeros((0, 2))
+        slopes = _slopes(p, p, np.triu(np.ones((len(p), len(p)), bool), 1))
+        out.append(np.unique(np.quantile(slopes, np.linspace(0, 1, 257)[1:-1])) if len(slopes) else np.zeros(0))
+    return pd.Series(out)
+
+
+def _slopes(a: np.ndarray, b: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    dx, dy = b[None, :, 0] - a[:, None, 0], b[None, :, 1] - a[:, None, 1]
+    good = dx != 0 if which is None else (dx != 0) & which
+    return dy[good] / dx[good]
+
+
+def _by_blocks(dealt: DataFrame, edges: DataFrame, keys: Sequence[str], bins: str | None) -> DataFrame:
+    """Slopes of every pair of blocks: counts per interval, or with ``bins`` the
+    distinct slopes in those intervals with their numbers."""
+    keys = list(keys)
+    told = dealt.select(*keys, "_p", "_q").distinct().join(edges, keys)
+    rows = dealt.withColumn("_e", F.lit(None).cast("array<double>")).withColumn("_bins", F.lit(None).cast("array<int>"))
+    told = told.select(*keys, "_p", "_q", F.lit(None).cast("int").alias("_b"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), "_e",
+                       (F.col(bins) if bins else F.lit(None)).cast("array<int>").alias("_bins"))
+    both = rows.unionByName(told)
+    out = [both.schema[k] for k in keys] + [T.StructField("_bin", T.IntegerType())] + ([T.StructField("_s", T.DoubleType())] if bins else []) + [T.StructField("_n", T.LongType())]
+    schema = T.StructType(out)
+
+    def work(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        own = key[: len(keys)]
+        info = pdf[pdf["_e"].notna()]
+        if not len(info):
+            return pd.DataFrame(columns=schema.names)
+        e = np.asarray(info["_e"].iloc[0], dtype=float)
+        wanted = None if bins is None else np.asarray(info["_bins"].iloc[0], dtype=int)
+        pts = pdf[pdf["_e"].isna()]
+        p, q = key[len(keys):]
+        a = pts.loc[pts["_b"] == p, ["_x", "_y"]].to_numpy()
+        b = a if p == q else pts.loc[pts["_b"] == q, ["_x", "_y"]].to_numpy()
+        total, found = np.zeros(len(e) + 1, dtype=np.int64), []
+        for lo in range(0, len(a), 256):
+            part = a[lo: lo + 256]
+            which = (np.arange(len(b))[None, :] > np.arange(lo, lo + len(part))[:, None]) if p == q else None
+            s = _slopes(part, b, which)
+            at = np.searchsorted(e, s, side="right")
+            if wanted is None:
+                total += np.bincount(at, minlength=len(total))
+            else:
+                found.append(s[np.isin(at, wanted)])
+        if wanted is None:
+            k = np.flatnonzero(total)
+            return pd.DataFrame({**dict(zip(keys, own)), "_bin": k.astype("int32"), "_n": total[k]}, columns=schema.names)
+        s, c = np.unique(np.concatenate(found) if found else np.zeros(0), return_counts=True)
+        return pd.DataFrame({**dict(zip(keys, own)), "_bin": np.searchsorted(e, s, side="right").astype("int32"), "_s": s, "_n": c}, columns=schema.names)
+
+    return both.groupBy(*keys, "_p", "_q").applyInPandas(work, schema)
+
+
 def cut_complete(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    from eccentra.session import cut
-    return cut(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    return cut(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                                                                             F.monotonically_increasing_id().alias("_i")))
 
 
 def _limits(d: DataFrame, keys: Sequence[str], n_slopes: DataFrame) -> DataFrame:
@@ -244,47 +330,3 @@ def _limits(d: DataFrame, keys: Sequence[str], n_slopes: DataFrame) -> DataFrame
     upper = F.least(F.bround((m + z * sigma) / 2, 0).cast("bigint"), m - 1)
     lower = F.greatest(F.bround((m - z * sigma) / 2, 0).cast("bigint") - 1, F.lit(0))
     return s.select(*keys, "n", "m", F.floor((m - 1) / 2).alias("k_lo"), F.floor(m / 2).alias("k_hi"), lower.alias("k_lower"), upper.alias("k_upper"))
-
-
-def _pair_slopes(d: DataFrame, keys: Sequence[str]) -> DataFrame:
-    keys = list(keys)
-    other = d.select(*keys, F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
-    s = d.join(other, keys).filter("_x2 > _x").select(*keys, "n", ((F.col("_y2") - F.col("_y")) / (F.col("_x2") - F.col("_x"))).alias("_s"))
-    lim = _limits(d, keys, s.groupBy(*keys, "n").agg(F.count("*").alias("m")))
-    pos = ordered.positions(s, keys, "_s")
-    j = pos.join(lim, keys)
-
-    def at(k):
-        return F.max(F.when((F.col("tied_before") <= F.col(k)) & (F.col(k) < F.col("tied_before") + F.col("tied")), F.col("_s")))
-    r = j.groupBy(*keys).agg(F.max("n").alias("n"), at("k_lo").alias("_a"), at("k_hi").alias("_b"), at("k_lower").alias("lower"), at("k_upper").alias("upper"))
-    return r.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("slope"), "lower", "upper")
-
-
-def _counted_slopes(d: DataFrame, keys: Sequence[str], rounds: int, fan: int) -> DataFrame:
-    from eccentra.operators.stats import discordant_pairs
-    from eccentra.session import cut
-
-    keys = list(keys)
-    ext = d.groupBy(*keys).agg(F.count("*").alias("n"), 
-                               (F.stddev_pop("_y") / F.nullif(F.stddev_pop("_x"), F.lit(0.0))).alias("scale")).filter("scale > 0")
-    gaps = ordered.running_sums(d, keys, ["_x"], {"_c": F.lit(1).cast("long")})
-    m = gaps.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c_before")).alias("m"))
-    lim = _limits(d, keys, ext.select(*keys, "n").join(m, keys)).join(ext.select(*keys, "scale"), keys)
-    names = ["k_lo", "k_hi", "k_lower", "k_upper"]
-    want = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.col(k).alias("_k")) for k in names]))
-    # slopes are searched as scale * tan(angle), which needs no bound on them
-    state = cut(lim.select(*keys, "n", "scale", F.lit(-math.pi / 2).alias("lo"), F.lit(math.pi / 2).alias("hi"), want.alias("_w"))
-                .select(*keys, "n", "scale", "lo", "hi", "_w._name", "_w._k"))
-    for _ in range(rounds):
-        trial = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / fan)
-        asked = state.select(*keys, "scale", F.explode(trial).alias("_a")).distinct()
-        tilted = cut(d.join(asked, keys).select(*keys, "_a", "_x", (F.col("_y") - F.col("scale") * F.tan("_a") * F.col("_x")).alias("_v")))
-        below = cut(discordant_pairs(tilted, keys + ["_a"], "_x", "_v"))
-        c = state.select("*", F.explode(trial).alias("_a")).join(below, keys + ["_a"])
-        state = cut(c.groupBy(*keys, "n", "scale", "_name", "_k", "lo", "hi").agg(
-            F.max(F.when(F.col("discordant") <= F.col("_k"), F.col("_a"))).alias("_lo"),
-            F.min(F.when(F.col("discordant") > F.col("_k"), F.col("_a"))).alias("_hi")).select(
-            *keys, "n", "scale", "_name", "_k", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
-    v = F.col("scale") * F.tan((F.col("lo") + F.col("hi")) / 2)
-    r = state.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_name") == k, v)).alias(k) for k in names])
-    return r.select(*keys, "n", ((F.col("k_lo") + F.col("k_hi")) / 2).alias("slope"), F.col("k_lower").alias("lower"), F.col("k_upper").alias("upper"))

@@ -69,7 +69,7 @@ def _fingerprint(df: DataFrame) -> tuple:
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col: str,
-               a: str, b: str, max_rounds: int = 64) -> DataFrame:
+               a: str, b: str) -> DataFrame:
     """Smallest id of the connected component of every node.
 
     Alternates the two star steps (neighbours point to the smallest id they
@@ -80,7 +80,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
     both = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v"))
     cur = cut(both.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _fingerprint(cur)
-    for _ in range(max_rounds):
+    while True:
         sym = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (sym.join(low, keys + ["u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -96,8 +96,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
         if now == before:
             break
         before = now
-    else:
-        raise ValueError("components did not settle")
     labels = cur.groupBy(*keys, F.col("u").alias(id_col)).agg(F.min("v").alias("_label"))
     return nodes.join(labels, keys + [id_col], "left").withColumn(
         "component", F.coalesce("_label", F.col(id_col))).drop("_label")

@@ -242,18 +242,14 @@ def flatness(surface: DataFrame, keys: Sequence[str], row: str, col: str, value:
     return q.select(*keys, F.when(F.col("q") > 0, 1 / F.nullif(F.col("q"), F.lit(0.0))).alias("flatness"))
 
 
-def thin_surface(points: DataFrame, keys: Sequence[str], distance: Column, target: int = 30_000, least: int = 1_000,
-                 seed: int = 7) -> DataFrame:
-    """Thin surfaces of more than ``target`` points, far points first; reject
-    those with fewer than ``least``.
+def thin_surface(points: DataFrame, share: Column, seed: int = 7) -> DataFrame:
+    """Keep every point with the probability ``share``.
 
-    The draw is a hash of the point, so a repeated task keeps the same points.
+    The draw is a hash of the point, so a repeated task keeps the same points
+    and equal points share their fate.
     """
-    n = points.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    shift = 1.58853363 - F.ln(F.greatest(1.03617677 * F.col("_n") / target - 1, F.lit(1e-9))) / 1.62750008
-    far = F.greatest(distance - shift, F.lit(0.0)) / 0.9
     draw = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns], F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return points.join(n, list(keys)).filter((F.col("_n") <= target) | (draw < F.exp(-far * far))).drop("_n")
+    return points.filter(draw < share)
 
 
 def blend_sources(far: DataFrame, near: DataFrame, keys: Sequence[str], value: str, near_limit: float, far_limit: float) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from eccentra import constants as K
 from eccentra.session import cut
 
 
@@ -35,17 +36,18 @@ def within_distance(points: DataFrame, image: Sequence[str], d: float) -> DataFr
     b = _cells(points, size).select(*image, "_cx", "_cy", F.col("x").alias("bx"), F.col("y").alias("by"))
     a = _around(points, size, reach=2 if d > size else 1).withColumnsRenamed({"x": "ax", "y": "ay"})
     j = a.join(b, image + ["_cx", "_cy"])
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    dx, dy = F.col("ax").cast("long") - F.col("bx"), F.col("ay").cast("long") - F.col("by")
     first = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
     return j.filter(first & (dx * dx + dy * dy <= d * d)).select(
         *image, "ax", "ay", "bx", "by", F.sqrt((dx * dx + dy * dy).cast("double")).alias("distance"))
 
 
-def nearest_distance(points: DataFrame, image: Sequence[str], start: int = 16, limit: int = 1 << 20) -> DataFrame:
+def nearest_distance(points: DataFrame, image: Sequence[str], start: int = 16) -> DataFrame:
     """Distance of every distinct position to the nearest other point.
 
     Positions look in the nine cells around them; those without a certain
-    answer (nothing closer than one cell side) go on with cells twice as wide.
+    answer (nothing closer than one cell side) go on with cells twice as wide
+    until none is open: an image with two positions has an answer for both.
     Positions holding several points have distance 0. A point alone on its
     image stays null.
     """
@@ -57,12 +59,12 @@ def nearest_distance(points: DataFrame, image: Sequence[str], start: int = 16, l
     done.append(alone.filter("_spots = 1").select(*image, "x", "y", "n_here", F.lit(None).cast("double").alias("distance")))
     open_ = alone.filter("_spots > 1").drop("_spots")
     size = start
-    while size <= limit:
+    while True:
         other = _cells(spots, size).select(*image, "_cx", "_cy", F.col("x").alias("bx"), F.col("y").alias("by"))
-        dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+        dx, dy = F.col("x").cast("long") - F.col("bx"), F.col("y").cast("long") - F.col("by")
         best = F.min(F.when((dx != 0) | (dy != 0), dx * dx + dy * dy)).alias("_d2")
         tried = cut(_around(open_, size).join(other, image + ["_cx", "_cy"]).groupBy(*image, "x", "y", "n_here").agg(best))
-        sure = F.col("_d2").isNotNull() & (F.col("_d2") <= size * size)
+        sure = F.col("_d2").isNotNull() & (F.col("_d2") <= F.lit(float(size)) * size)
         done.append(tried.filter(sure).select(*image, "x", "y", "n_here", F.sqrt(F.col("_d2").cast("double")).alias("distance")))
         open_ = tried.filter(~sure).drop("_d2")
         if open_.isEmpty():
@@ -84,8 +86,11 @@ def regions_of(df: DataFrame, value: Column, regions: Sequence[tuple[str, float,
 
 def join_regions(df: DataFrame, regions: DataFrame, step_col: str = "e10") -> DataFrame:
     """Range join against a table of regions (region, start, stop in degrees):
-    each region is expanded to the grid steps it covers, then equi-joined."""
-    lo, hi = F.ceil(F.col("start") * 10).cast("int"), (F.ceil(F.col("stop") * 10) - 1).cast("int")
+    each region is expanded to the grid steps it covers, then equi-joined.
+    Open ends reach to the ends of the grid."""
+    top = float(K.GRID_LIMIT)
+    lo = F.ceil(F.greatest(F.col("start") * 10, F.lit(-top))).cast("int")
+    hi = (F.ceil(F.least(F.col("stop") * 10, F.lit(top + 1))) - 1).cast("int")
     steps = regions.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").select(
         "region", F.explode(F.sequence("_lo", "_hi")).alias(step_col))
     return df.join(steps, step_col)

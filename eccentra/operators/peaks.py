@@ -92,8 +92,9 @@ def inflection(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         *keys, F.col(f"b.{x}").alias(x), F.col("b.d1").alias("slope"))
 
 
-def pit_minimum(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 10) -> DataFrame:
-    """Vertex value of the parabola through the lowest points of a profile."""
+def pit_minimum(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 10, flat: float = 0.0) -> DataFrame:
+    """Vertex value of the parabola through the lowest points of a profile;
+    null where they do not make one or its bend is at most ``flat``."""
     w = W.partitionBy(*keys).orderBy(y, x)
     low = df.filter(F.col(y).isNotNull()).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= points)
     u, v = F.col(x).cast("double"), F.col(y)
@@ -101,11 +102,11 @@ def pit_minimum(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int
                                *[F.sum(F.pow(u, F.lit(float(k))) * v).alias(f"t{k}") for k in range(3)])
     n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c).cast("double") for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
     det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)
-    a = (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / det
-    b = (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / det
-    c = (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / det
-    f = s.withColumn("_det", det).filter("abs(_det) > 0").select(*keys, a.alias("a"), b.alias("b"), c.alias("c"))
-    return f.filter("a <> 0").select(*keys, "a", (F.col("c") - F.col("b") * F.col("b") / (4 * F.col("a"))).alias("minimum"))
+    a = (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / F.col("_det")
+    b = (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / F.col("_det")
+    c = (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / F.col("_det")
+    f = s.withColumn("_det", F.nullif(det, F.lit(0.0))).select(*keys, a.alias("a"), b.alias("b"), c.alias("c"))
+    return f.select(*keys, "a", F.when(F.abs("a") > flat, F.col("c") - F.col("b") * F.col("b") / (4 * F.col("a"))).alias("minimum"))
 
 
 def otsu(hist: DataFrame, keys: Sequence[str], bin_col: str = "bin", n: str = "n") -> DataFrame:

@@ -19,15 +19,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def to_image(points: DataFrame, x: str, y: str, ox: str, oy: str, swap: bool = False, size: int = K.IMAGE_SIZE) -> DataFrame:
     """Patch points to image coordinates; a point on the far border moves in by
-    one pixel, points beyond it are dropped as impossible."""
+    one pixel. ``inside`` is false for impossible points beyond it, which keep
+    their coordinates."""
     a, b = (F.col(oy), F.col(ox)) if swap else (F.col(ox), F.col(oy))
-    t = points.withColumn("image_x", a + F.col(x)).withColumn("image_y", b + F.col(y)).filter(
-        (F.col("image_x") <= size) & (F.col("image_y") <= size))
-    return t.withColumn("image_x", F.least("image_x", F.lit(size - 1))).withColumn("image_y", F.least("image_y", F.lit(size - 1)))
+    t = points.withColumn("image_x", a + F.col(x)).withColumn("image_y", b + F.col(y))
+    t = t.withColumn("inside", (F.col("image_x") <= size) & (F.col("image_y") <= size))
+    return t.withColumns({c: F.when(F.col("inside"), F.least(c, F.lit(size - 1))).otherwise(F.col(c)) for c in ("image_x", "image_y")})
 
 
 def _spot(x: str, y: str) -> Column:
-    return F.col(x).cast("bigint") * (1 << 20) + F.col(y)
+    return F.struct(F.col(x).cast("bigint").alias("x"), F.col(y).cast("bigint").alias("y"))
 
 
 def labelled(points: DataFrame, image: Sequence[str], d: float) -> DataFrame:
@@ -62,7 +63,7 @@ def merge_greedy(points: DataFrame, image: Sequence[str], d: float) -> DataFrame
     independent tasks.
     """
     spots = labelled(points, image, d)
-    schema = T.StructType([*[spots.schema[c] for c in image], T.StructField("component", T.LongType()), T.StructField("x", T.IntegerType()),
+    schema = T.StructType([*[spots.schema[c] for c in image], spots.schema["component"], T.StructField("x", T.IntegerType()),
                            T.StructField("y", T.IntegerType()), T.StructField("n_here", T.LongType()), T.StructField("label", T.LongType())])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +86,7 @@ def merge_greedy(points: DataFrame, image: Sequence[str], d: float) -> DataFrame
     return centroids(out, image, "_l")
 
 
-def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: str, max_rounds: int = 200) -> DataFrame:
+def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: str) -> DataFrame:
     """Keep the best of close points: best first, each kept point removes its
     neighbours of lower quality (ties: smaller position first).
 
@@ -96,7 +97,7 @@ def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: s
     best = points.groupBy(*image, "x", "y").agg(F.max(quality).alias(quality))
     spots = cut(best.withColumn("spot", _spot("x", "y")))
     pairs = joins.within_distance(spots, image, d).select(*image, _spot("ax", "ay").alias("sa"), _spot("bx", "by").alias("sb"))
-    q = spots.select(*image, F.col("spot").alias("sa"), F.struct(F.col(quality).alias("q"), (-F.col("spot")).alias("s")).alias("qa"))
+    q = spots.select(*image, F.col("spot").alias("sa"), F.struct(F.col(quality).alias("q"), (-F.col("spot.x")).alias("x"), (-F.col("spot.y")).alias("y")).alias("qa"))
     both = pairs.join(q, image + ["sa"]).join(q.withColumnsRenamed({"sa": "sb", "qa": "qb"}), image + ["sb"])
     # arrows point from the better to the worse point
     arrows = cut(both.select(*image, F.when(F.col("qa") > F.col("qb"), F.col("sa")).otherwise(F.col("sb")).alias("up"),
@@ -104,9 +105,7 @@ def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: s
     linked = arrows.select(*image, F.col("up").alias("spot")).union(arrows.select(*image, F.col("down").alias("spot"))).distinct()
     kept = [spots.join(linked, image + ["spot"], "left_anti").select(*image, "spot")]
     open_ = cut(linked)
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         beaten = arrows.select(*image, F.col("down").alias("spot")).distinct()
         win = cut(open_.join(beaten, image + ["spot"], "left_anti"))
         kept.append(win)
@@ -115,8 +114,6 @@ def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: s
         open_ = cut(open_.join(gone, image + ["spot"], "left_anti"))
         arrows = cut(arrows.join(gone.withColumnRenamed("spot", "up"), image + ["up"], "left_anti")
                      .join(gone.withColumnRenamed("spot", "down"), image + ["down"], "left_anti"))
-    else:
-        raise ValueError("suppression did not settle")
     ids = kept[0]
     for k in kept[1:]:
         ids = ids.unionByName(k)

@@ -296,11 +296,11 @@ def _(b):
     return b.v_pixels.filter("v <> 0").groupBy("image_id").agg(F.min("y").alias("top"), F.max("y").alias("bottom"), F.min("x").alias("left"), F.max("x").alias("right"))
 
 
-@query("group_patches_by_image", r"""SELECT regexp_replace(file_name, '^CROP_\d+_x\d+y\d+_', '') AS image_name, count(*) AS n_patches, min(file_no) AS first_file, max(file_no) AS last_file
-    FROM v_files GROUP BY ALL""")
+@query("group_patches_by_image", r"""SELECT regexp_replace(file_name, '^CROP_\d+_x\d+y\d+_', '') AS image_name, file_no, file_name, count(*) OVER (PARTITION BY regexp_replace(file_name, '^CROP_\d+_x\d+y\d+_', '')) AS n_patches FROM v_files""")
 def _(b):
-    return b.v_files.groupBy(F.regexp_replace("file_name", r"^CROP_\d+_x\d+y\d+_", "").alias("image_name")).agg(
-        F.count("*").alias("n_patches"), F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"))
+    files = b.v_files.select(F.regexp_replace("file_name", r"^CROP_\d+_x\d+y\d+_", "").alias("image_name"), "file_no", "file_name")
+    # one row per member with the size of its group
+    return files.join(files.groupBy("image_name").agg(F.count("*").alias("n_patches")), "image_name")
 
 
 @query("axis_comparison", f"""WITH m AS (SELECT axis, e10, median(density) AS m, stddev_samp(density) AS s FROM v_profile GROUP BY axis, e10)

@@ -32,13 +32,13 @@ def _(b):
 
 @query("join_left_then_inner", """
     WITH f AS (SELECT subject_id, axial_right FROM v_baseline),
-    s AS (SELECT subject_id, max(density) AS peak FROM v_profile WHERE axis = 'X' AND e10 = 0 GROUP BY subject_id),
-    i AS (SELECT subject_id, max(density) AS top FROM v_profile WHERE axis = 'Y' GROUP BY subject_id)
+    s AS (SELECT subject_id, max(CASE WHEN axis = 'X' AND e10 = 0 THEN density END) AS peak FROM v_profile GROUP BY subject_id),
+    i AS (SELECT subject_id, max(CASE WHEN axis = 'Y' THEN density END) AS top FROM v_profile GROUP BY subject_id)
     SELECT f.subject_id, axial_right, peak, top FROM f LEFT JOIN s USING (subject_id) JOIN i USING (subject_id)""")
 def _(b):
     f = b.v_baseline.select("subject_id", "axial_right")
-    s = b.v_profile.filter("axis = 'X' AND e10 = 0").groupBy("subject_id").agg(F.max("density").alias("peak"))
-    i = b.v_profile.filter("axis = 'Y'").groupBy("subject_id").agg(F.max("density").alias("top"))
+    s = b.v_profile.groupBy("subject_id").agg(F.max(F.when((F.col("axis") == "X") & (F.col("e10") == 0), F.col("density"))).alias("peak"))
+    i = b.v_profile.groupBy("subject_id").agg(F.max(F.when(F.col("axis") == "Y", F.col("density"))).alias("top"))
     return f.join(s, "subject_id", "left").join(i, "subject_id")
 
 
@@ -48,13 +48,17 @@ def _(b):
 
 
 @query("semi_anti_steps", """
-    SELECT subject_id, 'present' AS state FROM v_baseline WHERE subject_id IN (SELECT subject_id FROM v_profile WHERE e10 = 0 AND axis = 'X')
-    UNION ALL SELECT subject_id, 'absent' FROM v_baseline WHERE subject_id NOT IN (SELECT subject_id FROM v_profile WHERE e10 = 0 AND axis = 'X')""")
+    WITH g AS (SELECT subject_id, axis, step * 10 AS e10 FROM v_baseline, (VALUES ('X'), ('Y')) a(axis), range(-10, 11) r(step)),
+    h AS (SELECT DISTINCT subject_id, axis, e10 FROM v_profile)
+    SELECT g.subject_id, g.axis, CAST(g.e10 AS INT) AS e10, CASE WHEN h.subject_id IS NULL THEN 'absent' ELSE 'present' END AS state FROM g LEFT JOIN h ON h.subject_id = g.subject_id AND h.axis = g.axis AND h.e10 = g.e10""")
 def _(b):
-    have = b.v_profile.filter("e10 = 0 AND axis = 'X'").select("subject_id")
-    all_ = b.v_baseline.select("subject_id")
-    return (all_.join(have, "subject_id", "left_semi").withColumn("state", F.lit("present"))
-            .unionByName(all_.join(have, "subject_id", "left_anti").withColumn("state", F.lit("absent"))))
+    key = ["subject_id", "axis", "e10"]
+    have = b.v_profile.select(*key)
+    # the whole degrees a subject should have readings at
+    all_ = (b.v_baseline.select("subject_id", F.explode(F.array(F.lit("X"), F.lit("Y"))).alias("axis"))
+            .withColumn("e10", F.explode(F.sequence(F.lit(-100), F.lit(100), F.lit(10)))))
+    return (all_.join(have, key, "left_semi").withColumn("state", F.lit("present"))
+            .unionByName(all_.join(have, key, "left_anti").withColumn("state", F.lit("absent"))))
 
 
 @query("neighbor_equijoin", """SELECT a.element_id, n.element_id AS other_id FROM v_elements a JOIN v_elements n USING (mosaic_id)
@@ -328,22 +332,23 @@ def _(b):
 @query("union_keys", """
     SELECT subject_id, min(e10) AS first_step, max(e10) AS last_step, count(DISTINCT e10) AS n_steps FROM v_obs GROUP BY subject_id""")
 def _(b):
-    keys = b.v_obs.select("subject_id", "source", "axis", "e10").distinct()
-    maps = [keys.filter((F.col("axis") == a) & (F.col("source") == s)).select("subject_id", "e10") for a in "XY" for s in ("near", "far")]
-    u = maps[0].union(maps[1]).union(maps[2]).union(maps[3]).distinct()
+    u = b.v_obs.select("subject_id", "e10").distinct()  # the union of all sources and axes in one scan
     return u.groupBy("subject_id").agg(F.min("e10").alias("first_step"), F.max("e10").alias("last_step"), F.count("*").alias("n_steps"))
 
 
-@query("intersect_keys", """SELECT subject_id, e10 FROM v_obs WHERE source = 'near' AND axis = 'X' INTERSECT SELECT subject_id, e10 FROM v_obs WHERE source = 'far' AND axis = 'X'""")
+KEYS = ("subject_id", "axis", "e10")
+
+
+@query("intersect_keys", """SELECT subject_id, axis, e10 FROM v_obs WHERE source = 'near' INTERSECT SELECT subject_id, axis, e10 FROM v_obs WHERE source = 'far'""")
 def _(b):
-    o = b.v_obs.filter("axis = 'X'")
-    return o.filter("source = 'near'").select("subject_id", "e10").intersect(o.filter("source = 'far'").select("subject_id", "e10"))
+    o = b.v_obs
+    return o.filter("source = 'near'").select(*KEYS).intersect(o.filter("source = 'far'").select(*KEYS))
 
 
-@query("except_keys", """SELECT subject_id, e10 FROM v_obs WHERE source = 'near' AND axis = 'X' EXCEPT SELECT subject_id, e10 FROM v_obs WHERE source = 'far' AND axis = 'X'""")
+@query("except_keys", """SELECT subject_id, axis, e10 FROM v_obs WHERE source = 'near' EXCEPT SELECT subject_id, axis, e10 FROM v_obs WHERE source = 'far'""")
 def _(b):
-    o = b.v_obs.filter("axis = 'X'")
-    return o.filter("source = 'near'").select("subject_id", "e10").subtract(o.filter("source = 'far'").select("subject_id", "e10"))
+    o = b.v_obs
+    return o.filter("source = 'near'").select(*KEYS).subtract(o.filter("source = 'far'").select(*KEYS))
 
 
 @query("dedupe_lowess", "SELECT DISTINCT subject_id, axis, ecc, density FROM v_raw_density")

@@ -161,10 +161,10 @@ def _(b):
     c AS (SELECT r.subject_id, r.layer, r.axis, mx, my, x - mx AS u, y - my AS w FROM r JOIN m USING (subject_id, layer, axis) WHERE k <= 10),
     s AS (SELECT subject_id, layer, axis, any_value(my) AS my, avg(u * u) AS u2, avg(u * u * u) AS u3, avg(u * u * u * u) AS u4, avg(u * w) AS uw, avg(u * u * w) AS uuw FROM c GROUP BY ALL),
     f AS (SELECT *, (uuw * u2 - uw * u3) / (u2 * (u4 - u2 * u2) - u3 * u3) AS a FROM s), g AS (SELECT *, (uw - a * u3) / u2 AS b FROM f)
-    SELECT subject_id, layer, axis, my - a * u2 - b * b / (4 * a) AS minimum FROM g WHERE abs(a) > 1e-3""", rounded="minimum", digits=3)
+    SELECT subject_id, layer, axis, CASE WHEN abs(a) > 1e-3 THEN my - a * u2 - b * b / (4 * a) END AS minimum FROM g""", rounded="minimum", digits=3)
 def _(b):
     t = b.v_layer_profile.withColumn("x", F.col("e10") / 10.0)
-    return peaks.pit_minimum(t, LKEY, "x", "thickness").filter("abs(a) > 1e-3").drop("a")
+    return peaks.pit_minimum(t, LKEY, "x", "thickness", flat=1e-3).drop("a")
 
 
 @query("peak_width_at", """
@@ -348,10 +348,10 @@ def height(x, y):
     return (f"(A00 + A10 * ({x}) + A01 * ({y}) - A20 * ({x}) * ({x}) - A02 * ({y}) * ({y}) + A11 * ({x}) * ({y}) - depth * exp(-(power(({x}) - center_x, 2) / (2 * width_x * width_x) + power(({y}) - center_y, 2) / (2 * width_y * width_y))))")
 
 
-@query("pit_surface_height", f"WITH {PIT} SELECT p.subject_id, e10, {height('e10 / 1e1', 'density / 1e5')} AS height FROM pit p JOIN v_profile f ON f.subject_id = p.subject_id AND f.axis = 'X'", rounded="height")
+@query("pit_surface_height", f"WITH {PIT} SELECT p.subject_id, axis, e10, {height('e10 / 1e1', 'density / 1e5')} AS height FROM pit p JOIN v_profile f ON f.subject_id = p.subject_id", rounded="height")
 def _(b):
-    t = b.v_profile.filter("axis = 'X'").join(pit(b), "subject_id")
-    return t.select("subject_id", "e10", I.pit_height(F.col("e10") / 10.0, F.col("density") / 1e5).alias("height"))
+    t = b.v_profile.join(pit(b), "subject_id")
+    return t.select("subject_id", "axis", "e10", I.pit_height(F.col("e10") / 10.0, F.col("density") / 1e5).alias("height"))
 
 
 GL = ", ".join(f"({0.75 + 0.75 * float(u)!r}::DOUBLE, {0.75 * float(w)!r}::DOUBLE)" for u, w in zip(*np.polynomial.legendre.leggauss(24)))
@@ -392,11 +392,11 @@ def _(b):
 @query("surface_sample")
 def _(b):
     d = F.sqrt(F.pow((F.col("x") - 360) / 120.0, F.lit(2.0)) + F.pow((F.col("y") - 360) / 120.0, F.lit(2.0)))
-    return I.thin_surface(b.v_points, ["image_id"], d, target=300, least=100).select("image_id", "x", "y", "quality")
+    return I.thin_surface(b.v_points, F.exp(-d * d)).select("image_id", "x", "y", "quality")
 
 
 @query("blend_sources", """
-    WITH n AS (SELECT subject_id, axis, e10, avg(density) AS d FROM v_obs WHERE source = 'near' AND abs(e10) <= 60 GROUP BY ALL), f AS (SELECT subject_id, axis, e10, avg(density) AS d FROM v_obs WHERE source = 'far' GROUP BY ALL),
+    WITH n AS (SELECT subject_id, axis, e10, avg(density) AS d FROM v_obs WHERE source = 'near' GROUP BY ALL), f AS (SELECT subject_id, axis, e10, avg(density) AS d FROM v_obs WHERE source = 'far' GROUP BY ALL),
     fs AS (SELECT *, lead(e10) OVER w AS ne, lead(d) OVER w AS nd FROM f WINDOW w AS (PARTITION BY subject_id, axis ORDER BY e10)),
     j AS (SELECT n.subject_id, n.axis, n.e10, n.d AS near, CASE WHEN fs.e10 = n.e10 THEN fs.d ELSE fs.d + (fs.nd - fs.d) * (n.e10 - fs.e10) / (fs.ne - fs.e10) END AS far, (abs(n.e10) / 1e1 - 2) / 2e0 AS x
       FROM n LEFT JOIN fs ON fs.subject_id = n.subject_id AND fs.axis = n.axis AND n.e10 >= fs.e10 AND (n.e10 < fs.ne OR (fs.ne IS NULL AND n.e10 = fs.e10))),
@@ -406,6 +406,6 @@ def _(b):
     UNION ALL SELECT f.subject_id, f.axis, f.e10, f.d FROM f JOIN s USING (subject_id, axis) WHERE f.e10 < lo OR f.e10 > hi""", rounded="density", digits=3)
 def _(b):
     o = b.v_obs
-    near = o.filter("source = 'near' AND abs(e10) <= 60").groupBy(*KEY, "e10").agg(F.avg("density").alias("density"))
+    near = o.filter("source = 'near'").groupBy(*KEY, "e10").agg(F.avg("density").alias("density"))
     far = o.filter("source = 'far'").groupBy(*KEY, "e10").agg(F.avg("density").alias("density"))
     return I.blend_sources(far, near, KEY, "density", near_limit=4.0, far_limit=2.0)

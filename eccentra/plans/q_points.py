@@ -9,12 +9,13 @@ from eccentra.plans.q_ordered import DENSE, KEY, dense
 from eccentra.plans.registry import query
 
 
-@query("patch_points_to_image", """SELECT image_id, source, CAST(least(x % 185 + ox, 719) AS INT) AS image_x, CAST(least(y % 185 + oy, 719) AS INT) AS image_y FROM (
-      SELECT *, CAST(floor(x / 185) AS INT) * 178 + 3 AS ox, CAST(floor(y / 185) AS INT) * 180 AS oy FROM v_points) AS t WHERE x % 185 + ox <= 720 AND y % 185 + oy <= 720""")
+@query("patch_points_to_image", """SELECT image_id, source, CAST(CASE WHEN inside THEN least(x % 185 + ox, 719) ELSE x % 185 + ox END AS INT) AS image_x, CAST(CASE WHEN inside THEN least(y % 185 + oy, 719) ELSE y % 185 + oy END AS INT) AS image_y, inside
+    FROM (SELECT *, x % 185 + ox <= 720 AND y % 185 + oy <= 720 AS inside FROM (
+      SELECT *, CAST(floor(x / 185) AS INT) * 178 + 3 AS ox, CAST(floor(y / 185) AS INT) * 180 AS oy FROM v_points) AS t) AS u""")
 def _(b):
     t = b.v_points.select("image_id", "source", (F.col("x") % 185).alias("px"), (F.col("y") % 185).alias("py"),
                           (F.floor(F.col("x") / 185).cast("int") * 178 + 3).alias("ox"), (F.floor(F.col("y") / 185).cast("int") * 180).alias("oy"))
-    return P.to_image(t, "px", "py", "ox", "oy").select("image_id", "source", "image_x", "image_y")
+    return P.to_image(t, "px", "py", "ox", "oy").select("image_id", "source", "image_x", "image_y", "inside")
 
 
 def cluster_sql(d):
@@ -167,11 +168,11 @@ def _(b):
 
 @query("registration_score_table", f"""WITH {TP}, m AS (SELECT tile_id, avg(a * b) / (stddev_pop(a) * stddev_pop(b)) AS ncc, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS zncc, avg((a - b) * (a - b)) AS mse FROM tp GROUP BY tile_id),
     s AS ({SSIM}), j AS (SELECT * FROM m JOIN s USING (tile_id))
-    SELECT tile_id, metric, score FROM (UNPIVOT j ON ncc, zncc, mse, ssim INTO NAME metric VALUE score)""", rounded="score")
+    SELECT tile_id, metric, score FROM j UNPIVOT INCLUDE NULLS (score FOR metric IN (ncc, zncc, mse, ssim))""", rounded="score")
 def _(b):
     p = images.tile_pairs(b.v_tile)
     j = images.pair_moments(p, ["tile_id"]).join(images.ssim_1d(p, ["tile_id"]), "tile_id")
-    return j.unpivot("tile_id", ["ncc", "zncc", "mse", "ssim"], "metric", "score").filter("score IS NOT NULL")
+    return j.unpivot("tile_id", ["ncc", "zncc", "mse", "ssim"], "metric", "score")
 
 
 @query("clip_outliers", """
@@ -254,8 +255,13 @@ def _(b):
 @query("theil_sen", """
     WITH d AS (SELECT axis, subject_id, max(density) AS x, max(thickness) AS y FROM v_profile GROUP BY ALL),
     s AS (SELECT a.axis, (o.y - a.y) / (o.x - a.x) AS s FROM d a JOIN d o ON a.axis = o.axis AND o.x > a.x),
-    m AS (SELECT axis, median(x) AS mx, median(y) AS my, count(*) AS n FROM d GROUP BY axis)
-    SELECT axis, n, median(s) * 1e4 AS slope_e4, my - median(s) * mx AS intercept FROM s JOIN m USING (axis) GROUP BY axis, n, mx, my""", rounded="slope_e4 intercept")
+    m AS (SELECT axis, median(x) AS mx, median(y) AS my, count(*) AS n FROM d GROUP BY axis),
+    tx AS (SELECT axis, sum(t * (t - 1) * (2 * t + 5)) AS tie FROM (SELECT axis, x, count(*)::DOUBLE AS t FROM d GROUP BY ALL) GROUP BY axis),
+    ty AS (SELECT axis, sum(t * (t - 1) * (2 * t + 5)) AS tie FROM (SELECT axis, y, count(*)::DOUBLE AS t FROM d WHERE y IS NOT NULL GROUP BY ALL) GROUP BY axis),
+    l AS (SELECT s.axis, n, mx, my, median(s) AS slope, list_sort(list(s)) AS ss, count(*) AS c, any_value(sqrt((n * (n - 1) * (2 * n + 5) - tx.tie - ty.tie) / 18e0)) AS sigma
+      FROM s JOIN m USING (axis) JOIN tx USING (axis) JOIN ty USING (axis) WHERE s IS NOT NULL GROUP BY s.axis, n, mx, my)
+    SELECT axis, n, slope * 1e4 AS slope_e4, my - slope * mx AS intercept,
+      ss[1 + greatest(CAST(round_even((c - 1959963984540054e-15 * sigma) / 2, 0) AS BIGINT) - 1, 0)] * 1e4 AS lower_e4, ss[1 + least(CAST(round_even((c + 1959963984540054e-15 * sigma) / 2, 0) AS BIGINT), c - 1)] * 1e4 AS upper_e4 FROM l""", rounded="slope_e4 intercept lower_e4 upper_e4")
 def _(b):
     d = b.v_profile.groupBy("axis", "subject_id").agg(F.max("density").alias("x"), F.max("thickness").alias("y"))
-    return fits.theil_sen(d, ["axis"], "x", "y").select("axis", "n", (F.col("slope") * 1e4).alias("slope_e4"), "intercept")
+    return fits.theil_sen(d, ["axis"], "x", "y").select("axis", "n", (F.col("slope") * 1e4).alias("slope_e4"), "intercept", (F.col("lower") * 1e4).alias("lower_e4"), (F.col("upper") * 1e4).alias("upper_e4"))

@@ -130,14 +130,15 @@ def _(b):
     return FL.name_violations(parsed(b)).select("file_no", "subject_id", "session_id", "dir_subject_id", "dir_session_id")
 
 
-DONE_SQL = """SELECT s.subject_id, EXISTS (SELECT 1 FROM v_layer_profile p WHERE p.subject_id = s.subject_id
-    AND p.layer = 'RNFL' AND p.e10 = 0) AS done FROM v_baseline s"""
+DONE_SQL = """SELECT s.subject_id, l.layer, EXISTS (SELECT 1 FROM v_layer_profile p WHERE p.subject_id = s.subject_id AND p.layer = l.layer) AS done
+    FROM v_baseline s, (SELECT DISTINCT layer FROM v_layer_profile) l"""
 
 
 @query("steps_done_todo", DONE_SQL)
 def _(b):
-    outputs = b.v_layer_profile.filter("layer = 'RNFL' AND e10 = 0")
-    return FL.steps_done_todo(b.v_baseline.select("subject_id"), outputs, ["subject_id"])
+    layers = [r["layer"] for r in b.v_layer_profile.select("layer").distinct().collect()]  # the fixed steps of the pipeline
+    wanted = b.v_baseline.select("subject_id", F.explode(F.array(*[F.lit(x) for x in layers]) if layers else F.array().cast("array<string>")).alias("layer"))
+    return FL.steps_done_todo(wanted, b.v_layer_profile, ["subject_id", "layer"])
 
 
 @query("rename_layers", """
@@ -228,14 +229,13 @@ def _(b):
 
 
 VEC = """vec AS (SELECT tile_id, label, pos, CASE WHEN pos < tile_id % 7 OR pos >= 64 - tile_id % 11 OR pos % 13 = tile_id % 13 THEN NULL ELSE v END AS v
-      FROM v_tile WHERE pos < 64 - tile_id % 5)"""
+      FROM v_tile)"""
 
 
 def vec(b):
     hole = (F.col("pos") < F.col("tile_id") % 7) | (F.col("pos") >= 64 - F.col("tile_id") % 11) | (
         F.col("pos") % 13 == F.col("tile_id") % 13)
-    return (b.v_tile.filter(F.col("pos") < 64 - F.col("tile_id") % 5)
-            .select("tile_id", "label", "pos", F.when(~hole, F.col("v")).alias("v")))
+    return b.v_tile.select("tile_id", "label", "pos", F.when(~hole, F.col("v")).alias("v"))
 
 
 @query("centre_pad_vectors", f"""
@@ -418,9 +418,9 @@ def _(b):
 
 @query("drop_mostly_dark", """
     WITH t AS (SELECT image_id, CAST(floor(x / 16) AS INT) AS tx, CAST(floor(y / 16) AS INT) AS ty, sum(CASE WHEN v > 50 THEN 1 ELSE 0 END) AS bright, count(*) AS n
-      FROM v_pixels GROUP BY ALL) SELECT image_id, tx, ty, CAST(bright AS BIGINT) AS bright, n FROM t WHERE bright >= 8e-1 * n""")
+      FROM v_pixels GROUP BY ALL) SELECT image_id, tx, ty, CAST(bright AS BIGINT) AS bright, n FROM t WHERE bright >= 1e-2 * 16 * 16""")
 def _(b):
-    return cells.drop_mostly_dark(b.v_pixels, ["image_id"], 16, F.col("v") > 50, 0.8)
+    return cells.drop_mostly_dark(b.v_pixels, ["image_id"], 16, F.col("v") > 50, 0.01)
 
 
 @query("affine_apply", "SELECT element_id, (a11 * 100 + a12 * 50 + a13) * 5e-1 AS px, (a21 * 100 + a22 * 50 + a23) * 5e-1 AS py FROM v_elements")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from eccentra.functions import naming as N
 from eccentra.operators import cells, cohort, files as FL, points as P, stats
 from eccentra.plans.q_projection import PARSED, parsed
-from eccentra.plans.q_stats import PAIRS, clean, pairs, rho_sql
+from eccentra.plans.q_stats import PAIRS, clean, pairs, r_tail, rho_sql
 from eccentra.plans.registry import query
 from eccentra.session import scratch_path
 from eccentra.sources import readers as R, writers as Wr
@@ -48,10 +48,10 @@ def _(b):
     return _plain(R.cohort_results(b.spark, _written(b), LAYERS, skip=(2, 2)))
 
 
-@query("scan_subject_results", """WITH v AS (SELECT subject_id, visit, axis, e10, avg(density) AS d FROM v_obs WHERE visit >= 1 + subject_id % 3 GROUP BY ALL), f AS (SELECT subject_id, min(visit) AS visit FROM v GROUP BY subject_id)
+@query("scan_subject_results", """WITH v AS (SELECT subject_id, visit, axis, e10, avg(density) AS d FROM v_obs GROUP BY ALL), f AS (SELECT subject_id, min(visit) AS visit FROM v GROUP BY subject_id)
     SELECT subject_id, visit AS session_id, e10 / 1e1 AS location, max(d) FILTER (axis = 'X') AS densities_X, max(d) FILTER (axis = 'Y') AS densities_Y FROM v JOIN f USING (subject_id, visit) GROUP BY ALL""")
 def _(b):
-    v = b.v_obs.filter("visit >= 1 + subject_id % 3").groupBy("subject_id", F.col("visit").alias("session_id"), "axis", "e10").agg(F.avg("density").alias("density"))
+    v = b.v_obs.groupBy("subject_id", F.col("visit").alias("session_id"), "axis", "e10").agg(F.avg("density").alias("density"))
     path = scratch_path(b.spark, "visits")
     Wr.write_results(Wr.results_wide(v, v.select("subject_id", "session_id", "axis", "e10", F.lit("none").alias("layer"), F.lit(None).cast("double").alias("thickness")), []), path)
     return R.subject_results(R.cohort_results(b.spark, path, [])).filter("densities_X IS NOT NULL OR densities_Y IS NOT NULL")
@@ -186,12 +186,20 @@ def _(b):
     return raw
 
 
-@query("write_median_std_text", """SELECT axis, e10, feature FROM (SELECT axis, e10, 'density' AS feature FROM v_profile UNION SELECT axis, e10, 'thickness' FROM v_profile WHERE thickness IS NOT NULL) AS t""")
+def six(c):
+    """Six significant digits, halves away from zero."""
+    return f"CASE WHEN {c} = 0 THEN 0e0 ELSE round({c}, 5 - CAST(floor(log10(abs({c}))) AS INT)) END"
+
+
+@query("write_median_std_text", f"""WITH l AS (SELECT axis, e10, 'density' AS feature, density AS v FROM v_profile UNION ALL SELECT axis, e10, 'thickness', thickness FROM v_profile),
+    s AS (SELECT axis, e10, feature, median(v) AS m, stddev_samp(v) AS d FROM l WHERE v IS NOT NULL GROUP BY ALL)
+    SELECT axis, e10, feature, {six("m")} AS m, {six("d")} AS d FROM s""")
 def _(b):
     path = scratch_path(b.spark, "sheets")
     Wr.write_feature_sheets(cohort.median_std(b.v_profile, ["axis", "e10"], ["density", "thickness"]), path)
     back = b.spark.read.option("header", "true").schema("axis string, e10 int, cell string, feature string").csv(path)
-    return back.filter(F.col("cell").rlike(r"^\S+ \(\S+\)$")).select("axis", "e10", "feature")
+    m, d = (F.regexp_extract("cell", r"^(\S+) \((\S+)\)$", k) for k in (1, 2))
+    return back.select("axis", "e10", "feature", m.cast("double").alias("m"), F.when(d != "NaN", d.cast("double")).alias("d"))
 
 
 @query("write_position_lut", f"""WITH {PARSED} SELECT subject_id, session_id, image_id AS img, CASE WHEN subject_id < 49 THEN -x_position ELSE x_position END AS X, y_position AS Y, x_size AS "range"
@@ -203,7 +211,7 @@ def _(b):
 
 
 @query("write_corr_results", f"""WITH {PAIRS}, s AS (SELECT *, CASE WHEN e10 < 0 THEN 'left' ELSE 'right' END AS part FROM pairs WHERE e10 <> 0)
-    SELECT subject_id, axis, layer, part, {clean('rho')} AS rho, n FROM {rho_sql('s', 'subject_id, axis, layer, part', 'density', 'thickness')} AS r WHERE isfinite(rho)""", rounded="rho")
+    SELECT subject_id, axis, layer, part, {clean('rho')} AS rho, CASE WHEN n > 2 THEN {r_tail('rho', 'n')} END AS p FROM {rho_sql('s', 'subject_id, axis, layer, part', 'density', 'thickness')} AS r WHERE isfinite(rho)""", rounded="rho p", digits=4)
 def _(b):
     s = pairs(b).filter("e10 <> 0").withColumn("part", F.when(F.col("e10") < 0, "left").otherwise("right"))
     c = stats.spearman(s, ["subject_id", "axis", "layer", "part"], "density", "thickness", bounded=True)
@@ -212,7 +220,7 @@ def _(b):
     docs = b.spark.read.parquet(path)
     lay = docs.select("subject_id", "axis", F.explode(F.from_json("doc", "map<string,string>")).alias("layer", "j"))
     part = lay.select("subject_id", "axis", "layer", F.explode(F.from_json("j", "map<string,array<double>>")).alias("part", "v"))
-    return part.filter("v IS NOT NULL").select("subject_id", "axis", "layer", "part", F.col("v")[0].alias("rho"), F.col("v")[1].cast("bigint").alias("n"))
+    return part.filter("v IS NOT NULL").select("subject_id", "axis", "layer", "part", F.col("v")[0].alias("rho"), F.col("v")[1].alias("p"))
 
 
 @query("write_tile_counts", """WITH n AS (SELECT image_id, CAST(floor(y / 90) AS INT) * 90 + 45 AS y, CAST(floor(x / 90) AS INT) * 90 + 45 AS x, count(*) AS n FROM v_points GROUP BY ALL)

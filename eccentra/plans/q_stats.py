@@ -71,13 +71,13 @@ def _(b):
 @query("significant_ratio", f"""WITH {PAIRS}, s AS (SELECT *, CASE WHEN e10 < 0 THEN 'left' ELSE 'right' END AS side FROM pairs WHERE e10 <> 0),
     c AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('s', 'subject_id, axis, layer, side', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))
     SELECT axis, layer, side, count(*) FILTER (p < 5e-2) AS n_significant, count(*) FILTER (p > 5e-2) AS n_other, avg(rho) FILTER (p < 5e-2) AS mean_rho,
-      count(*) FILTER (p < 5e-2) / CAST(count(*) FILTER (p < 5e-2) + count(*) FILTER (p > 5e-2) AS DOUBLE) AS share FROM c GROUP BY axis, layer, side""", rounded="share mean_rho")
+      list_sort(list(round(rho, 6)) FILTER (p < 5e-2)) AS rhos, count(*) FILTER (p < 5e-2) / CAST(count(*) FILTER (p < 5e-2) + count(*) FILTER (p > 5e-2) AS DOUBLE) AS share FROM c GROUP BY axis, layer, side""", rounded="share mean_rho")
 def _(b):
     s = pairs(b).filter("e10 <> 0").withColumn("side", F.when(F.col("e10") < 0, "left").otherwise("right"))
     c = stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True).filter("n > 2 AND rho IS NOT NULL")
     yes, no = F.count_if(F.col("p") < 0.05), F.count_if(F.col("p") > 0.05)
     return c.groupBy("axis", "layer", "side").agg(yes.alias("n_significant"), no.alias("n_other"), F.avg(
-        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), (yes / F.nullif(yes + no, F.lit(0))).alias("share"))
+        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), F.nullif(F.sort_array(F.collect_list(F.when(F.col("p") < 0.05, F.round("rho", 6)))), F.array().cast("array<double>")).alias("rhos"), (yes / F.nullif(yes + no, F.lit(0))).alias("share"))
 
 
 @query("zscore_inter", """SELECT subject_id, axis, e10, (density - avg(density) OVER w) / nullif(stddev_pop(density) OVER w, 0) AS density,
@@ -106,12 +106,11 @@ SUBJ = """subj AS (SELECT subject_id, (visit_date - birth_date) / 365e0 AS age,
 @query("residualise", f"""
     WITH {SUBJ}, d AS (SELECT subject_id, axis, e10, density AS y, age AS x1, axial_length AS x2 FROM v_profile JOIN subj USING (subject_id)),
     m AS (SELECT axis, e10, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM d GROUP BY axis, e10),
-    k AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM m WHERE n >= 6)
-    SELECT subject_id, axis, e10, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS residual FROM d JOIN k USING (axis, e10)""", rounded="residual", digits=3)
+    k AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM m WHERE n >= 3)
+    SELECT subject_id, axis, e10, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS residual FROM d LEFT JOIN k USING (axis, e10)""", rounded="residual", digits=3)
 def _(b):
     t = cohort.join_baseline(b.v_profile, b.v_baseline)
-    big = t.groupBy("axis", "e10").agg(F.count("*").alias("n")).filter("n >= 6").drop("n")
-    r = stats.residualise(t.join(big, ["axis", "e10"]), ["axis", "e10"], "density", ["age", "axial_length"])
+    r = stats.residualise(t, ["axis", "e10"], "density", ["age", "axial_length"])
     return r.select("subject_id", "axis", "e10", "residual")
 
 
@@ -166,10 +165,10 @@ def _(b):
 @query("binned_linregress", f"""
     WITH s AS (SELECT axis, e10, count(*) AS n, regr_slope(thickness, density) AS slope, regr_intercept(thickness, density) AS intercept, corr(thickness, density) AS r,
         var_pop(thickness) AS vy, var_pop(density) AS vx FROM v_profile WHERE thickness IS NOT NULL GROUP BY axis, e10)
-    SELECT axis, e10, n, slope * 1e4 AS slope_e4, intercept, r, sqrt((1 - r * r) * vy / vx / (n - 2)) * 1e4 AS stderr_e4, sqrt((1 - r * r) * vy) AS rmse, {r_tail('r', 'n')} AS p FROM s WHERE n > 3""",
+    SELECT axis, e10, n, slope * 1e4 AS slope_e4, intercept, r, CASE WHEN n > 2 THEN sqrt((1 - r * r) * vy / vx / (n - 2)) * 1e4 END AS stderr_e4, sqrt((1 - r * r) * vy) AS rmse, CASE WHEN n > 2 THEN {r_tail('r', 'n')} END AS p FROM s WHERE n >= 2""",
        rounded="slope_e4 intercept r stderr_e4 rmse p", digits=4)
 def _(b):
-    f = stats.linear_fit(b.v_profile, ["axis", "e10"], "density", "thickness", least=4)
+    f = stats.linear_fit(b.v_profile, ["axis", "e10"], "density", "thickness", least=2)
     return f.select("axis", "e10", "n", (F.col("slope") * 1e4).alias("slope_e4"), "intercept", "r", (F.col("stderr") * 1e4).alias("stderr_e4"), "rmse", "p")
 
 

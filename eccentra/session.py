@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (single-machine tests) a fresh temporary folder is made and remembered.
+    and the master is this machine a fresh temporary folder is made and
+    remembered; elsewhere executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fresh)
     return spark.sparkContext.getCheckpointDir()

@@ -87,9 +87,9 @@ def position_lut(files: DataFrame, mirrored_before: int = 49) -> DataFrame:
 
 
 def correlation_documents(corr: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One JSON document per key: {layer: {part: [rho, n]}}; layers and parts
+    """One JSON document per key: {layer: {part: [rho, p]}}; layers and parts
     are few, so a document stays small."""
-    part = F.struct("part", F.when(F.col("rho").isNotNull(), F.array(F.col("rho"), F.col("n").cast("double"))).alias("v"))
+    part = F.struct("part", F.when(F.col("rho").isNotNull(), F.array(F.col("rho"), F.col("p"))).alias("v"))
     lay = corr.groupBy(*keys, "layer").agg(F.map_from_entries(F.sort_array(F.collect_list(part))).alias("parts"))
     return lay.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("layer", F.to_json("parts").alias("j")))))).alias("doc"))
 

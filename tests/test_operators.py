@@ -232,10 +232,12 @@ def test_clip_rejects_unknown_modes(spark):
         images.clip_outliers(flat(spark), ["s"], "v", replace="mean")
 
 
-def test_counted_slopes_close_in_on_the_pair_median(spark):
+def test_slope_median_with_ties_equals_all_pairs(spark):
     rng = random.Random(6)
-    df = spark.createDataFrame([("a", float(rng.randrange(30)), float(rng.randrange(30))) for _ in range(40)], "g string, x double, y double")
-    exact = fits.theil_sen(df, ["g"], "x", "y").first()
-    near = fits.theil_sen(df, ["g"], "x", "y", small=1, rounds=5, fan=32).first()
-    assert near.slope == pytest.approx(exact.slope, abs=1e-5)
-    assert near.lower == pytest.approx(exact.lower, abs=1e-5) and near.upper == pytest.approx(exact.upper, abs=1e-5)
+    pts = [(float(rng.randrange(30)), float(rng.randrange(30))) for _ in range(40)]
+    df = spark.createDataFrame([("a", *p) for p in pts], "g string, x double, y double")
+    slopes = sorted((q[1] - p[1]) / (q[0] - p[0]) for i, p in enumerate(pts) for q in pts[:i] if p[0] != q[0])
+    m = len(slopes)
+    got = fits.theil_sen(df, ["g"], "x", "y").first()
+    assert got.slope == pytest.approx((slopes[(m - 1) // 2] + slopes[m // 2]) / 2, abs=1e-12)
+    assert got.lower in slopes and got.upper in slopes and got.lower < got.slope < got.upper
