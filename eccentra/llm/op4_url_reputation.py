@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eccentra.llm.common import table
+from eccentra.llm.common import keep, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host and path, verdict)
@@ -58,13 +58,16 @@ def levels(host: Column, two_label=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
     return F.when(long, two).otherwise(F.substring_index(name, ".", -1)), F.when(long, three).otherwise(two)
 
 
-def shrink(counts: DataFrame, above: DataFrame, up: str) -> DataFrame:
-    """Posterior (a, b) of every row of ``counts`` (key, up, n, good) under a prior around the mean of ``above`` (up, a, b).
+def shrink(counts: DataFrame, above: DataFrame | float, up: str = "") -> DataFrame:
+    """Posterior (a, b) of every row of ``counts`` (key, up, n, good) under a prior around the mean of ``above`` (key, a, b), or around one mean.
 
     Method of moments over the rows with two pages at least: v = the mean of
     ((share - prior mean)^2 - m(1-m)/n), strength = m(1-m) / v - 1, held between 1 and 1000.
     """
-    j = counts.join(above.select(F.col("key").alias(up), (F.col("a") / (F.col("a") + F.col("b"))).alias("m")), up)
+    if isinstance(above, float):
+        j = counts.withColumn("m", F.lit(above))
+    else:
+        j = counts.join(above.select(F.col("key").alias(up), (F.col("a") / (F.col("a") + F.col("b"))).alias("m")), up)
     noise = F.col("m") * (1 - F.col("m"))
     share = F.col("good") / F.col("n")
     fit = j.filter("n >= 2").agg(F.avg((share - F.col("m")) * (share - F.col("m")) - noise / F.col("n")).alias("v"), F.avg(noise).alias("q")).first()
@@ -77,15 +80,14 @@ def reputation(labelled: DataFrame, two_label=TWO_LABEL_SUFFIXES, start: float =
     """Posteriors (key, a, b) per host, domain and suffix, and the overall (a, b), from rows (host, good)."""
     suffix, domain = levels(F.col("host"), two_label)
     # one small table; all further sums are over its rows
-    hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")).select(
-        F.col("host").alias("key"), domain.alias("domain"), suffix.alias("suffix"), "n", "good")
+    hosts = keep(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")).select(
+        F.col("host").alias("key"), domain.alias("domain"), suffix.alias("suffix"), "n", "good"), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     n, good = total["n"] or 0, total["good"] or 0
     a, b = good + 2 * start, n - good + 2 * (1 - start)
-    suffixes = hosts.groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("all", F.lit(1))
+    suffixes = hosts.groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains = hosts.groupBy(F.col("domain").alias("key"), "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    top = labelled.sparkSession.createDataFrame([(1, float(a), float(b))], "key int, a double, b double")
-    by_suffix = shrink(suffixes, top, "all")
+    by_suffix = shrink(suffixes, float(a / (a + b)))
     by_domain = shrink(domains, by_suffix, "suffix")
     by_host = shrink(hosts, by_domain, "domain")
     return by_host, by_domain, by_suffix, (float(a), float(b))
