@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from eccentra.llm import tokens
-from eccentra.llm.common import by_value, fresh, table
+from eccentra.llm.common import by_value, fresh, keep, table
 
 by_value(__name__)
 
@@ -69,8 +69,9 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     Two jobs that append the same digest at once leave equal rows; they are read as one.
     """
     fill_cache(docs, cache, tokenizer, id_col, text_col)
-    stored = (read_cache(docs.sparkSession, cache).filter(F.col("version") == version_of(tokenizer))
-              .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+    # written once more, so that a hot digest meets it in a join that Spark may split
+    stored = keep(read_cache(docs.sparkSession, cache).filter(F.col("version") == version_of(tokenizer))
+                  .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     own = digests(docs, id_col, text_col).select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return own.join(stored, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
