@@ -33,11 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that go to Python at once, unless the session asks for fewer.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends here."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it back: the lineage ends here.
+
+    Batches for Python are small meanwhile, as rows may hold whole texts.
+    """
+    spark = df.sparkSession
+    path, rows = scratch_path(spark, label), int(spark.conf.get(BATCH_CONF))
+    spark.conf.set(BATCH_CONF, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, str(rows))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(spark: SparkSession, label: str) -> str:

@@ -272,8 +272,9 @@ def outside_links(mixed: DataFrame, trees: DataFrame, classes: DataFrame, texts:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("node", "block", "chunk", "tree", "side", "root", "cid", "sig", "text", "trees")]
-            for node, blk, chk, tree, side, *row in zip(*cols):
+            pieces = (batch.slice(lo, 128) for lo in range(0, batch.num_rows, 128))
+            names = ("node", "block", "chunk", "tree", "side", "root", "cid", "sig", "text", "trees")
+            for node, blk, chk, tree, side, *row in (r for p in pieces for r in zip(*[p.column(c).to_pylist() for c in names])):
                 if (node, blk, chk, tree) != at:
                     yield from out()
                     at, one, other = (node, blk, chk, tree), [], []
