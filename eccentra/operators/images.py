@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from eccentra.session import cut
 from eccentra.operators import joins
 
 
@@ -102,7 +103,7 @@ def pair_moments(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _information(joint: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mutual information and entropies (nats) of joint counts (i, j, n)."""
-    keys = list(keys)
+    keys, joint = list(keys), cut(joint)  # a histogram, read four times
     px = joint.groupBy(*keys, "i").agg(F.sum("n").alias("ni"))
     py = joint.groupBy(*keys, "j").agg(F.sum("n").alias("nj"))
     tot = joint.groupBy(*keys).agg(F.sum("n").alias("t"))

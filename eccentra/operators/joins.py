@@ -30,16 +30,25 @@ def _around(df: DataFrame, size: int, reach: int = 1) -> DataFrame:
 
 
 def within_distance(points: DataFrame, image: Sequence[str], d: float) -> DataFrame:
-    """Distinct positions of one image at most ``d`` apart (a before b in x, y)."""
+    """Distinct positions of one image at most ``d`` apart (a before b in x, y).
+
+    A cell meets itself and the cells ahead of it only, so every pair is formed once.
+    """
     size = max(1, int(d))
+    reach = range(2 if d > size else 1, -1, -1)
+    ahead = [(i, j) for i in reach for j in range(-max(reach), max(reach) + 1) if i > 0 or j >= 0]
     image = list(image)
     b = _cells(points, size).select(*image, "_cx", "_cy", F.col("x").alias("bx"), F.col("y").alias("by"))
-    a = _around(points, size, reach=2 if d > size else 1).withColumnsRenamed({"x": "ax", "y": "ay"})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead])
+    a = _cells(points, size).withColumn("_o", F.explode(steps)).select(
+        *image, (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"), F.col("x").alias("ax"), F.col("y").alias("ay"),
+        ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own"))
     j = a.join(b, image + ["_cx", "_cy"])
     dx, dy = F.col("ax").cast("long") - F.col("bx"), F.col("ay").cast("long") - F.col("by")
-    first = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
-    return j.filter(first & (dx * dx + dy * dy <= d * d)).select(
-        *image, "ax", "ay", "bx", "by", F.sqrt((dx * dx + dy * dy).cast("double")).alias("distance"))
+    one, two = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    near = j.filter((~F.col("_own") | (one < two)) & (dx * dx + dy * dy <= d * d)).select(
+        *image, F.least(one, two).alias("_a"), F.greatest(one, two).alias("_b"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("distance"))
+    return near.select(*image, F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"), F.col("_b.x").alias("bx"), F.col("_b.y").alias("by"), "distance")
 
 
 def nearest_distance(points: DataFrame, image: Sequence[str], start: int = 16) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from eccentra.functions.pvalues import binomial_upper, correlation_p, normal_two_sided, t_two_sided
 from eccentra.operators import ordered
+from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,7 +52,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool =
         r = (d.withColumn("_rx", avg_rank(x)).withColumn("_ry", avg_rank(y)).withColumn("_w", F.lit(1))
              .withColumn("_n", F.count("*").over(W.partitionBy(*keys))))
     else:
-        d = d.groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
+        d = cut(d.groupBy(*keys, x, y).agg(F.count("*").alias("_w")))  # read three times
         px = ordered.positions(d, keys, x, F.col("_w")).select(*keys, x, F.col("avg_rank").alias("_rx"), F.col("tied_total").alias("_n"))
         py = ordered.positions(d, keys, y, F.col("_w")).select(*keys, y, F.col("avg_rank").alias("_ry"))
         r = d.join(px, keys + [x]).join(py, keys + [y])
@@ -94,7 +95,7 @@ def discordant_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Tau-b with its normal p-value."""
     keys = list(keys)
-    d = _complete(df, x, y).groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
+    d = cut(_complete(df, x, y).groupBy(*keys, x, y).agg(F.count("*").alias("_w")))  # read five times
     pairs = _pair_counts(d, keys, x, y)
 
     def ties(c, tag):

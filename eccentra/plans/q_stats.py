@@ -43,10 +43,10 @@ def pairs(b):
 
 
 @query("spearman_simple", f"""WITH {PAIRS}, s AS (SELECT *, CASE WHEN e10 < 0 THEN 'left' ELSE 'right' END AS side FROM pairs WHERE e10 <> 0)
-    SELECT subject_id, axis, layer, side, {clean('rho')} AS rho, n FROM {rho_sql('s', 'subject_id, axis, layer, side', 'density', 'thickness')} AS r""", rounded="rho")
+    SELECT subject_id, axis, layer, side, {clean('rho')} AS rho, n, CASE WHEN n > 2 AND isfinite(rho) THEN {r_tail('rho', 'n')} END AS p FROM {rho_sql('s', 'subject_id, axis, layer, side', 'density', 'thickness')} AS r""", rounded="rho p", digits=4)
 def _(b):
     s = pairs(b).filter("e10 <> 0").withColumn("side", F.when(F.col("e10") < 0, "left").otherwise("right"))
-    return stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True).drop("p")
+    return stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True)
 
 
 @query("spearman_parts", f"""WITH {PAIRS}, s AS (
@@ -124,11 +124,15 @@ def _(b):
     WITH d AS (SELECT subject_id, axis, e10, density AS x, CAST(floor(thickness) AS DOUBLE) AS y FROM v_profile WHERE thickness IS NOT NULL),
     p AS (SELECT a.axis, a.e10, sum(sign(a.x - o.x) * sign(a.y - o.y)) AS s, count(*) FILTER (a.x = o.x) AS tx, count(*) FILTER (a.y = o.y) AS ty, count(*) AS tot
       FROM d a JOIN d o ON a.axis = o.axis AND a.e10 = o.e10 AND a.subject_id < o.subject_id GROUP BY a.axis, a.e10),
-    n AS (SELECT axis, e10, count(*) AS n FROM d GROUP BY axis, e10)
-    SELECT axis, e10, n, CASE WHEN tot > tx AND tot > ty THEN s / sqrt((tot - tx) * CAST(tot - ty AS DOUBLE)) END AS tau FROM p JOIN n USING (axis, e10)""", rounded="tau")
+    n AS (SELECT axis, e10, count(*) AS n FROM d GROUP BY axis, e10),
+    gx AS (SELECT axis, e10, sum(t * (t - 1)) AS x1, sum(t * (t - 1) * (t - 2)) AS x2, sum(t * (t - 1) * (2 * t + 5)) AS x3 FROM (SELECT axis, e10, x, count(*)::DOUBLE AS t FROM d GROUP BY ALL) GROUP BY ALL),
+    gy AS (SELECT axis, e10, sum(t * (t - 1)) AS y1, sum(t * (t - 1) * (t - 2)) AS y2, sum(t * (t - 1) * (2 * t + 5)) AS y3 FROM (SELECT axis, e10, y, count(*)::DOUBLE AS t FROM d GROUP BY ALL) GROUP BY ALL),
+    v AS (SELECT p.*, n, (n * (n - 1) * (2 * n + 5) - x3 - y3) / 18e0 + x1 * y1 / (2e0 * n * (n - 1)) + CASE WHEN n > 2 THEN x2 * y2 / (9e0 * n * (n - 1) * (n - 2)) ELSE 0 END AS var
+      FROM p JOIN n USING (axis, e10) JOIN gx USING (axis, e10) JOIN gy USING (axis, e10))
+    SELECT axis, e10, n, CASE WHEN tot > tx AND tot > ty THEN s / sqrt((tot - tx) * CAST(tot - ty AS DOUBLE)) END AS tau, CASE WHEN var > 0 THEN s / sqrt(var) END AS z FROM v""", rounded="tau z", digits=4)
 def _(b):
     t = b.v_profile.filter("thickness IS NOT NULL").withColumn("y", F.floor("thickness").cast("double"))
-    return stats.kendall(t, ["axis", "e10"], "density", "y").drop("z", "p")
+    return stats.kendall(t, ["axis", "e10"], "density", "y").drop("p")
 
 
 FEATURES = ["age", "axial_length", "sphere", "peak", "mean_thickness", "spread"]
