@@ -161,10 +161,10 @@ def to_grid_varying_gap(df: DataFrame, keys: Sequence[str], x: str, y: str, limi
     """Linear reading of a smoothed profile on the 0.1 degree grid.
 
     Gaps wider than 1 - 0.85/(1 + x*x/10) stay open; the last point is extended
-    by one step along the last segment.
+    by one step along the last segment. Readings at one place are averaged.
     """
     w = W.partitionBy(*keys).orderBy("_x")
-    t = (df.groupBy(*keys, F.col(x).alias("_x")).agg(F.first(y).alias("_y"))
+    t = (df.groupBy(*keys, F.col(x).alias("_x")).agg(F.avg(y).alias("_y"))
          .withColumn("_nx", F.lead("_x").over(w)).withColumn("_ny", F.lead("_y").over(w))
          .withColumn("_px", F.lag("_x").over(w)).withColumn("_py", F.lag("_y").over(w)))
     X, NX = F.col("_x"), F.col("_nx")

@@ -297,7 +297,9 @@ def _(b):
 
 @query("patch_overlap_boxes", f"""
     WITH {PATCH} SELECT a.element_id, greatest(a.px, o.px) AS x0, greatest(a.py, o.py) AS y0, least(a.px, o.px) + 185 AS x1, least(a.py, o.py) + 185 AS y1
-    FROM patch a JOIN patch o USING (element_id) WHERE (a.py = o.py AND a.px < o.px AND o.px < a.px + 185) OR (a.px = o.px AND a.py < o.py AND o.py < a.py + 185)""")
+    FROM patch a JOIN patch o ON a.element_id = o.element_id AND a.py = o.py WHERE a.px < o.px AND o.px < a.px + 185
+    UNION ALL SELECT a.element_id, greatest(a.px, o.px), greatest(a.py, o.py), least(a.px, o.px) + 185, least(a.py, o.py) + 185
+    FROM patch a JOIN patch o ON a.element_id = o.element_id AND a.px = o.px WHERE a.py < o.py AND o.py < a.py + 185""")
 def _(b):
     s = b.v_elements.select("element_id", (400 + F.col("element_id") % 300).cast("int").alias("w"), (300 + F.col("element_id") % 90).cast("int").alias("h"))
     return montage.patch_overlaps(s, "element_id", "w", "h", 185)

@@ -281,16 +281,17 @@ def _(b):
     return I.interp_at(dense(b), b.v_raw_density.select(*KEY, "ecc"), KEY, "v", "ecc")
 
 
-@query("disk_cell_count", f"""WITH {DENSE}, tp AS (SELECT subject_id, axis, greatest(-98, least(98, arg_max(e10, (v, -e10)))) AS c FROM dn GROUP BY ALL),
-    q5 AS (SELECT tp.subject_id, tp.axis, tp.c, sum(CASE abs(e10 - c) WHEN 2 THEN 2 WHEN 1 THEN -1 ELSE -2 END * v) / 14e0 AS a, sum((e10 - c) * v) / 10e0 AS b FROM tp JOIN dn USING (subject_id, axis) WHERE abs(e10 - c) <= 2 GROUP BY ALL),
+@query("disk_cell_count", f"""WITH {DENSE}, sm AS (SELECT subject_id, axis, e10, v FROM {gauss_sql('dn', 4)} AS t), tp AS (SELECT subject_id, axis, greatest(-98, least(98, arg_max(e10, (v, -e10)))) AS c FROM sm GROUP BY ALL),
+    q5 AS (SELECT tp.subject_id, tp.axis, tp.c, sum(CASE abs(e10 - c) WHEN 2 THEN 2 WHEN 1 THEN -1 ELSE -2 END * v) / 14e0 AS a, sum((e10 - c) * v) / 10e0 AS b FROM tp JOIN sm USING (subject_id, axis) WHERE abs(e10 - c) <= 2 GROUP BY ALL),
     vx AS (SELECT subject_id, axis, c + CASE WHEN a <> 0 THEN -b / (2 * a) ELSE 0 END AS peak FROM q5),
     ray AS (SELECT subject_id, axis, k.k, 1e-4 + k.k * ((333e-2 - 1e-4) / 499) AS r, greatest(-100e0, least(100e0, peak + s.s * (1e-4 + k.k * ((333e-2 - 1e-4) / 499)) * 10)) AS pt FROM vx, range(0, 500) k(k), (VALUES (1), (-1)) s(s)),
-    rv AS (SELECT ray.subject_id, ray.k, ray.r, a.v + (b.v - a.v) * (pt - a.e10) AS v FROM ray JOIN dn a ON a.subject_id = ray.subject_id AND a.axis = ray.axis AND a.e10 = least(CAST(floor(pt) AS INT), 99)
-      JOIN dn b ON b.subject_id = ray.subject_id AND b.axis = ray.axis AND b.e10 = a.e10 + 1),
+    rv AS (SELECT ray.subject_id, ray.k, ray.r, a.v + (b.v - a.v) * (pt - a.e10) AS v FROM ray JOIN sm a ON a.subject_id = ray.subject_id AND a.axis = ray.axis AND a.e10 = least(CAST(floor(pt) AS INT), 99)
+      JOIN sm b ON b.subject_id = ray.subject_id AND b.axis = ray.axis AND b.e10 = a.e10 + 1),
     m AS (SELECT subject_id, k, r, avg(v) AS v, count(*) AS c FROM rv GROUP BY ALL)
     SELECT subject_id, sum(CASE WHEN k = 0 OR k = 499 THEN 5e-1 ELSE 1 END * v * r) * ((333e-2 - 1e-4) / 499) * 291e-3 * 291e-3 * 2 * pi() AS cells FROM m WHERE c = 4 GROUP BY subject_id""", rounded="cells", digits=2)
 def _(b):
-    return I.disk_cell_count(dense(b), ["subject_id"], "v", 3.33)
+    # smoothed with sigma 4, as the counts are published
+    return I.disk_cell_count(smoothing.gaussian(dense(b), KEY, "e10", "v", 4), ["subject_id"], "v", 3.33)
 
 
 SW = "(CASE WHEN k >= 399 THEN 0 WHEN k = 0 OR k = 398 THEN 1 / 3e0 WHEN k % 2 = 1 THEN 4 / 3e0 ELSE 2 / 3e0 END + CASE k WHEN 399 THEN 5 / 12e0 WHEN 398 THEN 8 / 12e0 WHEN 397 THEN -1 / 12e0 ELSE 0 END)"

@@ -105,10 +105,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
 
 def fovea_parameters(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Long ``param;value`` files -> one row per subject and session; values
-    that are not numbers are null, header rows drop out."""
+    that are not numbers are null, header rows drop out, of repeated ones the largest stays."""
     raw = _glob(spark).schema(schemas.PARAMETERS).option("sep", ";").csv(path)
     t = raw.select(*path_ids(), "param", F.col("value").try_cast("double").alias("value")).filter(F.col("param").isin(list(names)))
-    return t.groupBy("subject_id", "session_id").pivot("param", list(names)).agg(F.first("value"))
+    return t.groupBy("subject_id", "session_id").pivot("param", list(names)).agg(F.max("value"))
 
 
 def points(spark: SparkSession, path: str) -> DataFrame:

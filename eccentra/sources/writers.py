@@ -21,7 +21,8 @@ def _tree(df: DataFrame) -> DataFrame:
 
 def results_wide(densities: DataFrame, layers: DataFrame | None, layer_names: Sequence[str]) -> DataFrame:
     """Wide result rows per subject and session: every grid step between the
-    smallest and the largest step of density and layers, zeros as null.
+    smallest and the largest step of density and layers, zeros as null, the
+    largest of repeated values.
 
     Without layers the last step is left out, as in the density-only table.
     """
@@ -32,7 +33,7 @@ def results_wide(densities: DataFrame, layers: DataFrame | None, layer_names: Se
         lay = layers.filter(F.col("layer").isin(list(layer_names)))
         d = d.unionByName(lay.select(*key, "e10", F.concat_ws("_", "layer", "axis").alias("name"), F.col("thickness").alias("value")))
         names = [f"{c}_{a}" for a in "XY" for c in ("densities", *layer_names)]
-    wide = d.groupBy(*key, "e10").pivot("name", names).agg(F.first(F.when(F.col("value") != 0, F.col("value"))))
+    wide = d.groupBy(*key, "e10").pivot("name", names).agg(F.max(F.when(F.col("value") != 0, F.col("value"))))
     full = profiles.own_range(wide, key, end_exclusive=layers is None)
     return full.withColumn("location", F.col("e10") / 10.0).select(*key, "location", *[F.col(f"`{n}`") for n in names])
 
