@@ -22,6 +22,19 @@ def _glob(spark: SparkSession):
     return spark.read.option("recursiveFileLookup", "true")
 
 
+def _visits(spark: SparkSession, schema, named: bool):
+    """A reader of files in folders per subject and session, and their two ids.
+
+    Folders named ``Subject=../Session=..`` are partitions: filters on the ids
+    leave out files. Other folder names are read recursively and parsed.
+    """
+    own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not named:
+        return _glob(spark).schema(own), path_ids(), own.names
+    both = T.StructType([*own.fields, T.StructField("Subject", T.IntegerType()), T.StructField("Session", T.IntegerType())])
+    return spark.read.schema(both), [F.col("Subject").alias("subject_id"), F.col("Session").alias("session_id")], own.names
+
+
 def path_ids() -> list[Column]:
     p = F.col("_metadata.file_path")
     return [F.regexp_extract(p, SUBJECT, 1).try_cast("int").alias("subject_id"), F.regexp_extract(p, SESSION, 1).try_cast("int").alias("session_id")]
@@ -34,14 +47,14 @@ def null_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def cohort_results(spark: SparkSession, path: str, layers: Sequence[str], skip: tuple[int, int] | None = None) -> DataFrame:
+def cohort_results(spark: SparkSession, path: str, layers: Sequence[str], skip: tuple[int, int] | None = None, named: bool = True) -> DataFrame:
     """All result tables within +-10 degrees, one session optionally left out.
 
     The first line of each file names the separator and is skipped as a
     comment; empty files give no rows.
     """
-    raw = (_glob(spark).schema(schemas.results(layers)).option("header", "true").option("comment", "s").csv(path))
-    df = raw.select(*path_ids(), *raw.columns).filter(F.abs("location") <= 10)
+    read, ids, names = _visits(spark, schemas.results(layers), named)
+    df = read.option("header", "true").option("comment", "s").csv(path).select(*ids, *[F.col(f"`{c}`") for c in names]).filter(F.abs("location") <= 10)
     if skip is not None:
         df = df.filter(~((F.col("subject_id") == skip[0]) & (F.col("session_id") == skip[1])))
     return null_missing(df)
@@ -53,21 +66,21 @@ def subject_results(results: DataFrame) -> DataFrame:
     return results.join(first, ["subject_id", "session_id"], "left_semi")
 
 
-def density_profiles(spark: SparkSession, path: str) -> DataFrame:
+def density_profiles(spark: SparkSession, path: str, named: bool = True) -> DataFrame:
     """The profile table in long form (kind, axis), missing values dropped."""
-    raw = _glob(spark).schema(schemas.DENSITY_PROFILE).option("header", "true").option("sep", ";").csv(path)
-    wide = null_missing(raw.select(*path_ids(), *raw.columns))
-    cols = [c for c in raw.columns if c != "ecc"]
+    read, ids, names = _visits(spark, schemas.DENSITY_PROFILE, named)
+    wide = null_missing(read.option("header", "true").option("sep", ";").csv(path).select(*ids, *names))
+    cols = [c for c in names if c != "ecc"]
     long = wide.unpivot(["subject_id", "session_id", "ecc"], cols, "name", "density").filter("density IS NOT NULL")
     kind = F.when(F.col("name").contains("smthd"), "smoothed").when(F.col("name").contains("fit"), "fitted").otherwise("raw")
     return long.select("subject_id", "session_id", kind.alias("kind"), F.substring("name", -1, 1).alias("axis"), "ecc", "density")
 
 
-def raw_densities(spark: SparkSession, path_x: str, path_y: str) -> DataFrame:
+def raw_densities(spark: SparkSession, path_x: str, path_y: str, named: bool = True) -> DataFrame:
     parts = []
     for axis, path in (("X", path_x), ("Y", path_y)):
-        raw = _glob(spark).schema(schemas.DENSITY_RAW).option("header", "true").option("sep", ";").csv(path)
-        parts.append(raw.select(*path_ids(), F.lit(axis).alias("axis"), "ecc", "density"))
+        read, ids, _ = _visits(spark, schemas.DENSITY_RAW, named)
+        parts.append(read.option("header", "true").option("sep", ";").csv(path).select(*ids, F.lit(axis).alias("axis"), "ecc", "density"))
     return null_missing(parts[0].unionByName(parts[1]))
 
 
@@ -103,11 +116,11 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return null_missing(spark.read.schema(schemas.BASELINE).option("header", "true").csv(path))
 
 
-def fovea_parameters(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+def fovea_parameters(spark: SparkSession, path: str, names: Sequence[str], named: bool = True) -> DataFrame:
     """Long ``param;value`` files -> one row per subject and session; values
     that are not numbers are null, header rows drop out, of repeated ones the largest stays."""
-    raw = _glob(spark).schema(schemas.PARAMETERS).option("sep", ";").csv(path)
-    t = raw.select(*path_ids(), "param", F.col("value").try_cast("double").alias("value")).filter(F.col("param").isin(list(names)))
+    read, ids, _ = _visits(spark, schemas.PARAMETERS, named)
+    t = read.option("sep", ";").csv(path).select(*ids, "param", F.col("value").try_cast("double").alias("value")).filter(F.col("param").isin(list(names)))
     return t.groupBy("subject_id", "session_id").pivot("param", list(names)).agg(F.max("value"))
 
 

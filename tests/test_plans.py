@@ -33,3 +33,17 @@ def test_distance_joins_are_not_cartesian(spark, name):
 def test_scan_reads_only_needed_columns(spark):
     text = plan(entry.queries()["mean_thickness_by_ecc"](spark, SF))
     assert "l_extendedprice" not in text and "PushedFilters" in text
+
+
+def test_readers_prune_visits(spark, tmp_path):
+    from eccentra.sources import readers as R
+
+    rows = spark.createDataFrame([(s, v, 0.1, 5.0) for s in (1, 2, 3) for v in (1, 2)], "Subject int, Session int, ecc double, density double")
+    for axis in "XY":
+        rows.write.partitionBy("Subject", "Session").option("header", "true").option("sep", ";").csv(f"{tmp_path}/{axis}")
+    df = R.raw_densities(spark, f"{tmp_path}/X", f"{tmp_path}/Y").filter("subject_id = 2 AND session_id = 1")
+    assert sorted((r["subject_id"], r["session_id"], r["axis"]) for r in df.collect()) == [(2, 1, "X"), (2, 1, "Y")]
+    text = plan(df)
+    assert text.count("PartitionFilters: [isnotnull(Subject") == 2 and "isnotnull(Session" in text
+    old = R.raw_densities(spark, f"{tmp_path}/X", f"{tmp_path}/Y", named=False).filter("subject_id = 2 AND session_id = 1")
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, df.collect()))
