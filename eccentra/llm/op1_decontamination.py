@@ -146,7 +146,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     # rows that surely are clean pass beside the join
     filled = bits_of(found.select("k1"), "k1")
-    names = docs.columns
-    marked = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("k2"))
+    marked = docs.select(F.struct("*").alias("row"), *keys(F.col("text")))
     suspect = may_hold(filled, F.col("k1"))
-    return marked.filter(~suspect).select(*names).unionByName(marked.filter(suspect).join(found, ["k1", "k2"], "left_anti").select(*names))
+    return marked.filter(~suspect).select("row.*").unionByName(marked.filter(suspect).join(found, ["k1", "k2"], "left_anti").select("row.*"))

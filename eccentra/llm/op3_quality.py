@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` with the score in a further column."""
+    """``docs`` with the score in a further column, which takes the place of one so named."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: the class itself travels with the function
     names = docs.columns
 

@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from eccentra.llm.common import SEGMENT, U64, Rolling, by_value, content_filter, keep, mix, table, text_chunks
@@ -277,24 +278,22 @@ def kept_text(data: bytes, ranges: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
+ADDED = ("_bytes", "_removed", "_spans", "_kept", "_text")
+
+
 def trimmed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_bytes``, ``_removed``, ``_spans``, ``_kept`` (remaining bytes) and ``_text`` (whole characters kept)."""
+    """``docs`` with ``_bytes``, ``_removed``, ``_spans``, ``_kept`` (remaining bytes) and ``_text`` (whole characters
+    kept); columns so named are replaced."""
+    docs = docs.drop(*ADDED)
     spans = spans_by_text(keyed(docs, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(text, F.lit(1))}) if not {"k1", "k2"} & {c.lower() for c in docs.columns} else None
-    if marked is None:
-        raise ValueError("columns k1 and k2 are in use")
-    return _join(marked, spans, text_col)
-
-
-def _join(marked: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    # texts that surely have no repeated string pass beside the join
     filled = text_filter(spans)
     rest, hit = some_texts(marked, filled, inside=False), some_texts(marked, filled)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = rest.drop("k1", "k2").select("*", F.octet_length(text).cast("long").alias("_bytes"), F.lit(0).cast("long").alias("_removed"), F.lit(0).cast("long").alias("_spans"),
-                                        text.cast("binary").alias("_kept"), text.alias("_text"))
-    names = [c for c in rest.columns if not c.startswith("_") or c in marked.columns]
-    joined = hit.join(spans, ["k1", "k2"], "left").select(*names, "spans")
+    zero, own = F.lit(0).cast("long"), F.coalesce(F.col("row")[text_col], F.lit(""))
+    rest = rest.select("row", F.octet_length(own).cast("long").alias("_bytes"), zero.alias("_removed"), zero.alias("_spans"), own.cast("binary").alias("_kept"), own.alias("_text"))
+    joined = hit.join(spans, ["k1", "k2"], "left").select("row", "spans")
 
     def run(batches):
         for batch in batches:
@@ -302,7 +301,7 @@ def _join(marked: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
                 part = batch.slice(lo, 256)
                 rows = []
                 lists = part.column("spans")
-                for r, t in enumerate(part.column(text_col).to_pylist()):
+                for r, t in enumerate(pc.struct_field(part.column("row"), text_col).to_pylist()):
                     data = (t or "").encode()
                     own = lists[r].values if lists[r].is_valid else None
                     if own is None:
@@ -311,10 +310,9 @@ def _join(marked: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
                     ranges = covered(np.stack([own.field("i").to_numpy(), own.field("n").to_numpy().astype(np.int64)], axis=1))
                     rows.append((len(data), int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges), kept_bytes(data, ranges), kept_text(data, ranges)))
                 kinds = [pa.int64()] * 3 + [pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                                 names + ["_bytes", "_removed", "_spans", "_kept", "_text"])
+                yield pa.RecordBatch.from_arrays([part.column("row")] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", *ADDED])
 
-    return joined.mapInArrow(run, rest.schema).unionByName(rest)
+    return joined.mapInArrow(run, rest.schema).unionByName(rest).select("row.*", *ADDED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

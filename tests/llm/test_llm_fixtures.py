@@ -452,6 +452,8 @@ def test_repeated_strings_go(spark, docs, rows, clash, empty, monkeypatch):
     out = op9.query(spark, write(spark, table_)).collect()
     same([tuple(x) for x in out], brute_removed(short + more + edits))
     assert op9.query(spark, write(spark, empty)).count() == 0
+    odd = op9.trimmed(docs.selectExpr("*", "1 as k1", "2 as row", "3 as _text", "4 as spans"))
+    assert odd.columns == [*docs.columns, "k1", "row", "spans", *op9.ADDED] and odd.count() == len(rows)
     left = op9.stage(spark, docs, "").collect()
     same([x["doc_id"] for x in left], [d for d, _ in rows])
     assert all(x["text"] is None or len(x["text"]) == x["n_chars"] for x in left)
