@@ -182,6 +182,17 @@ def residualise(df: DataFrame, keys: Sequence[str], y: str, covariates: Sequence
     return j.withColumn(out, res).drop("_beta", "_my", *[f"_m_{c}" for c in cov])
 
 
+def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, method: str = "spearman") -> DataFrame:
+    """(keys, r, n, p) by ``pearson``, ``spearman`` or ``kendall``."""
+    if method == "pearson":
+        return pearson(df, keys, x, y).select(*keys, "r", "n", "p")
+    if method == "spearman":
+        return spearman(df, keys, x, y).select(*keys, F.col("rho").alias("r"), "n", "p")
+    if method == "kendall":
+        return kendall(df, keys, x, y).select(*keys, F.col("tau").alias("r"), "n", "p")
+    raise ValueError(f"no correlation method {method!r}")
+
+
 def pair_rows(df: DataFrame, cols: Sequence[str], against: Sequence[str] | None = None) -> DataFrame:
     """Long rows (a, b, va, vb) for column pairs of a wide table, without a join."""
     if against is None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eccentra import session
-from eccentra.operators import fits, joins, points as P
+from eccentra.operators import fits, joins, points as P, stats
 
 
 def test_nearest_distance_has_no_limit(spark):
@@ -76,3 +76,25 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="shared|share"):
         session.shared_dir(Session())
+
+
+def test_correlation_by_argument(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, 50)
+    y = x + r.normal(0, 1, 50)
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double")
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    i, j = np.triu_indices(50, 1)
+    want = {"pearson": np.corrcoef(x, y)[0, 1], "spearman": np.corrcoef(rank(x), rank(y))[0, 1], "kendall": np.sign((x[i] - x[j]) * (y[i] - y[j])).mean()}
+    for method, value in want.items():
+        got = stats.correlation(df, ["g"], "x", "y", method).first()
+        assert got["r"] == pytest.approx(value, abs=1e-9) and got["n"] == 50 and 0 <= got["p"] < 0.01
+    with pytest.raises(ValueError):
+        stats.correlation(df, ["g"], "x", "y", "other")
+
+
+def test_open_regions_end_with_the_grid(spark):
+    df = spark.createDataFrame([(-100,), (0,), (100,)], "e10 int")
+    regions = spark.createDataFrame([("all", float("-inf"), float("inf")), ("outer", 5.0, float("inf"))], "region string, start double, stop double")
+    got = sorted((r["region"], r["e10"]) for r in joins.join_regions(df, regions).collect())
+    assert got == [("all", -100), ("all", 0), ("all", 100), ("outer", 100)]
