@@ -87,6 +87,15 @@ def as_text(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
+def not_above(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, by binary search."""
+    n, held = len(cuts), F.from_json(F.lit(f"[{','.join(map(str, cuts))}]"), "array<bigint>")
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(held, at + s - 1) <= value), at + s).otherwise(at))
+
+
 def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     """(id, text, fp, next_text, next_fp): every document beside the next one by descending id, after the last the first.
 
@@ -98,7 +107,7 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     # one pass over the ids: at most ``blocks`` numbers for the driver
     cuts = sorted(set(own.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or [])) if blocks > 1 else []
     # block 0 has the largest ids; nulls come after all others
-    block = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: F.col("id") < c)))
+    block = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - not_above(F.col("id"), cuts))
     dealt = own.withColumn("block", block.cast("int")).withColumn("ghost", F.lit(False))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     tops = {r["block"]: r["id"] for r in dealt.groupBy("block").agg(F.max("id").alias("id")).collect()}  # a row per block

@@ -541,3 +541,12 @@ def test_pipeline_keeps_columns_and_runs(spark, docs):
     ids = {r["doc_id"] for r in d.collect()}
     assert 5000 not in ids and len(ids & {2, 5001, 5002}) == 1 and len(ids & bad) < 5
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()} == ids
+
+
+def test_binary_search_over_cuts(spark):
+    import bisect
+
+    for n in (0, 1, 2, 5, 64, 77):
+        cuts = [3 * k for k in range(n)]
+        got = spark.range(-3, 3 * n + 3).select("id", op2.not_above(F.col("id"), cuts).alias("k")).collect()
+        assert all(r["k"] == bisect.bisect_right(cuts, r["id"]) for r in got)
