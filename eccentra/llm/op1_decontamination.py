@@ -30,7 +30,7 @@ from eccentra.llm.common import keep, table
 #: Places of the words that a seed takes.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 5, 7))
 SPAN, SHARE = 12, 0.8
-BITS = 1 << 22
+BITS = 1 << 20
 
 
 def let(value: Column, use) -> Column:
