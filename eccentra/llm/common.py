@@ -49,7 +49,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_CONF, str(rows))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables whose readers have all been written themselves."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(spark: SparkSession, label: str) -> str:
@@ -219,9 +228,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = tree.select(F.col("node").alias("p"), F.col("next").alias("above"))
         jumped = keep(tree.join(up, tree.next == up.p, "left").select(
             "node", F.least("next", F.coalesce("above", "next")).alias("root"), F.col("root").alias("was")), "labels")
-        labels = jumped.select("node", "root")
         if jumped.filter("root < was").isEmpty():
-            return labels
+            discard(edges, labels)
+            return jumped.select("node", "root")
+        discard(labels)
+        labels = jumped
 
 
 def content_filter(keys: DataFrame, key: str, bits: int = 1 << 26, second: bool = True) -> np.ndarray:

@@ -31,7 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eccentra.llm.common import (U64, by_value, components, content_filter, keep, mix, passes, randoms, shingle_sets, table, text_chunks)
+from eccentra.llm.common import (U64, by_value, components, content_filter, discard, keep, mix, passes, randoms, shingle_sets, table, text_chunks)
+from eccentra.llm.op9_suffix_dedup import some_texts, text_filter
 
 by_value(__name__)
 
@@ -312,9 +313,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
     open_ = keep(of.join(mixed, "node"), "open")
     trees = leaf.groupBy("cid").agg(F.bit_or(F.when(F.col("base"), F.expr("shiftleft(1, tree)")).otherwise(0)).alias("trees"))
     across = keep(outside_links(open_, trees, classes, texts, threshold, width).distinct(), "across")
-    if across.isEmpty():
-        return drawn, labels
-    return drawn, components(links.unionByName(across))
+    if not across.isEmpty():
+        labels = components(links.unionByName(across))
+    discard(classes, leaf, needed, texts, pairs, links, open_, across)
+    return drawn, labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +345,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     # repeated rows of an id, in one group: one of them stays
     several = out.filter("n_shingles > 0").groupBy("id", "component_id").agg(F.count("*").alias("n")).filter("n > 1 and id <=> component_id")
     several = keep(several.select(F.col("id").alias("doc_id")).distinct(), "several")
-    kept = docs.join(gone.filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # rows that surely stay pass beside the join
+    lost = keep(gone.filter("doc_id is not null").distinct().select(F.col("doc_id").alias("k1"), F.xxhash64("doc_id").alias("k2")), "lost")
+    own = F.coalesce("doc_id", F.lit(0)).cast("long")
+    marked, filled = docs.select(F.struct("*").alias("row"), own.alias("k1"), F.xxhash64(own).alias("k2")), text_filter(lost)
+    doubt = some_texts(marked, filled).join(lost.select("k1"), (F.col("row.doc_id") == lost.k1), "left_anti")
+    kept = some_texts(marked, filled, inside=False).select("row.*").unionByName(doubt.select("row.*"))
     if not gone.filter("doc_id is null").isEmpty():
         lone = out.filter("id is null and (component_id is null or n_shingles = 0)").select("key").distinct()
         own = F.xxhash64("text")

@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from eccentra.llm.common import SEGMENT, U64, Rolling, by_value, content_filter, keep, mix, table, text_chunks
+from eccentra.llm.common import SEGMENT, U64, Rolling, by_value, content_filter, discard, keep, mix, table, text_chunks
 
 by_value(__name__)
 
@@ -214,8 +214,8 @@ def hashed_parts(rows: DataFrame, windows: bool) -> DataFrame:
     return rows.select("k1", "k2", "text", "runs").mapInArrow(run, schema)
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    """(k1, k2, i, n): distinct runs of windows that start more than once, per distinct text; texts as ``keyed``."""
+def repeated(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, i, n) and the tables behind them: distinct runs of windows that start more than once, per distinct text; texts as ``keyed``."""
     buckets = (runs(texts).groupBy("bucket").agg(F.count("*").alias("seen"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("seen > 1"))
     buckets = keep(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("tied")), "buckets")
     shared = keep(runs(texts, bucket_filter(buckets)).join(buckets, "bucket"), "shared")
@@ -237,12 +237,16 @@ def repeated(texts: DataFrame) -> DataFrame:
     windows = keep(hashed_parts(base.drop("runs").join(asked, ["k1", "k2"]), windows=True), "windows")
     same = windows.groupBy("bucket", "hash").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", "hash")
     # only copies of a text repeat runs; the windows come from one run per rank and are distinct
-    return spans.distinct().unionByName(windows.filter("c = 1").join(same, ["bucket", "hash"]).select("k1", "k2", "i", "n"))
+    found = spans.distinct().unionByName(windows.filter("c = 1").join(same, ["bucket", "hash"]).select("k1", "k2", "i", "n"))
+    return found, [buckets, shared, ranked, base, blocks, windows]
 
 
 def spans_by_text(texts: DataFrame) -> DataFrame:
     """(k1, k2, spans): an array of (i, n) per distinct text that has repeated windows."""
-    return keep(repeated(texts).groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n")).alias("spans")), "spans")
+    found, behind = repeated(texts)
+    out = keep(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n")).alias("spans")), "spans")
+    discard(*behind)
+    return out
 
 
 def covered(spans: np.ndarray) -> np.ndarray:
