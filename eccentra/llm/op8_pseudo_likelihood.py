@@ -2,16 +2,24 @@
 
 Every token is predicted from ``SIDE`` tokens before and after it: their
 embeddings are summed per place, squashed and mapped to a softmax over the
-vocabulary. The summed log-probabilities of a document's tokens, each given
+classes of the vocabulary. The summed log-probabilities of a document's tokens, each given
 both its sides, are its score; the mean makes lengths comparable.
 
-The vocabulary is made of word hashes counted over all documents: the
-``FREQUENT`` most frequent have a class of their own, all others share
-``HASHED`` classes by hash. The network is trained in numpy where the documents
+The vocabulary is made of word hashes counted over all documents. All of them and
+their counts are a Spark table, which grows with the corpus. The most frequent have
+a class of their own: ``OWN`` for every doubling of the number of tokens,
+``FREQUENT`` at least. All others share ``HASHED`` classes by hash, and a token of
+such a class adds the logarithm of its word's share of the class:
+(count - 1/2) / (count of the class). A word never seen is taken as one seen
+once; the half counts held back are the share of as many unseen words as the class
+has kinds. The counts of the most frequent words, ``LISTED`` at most, are sent to the tasks,
+the others are joined.
+
+The network is trained in numpy where the documents
 are: in each round every task runs over its documents' training places (one in
 ``EVERY``, of every document) from the same weights, and the weights are averaged by
 their number of places. Counts and weights are summed by Spark; the driver holds
-the vocabulary and one set of weights only.
+the listed words and one set of weights only.
 
 Null and empty texts have no tokens: sum 0 and null mean. The ends of a text are
 padded. Copies are scored alike and train as often as they occur. Null ids are
@@ -22,53 +30,85 @@ their neighbours. Extra columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from eccentra.llm.common import U64, by_value, mix, table, text_chunks, word_hashes
+from eccentra.llm.common import U64, by_value, keep, mix, table, text_chunks, word_hashes
 
 by_value(__name__)
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 320, 64, 2, 12, 16
+OWN, LISTED = 16, 1 << 16
 EVERY, ROUNDS, RATE, BATCH = 16, 2, 0.5, 256
 CLASSES = FREQUENT + HASHED
-PAD = CLASSES
 
 
-def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
+class Vocabulary(NamedTuple):
+    """``words`` is sorted, ``order`` has their classes. ``listed`` is sorted, ``halved`` has their counts less 1/2; ``totals`` are the
+    counts of the shared classes. ``own`` is the number of own classes, ``counted`` the table (word, n) of all words."""
+
+    words: np.ndarray
+    order: np.ndarray
+    listed: np.ndarray
+    halved: np.ndarray
+    totals: np.ndarray
+    own: int
+    counted: DataFrame | None
+
+
+def own_classes(tokens: int) -> int:
+    """Number of words with a class of their own among so many tokens."""
+    return max(FREQUENT, int(OWN * np.log2(max(tokens, 1))))
+
+
+def start_weights(seed: int = 7, classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {"embed": rng.normal(0, 0.1, (CLASSES + 1, WIDTH)).astype(np.float32),
+    return {"embed": rng.normal(0, 0.1, (classes + 1, WIDTH)).astype(np.float32),
             "inner": rng.normal(0, 0.3, (2 * SIDE * WIDTH, HIDDEN)).astype(np.float32), "bias": np.zeros(HIDDEN, dtype=np.float32),
-            "outer": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), "base": np.zeros(CLASSES, dtype=np.float32)}
+            "outer": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32), "base": np.zeros(classes, dtype=np.float32)}
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
-    out, at, like = {}, 0, start_weights()
+def shaped(values: np.ndarray, classes: int = CLASSES) -> dict[str, np.ndarray]:
+    out, at, like = {}, 0, start_weights(classes=classes)
     for k in sorted(like):
         out[k] = values[at: at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
 
 
-def classes_of(words: np.ndarray, vocabulary: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Class of every word hash; ``vocabulary`` is sorted, ``order`` its classes."""
-    out = FREQUENT + (mix(words ^ U64(3)) % U64(HASHED)).astype(np.int64)
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        known = vocabulary[at] == words
-        out[known] = order[at[known]]
+def hashed_class(words: np.ndarray) -> np.ndarray:
+    """Shared class of every word hash, from 0."""
+    return (mix(words ^ U64(3)) % U64(HASHED)).astype(np.int64)
+
+
+def found(words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``among``, whether it is there) for every word hash."""
+    if not len(among):
+        return np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool)
+    at = np.minimum(np.searchsorted(among, words), len(among) - 1)
+    return at, among[at] == words
+
+
+def classes_of(words: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Class of every word hash: first the own classes, then the shared ones."""
+    out = vocabulary.own + hashed_class(words)
+    at, known = found(words, vocabulary.words)
+    out[known] = vocabulary.order[at[known]]
     return out
 
 
-def windows(tokens: np.ndarray, borders: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The ``2 * SIDE`` neighbours of the tokens at ``places``; beyond a text's ends the pad class."""
+def windows(tokens: np.ndarray, borders: np.ndarray, places: np.ndarray, pad: int = CLASSES) -> np.ndarray:
+    """The ``2 * SIDE`` neighbours of the tokens at ``places``; beyond a text's ends the class ``pad``."""
     doc = np.searchsorted(borders, places, side="right") - 1
-    out = np.full((len(places), 2 * SIDE), PAD, dtype=np.int64)
+    out = np.full((len(places), 2 * SIDE), pad, dtype=np.int64)
     for col, step in enumerate([s for s in range(-SIDE, SIDE + 1) if s]):
         at = places + step
         good = (at >= borders[doc]) & (at < borders[doc + 1])
@@ -86,52 +126,97 @@ def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return x, h, z
 
 
+def exponents(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, hidden and a one, their map to the classes, softmax before division by its sums), in few passes."""
+    x = w["embed"][around].reshape(len(around), -1)
+    h = np.ones((len(around), HIDDEN + 1), dtype=x.dtype)
+    np.tanh(x @ w["inner"] + w["bias"], out=h[:, :-1])
+    last = np.concatenate([w["outer"], w["base"][None, :]])
+    z = h @ last
+    if not np.abs(last).sum(axis=0).max() < 50:  # else exp stays far from overflow, as hidden values are within -1 and 1
+        z -= z.max(axis=1, keepdims=True)
+    return x, h, last, np.exp(z, out=z)
+
+
+def chosen(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of every target."""
+    e = exponents(w, around)[-1]
+    with np.errstate(divide="ignore"):
+        out = np.log(e[np.arange(len(target)), target]) - np.log(e @ np.ones(e.shape[1], dtype=e.dtype))
+    gone = np.flatnonzero(~np.isfinite(out))
+    if len(gone):
+        out[gone] = forward(w, around[gone])[2][np.arange(len(gone)), target[gone]]
+    return out
+
+
 def step(w: dict, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient step on a batch, in place."""
-    x, h, z = forward(w, around)
-    g = np.exp(z)
-    g[np.arange(len(target)), target] -= 1
-    g /= len(target)
-    back = (g @ w["outer"].T) * (1 - h * h)
-    inputs = (back @ w["inner"].T).reshape(-1, WIDTH)
-    w["outer"] -= rate * (h.T @ g)
-    w["base"] -= rate * g.sum(axis=0)
+    x, h, last, g = exponents(w, around)
+    g *= (1 / (len(target) * (g @ np.ones(g.shape[1], dtype=g.dtype))))[:, None]
+    g[np.arange(len(target)), target] -= 1 / len(target)
+    back = (g @ w["outer"].T) * (1 - h[:, :-1] ** 2)
+    inputs = back @ w["inner"].T
+    out = h.T @ g
+    w["outer"] -= rate * out[:-1]
+    w["base"] -= rate * out[-1]
     w["inner"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(axis=0)
-    np.subtract.at(w["embed"], around.ravel(), rate * inputs)
+    at = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    w["embed"] -= rate * np.bincount(at, inputs.ravel(), w["embed"].size).reshape(w["embed"].shape).astype(inputs.dtype)
 
 
 def own_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def vocabulary_of(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, their classes) of the most frequent words of all documents."""
+def vocabulary_of(docs: DataFrame) -> Vocabulary:
+    """All words of all documents, counted; the most frequent ones at hand."""
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch):
                 words, _ = word_hashes(data, offsets)
                 word, n = np.unique(words, return_counts=True)
                 if len(word):
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]  # so many rows at most
-    words = np.array(top, dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], order
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(hashed_class(word)), pa.array(n)], ["word", "shared", "n"])
+
+    counted = keep(docs.select("text").mapInArrow(run, "word long, shared long, n long").groupBy("word", "shared").agg(F.sum("n").alias("n")), "counted")
+    # kinds and tokens by shared class and by eighths of a doubling of the count
+    step_ = F.floor(8 * F.log2("n")).alias("step")
+    sizes = counted.groupBy("shared", step_).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()
+    totals, kinds = np.zeros(HASHED), {}
+    for r in sizes:
+        totals[r["shared"]] += r["n"]
+        kinds[r["step"]] = kinds.get(r["step"], 0) + r["kinds"]
+    own = own_classes(int(totals.sum()))
+    top = counted.orderBy(F.desc("n"), "word").limit(own).collect()  # so many rows at most
+    words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    for r in top:
+        totals[r["shared"]] -= r["n"]
+    least, room = np.inf, LISTED
+    for k in sorted(kinds, reverse=True):
+        room -= kinds[k]
+        if room < 0:
+            break
+        least = k
+    listed, halved = np.zeros(0, dtype=np.uint64), np.zeros(0)
+    if least < np.inf:
+        rows = counted.filter(F.floor(8 * F.log2("n")) >= F.lit(int(least))).select("word", "n").toArrow()  # LISTED rows at most
+        listed, halved = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy() - 0.5
+    order, by = np.argsort(words), np.argsort(listed)
+    return Vocabulary(words[order], order, listed[by], halved[by], totals, own, counted.select("word", F.col("n").alias("count")))
 
 
-def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after so many rounds of local steps and averaging."""
     spark = docs.sparkSession
-    weights = flat(start_weights())
+    classes = vocabulary.own + HASHED
+    weights = flat(start_weights(classes=classes))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((weights, *vocabulary))
+        sent = spark.sparkContext.broadcast((weights, (*vocabulary[:-1], None)))
 
         def run(batches):
-            values, words_, order = sent.value
-            w, seen, held = shaped(values), 0, []
+            values, voc = sent.value[0], Vocabulary(*sent.value[1])
+            w, seen, held = shaped(values, classes), 0, []
 
             def learn(least: int):
                 nonlocal held, seen
@@ -145,7 +230,7 @@ def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], rounds: in
             for batch in batches:
                 for _, _, data, offsets in text_chunks(batch):
                     words, borders = word_hashes(data, offsets)
-                    tokens = classes_of(words, words_, order)
+                    tokens = classes_of(words, voc)
                     # every document takes part, with places that differ by document and round
                     doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
                     start = borders[:-1][doc]
@@ -153,7 +238,7 @@ def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], rounds: in
                     phase = np.minimum(phase, (np.diff(borders)[doc] - 1))
                     places = np.flatnonzero((np.arange(len(words)) - start - phase) % EVERY == 0)
                     if len(places):
-                        held.append((windows(tokens, borders, places), tokens[places]))
+                        held.append((windows(tokens, borders, places, classes), tokens[places]))
                     learn(8 * BATCH)
             learn(1)
             if seen:
@@ -165,30 +250,52 @@ def train(docs: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], rounds: in
         total = np.zeros(len(weights) + 1)
         total[summed.column("i").to_numpy()] = summed.column("v").to_numpy()
         weights = (total[:-1] / total[-1]).astype(np.float32)
-    return shaped(weights)
+    return shaped(weights, classes)
 
 
-def scores(docs: DataFrame, weights: dict[str, np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray], block: int = 2048) -> DataFrame:
+def scores(docs: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabulary, block: int = BATCH) -> DataFrame:
     """(doc_id, n_tokens, log_probability, mean_log_probability)."""
-    sent = docs.sparkSession.sparkContext.broadcast((weights, *vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast((weights, (*vocabulary[:-1], None)))
 
     def run(batches):
-        w, words_, order = sent.value
+        w, voc = sent.value[0], Vocabulary(*sent.value[1])
+        pad, share = voc.own + HASHED, np.log(np.maximum(voc.totals, 1))
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
                 words, borders = word_hashes(data, offsets)
-                tokens = classes_of(words, words_, order)
+                tokens = classes_of(words, voc)
                 each = np.empty(len(tokens))
                 for a in range(0, len(tokens), block):
                     places = np.arange(a, min(a + block, len(tokens)))
-                    each[places] = forward(w, windows(tokens, borders, places))[2][np.arange(len(places)), tokens[places]]
+                    each[places] = chosen(w, windows(tokens, borders, places, pad), tokens[places])
+                # the word within its class: here if it is listed, or else as a row for the join
+                inner = np.flatnonzero(tokens >= voc.own)
+                at, known = found(words[inner], voc.listed)
+                each[inner] -= share[tokens[inner] - voc.own]
+                each[inner[known]] += np.log(voc.halved[at[known]])
+                rare = inner[~known]
+                doc = np.searchsorted(borders, rare, side="right") - 1
+                by = np.lexsort((words[rare], doc))
+                word, doc = words[rare][by], doc[by]
+                new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))[: len(word)])
                 total = np.diff(np.concatenate([[0.0], np.cumsum(each)])[borders])
-                n = np.diff(borders)
-                mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.slice(lo, hi - lo).column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mean, pa.float64())],
-                                                 ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, log_probability double, mean_log_probability double")
+                rows = row + np.arange(hi - lo)
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), pa.array(mix(rows.astype(np.uint64)).view(np.int64)), pa.nulls(hi - lo, pa.int64()), batch.slice(lo, hi - lo).column("doc_id"),
+                     pa.array(np.diff(borders).astype(np.int64)), pa.array(total)], names)
+                if len(new):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows[doc[new]]), pa.array(word[new].view(np.int64)), pa.array(np.diff(np.append(new, len(word)))), pa.nulls(len(new), pa.int64()),
+                         pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.float64())], names)
+
+    names = ["row", "word", "n", "doc_id", "n_tokens", "sum"]
+    # a row per document, dealt by its number, and one per document and word that is not listed
+    parts = docs.mapInArrow(run, "row long, word long, n long, doc_id long, n_tokens long, sum double").join(vocabulary.counted, "word", "left")
+    total = F.sum(F.coalesce("sum", F.col("n") * F.log(F.coalesce("count", F.lit(1)) - 0.5)))
+    return (parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total.alias("log_probability"))
+            .select("doc_id", "n_tokens", "log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).alias("mean_log_probability")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -390,6 +390,54 @@ def test_pseudo_likelihood(spark, docs, rows, clash, empty):
     assert op8.scores(none, op8.train(none, op8.vocabulary_of(none)), op8.vocabulary_of(none)).count() == 0
 
 
+def brute_scores(texts_, w, voc, counts):
+    """Log-probability of every text: class given its neighbours, word given its class."""
+    out = []
+    for t in texts_:
+        words, _ = op8.word_hashes(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))
+        cls, total = op8.classes_of(words, voc), 0.0
+        padded = np.concatenate([[voc.own + op8.HASHED] * op8.SIDE, cls, [voc.own + op8.HASHED] * op8.SIDE])
+        for i, (h, c) in enumerate(zip(words.tolist(), cls)):
+            around = np.delete(padded[i: i + 2 * op8.SIDE + 1], op8.SIDE)
+            total += op8.forward(w, around[None, :])[2][0, c]
+            if c >= voc.own:
+                shared = sum(n for x, n in counts.items() if op8.classes_of(np.array([x], dtype=np.uint64), voc)[0] == c)
+                total += np.log((max(counts[h], 1) - 0.5) / max(shared, 1))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("listed", [1 << 16, 500, 0])
+def test_scores_are_of_words_not_of_classes(spark, monkeypatch, listed):
+    """Every word counts by itself, listed or joined: gibberish falls below the corpus' own rare words of the same classes."""
+    monkeypatch.setattr(op8, "LISTED", listed)
+    r = random.Random(4)
+    texts_ = [" ".join("v%d" % r.randrange(1500) for _ in range(60)) for _ in range(150)]
+    own = op8.own_texts(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3))
+    voc = op8.vocabulary_of(own)
+    assert len(voc.words) == voc.own and len(voc.listed) <= listed
+    counts = Counter()
+    for t in texts_:
+        counts.update(op8.word_hashes(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+    assert {(x["word"] % 2**64, x["count"]) for x in voc.counted.collect()} == set(counts.items())
+    w = op8.start_weights(classes=voc.own + op8.HASHED)
+    ask = texts_[:5] + ["zzq%d never%d seen%d" % (i, i, i) for i in range(3)]
+    got = {x["doc_id"]: x["log_probability"] for x in op8.scores(op8.own_texts(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string")), w, voc).collect()}
+    assert np.allclose([got[i] for i in range(len(ask))], brute_scores(ask, w, voc, counts), rtol=1e-4)
+    # two words of one class, one counted often and one never
+    shared = {"v%d" % i: c for i in range(1500) for h in [op8.word_hashes(np.frombuffer(b"v%d" % i, dtype=np.uint8), np.array([0, len("v%d" % i)]))[0]]
+              for c in [int(op8.classes_of(h, voc)[0])] if c >= voc.own and counts[int(h[0])] > 1}
+    known, cls = next(iter(shared.items()))
+    other = next(g for g in ("g%d" % i for i in range(9999)) if op8.classes_of(op8.word_hashes(np.frombuffer(g.encode(), dtype=np.uint8), np.array([0, len(g)]))[0], voc)[0] == cls)
+    pair = {x["doc_id"]: x["log_probability"] for x in op8.scores(op8.own_texts(spark.createDataFrame([(1, known), (2, other)], "doc_id long, text string")), w, voc).collect()}
+    assert pair[1] > pair[2] + 1
+
+
+def test_own_classes_grow_with_the_corpus():
+    assert op8.own_classes(0) == op8.FREQUENT
+    assert op8.own_classes(2**30) == op8.own_classes(2**29) + op8.OWN
+
+
 def test_training_learns_order(spark):
     r = random.Random(1)
     ring = ["r%d" % i for i in range(12)]
