@@ -17,7 +17,8 @@ the others are joined.
 
 The network is trained in numpy where the documents
 are: in each round every task runs over its documents' training places (one in
-``EVERY``, of every document) from the same weights, and the weights are averaged by
+``EVERY`` of every document, other ones in each round, so that the rounds together
+take every token of the corpus once) from the same weights, and the weights are averaged by
 their number of places. Counts and weights are summed by Spark; the driver holds
 the listed words and one set of weights only.
 
@@ -43,7 +44,8 @@ by_value(__name__)
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 320, 64, 2, 12, 16
 OWN, LISTED = 16, 1 << 16
-EVERY, ROUNDS, RATE, BATCH = 16, 2, 0.5, 256
+ROUNDS, RATE, BATCH = 2, 0.5, 256
+EVERY = ROUNDS
 CLASSES = FREQUENT + HASHED
 
 
@@ -206,6 +208,14 @@ def vocabulary_of(docs: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], order, listed[by], halved[by], totals, own, counted.select("word", F.col("n").alias("count")))
 
 
+def training_places(words: np.ndarray, borders: np.ndarray, turn: int) -> np.ndarray:
+    """Places trained in a round: one in ``EVERY`` of each document from a phase that moves on by round, so that ``EVERY`` rounds take each place once."""
+    lengths = np.diff(borders)
+    start = np.repeat(borders[:-1], lengths)
+    phase = (mix(words[start]) + U64(turn)) % U64(EVERY)
+    return np.flatnonzero((np.arange(len(words)) - start) % EVERY == phase.astype(np.int64))
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after so many rounds of local steps and averaging."""
     spark = docs.sparkSession
@@ -231,12 +241,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
                 for _, _, data, offsets in text_chunks(batch):
                     words, borders = word_hashes(data, offsets)
                     tokens = classes_of(words, voc)
-                    # every document takes part, with places that differ by document and round
-                    doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-                    start = borders[:-1][doc]
-                    phase = (mix(words[start] + U64(turn)) % U64(EVERY)).astype(np.int64) if len(words) else doc
-                    phase = np.minimum(phase, (np.diff(borders)[doc] - 1))
-                    places = np.flatnonzero((np.arange(len(words)) - start - phase) % EVERY == 0)
+                    places = training_places(words, borders, turn)
                     if len(places):
                         held.append((windows(tokens, borders, places, classes), tokens[places]))
                     learn(8 * BATCH)
@@ -245,8 +250,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values) + 1, dtype=np.int32)), pa.array(np.append(flat(w).astype(np.float64) * seen, float(seen)))], ["i", "v"])
 
         summed = docs.select("text").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row per weight
-        if not summed.num_rows:
-            break
+        if not summed.num_rows:  # no places in this round
+            continue
         total = np.zeros(len(weights) + 1)
         total[summed.column("i").to_numpy()] = summed.column("v").to_numpy()
         weights = (total[:-1] / total[-1]).astype(np.float32)

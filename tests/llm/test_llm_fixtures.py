@@ -451,6 +451,29 @@ def test_training_learns_order(spark):
     assert good > bad + 1 and good > -2
 
 
+def test_rounds_train_every_place_once():
+    r = np.random.default_rng(6)
+    lengths = np.array([1, 1, 0, 2, 3, 15, 16, 17, 400, 1])
+    borders = np.concatenate([[0], np.cumsum(lengths)])
+    words = r.integers(0, 2**63, borders[-1]).astype(np.uint64)
+    taken = np.concatenate([op8.training_places(words, borders, turn) for turn in range(op8.ROUNDS)])
+    assert sorted(taken.tolist()) == list(range(borders[-1]))
+    assert len(op8.training_places(words[:0], np.array([0, 0]), 0)) == 0
+
+
+def test_production_rounds_learn_order(spark):
+    r = random.Random(1)
+    ring = ["r%d" % i for i in range(12)]
+    rows = [(i, " ".join(ring[(s + j) % 12] for j in range(200))) for i, s in enumerate(r.randrange(12) for _ in range(900))]
+    own = op8.own_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    voc = op8.vocabulary_of(own)
+    w = op8.train(own, voc)
+    shuffled = [(i, " ".join(r.sample(t.split(), 200))) for i, t in rows[:20]]
+    good, bad = (np.mean([x["mean_log_probability"] for x in op8.scores(d, w, voc).collect()])
+                 for d in (own, op8.own_texts(spark.createDataFrame(shuffled, "doc_id long, text string"))))
+    assert good > bad + 1 and good > -2
+
+
 def test_gradients_match_differences():
     w = op8.start_weights(3)
     w = {k: v.astype(np.float64) for k, v in w.items()}
