@@ -19,3 +19,5 @@ LAYER_ALIASES = {
     "PR_RPE": "PhotoR+RPE",
     "CC_CS": "Choroid",
 }
+# Layers whose vector lengths set the goal length of CVI vectors.
+LAYERS_THICKNESS = ("RNFL", "GCL+IPL", "INL+OPL", "ONL", "PhotoR+RPE", "Choroid", "OS")

@@ -78,19 +78,20 @@ def _edges(df: DataFrame, keys: Sequence[str], pos: str, v: str) -> DataFrame:
             .withColumn("_last", F.max(known).over(w)))
 
 
-def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal: int) -> DataFrame:
-    """Strip null ends to about the goal length (within 8 %), else centre crop.
+def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal: int | str) -> DataFrame:
+    """Strip null ends to about the goal length (within 8 %), else centre crop. ``goal`` is a number or a column.
 
     Positions restart at 0 and remaining nulls become 0; vectors without any
     value are dropped.
     """
     e = _edges(df, keys, pos, v).filter(F.col("_first").isNotNull())
     n, s, z = F.col("_n"), F.col("_first"), F.col("_n") - 1 - F.col("_last")
+    goal = F.col(goal) if isinstance(goal, str) else F.lit(goal)
     left, right = n - z - goal, n - s - goal
     ns = F.when(left > 0, F.least(s, left)).otherwise(s)
     ne = F.when(right > 0, F.least(z, right)).otherwise(z)
-    ratio = (n - ne - ns) / float(goal)
-    near = n - z - s < 1.08 * goal
+    ratio = (n - ne - ns) / goal.cast("double")
+    near = n - z - s < F.lit(1.08) * goal
     close = (ratio > 0.92) & (ratio < 1.08)
     half = F.floor((n - goal) / 2).cast("int")
     start = F.when(near, s).when(close, ns).otherwise(half)
@@ -99,21 +100,21 @@ def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal:
             .select(*keys, (F.col(pos) - start).cast("int").alias(pos), F.coalesce(F.col(v), F.lit(0.0)).alias(v)))
 
 
-def resample(df: DataFrame, keys: Sequence[str], pos: str, v: str, length: int) -> DataFrame:
-    """Stretch each vector linearly to ``length``; nulls count as 0 and exact
+def resample(df: DataFrame, keys: Sequence[str], pos: str, v: str, length: int | str) -> DataFrame:
+    """Stretch each vector linearly to ``length``, a number or a column; nulls count as 0 and exact
     zeros become null again. Each sample emits the targets up to its successor,
     so one shuffle on the vector key is enough."""
     w = W.partitionBy(*keys)
-    e = df.select(*keys, F.col(pos).alias("_p"), F.coalesce(F.col(v), F.lit(0.0)).alias("_v"))
+    e = df.select(*keys, F.col(pos).alias("_p"), F.coalesce(F.col(v), F.lit(0.0)).alias("_v"), ((F.col(length) if isinstance(length, str) else F.lit(length)) - 1).cast("int").alias("_goal"))
     e = (e.withColumn("_n", F.max("_p").over(w) + 1)
          .withColumn("_next", F.lead("_v").over(w.orderBy("_p"))))
-    span, goal = F.col("_n") - 1, F.lit(length - 1)
+    span, goal = F.col("_n") - 1, F.col("_goal")
     lo = F.when(span == 0, F.lit(0)).otherwise(F.ceil(F.col("_p") * goal / span).cast("int"))
     hi = F.when(span == 0, goal).when(F.col("_p") == span, goal).otherwise(
         F.ceil((F.col("_p") + 1) * goal / span).cast("int") - 1)
     t = e.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn(
         "_j", F.explode(F.sequence("_lo", "_hi")))
-    at = F.col("_j") * span / F.lit(float(length - 1))
+    at = F.when(goal == 0, 0.0).otherwise(F.col("_j") * span / F.when(goal != 0, goal.cast("double")))
     val = F.col("_v") + (F.coalesce("_next", "_v") - F.col("_v")) * (at - F.floor(at))
     return t.select(*keys, F.col("_j").alias(pos), val.alias("_x")).select(
         *keys, pos, F.when(F.col("_x") != 0, F.col("_x")).alias(v))

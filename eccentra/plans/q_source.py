@@ -117,6 +117,28 @@ def _(b):
     return R.layer_documents(b.spark, path).withColumn("spacing_y", F.col("spacing.y")).drop("spacing")
 
 
+@query("scan_layer_collection")
+def _(b):
+    """All three documents of a subject and acquisition: thicknesses, with the RNFL
+    vector as PR_RPE too; CVI vectors with null ends; OS vectors, one longer, of two slices in three."""
+    key = ["subject_id", "session_id", "acq"]
+    vec = b.v_obs.withColumn("acq", F.floor(F.col("obs_id") / 1e5).cast("bigint")).groupBy(*key, "e10", "raw_layer").agg(F.sort_array(F.collect_list("thickness")).alias("vector"))
+    both = vec.withColumn("raw_layer", F.explode(F.when(F.col("raw_layer") == "RNFL", F.array(F.lit("RNFL"), F.lit("PR_RPE"))).otherwise(F.array("raw_layer"))))
+    rnfl, none = vec.filter("raw_layer = 'RNFL'"), F.array(F.lit(None).cast("double"))
+    slices = {"thickness": both.groupBy(*key, "e10").agg(F.map_from_entries(F.collect_list(F.struct("raw_layer", F.struct("vector")))).alias("body")),
+              "cvis": rnfl.select(*key, "e10", F.struct(F.concat(none, F.transform("vector", lambda x: x / 64), none).alias("vector")).alias("body")),
+              "os": rnfl.filter("pmod(e10, 3) > 0").select(*key, "e10", F.struct(F.concat("vector", F.array(F.lit(8.0))).alias("vector")).alias("body"))}
+    path = scratch_path(b.spark, "collection")
+    for name, s in slices.items():
+        st = s.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("e10").cast("string").alias("k"), "body"))).alias("slices"))
+        doc = F.struct(F.create_map(F.concat(F.lit("study_"), F.col("acq").cast("string")), "slices").alias("study"),
+                       *[F.struct(F.lit(0.0117).alias("x"), F.lit(0.0625).alias("y"), F.lit(0.0039).alias("z")).alias("spacing")] * (name == "thickness"))
+        (st.select(F.col("subject_id").alias("Subject"), F.col("session_id").alias("Session"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
+         .repartition("Subject", "Session").write.partitionBy("Subject", "Session").text(f"{path}/{name}"))
+    out = R.layer_collection(b.spark, f"{path}/thickness", f"{path}/cvis", f"{path}/os")
+    return out.withColumn("spacing_y", F.col("spacing.y")).drop("spacing")
+
+
 BROWSE = """ds AS (SELECT CAST(floor(o_orderkey / 24) AS BIGINT) AS patient, CAST(floor(o_orderkey / 8) AS BIGINT) AS study, o_orderkey AS dataset, o_orderpriority IN ('1-URGENT', '2-HIGH') AS cube, o_orderkey % 7 / 4e0 AS value FROM orders)"""
 
 

@@ -28,6 +28,7 @@ COMPONENTS = _struct(("name", S), ("x", S), ("y", D), ("image_size", S), ("i", I
 REGISTRATION = _struct(("image", L), ("dx", D), ("dy", D), ("score", D))
 VECTOR = T.MapType(S, T.MapType(S, _struct(("vector", T.ArrayType(D)))))
 LAYER_DOC = _struct(("study", T.MapType(S, VECTOR)), ("spacing", _struct(("x", D), ("y", D), ("z", D))))
+SLICE_DOC = _struct(("study", T.MapType(S, T.MapType(S, _struct(("vector", T.ArrayType(D)))))))
 DATASET = _struct(("info", _struct(("id", L), ("laterality", S), ("layerVariants", T.ArrayType(S)))),
                   ("oct", _struct(("info", _struct(("spacing", _struct(("x", D), ("y", D), ("z", D))))))),
                   ("tvss", T.MapType(S, T.ArrayType(D))), ("cvis", T.MapType(S, T.ArrayType(D))))

@@ -84,20 +84,56 @@ def raw_densities(spark: SparkSession, path_x: str, path_y: str, named: bool = T
     return null_missing(parts[0].unionByName(parts[1]))
 
 
-def layer_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sample of every layer vector of JSON documents, one document
-    per line."""
+def _layer_vectors(spark: SparkSession, path: str) -> DataFrame:
     docs = _glob(spark).text(path)
     d = docs.select(*path_ids(), F.from_json("value", schemas.LAYER_DOC).alias("d"))
     s = d.select("subject_id", "session_id", "d.spacing", F.explode("d.study").alias("study", "slices"))
     s = s.select("subject_id", "session_id", "spacing", "study", F.explode("slices").alias("slice", "layers"))
     s = s.select("subject_id", "session_id", "spacing", "study", F.col("slice").cast("int").alias("slice"), F.explode("layers").alias("name", "body"))
-    out = s.select("subject_id", "session_id", "spacing", "study", "slice", grid.canonical_layer(F.col("name")).alias("layer"),
-                   F.posexplode("body.vector").alias("pos", "thickness"))
+    return s.select("subject_id", "session_id", "spacing", "study", "slice", grid.canonical_layer(F.col("name")).alias("layer"), F.col("body.vector").alias("vector"))
+
+
+def _samples(vectors: DataFrame) -> DataFrame:
+    out = vectors.select(*[c for c in vectors.columns if c != "vector"], F.posexplode("vector").alias("pos", "thickness"))
     v = F.col("thickness")
     return out.withColumn("thickness", F.when(~F.isnan(v) & (v != 0), v))
 
 
+def layer_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per sample of every layer vector of JSON documents, one document
+    per line."""
+    return _samples(_layer_vectors(spark, path))
+
+
+def _slice_vectors(spark: SparkSession, path: str) -> DataFrame:
+    s = _glob(spark).text(path).select(*path_ids(), F.explode(F.from_json("value", schemas.SLICE_DOC)["study"]).alias("study", "slices"))
+    s = s.select("subject_id", "session_id", "study", F.explode("slices").alias("slice", "body"))
+    s = s.select("subject_id", "session_id", "study", F.col("slice").cast("int").alias("slice"), F.posexplode("body.vector").alias("pos", "v"))
+    return s.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str) -> DataFrame:
+    """Samples of all three layer documents of a visit.
+
+    OS vectors are stretched to the length of their slice's PR_RPE vector; a slice
+    of thicknesses without one has that many nulls. Null ends of CVI vectors are
+    trimmed to the mean length of the study's thickness vectors, cut to a whole number.
+    """
+    study, at = ["subject_id", "session_id", "study"], ["subject_id", "session_id", "study", "slice"]
+    vectors = _layer_vectors(spark, thickness)
+    size = F.size("vector")
+    goals = vectors.filter(F.col("layer").isin(list(K.LAYERS_THICKNESS))).groupBy(*study).agg(F.floor(F.avg(size)).cast("int").alias("goal"))
+    spacing = vectors.groupBy(*study).agg(F.first("spacing", True).alias("spacing"))
+    lengths = vectors.filter(F.col("layer") == K.LAYER_ALIASES["PR_RPE"]).select(*at, size.alias("goal"))
+    raw = _slice_vectors(spark, os)
+    given = grid.resample(raw.join(lengths.filter("goal > 0"), at), at, "pos", "v", "goal")
+    missing = lengths.filter("goal > 0").join(raw, at, "left_anti").select(*at, F.explode(F.sequence(F.lit(0), F.col("goal") - 1)).alias("pos"), F.lit(None).cast("double").alias("v"))
+    trimmed = grid.trim_null_edges(_slice_vectors(spark, cvis).join(goals, study), at, "pos", "v", "goal")
+    more = given.unionByName(missing).withColumn("layer", F.lit("OS")).unionByName(trimmed.withColumn("layer", F.lit("CVI"))).join(spacing, study)
+    out = _samples(vectors)
+    return out.unionByName(more.withColumnRenamed("v", "thickness").select(*out.columns))
+
+
 def browse_export(spark: SparkSession, path: str, variant: str = "OCT_CUBE") -> DataFrame:
     """The single cube dataset of each patient and study; others are flagged by
     their count instead of stopping the job."""

@@ -241,3 +241,28 @@ def test_slope_median_with_ties_equals_all_pairs(spark):
     got = fits.theil_sen(df, ["g"], "x", "y").first()
     assert got.slope == pytest.approx((slopes[(m - 1) // 2] + slopes[m // 2]) / 2, abs=1e-12)
     assert got.lower in slopes and got.upper in slopes and got.lower < got.slope < got.upper
+
+
+def test_layer_collection_reads_all_three_documents(spark, tmp_path):
+    import json
+
+    from eccentra.sources import readers as R
+
+    thick = {"study": {"s": {"0": {"PR_RPE": {"vector": [1.0] * 5}, "RNFL": {"vector": [2.0] * 4}}, "1": {"PR_RPE": {"vector": [3.0] * 3}}, "2": {"RNFL": {"vector": [7.0] * 4}}}},
+             "spacing": {"x": 1.0, "y": 2.0, "z": 3.0}}
+    osd = {"study": {"s": {"0": {"vector": [2.0, None, 4.0]}}}}
+    cvi = {"study": {"s": {"0": {"vector": [None, 0.5, None, 0.25, 0.75, None]}, "1": {"vector": [float(i) for i in range(1, 11)]}}}}
+    for name, doc in (("t", thick), ("c", cvi), ("o", osd)):
+        at = tmp_path / name / "Subject=4" / "Session=1"
+        at.mkdir(parents=True)
+        (at / "doc.json").write_text(json.dumps(doc))
+    out = {}
+    for r in R.layer_collection(spark, *(str(tmp_path / n) for n in "tco")).collect():
+        assert (r.subject_id, r.session_id, r.study, r.spacing.y) == (4, 1, "s", 2.0)
+        out.setdefault((r.layer, r.slice), {})[r.pos] = r.thickness
+    vec = {k: [v[i] for i in range(len(v))] for k, v in out.items()}
+    stretched = np.interp(np.linspace(0, 2, 5), np.arange(3), [2, 0, 4])
+    assert vec[("OS", 0)] == [x if x else None for x in stretched] and vec[("OS", 1)] == [None] * 3 and ("OS", 2) not in vec
+    assert vec[("CVI", 0)] == [0.5, 0.0, 0.25, 0.75]  # goal: mean of 5, 4, 3, 4
+    assert vec[("CVI", 1)] == [4.0, 5.0, 6.0, 7.0]  # cropped about the centre
+    assert vec[("RNFL", 2)] == [7.0] * 4 and vec[("PhotoR+RPE", 1)] == [3.0] * 3
