@@ -20,9 +20,10 @@ lines whose key is shorter than ``least`` stay. Two 64-bit hashes stand for a
 key. A document (row) counts once for a line, however often it repeats it;
 repeated rows and null ids count like others. Null text counts as one empty line
 and, in the stage's columns, stays null. A line in all documents is one row per task once
-counted, and documents meet the settled lines by their text's hashes: texts without any settled line pass by
-a filter of fixed size that is a literal of the plan; when it fills up, more
-texts reach the join and results are the same. Extra columns are ignored by the
+counted. Lines that may be settled, by a filter of fixed size that is a literal of
+the plan, meet the settled lines; texts that surely lose none pass beside the join
+by another such filter; when filters fill up, more rows are joined and
+results are the same. Extra columns are ignored by the
 query and kept by ``dropped``; an empty table gives an empty result.
 """
 
@@ -148,22 +149,23 @@ def dropped(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, batches: in
     settled = frequent_lines(docs, limit, least, batches, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     filled = bits_of(settled.select("h"), "h")
-    marked = docs.select(F.struct("*").alias("row"), text.alias("text"), *keys(text), line_hashes(text, least).alias("hashes"))
-    suspect = F.exists("hashes", lambda x: x.isNotNull() & may_hold(filled, x["h"]))
+    marked = docs.select(F.struct("*").alias("row"), text.alias("text"), *keys(text))
 
-    # places of settled lines, per distinct text among the suspects
-    places = (marked.filter(suspect).select("k1", "k2", F.posexplode("hashes").alias("at", "x")).filter(F.col("x").isNotNull() & may_hold(filled, F.col("x.h")))
-              .select("k1", "k2", "at", "x.h", "x.g").distinct().join(settled, ["h", "g"]))
+    # places of lines that may be settled, per distinct text
+    likely = F.filter(F.transform(line_hashes(text, least), lambda x, i: F.struct(i.alias("at"), x["h"].alias("h"), x["g"].alias("g"))), lambda x: x["h"].isNotNull() & may_hold(filled, x["h"]))
+    places = docs.select(*keys(text), F.explode(likely).alias("x")).select("k1", "k2", "x.*").distinct().join(settled, ["h", "g"])
     found = keep(places.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "places")
 
-    n = F.size(lines(F.col("text"))).cast("long")
-    rest = marked.filter(~suspect).select("row.*", n.alias("_lines"), F.lit(0).cast("long").alias("_dropped"), F.col("text").alias("_text"))
+    # texts that surely lose no line pass beside the join
+    again = bits_of(found.select("k1"), "k1")
+    suspect, n = may_hold(again, F.col("k1")), F.size(lines(F.col("text"))).cast("long")
+    rest = marked.filter(~suspect).select("row", n.alias("_lines"), F.lit(0).cast("long").alias("_dropped"), F.col("text").alias("_text"))
     left = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i))
-    hit = marked.filter(suspect).select("row", "text", "k1", "k2").join(found, ["k1", "k2"], "left")
+    hit = marked.filter(suspect).join(found, ["k1", "k2"], "left")
     stays = F.col("gone").isNull()
-    hit = hit.select("row.*", n.alias("_lines"), F.when(stays, F.lit(0)).otherwise(F.size("gone")).cast("long").alias("_dropped"),
+    hit = hit.select("row", n.alias("_lines"), F.when(stays, F.lit(0)).otherwise(F.size("gone")).cast("long").alias("_dropped"),
                      F.when(stays, F.col("text")).otherwise(F.array_join(left, "\n")).alias("_text"))
-    return hit.unionByName(rest)
+    return hit.unionByName(rest).select("row.*", *ADDED)  # apart, as columns of the row may have any name
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def stored(rows: DataFrame, mean: np.ndarray, basis: np.ndarray, dim: int) -> Da
             ints = np.floor(SCALE * np.where(wide[:, None], 0.0, x))
             lead, rest = sketches(ints, centre, basis)
             offsets = np.arange(0, dim * (len(x) + 1), dim, dtype=np.int32)
-            v = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(wide, False)), pa.array(ints.astype(np.int64).ravel()))
+            v = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ints.astype(np.int64).ravel()), mask=pa.array(wide))
             w = pa.array([r.tolist() if far else None for r, far in zip(x, wide)], pa.list_(pa.float64()))
             p = pa.ListArray.from_arrays(pa.array(np.arange(0, basis.shape[1] * (len(x) + 1), basis.shape[1], dtype=np.int32)), pa.array(lead.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), v, w, p, pa.array(rest)], ["vec_id", "v", "w", "lead", "rest"])
