@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a blockwise suffix order with cover-sample ranks.
+"""Removal of repeated byte strings by sorted suffix buckets with cover-sample ranks.
 
 Every byte covered by a string of ``LENGTH`` bytes that starts twice goes. The
 suffixes in question are the windows of ``LENGTH`` bytes. As in difference-cover
@@ -9,22 +9,26 @@ construction,
   windows have their sample position at the same place; a cover by residues
   would hold six times as many positions. The windows that share a sample
   position form a run; the run's rank stands for all its bytes.
-* suffixes fall into *buckets* by the gram at their sample position, and only
-  suffixes in one bucket are ever set against each other, one bucket at a time;
-  a bucket is worked on as rows, so its size does not bound a task's memory.
-* *long ties* are resolved by the ranks: runs of equal rank are equal in all
+* suffixes fall into *buckets* by the gram at their sample position. Buckets
+  are range-partitioned and sorted, by rank within and by place within a rank, and
+  worked on one after the other as the sorted rows go by: a row is only ever set
+  against the one before it. A bucket, or a rank of it, may span any number of
+  tasks; what meets at the borders of tasks, two rows each, is settled in a small table.
+* *long ties* are resolved by the ranks: neighbours of equal rank are equal in all
   their windows and no byte of them is compared again. A bucket with one rank
   is done, a bucket seen once drops out.
-* what is left, windows of different ranks in one bucket, is ordered first by
+* what is left, windows of different ranks in one bucket, is sorted likewise, first by
   the hash of a block of ``BLOCK`` bytes on a grid that hangs on the sample
-  position, then, where blocks tie, by the hash of the whole window.
+  position, then, where neighbouring blocks tie, by the hash of the whole window.
 
-Ranks and ties are 64-bit hashes within 64-bit buckets. Texts are keyed by
+The order is that of hashes and not of letters: only equal strings need to lie
+side by side. Ranks and ties are 64-bit hashes within 64-bit buckets. Texts are keyed by
 their content (two 64-bit hashes), so repeated rows, equal texts and null ids
 need no care; null text counts as empty, texts shorter than ``LENGTH`` never
-match. Copies are summed per task before the shuffle, and joins with many
-copies are left to adaptive splitting. Long texts are worked on in segments.
-Extra columns are ignored; an empty table gives an empty result.
+match. A text that occurs twice repeats as a whole: its copies are counted, one
+copy per task is looked at, and equal rows beside each other count once.
+Long texts are worked on in segments. Extra columns are ignored by the query and kept by ``trimmed``;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,16 +105,30 @@ def in_filter(values: np.ndarray, second: np.ndarray, words: np.ndarray) -> np.n
     return good
 
 
+def unseen(batch: pa.RecordBatch, seen: set[int], among: np.ndarray | None = None) -> np.ndarray:
+    """Rows ``among`` the batch's whose text the task did not meet before (beyond so many texts it forgets, and copies are only more work)."""
+    k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+    good = np.ones(len(k1), dtype=bool) if among is None else among.copy()
+    for r in np.flatnonzero(good):
+        k = int(k1[r]) << 64 | (int(k2[r]) & 0xFFFFFFFFFFFFFFFF)
+        if k in seen:
+            good[r] = False
+        elif len(seen) < 500_000:
+            seen.add(k)
+    return good
+
+
 def runs(texts: DataFrame, filled: np.ndarray | None = None) -> DataFrame:
-    """Runs of all texts; with a filter of buckets only those that may be in it.
+    """Runs of all texts, of copies in a task one; with a filter of buckets only those that may be in it.
 
     The filter's two places are those of the bucket itself and of its mixed value.
     """
     sent = None if filled is None else texts.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
-        gram, whole = Rolling(41), Rolling(42)
+        gram, whole, seen = Rolling(41), Rolling(42), set()
         for batch in batches:
+            batch = batch.filter(pa.array(unseen(batch, seen)))
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             for lo, _, data, offsets in text_chunks(batch):
                 text, i, n, d, bucket, rank = runs_of(data, offsets, gram, whole)
@@ -147,12 +165,7 @@ def some_texts(texts: DataFrame, filled: np.ndarray, inside: bool = True, once:
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             good = in_filter(k1, k2, sent.value) == inside
             if once:
-                for r in np.flatnonzero(good):
-                    k = int(k1[r]) << 64 | (int(k2[r]) & 0xFFFFFFFFFFFFFFFF)
-                    if k in seen:
-                        good[r] = False
-                    elif len(seen) < 500_000:
-                        seen.add(k)
+                good = unseen(batch, seen, good)
             if good.any():
                 yield batch.filter(pa.array(good))
 
@@ -214,31 +227,98 @@ def hashed_parts(rows: DataFrame, windows: bool) -> DataFrame:
     return rows.select("k1", "k2", "text", "runs").mapInArrow(run, schema)
 
 
-def repeated(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(k1, k2, i, n) and the tables behind them: distinct runs of windows that start more than once, per distinct text; texts as ``keyed``."""
-    buckets = (runs(texts).groupBy("bucket").agg(F.count("*").alias("seen"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("seen > 1"))
-    buckets = keep(buckets.select("bucket", (F.col("lo") == F.col("hi")).alias("tied")), "buckets")
-    shared = keep(runs(texts, bucket_filter(buckets)).join(buckets, "bucket"), "shared")
-    spans = shared.filter("tied").select("k1", "k2", "i", "n")
+def changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row differs from the one before it in any of the columns; true for the first."""
+    out = np.zeros(rows.num_rows, dtype=bool)
+    out[:1] = True
+    for c in columns:
+        values = rows.column(c).to_numpy()
+        out[1:] |= values[1:] != values[:-1]
+    return out
+
+
+def beside(rows: DataFrame, bucket: str, tie: str, place: list[str], keep_columns: list[str]) -> DataFrame:
+    """Rows sorted by (bucket, tie, place) with what their neighbours say; equal rows count once.
+
+    ``again``: a neighbour has the same bucket and tie. ``pick``: the row stands for its tie in a bucket of several ties.
+    ``border``: the first or the last row of a task, which may have neighbours in the task beside; it is picked in any case.
+    """
+    order = [bucket, tie, *place]
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep_columns) + ", again boolean, pick boolean, border boolean"
+
+    def run(batches):
+        held, same, led, first = None, False, False, True  # the last row, and whether its tie had one before it in the task, and in the bucket
+
+        def out(t, again, pick, border):
+            return pa.Table.from_arrays([t.column(c) for c in keep_columns] + [pa.array(x) for x in (again, pick, border)], names=[*keep_columns, "again", "pick", "border"]).combine_chunks().to_batches()
 
-    ranked = keep(shared.filter("not tied").groupBy("bucket", "rank").agg(
-        F.count("*").alias("c"), F.min(F.struct("k1", "k2", "i", "n", "d")).alias("one")).select("bucket", "rank", "c", "one.*"), "ranked")
-    twice = ranked.filter("c > 1").select("bucket", "rank")
-    spans = spans.unionByName(shared.filter("not tied").join(twice, ["bucket", "rank"]).select("k1", "k2", "i", "n"))
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            t = t.filter(pa.array(changes(t, order)))  # equal rows
+            n = t.num_rows
+            if not n:
+                continue
+            new_tie, new_bucket = changes(t, [bucket, tie]), changes(t, [bucket])
+            start = np.flatnonzero(new_tie)
+            # whether the tie of a row follows another one of its bucket
+            after = ~new_bucket[start]
+            if held is not None:
+                new_tie[0], after[0] = not same, led
+            after = np.repeat(after, np.diff(np.append(start, n)))
+            again, pick = ~new_tie, new_tie & after
+            again[:-1] |= ~new_tie[1:]
+            pick[:-1] |= new_tie[1:] & ~new_bucket[1:] & ~after[:-1]
+            border = np.zeros(n, dtype=bool)
+            border[0] = first
+            pick |= border
+            if n > 1:
+                yield from out(t.slice(0, n - 1), again[:-1], pick[:-1], border[:-1])
+                first = False
+            held, same, led = t.slice(n - 1), bool(not new_tie[-1]), bool(after[-1])
+        if held is not None:
+            yield from out(held, np.array([same]), np.array([True]), np.array([True]))
+
+    return laid.mapInArrow(run, schema)
+
+
+def settled(marked: DataFrame, bucket: str, tie: str, place: list[str]) -> DataFrame:
+    """Rows of ``beside`` that have a neighbour of the same bucket and tie in their own task or across a border."""
+    border = marked.filter("border")  # two rows per task
+    met = border.groupBy(bucket, tie).agg(F.countDistinct(*place).alias("_m")).filter("_m > 1").select(bucket, tie)
+    return marked.filter("again").unionByName(border.filter("not again").join(met, [bucket, tie], "left_semi").select(*marked.columns))
+
+
+def repeated(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, i, n) and the tables behind them: runs of windows that start more than once, per distinct text; texts as ``keyed``."""
+    buckets = keep(runs(texts).groupBy("bucket").agg(F.count("*").alias("seen")).filter("seen > 1").select("bucket"), "buckets")
+    shared = keep(runs(texts, bucket_filter(buckets)), "shared")
+    where = ["k1", "k2", "i"]
+    ranked = keep(beside(shared, "bucket", "rank", where, ["bucket", "rank", *where, "n", "d"]).filter("again or pick"), "ranked")
+    discard(buckets, shared)
+    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("seen"), F.max(F.octet_length("text")).alias("size")).filter(f"seen > 1 and size >= {LENGTH}")
+    spans = (settled(ranked, "bucket", "rank", where).select(*where, "n")
+             .unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("i"), (F.col("size") - LENGTH + 1).cast("int").alias("n"))))
 
     # windows of different ranks in a bucket, by blocks first
-    listed = ranked.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n", "d", "bucket", "c")).alias("runs"))
-    own = some_texts(texts, text_filter(ranked), once=True).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    c = F.when(F.col("again"), F.lit(2)).otherwise(F.lit(1)).cast("long").alias("c")
+    listed = ranked.filter("pick").groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n", "d", "bucket", c)).alias("runs"))
+    own = some_texts(texts, text_filter(ranked.filter("pick")), once=True).groupBy("k1", "k2").agg(F.first("text").alias("text"))
     base = keep(own.join(listed, ["k1", "k2"]), "texts")
     blocks = keep(hashed_parts(base, windows=False), "blocks")
-    tied = blocks.groupBy("bucket", "hash").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", "hash")
-    asked = (blocks.join(tied, ["bucket", "hash"]).groupBy("k1", "k2")
-             .agg(F.collect_list(F.struct("i", "n", "d", "bucket", "c", "j")).alias("runs")))
-    windows = keep(hashed_parts(base.drop("runs").join(asked, ["k1", "k2"]), windows=True), "windows")
-    same = windows.groupBy("bucket", "hash").agg(F.count("*").alias("m")).filter("m > 1").select("bucket", "hash")
-    # only copies of a text repeat runs; the windows come from one run per rank and are distinct
-    found = spans.distinct().unionByName(windows.filter("c = 1").join(same, ["bucket", "hash"]).select("k1", "k2", "i", "n"))
-    return found, [buckets, shared, ranked, base, blocks, windows]
+    tied = keep(beside(blocks, "bucket", "hash", [*where, "j"], ["bucket", "hash", *where, "n", "d", "c", "j"]).filter("again or border"), "tied")
+    discard(blocks)
+    asked = settled(tied, "bucket", "hash", [*where, "j"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "n", "d", "bucket", "c", "j")).alias("runs"))
+    windows = keep(hashed_parts(base.drop("runs").join(asked, ["k1", "k2"]), windows=True).select("bucket", "hash", *where, "n", "c"), "windows")
+    discard(base, tied)
+    same = keep(beside(windows, "bucket", "hash", where, ["bucket", "hash", *where, "n", "c"]).filter("again or border"), "same")
+    discard(windows)
+    # a run whose rank is repeated is listed as a whole already
+    found = spans.unionByName(settled(same, "bucket", "hash", where).filter("c = 1").select(*where, "n"))
+    return found, [ranked, same]
 
 
 def spans_by_text(texts: DataFrame) -> DataFrame:

@@ -530,6 +530,29 @@ def test_repeated_strings_go(spark, docs, rows, clash, empty, monkeypatch):
     assert all(x["text"] is None or len(x["text"]) == x["n_chars"] for x in left)
 
 
+def test_neighbours_in_sorted_buckets_over_borders(spark):
+    """Rows of few buckets over many tasks and tiny batches: equal ties are found, every tie of a mixed bucket has a row that stands for it."""
+    r = random.Random(8)
+    rows = [(r.randrange(4), r.randrange(5) if i % 3 else 9, i % 70) for i in range(300)] + [(7, 1, i) for i in range(60)] + [(8, i, i) for i in range(60)] + [(9, 0, 0)] * 5
+    df = spark.createDataFrame(rows, "bucket long, tie long, at long")
+    kept = set(rows)
+    ties = Counter((b, t) for b, t, _ in kept)
+    old = [(k, spark.conf.get(k)) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    try:
+        for parts, batch in ((1, 1), (1, 7), (13, 2), (40, 3)):
+            for (k, _), v in zip(old, (parts, "false", batch)):
+                spark.conf.set(k, str(v))
+            marked = op9.beside(df, "bucket", "tie", ["at"], ["bucket", "tie", "at"]).persist()
+            found = [(x["bucket"], x["tie"], x["at"]) for x in op9.settled(marked, "bucket", "tie", ["at"]).collect()]
+            assert Counter(found) == Counter(k for k in kept if ties[k[:2]] > 1)
+            picked = {(x["bucket"], x["tie"]) for x in marked.filter("pick").collect()}
+            assert picked >= {(b, t) for b, t in ties if len({u for c, u in ties if c == b}) > 1}
+            marked.unpersist()
+    finally:
+        for k, v in old:
+            spark.conf.set(k, v)
+
+
 def test_runs_do_not_depend_on_segments(monkeypatch):
     from eccentra.llm.common import Rolling
 
