@@ -13,15 +13,23 @@ likely hits become rows; if tests fill the filter, more rows reach the join and
 the result is the same. Texts with hits are read again, by a filter over their
 keys, and compared once per distinct text, so copies cost nothing more.
 
-Words are maximal runs of letters and digits, lower-cased. Null texts have no
-words. Tests with fewer words than a mask's first five places reach have no
-seed and match nothing. Null ids are ids like others, repeated rows all get
+Tests of ten words or fewer have masks of their own (``short_masks``), one set per
+length: they leave out as many parts of the test as words may differ, so that
+every allowed change leaves a seed whole. Up to four words none may differ, and the mask is
+the whole test. Such masks are only used for the lengths that occur.
+
+Words are maximal runs of letters and digits, lower-cased; in scripts written
+without spaces (``UNSPACED``) every character is a word. Null texts have no
+words. Tests without words match nothing. Null ids are ids like others, repeated rows all get
 their text's result. Texts are taken whole. Extra columns are ignored; with an
 empty table of tests every document is clean.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,6 +39,18 @@ from eccentra.llm.common import keep, table
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 5, 7))
 SPAN, SHARE = 12, 0.8
 BITS = 1 << 20
+#: Tests of so many words have masks of their own: the general ones miss changes in them.
+SHORT = 10
+#: Scripts without spaces between words.
+UNSPACED = "".join(r"\p{Is%s}" % s for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+
+
+def short_masks(words: int, share: float = SHARE) -> list[tuple[int, ...]]:
+    """Places in a test of so many words: it is cut into parts, two more than words may differ, and every mask leaves out as many parts as may differ."""
+    change = words - ceil(words * share - 1e-9)
+    parts = min(words, change + 2) if change else 1
+    part = [i * parts // words for i in range(words)]
+    return [tuple(i for i in range(words) if part[i] not in gone) for gone in combinations(range(parts), change)]
 
 
 def let(value: Column, use) -> Column:
@@ -43,7 +63,10 @@ def word_keys(text: Column) -> Column:
         first, last = (F.get(w, F.lit(0)) == "").cast("int"), (F.element_at(w, -1) == "").cast("int")
         return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
 
-    words = let(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), whole)
+    own, gap = F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"
+    beside = rf"{gap}|(?<=[\p{{L}}\p{{N}}])(?=[{UNSPACED}])|(?<=[{UNSPACED}])(?=[\p{{L}}\p{{N}}])"
+    # texts of single bytes have none of these scripts
+    words = let(F.when(F.octet_length(own) == F.char_length(own), F.split(own, gap)).otherwise(F.split(own, beside)), whole)
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -57,6 +80,11 @@ def seeds_at(words: Column, i: Column, masks=MASKS) -> list[Column]:
     return [F.when(i + mask[-1] < F.size(words), F.xxhash64(F.lit(m), *[F.get(words, i + p) for p in mask])) for m, mask in enumerate(masks)]
 
 
+def short_seeds(words: Column, i: Column, length: int, share: float = SHARE) -> list[Column]:
+    """One hash per mask of the tests of so many words, for the start ``i``."""
+    return [F.xxhash64(F.lit(100 * length + m), *[F.get(words, i + p) for p in mask]) for m, mask in enumerate(short_masks(length, share))]
+
+
 def starts(words: Column, masks=MASKS) -> Column:
     """All places where the shortest mask can start."""
     n = F.size(words) - min(m[-1] for m in masks)
@@ -91,18 +119,32 @@ def keys(text: Column) -> list[Column]:
 def overlaps(docs: DataFrame, tests: DataFrame, masks=MASKS, span: int = SPAN, share: float = SHARE) -> DataFrame:
     """(k1, k2, item_id, equal): distinct texts with the tests they overlap, and the most equal words of a stretch."""
     items = keep(tests.select("item_id", word_keys(F.col("text")).alias("words")), "items")
-    own = items.select("item_id", "words", F.explode(starts(F.col("words"), masks)).alias("j"))
-    probes = keep(own.select("item_id", "j", pair(F.col("words"), F.col("j")).alias("pair"), F.explode(F.array(*seeds_at(F.col("words"), F.col("j"), masks))).alias("h"))
-                  .filter("h is not null"), "probes")
+    size = F.size("words")
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).filter(size.between(1, SHORT)).distinct().collect())  # SHORT numbers at most
+    own = items.filter(size > SHORT).select("item_id", "words", F.explode(starts(F.col("words"), masks)).alias("j"))
+    seeds = own.select("item_id", "j", pair(F.col("words"), F.col("j")).alias("pair"), F.explode(F.array(*seeds_at(F.col("words"), F.col("j"), masks))).alias("h"))
+    for n in lengths:
+        seeds = seeds.unionByName(items.filter(size == n).select("item_id", F.lit(0).alias("j"), F.lit(None).cast("long").alias("pair"),
+                                                                 F.explode(F.array(*short_seeds(F.col("words"), F.lit(0), n, share))).alias("h")))
+    probes = keep(seeds.filter("h is not null"), "probes")
     if probes.isEmpty():
         return items.sparkSession.createDataFrame([], f"k1 long, k2 long, item_id {tests.schema['item_id'].dataType.simpleString()}, equal int")
-    filled, pairs_filled = bits_of(probes.select("h").distinct(), "h"), bits_of(probes.select("pair").distinct(), "pair")
+    filled, pairs_filled = bits_of(probes.select("h").distinct(), "h"), bits_of(probes.filter("pair is not null").select("pair").distinct(), "pair")
+
+    def held(hashes: list[Column], i: Column) -> Column:
+        return F.array(*[F.struct(i.alias("i"), h.alias("h")) for h in hashes])
+
+    def short_at(words: Column, n: int):
+        return lambda i: held(short_seeds(words, i, n, share), i)
 
     def hits(words: Column) -> Column:
         # places whose first two words are together in some test, then their seeds
         likely = F.filter(starts(words, masks), lambda i: bit(pairs_filled, pair(words, i)))
-        flat = F.flatten(F.transform(likely, lambda i: F.array(*[F.struct(i.alias("i"), h.alias("h")) for h in seeds_at(words, i, masks)])))
-        return F.filter(flat, lambda x: x["h"].isNotNull() & may_hold(filled, x["h"]))
+        flat = [F.flatten(F.transform(likely, lambda i: held(seeds_at(words, i, masks), i)))]
+        for n in lengths:
+            places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+            flat.append(F.flatten(F.transform(places, short_at(words, n))))
+        return F.concat(*[F.filter(x, lambda x: x["h"].isNotNull() & may_hold(filled, x["h"])) for x in flat])
 
     marked = docs.select(*keys(F.col("text")), F.explode(let(word_keys(F.col("text")), hits)).alias("x"))
     found = (marked.select("k1", "k2", F.col("x.i").alias("i"), F.col("x.h").alias("h")).join(probes.drop("pair"), "h")

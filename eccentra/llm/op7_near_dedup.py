@@ -336,29 +336,33 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least id, and of repeated rows of that id one.
-
-    Documents without a set stay. Documents without id go if their group has one with an id.
+    """One document of each group stays: that with the least id (nulls last), of several texts with that id the one of
+    least hash, and of rows equal in both one. Texts decide, not ids: two unrelated texts of one id are two groups,
+    and both stay. Documents without a set stay.
     """
-    out = keep(near_duplicates(docs, 0.8, 5), "groups")
-    gone = out.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id"))
-    # repeated rows of an id, in one group: one of them stays
-    several = out.filter("n_shingles > 0").groupBy("id", "component_id").agg(F.count("*").alias("n")).filter("n > 1 and id <=> component_id")
-    several = keep(several.select(F.col("id").alias("doc_id")).distinct(), "several")
-    # rows that surely stay pass beside the join
-    lost = keep(gone.filter("doc_id is not null").distinct().select(F.col("doc_id").alias("k1"), F.xxhash64("doc_id").alias("k2")), "lost")
-    own = F.coalesce("doc_id", F.lit(0)).cast("long")
-    marked, filled = docs.select(F.struct("*").alias("row"), own.alias("k1"), F.xxhash64(own).alias("k2")), text_filter(lost)
-    doubt = some_texts(marked, filled).join(lost.select("k1"), (F.col("row.doc_id") == lost.k1), "left_anti")
-    kept = some_texts(marked, filled, inside=False).select("row.*").unionByName(doubt.select("row.*"))
-    if not gone.filter("doc_id is null").isEmpty():
-        lone = out.filter("id is null and (component_id is null or n_shingles = 0)").select("key").distinct()
-        own = F.xxhash64("text")
-        kept = kept.filter("doc_id is not null").unionByName(kept.filter("doc_id is null").withColumn("_key", own).join(lone, F.col("_key").eqNullSafe(lone.key), "left_semi").select(*docs.columns))
+    drawn, labels = groups(docs, 0.8, 5)
+    of = drawn.filter("cid is not null").join(labels, drawn.cid == labels.node, "left").select("id", "key", F.coalesce("root", "cid").alias("root"))
+    of = keep(of, "groups")
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    judged = keep(of.join(first, "root").select("id", "key", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("stays"))
+                  .groupBy("id", "key", "stays").agg(F.count("*").alias("n")), "judged")
+    discard(of)
+    # rows of neither kind surely stay and pass beside the joins
+    pair = [F.xxhash64("id", "key").alias("k1"), F.xxhash64("key", "id").alias("k2")]
+    lost, several = judged.filter("not stays").select("id", "key"), judged.filter("stays and n > 1").select("id", "key")
+    filled = text_filter(judged.filter("not stays or n > 1").select(*pair))
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key")).select("*", *pair)
+    rest = some_texts(marked, filled, inside=False)
+
+    def match(rows: DataFrame, those: DataFrame, how: str) -> DataFrame:
+        those = those.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+        return rows.join(those, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), how)
+
+    doubt = match(some_texts(marked, filled), lost, "left_anti")
     if several.isEmpty():
-        return kept
-    again = kept.join(several, kept.doc_id.eqNullSafe(several.doc_id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(several, kept.doc_id.eqNullSafe(several.doc_id), "left_anti").unionByName(again)
+        return rest.unionByName(doubt).select("row.*")
+    once = match(doubt, several, "left_semi").dropDuplicates(["id", "key"])
+    return rest.unionByName(match(doubt, several, "left_anti")).unionByName(once).select("row.*")
 
 
 ORACLE = r"""

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -133,6 +134,41 @@ def test_spaced_seeds_find_changed_passages(spark, docs, empty):
     assert op1.query(spark, path).count() == 0 and op1.stage(spark, docs, path).count() == docs.count()
 
 
+def test_short_tests_and_scripts_without_spaces(spark):
+    """Every allowed change of a short test, and characters as words, by brute force over all pairs of documents and tests."""
+    for n in range(1, 11):
+        change = n - math.ceil(n * 0.8 - 1e-9)
+        masks = op1.short_masks(n)
+        assert all(any(not set(m) & set(c) for m in masks) for c in combinations(range(n), change))
+    r = random.Random(2)
+    tests = [(n, " ".join(f"t{n}x{i}" for i in range(n))) for n in range(1, 12)] + [(20, "\u5b66\u6821\u306e\u524d\u3067\u53cb\u9054\u3092\u5f85\u3063\u3066\u3044\u308b"), (21, "..."), (22, None)]
+    docs = [(0, None), (1, ""), (2, "nothing here at all")]
+    for n, text in tests[:11]:
+        w = text.split()
+        for k in range(min(n, 3) + 1):
+            for places in list(combinations(range(n), k)):
+                docs.append((len(docs), prose(3, n) + " " + " ".join("other" if i in places else x for i, x in enumerate(w)) + " " + prose(3, n + 1)))
+    zh = tests[11][1]
+    docs += [(len(docs), f"\u6628\u65e5{zh}\u3002end"), (len(docs) + 1, zh[:5] + "\u732b" + zh[6:]), (len(docs) + 2, zh[::-1]), (len(docs) + 3, zh)]
+
+    def tok(t):
+        return [w for w in re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W_\u3040-\u30ff\u4e00-\u9fff]+", (t or "").lower())]
+
+    def meets(doc, item):
+        x, y = tok(doc), tok(item)
+        w, best = min(12, len(y)), 0
+        for d in range(-len(y), len(x)):
+            eq = [0 <= j + d < len(x) and x[j + d] == y[j] for j in range(len(y))]
+            best = max([best] + [sum(eq[s: s + w]) for s in range(len(y) - w + 1)])
+        return bool(y) and best >= math.ceil(0.8 * w - 1e-9)
+
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    path = write(spark, df, benchmark=items)
+    got = {r["doc_id"]: r["n_items"] for r in op1.query(spark, path).collect()}
+    assert got == {d: sum(meets(t, item) for _, item in tests) for d, t in docs}
+    assert sum(got.values()) > 100
+
+
 def plan_of(df):
     from contextlib import redirect_stdout
 
@@ -363,6 +399,17 @@ def test_near_duplicates(spark, docs, rows, clash, empty):
     assert len(left) == len(roots) and all(r["doc_id"] is None or not words_of(r["text"]) or (r["doc_id"] in {c for _, _, c in five}) for r in left)
 
 
+def test_near_duplicate_stage_decides_by_text(spark):
+    """One id with unrelated texts: neither is lost; copies of either go."""
+    a, c = prose(90, 300), prose(90, 301)
+    near = c + " tail"
+    rows = [(5, a), (5, c), (7, near), (8, a), (5, a), (None, a), (None, prose(90, 302)), (9, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA).selectExpr("*", "1 as id", "2 as key", "3 as row", "4 as k1")
+    left = op7.stage(spark, docs, "")
+    assert left.columns == docs.columns
+    same([(x["doc_id"], x["text"]) for x in left.collect()], [(5, a), (5, c), (None, rows[6][1]), (9, None), (9, ""), (9, "")])
+
+
 def test_large_group_of_near_copies_and_families(spark):
     r = random.Random(9)
     base = prose(80, 40).split()
