@@ -43,7 +43,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Share of a phrase's occurrences inside one longer phrase, in hundredths, from which it is dropped.
 INSIDE = 80
 #: Bytes of text taken at once, and phrases counted before they are passed on.
-CHUNK, HELD = 8 << 20, 1 << 21
+CHUNK, HELD = 4 << 20, 1 << 20
 #: Keys drawn per range when ranges are cut.
 DRAWN = 32
 #: Parts of a language that are ranked by themselves first.
