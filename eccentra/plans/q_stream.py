@@ -7,6 +7,7 @@ from eccentra.plans.q_projection import PARSED
 from eccentra.plans.registry import query
 from eccentra.session import scratch_path
 from eccentra.streaming import acquisition as A
+from eccentra.streaming.folder import complete_files, lines_of
 
 
 def _arrive(b, df, label, slices=1, files_per_batch=None, order="ts"):
@@ -24,9 +25,15 @@ def _arrive(b, df, label, slices=1, files_per_batch=None, order="ts"):
 
 @query("acquisition_stream", f"WITH {PARSED} SELECT file_no, subject_id, session_id, modality, x_position, y_position FROM parsed WHERE modality IN ('Confocal', 'CalculatedSplit')")
 def _(b):
-    s = _arrive(b, b.v_files.select("file_no", "file_name"), "arriving", files_per_batch=2)
-    return A.drain(A.known_acquisitions(s, ["Confocal", "CalculatedSplit"]), "acquisitions").select(
-        "file_no", "subject_id", "session_id", "modality", "x_position", "y_position")
+    """Delivery lists arrive as files of a folder and are read once two listings agree; a run is a listing."""
+    path, done = scratch_path(b.spark, "arriving"), scratch_path(b.spark, "acquisitions")
+    b.v_files.select(F.concat_ws("\t", "file_no", "file_name").alias("line")).write.text(path)
+    cells = F.split("line", "\t")
+    lines = lines_of(complete_files(b.spark, path, settle=0), b.spark.sparkContext.defaultParallelism)
+    files = lines.select(F.get(cells, F.lit(0)).cast("long").alias("file_no"), F.get(cells, F.lit(1)).alias("file_name"))
+    for _ in range(2):  # the first listing releases nothing
+        out = A.drain(A.known_acquisitions(files, ["Confocal", "CalculatedSplit"]), "acquisitions", done)
+    return out.select("file_no", "subject_id", "session_id", "modality", "x_position", "y_position")
 
 
 @query("acquisition_group", """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
@@ -49,10 +56,13 @@ def _(b):
 
 @query("exponential_average_stream", """SELECT user_id, list_reduce(list(struct_pack(v := v, ok := TRUE) ORDER BY ts, event_id), lambda acc, x: struct_pack(
       v := CASE WHEN x.v IS NULL THEN NULL WHEN acc.v IS NULL THEN x.v ELSE 25e-2 * x.v + 75e-2 * acc.v END, ok := TRUE)).v AS average
-    FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS v FROM events) AS t GROUP BY user_id""", rounded="average")
+    FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS v FROM events
+      WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE) AS t GROUP BY user_id""", rounded="average")
 def _(b):
-    e = b.events.select("user_id", F.col("ts").cast("timestamp"), F.when(F.col("event_id") % 211 != 0, F.col("value")).alias("v"))
-    out = A.drain(A.exponential_average(_arrive(b, e, "readings", slices=3), "user_id", "ts", "v", 0.25), "averages")
+    """Averages up to the last slot of six hours that the watermark has closed."""
+    A.stateful(b.spark)
+    e = b.events.select("user_id", F.col("ts").cast("timestamp"), "event_id", F.when(F.col("event_id") % 211 != 0, F.col("value")).alias("v"))
+    out = A.drain(A.exponential_average(_arrive(b, e, "readings", slices=3, files_per_batch=None), "user_id", ["ts", "event_id"], "v", 0.25, slot="6 hours"), "averages")
     return out.groupBy("user_id").agg(F.max_by("average", "last_ts").alias("average"))
 
 
