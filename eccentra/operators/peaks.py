@@ -16,9 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def split_parts(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Four parts around two peak positions (columns lower, upper); a peak
-    itself belongs to both neighbouring parts, the centre to none."""
+    itself belongs to both neighbouring parts, the centre to none. Without
+    peaks a profile has two parts, left and right."""
     e = F.col("e10")
-    tests = [("first", (e < 0) & (e <= F.col("lower"))), ("second", (e < 0) & (e >= F.col("lower"))),
+    tests = [("left", (e < 0) & F.col("lower").isNull()), ("right", (e > 0) & F.col("lower").isNull()), ("first", (e < 0) & (e <= F.col("lower"))), ("second", (e < 0) & (e >= F.col("lower"))),
              ("third", (e > 0) & (e <= F.col("upper"))), ("fourth", (e > 0) & (e >= F.col("upper")))]
     parts = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests]), lambda p: p.isNotNull())
     return df.join(limits, list(keys)).withColumn("part", F.explode(parts))

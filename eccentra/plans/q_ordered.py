@@ -141,12 +141,33 @@ def _(b):
     return peaks.find_peaks(b.v_layer_profile, LKEY, "e10", "thickness")
 
 
-@query("two_peaks_one_valley")
+def scale_space(source: str, keys: str, at: str, v: str) -> str:
+    """CTEs from ``source``: ``least``, the least whole sigma up to 100 whose mirrored Gaussian leaves two peaks and one valley.
+
+    Every profile is continued by its mirror images and laid against the kernel of every sigma; places are 0-based.
+    """
+    q = "(((k % (2 * n)) + 2 * n) % (2 * n))"
+    # a run of equal values counts once
+    starts = "list_filter(range(1, n + 1), lambda i: i = 1 OR s[i] <> s[i - 1])"
+    up = "list_filter(range(2, len(st)), lambda k: s[st[k]] > s[st[k - 1]] AND s[st[k]] > s[st[k + 1]])"
+    down = up.replace(">", "<")
+    return f"""pl AS (SELECT {keys}, list({v} ORDER BY {at}) AS v, list({at} ORDER BY {at}) AS places, CAST(count(*) AS INT) AS n FROM {source} WHERE {v} IS NOT NULL GROUP BY {keys}),
+    px AS (SELECT *, row_number() OVER () AS pno, list_transform(range(-400, n + 400), lambda k: v[1 + CASE WHEN {q} < n THEN {q} ELSE 2 * n - 1 - {q} END]) AS ext FROM pl),
+    kern AS (SELECT sg.s AS sigma, list_transform(range(-4 * sg.s, 4 * sg.s + 1), lambda d: exp(-5e-1 * (d / CAST(sg.s AS DOUBLE)) * (d / CAST(sg.s AS DOUBLE)))) AS w FROM range(1, 101) sg(s)),
+    laid AS (SELECT pno, sigma, i.i, list_dot_product(ext[i.i + 401 - 4 * sigma:i.i + 401 + 4 * sigma], w) / list_sum(w) AS sv FROM px, kern, range(0, 201) i(i) WHERE i.i < n),
+    sp AS (SELECT pno, sigma, list(sv ORDER BY i) AS s FROM laid GROUP BY pno, sigma UNION ALL SELECT pno, 0, v FROM px),
+    judged AS (SELECT *, {up} AS up, len({down}) AS n_down FROM (SELECT px.*, sigma, s, {starts} AS st FROM px JOIN sp USING (pno))),
+    hit AS (SELECT {keys}, sigma, places[(st[up[1]] + st[up[1] + 1] - 3) // 2 + 1] AS lower, places[(st[up[2]] + st[up[2] + 1] - 3) // 2 + 1] AS upper
+      FROM judged WHERE len(up) = 2 AND n_down = 1 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY sigma) = 1),
+    least AS (SELECT {keys}, CAST(sigma AS INT) AS sigma, lower, upper FROM pl LEFT JOIN hit USING ({keys}))"""
+
+
+@query("two_peaks_one_valley", f"WITH {DENSE}, {scale_space('dn', 'subject_id, axis', 'e10', 'v')} SELECT subject_id, axis, sigma, lower, upper FROM least")
 def _(b):
     return peaks.two_peaks_one_valley(dense(b), KEY, "e10", "v")
 
 
-@query("peak_limits")
+@query("peak_limits", f"WITH {DENSE}, {scale_space('dn', 'subject_id, axis', 'e10', 'v')} SELECT subject_id, axis, lower, upper FROM least WHERE lower IS NOT NULL")
 def _(b):
     return peaks.two_peaks_one_valley(dense(b), KEY, "e10", "v").filter("lower IS NOT NULL").select(*KEY, "lower", "upper")
 

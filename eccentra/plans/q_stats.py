@@ -3,8 +3,9 @@
 from pyspark.sql import Window as W, functions as F
 
 from eccentra.functions import geometry as G
-from eccentra.operators import cohort, joins, stats
+from eccentra.operators import cohort, joins, peaks, stats
 from eccentra.plans.q_join import REG, REG_SQL
+from eccentra.plans.q_ordered import scale_space
 from eccentra.plans.registry import query
 
 KEY = ["subject_id", "session_id", "axis"]
@@ -49,15 +50,20 @@ def _(b):
     return stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True)
 
 
-@query("spearman_parts", f"""WITH {PAIRS}, s AS (
-      SELECT *, 'first' AS part FROM pairs WHERE e10 < 0 AND e10 <= -30 UNION ALL SELECT *, 'second' FROM pairs WHERE e10 < 0 AND e10 >= -30
-      UNION ALL SELECT *, 'third' FROM pairs WHERE e10 > 0 AND e10 <= 25 UNION ALL SELECT *, 'fourth' FROM pairs WHERE e10 > 0 AND e10 >= 25)
+PARTS = f"""{PAIRS}, {scale_space('v_layer_profile', 'subject_id, axis, layer', 'e10', 'thickness')}, s AS (
+      SELECT pairs.*, u.part FROM pairs JOIN least USING (subject_id, axis, layer),
+      LATERAL (SELECT unnest(list_filter([CASE WHEN e10 < 0 AND lower IS NULL THEN 'left' END, CASE WHEN e10 > 0 AND lower IS NULL THEN 'right' END, CASE WHEN e10 < 0 AND e10 <= lower THEN 'first' END,
+        CASE WHEN e10 < 0 AND e10 >= lower THEN 'second' END, CASE WHEN e10 > 0 AND e10 <= upper THEN 'third' END, CASE WHEN e10 > 0 AND e10 >= upper THEN 'fourth' END], lambda x: x IS NOT NULL)) AS part) AS u)"""
+
+
+@query("spearman_parts", f"""WITH {PARTS}
     SELECT subject_id, axis, layer, part, {clean('rho')} AS rho, n FROM {rho_sql('s', 'subject_id, axis, layer, part', 'density', 'thickness')} AS r""", rounded="rho")
 def _(b):
-    from eccentra.operators.peaks import split_parts
-    limits = pairs(b).select("subject_id", "axis", "layer").distinct().withColumns({"lower": F.lit(-30), "upper": F.lit(25)})
-    s = split_parts(pairs(b), limits, ["subject_id", "axis", "layer"])
-    return stats.spearman(s, ["subject_id", "axis", "layer", "part"], "density", "thickness", bounded=True).drop("p")
+    """Parts around the two peaks of the profile's own smoothed thickness; left and right where it has no such peaks."""
+    keys = ["subject_id", "axis", "layer"]
+    limits = peaks.two_peaks_one_valley(b.v_layer_profile, keys, "e10", "thickness").drop("sigma")
+    s = peaks.split_parts(pairs(b), limits, keys)
+    return stats.spearman(s, keys + ["part"], "density", "thickness", bounded=True).drop("p")
 
 
 ECC = f"""{PAIRS}, ew AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('pairs', 'axis, e10, layer', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))"""
