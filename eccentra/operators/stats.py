@@ -32,7 +32,8 @@ def _no_nan(c: Column) -> Column:
 
 
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    out = _complete(df, x, y).groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    spread = F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0))  # corr() raises where a value does not vary
+    out = _complete(df, x, y).groupBy(*keys).agg((F.covar_pop(x, y) / spread).alias("r"), F.count("*").alias("n"))
     out = out.withColumn("r", _no_nan(F.col("r")))
     return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
@@ -241,19 +242,58 @@ def winsorize(df: DataFrame, keys: Sequence[str], v: str, share: float = 0.05) -
     return df.join(lim, keys).withColumn(v, F.least(F.greatest(F.col(v), "_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
+#: Sums per subject from which the mixed model follows.
+MOMENTS = ("n", "sx", "sy", "sxx", "sxy", "syy")
+
+
+def _moments(x: str, y: str) -> list[Column]:
+    a, b = F.col(x), F.col(y)
+    return [F.count("*").cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"), F.sum(b * b).alias("syy")]
+
+
+def in_ranges(df: DataFrame, order: str, ranges: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """Rows once per named range (ends included) that holds their ``order``."""
+    tests = F.array(*[F.when(F.col(order).between(lo, hi), F.lit(name)) for name, lo, hi in ranges])
+    return df.withColumn("range", F.explode(F.filter(tests, lambda r: r.isNotNull())))
+
+
+def range_moments(df: DataFrame, keys: Sequence[str], subject: str, order: str, x: str, y: str, ranges: Sequence[tuple[str, int, int]], lo: int, hi: int) -> DataFrame:
+    """``MOMENTS`` per (keys, range, subject): running sums along each profile's grid lo..hi, so a range costs two look-ups.
+
+    A profile has at most hi - lo + 1 steps and is one array.
+    """
+    steps = _complete(df, x, y).groupBy(*keys, subject, order).agg(*_moments(x, y))
+    w = W.partitionBy(*keys, subject).orderBy(order)
+    running = steps.select(*keys, subject, order, *[F.sum(m).over(w).alias(m) for m in MOMENTS])
+    profile = running.groupBy(*keys, subject).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), *MOMENTS))).alias("_p"))
+
+    def upto(limit: Column) -> Column:
+        """Running sums at the last step that is not beyond ``limit``."""
+        return F.get("_p", F.size(F.filter("_p", lambda s: s["at"] <= limit)) - 1)
+
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("range"), F.lit(max(a, lo)).alias("a"), F.lit(min(z, hi)).alias("z")) for n, a, z in ranges])).alias("_r")
+    t = profile.select(*keys, subject, "_p", rows).withColumns({"_z": upto(F.col("_r.z")), "_a": upto(F.col("_r.a") - 1)})
+    zero = F.lit(0.0)
+    out = t.select(*keys, F.col("_r.range").alias("range"), subject, *[(F.coalesce(F.col(f"_z.{m}"), zero) - F.coalesce(F.col(f"_a.{m}"), zero)).alias(m) for m in MOMENTS])
+    return out.filter("n > 0")
+
+
 def random_intercept(df: DataFrame, keys: Sequence[str], subject: str, x: str, y: str,
                      ratios: Sequence[float] | None = None, refine: int = 40) -> DataFrame:
-    """y ~ x with a random intercept per subject, by REML.
+    """y ~ x with a random intercept per subject, by REML."""
+    per = _complete(df, x, y).groupBy(*keys, subject).agg(*_moments(x, y))
+    return random_intercept_of(per, keys, ratios, refine)
 
-    For a fixed variance ratio everything follows from six sums per subject,
-    so the data are reduced to one row per subject, expanded by a grid of
-    ratios and summed; the best ratio is refined once.
+
+def random_intercept_of(per: DataFrame, keys: Sequence[str], ratios: Sequence[float] | None = None, refine: int = 40) -> DataFrame:
+    """The mixed model from one row of ``MOMENTS`` per subject.
+
+    For a fixed variance ratio everything follows from the six sums, so the rows
+    are expanded by a grid of ratios and summed; the best ratio is refined once. Groups
+    of two rows or fewer, or with one value of x only, have nulls.
     """
     keys = list(keys)
-    d = _complete(df, x, y)
-    per = d.groupBy(*keys, subject).agg(
-        F.count("*").cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    per = cut(per.select(*keys, *MOMENTS)) if refine else per  # read twice
     grid = list(ratios) if ratios is not None else [0.0] + [10 ** (k / 10) for k in range(-50, 31)]
 
     def profile(t: DataFrame) -> DataFrame:
@@ -265,10 +305,11 @@ def random_intercept(df: DataFrame, keys: Sequence[str], subject: str, x: str, y
             F.sum(F.col("sxx") - c * F.col("sx") * F.col("sx")).alias("sxx"), F.sum(F.col("sy") - c * F.col("n") * F.col("sy")).alias("s1y"),
             F.sum(F.col("sxy") - c * F.col("sx") * F.col("sy")).alias("sxy"), F.sum(F.col("syy") - c * F.col("sy") * F.col("sy")).alias("syy"))
         det = F.col("s11") * F.col("sxx") - F.col("s1x") * F.col("s1x")
-        s = s.withColumn("det", det).filter("det > 0 AND N > 2")
+        s = s.withColumn("det", F.when((det > 0) & (F.col("N") > 2), det))
         s = s.withColumn("slope", (F.col("s11") * F.col("sxy") - F.col("s1x") * F.col("s1y")) / F.col("det"))
         s = s.withColumn("intercept", (F.col("sxx") * F.col("s1y") - F.col("s1x") * F.col("sxy")) / F.col("det"))
-        s = s.withColumn("var", (F.col("syy") - F.col("intercept") * F.col("s1y") - F.col("slope") * F.col("sxy")) / (F.col("N") - 2))
+        free = F.nullif(F.col("N") - 2, F.lit(0.0))
+        s = s.withColumn("var", (F.col("syy") - F.col("intercept") * F.col("s1y") - F.col("slope") * F.col("sxy")) / free)
         s = s.withColumn("se", F.sqrt(F.col("var") * F.col("s11") / F.col("det")))
         ll = -0.5 * (F.col("logd") + F.ln("det") + (F.col("N") - 2) * F.ln("var"))
         return s.withColumn("ll", ll).groupBy(*keys).agg(F.max(F.struct(
@@ -280,6 +321,7 @@ def random_intercept(df: DataFrame, keys: Sequence[str], subject: str, x: str, y
         fine = F.transform(F.sequence(F.lit(-refine), F.lit(refine)), lambda k: F.when(
             F.col("_r") > 0, F.col("_r") * F.pow(F.lit(10.0), k / (10.0 * refine))).otherwise(F.lit(0.0)))
         best = profile(per.join(around, keys).withColumn("ratio", F.explode(F.array_distinct(fine))))
+    fitted = F.col("b.slope").isNotNull()
     out = best.select(*keys, F.col("b.n").alias("n"), F.col("b.slope").alias("slope"), F.col("b.intercept").alias("intercept"),
-                      F.col("b.ratio").alias("ratio"), F.col("b.se").alias("se"))
+                      F.when(fitted, F.col("b.ratio")).alias("ratio"), F.col("b.se").alias("se"))
     return out.withColumn("p", normal_two_sided(F.col("slope") / F.col("se")))

@@ -69,21 +69,37 @@ def _(b):
 ECC = f"""{PAIRS}, ew AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('pairs', 'axis, e10, layer', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))"""
 
 
-@query("eccwise_correlation", f"WITH {ECC} SELECT axis, e10, layer, rho, n, p FROM ew", rounded="rho p", digits=4)
+@query("eccwise_correlation", f"""WITH {ECC}, pw AS (SELECT axis, e10, layer, corr(density, thickness) AS rho, count(*) AS n FROM pairs GROUP BY axis, e10, layer)
+    SELECT axis, e10, layer, 'spearman' AS method, rho, n, p FROM ew UNION ALL
+    SELECT axis, e10, layer, 'pearson', rho, n, {r_tail('rho', 'n')} FROM pw WHERE n > 2 AND isfinite(rho)""", rounded="rho p", digits=4)
 def _(b):
-    return stats.spearman(pairs(b), ["axis", "e10", "layer"], "density", "thickness").filter("n > 2 AND rho IS NOT NULL")
+    """One correlation per step and layer, by either method."""
+    keys = ["axis", "e10", "layer"]
+    own = [stats.correlation(pairs(b), keys, "density", "thickness", m).withColumn("method", F.lit(m)) for m in ("spearman", "pearson")]
+    return own[0].unionByName(own[1]).filter("n > 2 AND r IS NOT NULL").select(*keys, "method", F.col("r").alias("rho"), "n", "p")
 
 
-@query("significant_ratio", f"""WITH {PAIRS}, s AS (SELECT *, CASE WHEN e10 < 0 THEN 'left' ELSE 'right' END AS side FROM pairs WHERE e10 <> 0),
-    c AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('s', 'subject_id, axis, layer, side', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))
-    SELECT axis, layer, side, count(*) FILTER (p < 5e-2) AS n_significant, count(*) FILTER (p > 5e-2) AS n_other, avg(rho) FILTER (p < 5e-2) AS mean_rho,
-      list_sort(list(round(rho, 6)) FILTER (p < 5e-2)) AS rhos, count(*) FILTER (p < 5e-2) / CAST(count(*) FILTER (p < 5e-2) + count(*) FILTER (p > 5e-2) AS DOUBLE) AS share FROM c GROUP BY axis, layer, side""", rounded="share mean_rho")
-def _(b):
+SIDED = f"""{PAIRS}, s AS (SELECT *, CASE WHEN e10 < 0 THEN 'left' ELSE 'right' END AS side FROM pairs WHERE e10 <> 0),
+    c AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('s', 'subject_id, axis, layer, side', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))"""
+
+
+def sided(b):
     s = pairs(b).filter("e10 <> 0").withColumn("side", F.when(F.col("e10") < 0, "left").otherwise("right"))
-    c = stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True).filter("n > 2 AND rho IS NOT NULL")
+    return stats.spearman(s, ["subject_id", "axis", "layer", "side"], "density", "thickness", bounded=True).filter("n > 2 AND rho IS NOT NULL")
+
+
+@query("significant_ratio", f"""WITH {SIDED} SELECT axis, layer, side, count(*) FILTER (p < 5e-2) AS n_significant, count(*) FILTER (p > 5e-2) AS n_other, avg(rho) FILTER (p < 5e-2) AS mean_rho,
+      count(*) FILTER (p < 5e-2) / CAST(count(*) FILTER (p < 5e-2) + count(*) FILTER (p > 5e-2) AS DOUBLE) AS share FROM c GROUP BY axis, layer, side""", rounded="share mean_rho")
+def _(b):
     yes, no = F.count_if(F.col("p") < 0.05), F.count_if(F.col("p") > 0.05)
-    return c.groupBy("axis", "layer", "side").agg(yes.alias("n_significant"), no.alias("n_other"), F.avg(
-        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), F.nullif(F.sort_array(F.collect_list(F.when(F.col("p") < 0.05, F.round("rho", 6)))), F.array().cast("array<double>")).alias("rhos"), (yes / F.nullif(yes + no, F.lit(0))).alias("share"))
+    return sided(b).groupBy("axis", "layer", "side").agg(yes.alias("n_significant"), no.alias("n_other"), F.avg(
+        F.when(F.col("p") < 0.05, F.col("rho"))).alias("mean_rho"), (yes / F.nullif(yes + no, F.lit(0))).alias("share"))
+
+
+@query("significant_correlations", f"WITH {SIDED} SELECT axis, layer, side, subject_id, rho FROM c WHERE p < 5e-2", rounded="rho")
+def _(b):
+    """One row per significant correlation."""
+    return sided(b).filter("p < 0.05").select("axis", "layer", "side", "subject_id", "rho")
 
 
 @query("zscore_inter", """SELECT subject_id, axis, e10, (density - avg(density) OVER w) / nullif(stddev_pop(density) OVER w, 0) AS density,
@@ -234,24 +250,53 @@ def _(b):
     return stats.quadrants(zpairs(b), ["layer", "axis"], "density", "thickness")
 
 
-@query("slice_correlation", f"""WITH {PAIRS}, {ZP.replace("zz AS (SELECT * FROM z WHERE", "zz AS (SELECT layer, axis, floor(x * 1048576e0 + 5e-1) / 1048576e0 AS x, floor(y * 1048576e0 + 5e-1) / 1048576e0 AS y FROM z WHERE e10 BETWEEN 5 AND 15 AND")}, {QUAD},
-    s AS {rho_sql('zz', 'layer, axis', 'x', 'y')}
-    SELECT layer, axis, s.rho, s.n, {r_tail('s.rho', 's.n')} AS rho_p, q.r AS pearson, qq.p AS binomial_p FROM s JOIN q USING (layer, axis) JOIN qq USING (layer, axis)""", rounded="rho rho_p pearson binomial_p", digits=4)
+GRIDL = "(SELECT unnest([0e0] || list_transform(range(-50, 31), lambda k: power(1e1, k / 1e1))) AS ratio)"
+
+
+def reml(keys: str, refine: int = 40) -> str:
+    """CTEs from ``per``, the sums per subject: ``mm`` with slope, se, n and p of the random-intercept model."""
+    def one(tag: str, rows: str) -> str:
+        return f"""s{tag} AS (SELECT {keys}, ratio, sum(n) AS nn, sum(ln(1 + n * ratio)) AS logd, sum(n - c * n * n) AS s11, sum(sx - c * n * sx) AS s1x, sum(sxx - c * sx * sx) AS qxx, sum(sy - c * n * sy) AS s1y,
+        sum(sxy - c * sx * sy) AS qxy, sum(syy - c * sy * sy) AS qyy FROM (SELECT *, ratio / (1 + n * ratio) AS c FROM {rows}) AS g GROUP BY {keys}, ratio),
+    e{tag} AS (SELECT *, s11 * qxx - s1x * s1x AS det, (s11 * qxy - s1x * s1y) / (s11 * qxx - s1x * s1x) AS slope, (qxx * s1y - s1x * qxy) / (s11 * qxx - s1x * s1x) AS intercept FROM s{tag} WHERE nn > 2 AND s11 * qxx - s1x * s1x > 0),
+    f{tag} AS (SELECT *, (qyy - intercept * s1y - slope * qxy) / (nn - 2) AS var FROM e{tag}),
+    h{tag} AS (SELECT {keys}, arg_max(struct_pack(ratio := ratio, slope := slope, se := sqrt(var * s11 / det), nn := nn), -5e-1 * (logd + ln(det) + (nn - 2) * ln(var))) AS b FROM f{tag} GROUP BY {keys})"""
+
+    fine = f"(SELECT per.*, u.ratio FROM per JOIN h0 USING ({keys}), LATERAL (SELECT DISTINCT b.ratio * power(1e1, k / {10 * refine}e0) AS ratio FROM range(-{refine}, {refine} + 1) r(k)) AS u)"
+    tail = "2 / sqrt(2 * pi()) * 12e0 / 12000 * list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-5e-1 * power(z + k * 12e0 / 4000, 2))))"
+    return f"""{one(0, f'(SELECT * FROM per, {GRIDL} AS r)')}, {one(1, fine)},
+    mm AS (SELECT {keys}, b.slope AS slope, b.se AS se, CAST(b.nn AS BIGINT) AS n, {tail} AS p FROM (SELECT *, abs(b.slope / b.se) AS z FROM h1) AS t)"""
+
+
+PER = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy"
+#: Single steps and ranges of steps, in tenths of a degree.
+SLICES = [("at 1", 10, 10), ("0.5 to 1.5", 5, 15), ("-6 to -2", -60, -20), ("1 to 10", 10, 100), ("all", -100, 100)]
+SLICED = f"""{ZP.replace("zz AS (SELECT * FROM z WHERE", "zz AS (SELECT layer, axis, range, lo, hi, subject_id, floor(x * 1048576e0 + 5e-1) / 1048576e0 AS x, floor(y * 1048576e0 + 5e-1) / 1048576e0 AS y FROM z JOIN rg ON e10 BETWEEN lo AND hi WHERE")}"""
+
+
+@query("slice_correlation", f"""WITH {PAIRS}, rg(range, lo, hi) AS (VALUES {', '.join(f"('{n}', {a}, {z})" for n, a, z in SLICES)}), {SLICED}, {QUAD.replace('layer, axis', 'layer, axis, range')},
+    per AS (SELECT layer, axis, range, subject_id, {PER} FROM zz WHERE lo < hi GROUP BY layer, axis, range, subject_id), {reml('layer, axis, range')},
+    s AS {rho_sql('zz', 'layer, axis, range', 'x', 'y')}
+    SELECT layer, axis, range, s.rho, s.n, CASE WHEN s.n > 2 THEN {r_tail('s.rho', 's.n')} END AS rho_p, q.r AS pearson, qq.p AS binomial_p, mm.slope, mm.p AS slope_p
+    FROM s JOIN q USING (layer, axis, range) JOIN qq USING (layer, axis, range) LEFT JOIN mm USING (layer, axis, range)""", rounded="rho rho_p pearson binomial_p slope slope_p", digits=4)
 def _(b):
-    z = zpairs(b).filter("e10 BETWEEN 5 AND 15")
+    """Every layer on every slice; the mixed model needs a slice of several steps."""
+    keys = ["layer", "axis", "range"]
+    z = zpairs(b)
     for c in ("density", "thickness"):  # equal readings must stay ties after scaling
         z = z.withColumn(c, F.floor(F.col(c) * 1048576.0 + 0.5) / 1048576.0)
-    s = stats.spearman(z, ["layer", "axis"], "density", "thickness").withColumnRenamed("p", "rho_p")
-    q = stats.quadrants(z, ["layer", "axis"], "density", "thickness").select("layer", "axis", F.col("r").alias("pearson"), F.col("p").alias("binomial_p"))
-    return s.join(q, ["layer", "axis"])
+    t = stats.in_ranges(z, "e10", SLICES)
+    s = stats.spearman(t, keys, "density", "thickness").withColumnRenamed("p", "rho_p")
+    q = stats.quadrants(t, keys, "density", "thickness").select(*keys, F.col("r").alias("pearson"), F.col("p").alias("binomial_p"))
+    per = stats.range_moments(z, keys[:2], "subject_id", "e10", "density", "thickness", [r for r in SLICES if r[1] < r[2]], -100, 100)
+    m = stats.random_intercept_of(per, keys).select(*keys, "slope", F.col("p").alias("slope_p"))
+    return s.join(q, keys).join(m, keys, "left")
 
 
-@query("mixed_model_random_intercept")
+@query("mixed_model_random_intercept", f"""WITH {PAIRS}, {ZP}, per AS (SELECT layer, axis, subject_id, {PER} FROM zz GROUP BY layer, axis, subject_id), {reml('layer, axis')}
+    SELECT layer, axis, n, slope, se, p FROM mm""", rounded="slope se p", digits=4)
 def _(b):
-    return stats.random_intercept(zpairs(b), ["layer", "axis"], "subject_id", "density", "thickness")
-
-
-GRIDL = "(SELECT unnest([0e0] || list_transform(range(-50, 31), lambda k: power(1e1, k / 1e1))) AS ratio)"
+    return stats.random_intercept(zpairs(b), ["layer", "axis"], "subject_id", "density", "thickness").select("layer", "axis", "n", "slope", "se", "p")
 
 
 @query("mixed_model_grid", f"""WITH {PAIRS}, {ZP}, per AS (SELECT layer, axis, subject_id, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM zz GROUP BY ALL),
