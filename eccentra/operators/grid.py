@@ -110,7 +110,7 @@ def resample(df: DataFrame, keys: Sequence[str], pos: str, v: str, length: int |
          .withColumn("_next", F.lead("_v").over(w.orderBy("_p"))))
     span, goal = F.col("_n") - 1, F.col("_goal")
     lo = F.when(span == 0, F.lit(0)).otherwise(F.ceil(F.col("_p") * goal / span).cast("int"))
-    hi = F.when(span == 0, goal).when(F.col("_p") == span, goal).otherwise(
+    hi = F.when(span == 0, goal).when(goal == 0, F.when(F.col("_p") == 0, 0).otherwise(-1)).when(F.col("_p") == span, goal).otherwise(
         F.ceil((F.col("_p") + 1) * goal / span).cast("int") - 1)
     t = e.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn(
         "_j", F.explode(F.sequence("_lo", "_hi")))

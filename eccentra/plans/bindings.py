@@ -76,6 +76,14 @@ VIEWS: dict[str, str] = {
                  CAST((l_partkey * 19 + l_orderkey * 5) % 720 AS INT) AS y,
                  CAST(l_quantity AS INT) * 5 AS v FROM {lineitem}) AS p
         GROUP BY image_id, x, y""",
+    # pixels of small images whose tiles are nearly filled
+    "v_crop_pixels": """
+        SELECT image_id, x, y, CAST(max(v) AS DOUBLE) AS v FROM (
+          SELECT CAST(l_suppkey AS INT) AS image_id,
+                 CAST((l_orderkey * 17 + l_partkey) % 20 AS INT) AS x,
+                 CAST((l_partkey * 19 + l_orderkey * 5 + l_linenumber) % 20 AS INT) AS y,
+                 CAST(l_quantity AS INT) * 5 AS v FROM {lineitem}) AS p
+        GROUP BY image_id, x, y""",
     # montage elements on an integer grid with a near-translation transform
     "v_elements": """
         SELECT o_orderkey AS element_id, o_orderkey - o_orderkey % 40 AS mosaic_id,

@@ -136,8 +136,9 @@ DONE_SQL = """SELECT s.subject_id, l.layer, EXISTS (SELECT 1 FROM v_layer_profil
 
 @query("steps_done_todo", DONE_SQL)
 def _(b):
-    layers = [r["layer"] for r in b.v_layer_profile.select("layer").distinct().collect()]  # the fixed steps of the pipeline
-    wanted = b.v_baseline.select("subject_id", F.explode(F.array(*[F.lit(x) for x in layers]) if layers else F.array().cast("array<string>")).alias("layer"))
+    steps = b.v_layer_profile.select("layer").distinct().groupBy().agg(F.collect_set("layer").alias("steps"))  # the pipeline's few steps, one row
+    keyed = b.v_baseline.select("subject_id", F.lit(1).alias("_one")).join(steps.withColumn("_one", F.lit(1)), "_one")
+    wanted = keyed.select("subject_id", F.explode("steps").alias("layer"))
     return FL.steps_done_todo(wanted, b.v_layer_profile, ["subject_id", "layer"])
 
 
@@ -417,10 +418,10 @@ def _(b):
 
 
 @query("drop_mostly_dark", """
-    WITH t AS (SELECT image_id, CAST(floor(x / 16) AS INT) AS tx, CAST(floor(y / 16) AS INT) AS ty, sum(CASE WHEN v > 50 THEN 1 ELSE 0 END) AS bright, count(*) AS n
-      FROM v_pixels GROUP BY ALL) SELECT image_id, tx, ty, CAST(bright AS BIGINT) AS bright, n FROM t WHERE bright >= 1e-2 * 16 * 16""")
+    WITH t AS (SELECT image_id, CAST(floor(x / 4) AS INT) AS tx, CAST(floor(y / 4) AS INT) AS ty, sum(CASE WHEN v > 50 THEN 1 ELSE 0 END) AS bright, count(*) AS n
+      FROM v_crop_pixels GROUP BY ALL) SELECT image_id, tx, ty, CAST(bright AS BIGINT) AS bright, n FROM t WHERE bright >= 8e-1 * 4 * 4""")
 def _(b):
-    return cells.drop_mostly_dark(b.v_pixels, ["image_id"], 16, F.col("v") > 50, 0.01)
+    return cells.drop_mostly_dark(b.v_crop_pixels, ["image_id"], 4, F.col("v") > 50, 0.8)
 
 
 @query("affine_apply", "SELECT element_id, (a11 * 100 + a12 * 50 + a13) * 5e-1 AS px, (a21 * 100 + a22 * 50 + a23) * 5e-1 AS py FROM v_elements")

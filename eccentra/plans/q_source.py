@@ -98,7 +98,7 @@ def _(b):
     return R.raw_densities(b.spark, f"{path}/X", f"{path}/Y")
 
 
-@query("scan_layer_json", """SELECT subject_id, session_id, 'study_' || CAST(acq AS VARCHAR) AS study, e10 AS slice, layer, CAST(i - 1 AS INT) AS pos, nullif(v[i], 0) AS thickness, 625e-4 AS spacing_y FROM (
+@query("scan_layer_thickness", """SELECT subject_id, session_id, 'study_' || CAST(acq AS VARCHAR) AS study, e10 AS slice, layer, CAST(i - 1 AS INT) AS pos, nullif(v[i], 0) AS thickness, 625e-4 AS spacing_y FROM (
       SELECT subject_id, session_id, acq, e10, layer, v, unnest(range(1, len(v) + 1)) AS i FROM (
         SELECT subject_id, session_id, CAST(floor(obs_id / 1e5) AS BIGINT) AS acq, e10, layer, list_sort(list(thickness)) AS v FROM v_obs GROUP BY ALL) AS a) AS u""")
 def _(b):
@@ -117,7 +117,16 @@ def _(b):
     return R.layer_documents(b.spark, path).withColumn("spacing_y", F.col("spacing.y")).drop("spacing")
 
 
-@query("scan_layer_collection")
+@query("scan_layer_json", """WITH a AS (SELECT subject_id, session_id, CAST(floor(obs_id / 1e5) AS BIGINT) AS acq, e10, raw_layer, list_sort(list(thickness)) AS v FROM v_obs GROUP BY ALL),
+    th AS (SELECT * FROM a UNION ALL SELECT * REPLACE ('PR_RPE' AS raw_layer) FROM a WHERE raw_layer = 'RNFL'),
+    goal AS (SELECT subject_id, session_id, acq, CAST(floor(avg(len(v))) AS INT) AS g FROM th GROUP BY ALL),
+    r AS (SELECT a.*, g, len(v) AS n, list_append(v, 8e0) AS x, list_prepend(NULL, list_append(list_transform(v, lambda y: y / 64), NULL)) AS c FROM a JOIN goal USING (subject_id, session_id, acq) WHERE raw_layer = 'RNFL'),
+    os AS (SELECT *, list_transform(range(0, n), lambda j: CASE WHEN n = 1 THEN 0 ELSE j * n / CAST(n - 1 AS DOUBLE) END) AS t FROM r),
+    vectors AS (SELECT subject_id, session_id, acq, e10, CASE raw_layer WHEN 'GCL_IPL' THEN 'GCL+IPL' WHEN 'CC_CS' THEN 'Choroid' WHEN 'PR_RPE' THEN 'PhotoR+RPE' ELSE raw_layer END AS layer, list_transform(v, lambda y: nullif(y, 0)) AS v FROM th
+      UNION ALL SELECT subject_id, session_id, acq, e10, 'OS', list_transform(t, lambda p: CASE WHEN (e10 % 3 + 3) % 3 > 0 THEN
+        nullif(x[CAST(floor(p) AS INT) + 1] + (coalesce(x[CAST(floor(p) AS INT) + 2], x[CAST(floor(p) AS INT) + 1]) - x[CAST(floor(p) AS INT) + 1]) * (p - floor(p)), 0) END) FROM os
+      UNION ALL SELECT subject_id, session_id, acq, e10, 'CVI', CASE WHEN n < 108e-2 * g THEN c[2:n + 1] ELSE list_transform(c[(n + 2 - g) // 2 + 1:(n + 2 - g) // 2 + g], lambda y: coalesce(y, 0)) END FROM r)
+    SELECT subject_id, session_id, 'study_' || CAST(acq AS VARCHAR) AS study, e10 AS slice, layer, CAST(i - 1 AS INT) AS pos, v[i] AS thickness, 625e-4 AS spacing_y FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM vectors) AS u""", rounded="thickness")
 def _(b):
     """All three documents of a subject and acquisition: thicknesses, with the RNFL
     vector as PR_RPE too; CVI vectors with null ends; OS vectors, one longer, of two slices in three."""

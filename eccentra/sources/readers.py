@@ -123,7 +123,7 @@ def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str) ->
     vectors = _layer_vectors(spark, thickness)
     size = F.size("vector")
     goals = vectors.filter(F.col("layer").isin(list(K.LAYERS_THICKNESS))).groupBy(*study).agg(F.floor(F.avg(size)).cast("int").alias("goal"))
-    spacing = vectors.groupBy(*study).agg(F.first("spacing", True).alias("spacing"))
+    spacing = vectors.groupBy(*study).agg(F.min("spacing").alias("spacing"))
     lengths = vectors.filter(F.col("layer") == K.LAYER_ALIASES["PR_RPE"]).select(*at, size.alias("goal"))
     raw = _slice_vectors(spark, os)
     given = grid.resample(raw.join(lengths.filter("goal > 0"), at), at, "pos", "v", "goal")
