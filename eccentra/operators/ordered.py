@@ -65,7 +65,13 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def quantiles(df: DataFrame, keys: Sequence[str], value: str,
               probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group (same rule as ``percentile``)."""
-    pos = positions(df, keys, value)
+    return quantiles_weighted(df, keys, value, F.lit(1), probs)
+
+
+def quantiles_weighted(df: DataFrame, keys: Sequence[str], value: str, weight: Column,
+                       probs: Mapping[str, float]) -> DataFrame:
+    """The same where a row stands for ``weight`` (a whole number) equal ones."""
+    pos = positions(df, keys, value, weight)
     picks = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("tied_total") - 1)

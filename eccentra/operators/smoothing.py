@@ -14,7 +14,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from eccentra.operators import ordered
+from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -109,54 +112,128 @@ def savgol(df: DataFrame, keys: Sequence[str], order: str, value: str, width: in
     return t.join(g, [*keys, "_i"], "left").select(*keys, order, F.coalesce("_s", value).alias(value))
 
 
+def _windows(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """First place of the ``k`` values of the sorted ``x`` nearest to each value of ``at``."""
+    lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(x) - k, dtype=np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        ahead = at - x[mid] > x[np.minimum(mid + k, len(x) - 1)] - at
+        lo, hi = np.where((lo < hi) & ahead, mid + 1, lo), np.where((lo < hi) & ~ahead, mid, hi)
+    return lo
+
+
+def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, k: int, spread: float, cells: int = 1 << 20) -> np.ndarray:
+    """Local lines at ``at`` over the ``k`` nearest of the sorted ``x``, NaN where no weight is left; a bounded number of ``cells`` at a time."""
+    start, out = _windows(x, at, k), np.empty(len(at))
+    rows = max(1, cells // k)
+    for a in range(0, len(at), rows):
+        near = start[a: a + rows, None] + np.arange(k)
+        u = x[near] - at[a: a + rows, None]
+        reach = np.maximum(np.maximum(np.abs(u[:, 0]), np.abs(u[:, -1])), 1e-12)[:, None]
+        w = (1 - np.minimum(np.abs(u) / reach, 1) ** 3) ** 3 * robust[near]
+        total = w.sum(1)
+        w /= np.where(total > 0, total, 1)[:, None]
+        v = y[near]
+        mx, my = (w * u).sum(1), (w * v).sum(1)
+        u -= mx[:, None]
+        sx, sxy = (w * u * u).sum(1), (w * u * v).sum(1)
+        slope = np.where(np.sqrt(sx) > 0.001 * spread, sxy / np.where(sx > 0, sx, 1), 0)
+        out[a: a + rows] = np.where(total > 0, my - slope * mx, np.nan)
+    return out
+
+
+def _bisquare(r: np.ndarray, scale: float) -> np.ndarray:
+    return (1 - np.minimum(r / scale, 1) ** 2) ** 2
+
+
 def _lowess_array(x: np.ndarray, y: np.ndarray, share: float, rounds: int) -> np.ndarray:
-    """Local lines over the nearest ``share`` of the points, re-weighted by
-    bisquare residuals ``rounds`` times."""
-    n = len(x)
+    """Robust local lines of one profile, ordered by x, over the nearest ``share`` of its known values; read off at every x."""
+    known = ~np.isnan(y)
+    kx, ky = x[known], y[known].astype(float)
+    n = len(kx)
     k = int(share * n + 1e-10)
     if k < 2 or n < 3:
         return y.astype(float)
-    d = np.abs(x[:, None] - x[None, :])
-    reach = np.maximum(np.sort(d, axis=1)[:, k - 1], 1e-12)[:, None]
-    u = d / reach
-    tri = (1 - np.minimum(u, 1) ** 3) ** 3
-    robust, fit = np.ones(n), y.astype(float)
-    spread = x.max() - x.min()
-    for step in range(rounds + 1):
-        w = tri * robust[None, :]
-        total = w.sum(1)
-        good = total > 0
-        w = np.where(good[:, None], w / np.where(good, total, 1)[:, None], 0)
-        mx, my = w @ x, w @ y
-        sx = (w * (x[None, :] - mx[:, None]) ** 2).sum(1)
-        sxy = (w * (x[None, :] - mx[:, None]) * y[None, :]).sum(1)
-        slope = np.where(np.sqrt(sx) > 0.001 * spread, sxy / np.where(sx > 0, sx, 1), 0)
-        fit = np.where(good, my + slope * (x - mx), y)
-        if step == rounds:
-            break
-        r = np.abs(y - fit)
+    robust, spread = np.ones(n), kx.max() - kx.min()
+    for _ in range(rounds):
+        fit = _local_lines(kx, ky, robust, kx, k, spread)
+        r = np.abs(ky - np.where(np.isnan(fit), ky, fit))
         scale = 6 * np.median(r)
-        if scale <= 1e-12 * np.abs(y).max():  # an exact fit: only rounding is left
+        if scale <= 1e-12 * np.abs(ky).max():  # an exact fit: only rounding is left
             break
-        robust = (1 - np.minimum(r / scale, 1) ** 2) ** 2 if scale > 0 else (r == 0).astype(float)
-    return fit
+        robust = _bisquare(r, scale)
+    out = _local_lines(kx, ky, robust, x, k, spread)
+    return np.where(np.isnan(out), y, out)
 
 
-def lowess(df: DataFrame, keys: Sequence[str], x: str, y: str, share: float = 0.1, rounds: int = 3) -> DataFrame:
-    """Robust local linear smoothing of gridded profiles.
+def lowess(df: DataFrame, keys: Sequence[str], x: str, y: str, share: float = 0.1, rounds: int = 3, everywhere: bool = False) -> DataFrame:
+    """Robust local linear smoothing of gridded profiles; ``everywhere`` also where the value is null.
 
-    A profile has at most a few hundred positions, so the neighbourhood search
-    is array work inside the task that holds the profile.
+    A profile has at most a few hundred positions and is array work inside the
+    task that holds it. For readings without that bound see ``lowess_blocks``.
     """
-    d = df.filter(F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    d = df if everywhere else df.filter(F.col(y).isNotNull())
+    d = d.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x, kind="stable")
-        return pdf.assign(**{y: _lowess_array(pdf[x].to_numpy(), pdf[y].to_numpy(), share, rounds)})
+        pdf = pdf.sort_values([x, y], kind="stable")
+        return pdf.assign(**{y: _lowess_array(pdf[x].to_numpy(), pdf[y].to_numpy(dtype=float), share, rounds)})
 
     return d.groupBy(*keys).applyInPandas(fit, d.schema)
 
 
+def lowess_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, share: float = 0.1, rounds: int = 3, least: int = 4096) -> DataFrame:
+    """``lowess`` of irregular readings in groups of any size: (keys, x, y), a row per distinct reading, repeated ones counted.
+
+    Readings are numbered along x and cut into blocks of about the width of a
+    neighbourhood, k = share * n readings. A block is sent the k readings beside it
+    on either side, so a reading is in three or four blocks and a block is about three
+    neighbourhoods. Between rounds the median of the residuals is taken over
+    the whole group, by sorting in parallel. Groups too small for a line keep their values.
+    """
+    keys = list(keys)
+    one = F.lit(1).cast("long")
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    at = ordered.running_sums(d, keys, ["_x", "_y"], {"_m": one})
+    size = d.groupBy(*keys).agg((F.max("_x") - F.min("_x")).alias("_spread"), F.max(F.abs("_y")).alias("_top"))
+    k = F.floor(F.lit(share) * F.col("_m_total") + 1e-10).cast("long")
+    base = at.select(*keys, "_x", "_y", "_m", F.col("_m_before").alias("_i"), F.col("_m_total").alias("_n"), k.alias("_k")).join(size, keys)
+    rest = base.filter("_k < 2 OR _n < 3")
+    points = cut(base.filter("_k >= 2 AND _n >= 3").withColumns({"_r": F.lit(1.0), "_wide": F.greatest("_k", F.lit(least))}))
+    fields = ["_x", "_y", "_m", "_i", "_n", "_k", "_spread", "_r"]
+
+    def fitted(t: DataFrame) -> DataFrame:
+        """Fit at every reading, NaN for none."""
+        own = F.floor(F.col("_i") / F.col("_wide"))
+        # the blocks a reading is in or beside
+        blocks = F.sequence(F.greatest(F.floor((F.col("_i") - F.col("_k")) / F.col("_wide")), F.lit(0)), F.floor((F.col("_i") + F.col("_m") + F.col("_k")) / F.col("_wide")))
+        laid = t.select(*keys, *fields, own.alias("_own"), F.explode(blocks).alias("_block"))
+        schema = T.StructType([t.schema[c] for c in keys] + [t.schema[c] for c in ("_x", "_y")] + [T.StructField("_fit", T.DoubleType())])
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i", kind="stable")
+            mine = pdf[(pdf["_own"] == pdf["_block"])]
+            if not len(mine):
+                return mine.assign(_fit=0.0)[[f.name for f in schema]]
+            m = pdf["_m"].to_numpy()
+            px, py, pr = (np.repeat(pdf[c].to_numpy(), m) for c in ("_x", "_y", "_r"))
+            out = _local_lines(px, py, pr, mine["_x"].to_numpy(), int(pdf["_k"].iloc[0]), float(pdf["_spread"].iloc[0]))
+            return mine.assign(_fit=out)[[f.name for f in schema]]
+
+        return laid.groupBy(*keys, "_block").applyInPandas(fit, schema)
+
+    for turn in range(rounds):
+        fits = cut(fitted(points)).join(points, keys + ["_x", "_y"])
+        res = cut(fits.withColumn("_res", F.abs(F.col("_y") - F.nanvl("_fit", "_y"))))
+        mid = ordered.quantiles_weighted(res, keys, "_res", F.col("_m"), {"_median": 0.5})
+        scale = 6 * F.col("_median")
+        held = scale <= 1e-12 * F.col("_top")  # an exact fit: only rounding is left, and weights stay
+        u = F.least(F.col("_res") / F.nullif(scale, F.lit(0.0)), F.lit(1.0))
+        points = cut(res.join(mid, keys).withColumn("_r", F.when(held, F.col("_r")).otherwise(F.pow(1 - u * u, 2))).select(*points.columns))
+    out = fitted(points).select(*keys, F.col("_x").alias(x), F.nanvl("_fit", "_y").alias(y))
+    return out.unionByName(rest.select(*keys, F.col("_x").alias(x), F.col("_y").alias(y)))
+
+
 def to_grid_varying_gap(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = 100) -> DataFrame:
     """Linear reading of a smoothed profile on the 0.1 degree grid.
 

@@ -56,9 +56,51 @@ def _(b):
     return smoothing.to_grid_varying_gap(p, ["subject_id", "layer", "axis"], "x", "y")
 
 
-@query("lowess_profile")
+def robust_lowess(source: str, keys: str, x: str, y: str, tag: str = "", rounds: int = 3, share: str = "1e-1") -> str:
+    """CTEs from ``source``: ``lw``, robust local lines over the nearest tenth of the known values, at every row; nulls of y are no points."""
+    on = f"USING ({keys})"
+
+    def line(no: int, weight: str) -> str:
+        return f"""m{no}{tag} AS (SELECT {keys}, i, sum(w * r) AS sw, sum(w * r * dx) / nullif(sum(w * r), 0) AS mx, sum(w * r * yj) / nullif(sum(w * r), 0) AS my FROM (SELECT nb{tag}.*, {weight} AS r FROM {f'nb{tag}' if weight == '1e0' else f'nb{tag} JOIN r{no - 1}{tag} rr USING ({keys}, j)'}) AS t GROUP BY {keys}, i),
+    l{no}{tag} AS (SELECT {keys}, i, any_value(sw) AS sw, any_value(mx) AS mx, any_value(my) AS my, sum(w * r * (dx - mx) * (dx - mx)) / any_value(sw) AS sx, sum(w * r * (dx - mx) * yj) / any_value(sw) AS sxy
+      FROM (SELECT nb{tag}.*, {weight} AS r, sw, mx, my FROM {f'nb{tag}' if weight == '1e0' else f'nb{tag} JOIN r{no - 1}{tag} rr USING ({keys}, j)'} JOIN m{no}{tag} USING ({keys}, i) WHERE sw > 0) AS t GROUP BY {keys}, i),
+    f{no}{tag} AS MATERIALIZED (SELECT {keys}, i, my - CASE WHEN sqrt(sx) > 1e-3 * spread THEN sxy / sx ELSE 0 END * mx AS fit FROM l{no}{tag} JOIN kn{tag} {on})"""
+
+    steps, weight = [], "1e0"
+    for no in range(rounds):
+        steps.append(line(no, weight))
+        steps.append(f"""e{no}{tag} AS (SELECT {keys}, p.j, abs(p.y - coalesce(fit, p.y)) AS res FROM pt{tag} p LEFT JOIN f{no}{tag} f USING ({keys}, i)),
+    r{no}{tag} AS MATERIALIZED (SELECT {keys}, e.j, CASE WHEN 6 * mid <= 1e-12 * top THEN {'1e0' if no == 0 else 'o.r'} ELSE power(1 - power(least(res / nullif(6 * mid, 0), 1), 2), 2) END AS r
+      FROM e{no}{tag} e JOIN (SELECT {keys}, median(res) AS mid FROM e{no}{tag} GROUP BY {keys}) AS m {on} JOIN kn{tag} {on} {'' if no == 0 else f'JOIN r{no - 1}{tag} o USING ({keys}, j)'})""")
+        weight = "rr.r"
+    steps.append(line(rounds, weight))
+    return f"""al{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY xx, y) AS i FROM (SELECT *, CAST({x} AS DOUBLE) AS xx, CAST({y} AS DOUBLE) AS y FROM {source} AS s1) AS s2),
+    pt{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY i) AS j FROM al{tag} WHERE y IS NOT NULL),
+    kn{tag} AS MATERIALIZED (SELECT {keys}, count(*) AS n, CAST(floor(count(*) * {share} + 1e-10) AS INT) AS k, max(xx) - min(xx) AS spread, max(abs(y)) AS top FROM pt{tag} GROUP BY {keys}),
+    cd{tag} AS (SELECT a.{keys.replace(', ', ', a.')}, a.i, o.j, o.xx - a.xx AS dx, o.y AS yj, kn{tag}.k, row_number() OVER (PARTITION BY a.{keys.replace(', ', ', a.')}, a.i ORDER BY abs(o.xx - a.xx), o.j) AS rn
+      FROM al{tag} a JOIN kn{tag} {on} JOIN pt{tag} o {on} WHERE kn{tag}.k >= 2 AND kn{tag}.n >= 3),
+    nb{tag} AS MATERIALIZED (SELECT {keys}, i, j, dx, yj, power(1 - power(least(abs(dx) / greatest(reach, 1e-12), 1), 3), 3) AS w FROM (SELECT *, max(abs(dx)) OVER (PARTITION BY {keys}, i) AS reach FROM cd{tag} WHERE rn <= k) AS t),
+    {', '.join(steps)},
+    lw{tag} AS (SELECT al{tag}.*, coalesce(f.fit, al{tag}.y) AS fit FROM al{tag} LEFT JOIN f{rounds}{tag} f USING ({keys}, i))"""
+
+
+@query("lowess_profile", f"WITH {robust_lowess('(SELECT subject_id, axis, e10, density FROM v_profile WHERE density IS NOT NULL)', 'subject_id, axis', 'e10', 'density')} SELECT subject_id, axis, e10, fit AS density FROM lw", rounded="density", digits=3)
+def _(b):
+    out = smoothing.lowess(prof(b).select(*KEY, "e10", "density"), KEY, "e10", "density")
+    return out.withColumn("e10", F.col("e10").cast("int"))
+
+
+GRIDDED = """t AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY subject_id, axis ORDER BY x)),
+    g AS (SELECT t.*, CAST(g.e AS INT) AS e10, g.e / 10e0 AS ex FROM t, range(-100, 101) g(e)
+      WHERE CASE WHEN nx IS NULL THEN (g.e / 10e0 >= x AND g.e <= floor(x * 10) + 1) WHEN nx - x > 1 - 85e-2 / (1 + x * x / 10) THEN g.e / 10e0 = x ELSE g.e / 10e0 >= x AND g.e / 10e0 < nx END)"""
+
+
+@query("smooth_raw_readings", f"""WITH {robust_lowess('v_raw_density', 'subject_id, axis', 'ecc', 'density')}, p AS (SELECT subject_id, axis, xx AS x, avg(fit) AS y FROM lw GROUP BY subject_id, axis, xx), {GRIDDED}
+    SELECT subject_id, axis, e10, y + coalesce(CASE WHEN nx IS NOT NULL THEN (ny - y) / (nx - x) ELSE (y - py) / (x - px) END, 0) * (ex - x) AS density FROM g""", rounded="density", digits=3)
 def _(b):
-    return smoothing.lowess(prof(b).select(*KEY, "e10", "density"), KEY, "e10", "density")
+    """Irregular readings smoothed as they are, then read on the grid with wide gaps left open."""
+    s = smoothing.lowess_blocks(b.v_raw_density, KEY, "ecc", "density")
+    return smoothing.to_grid_varying_gap(s, KEY, "ecc", "density")
 
 
 @query("lowess_plain", """
