@@ -85,29 +85,37 @@ def percentile_band(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 
 def leave_one_out_bands(df: DataFrame, keys: Sequence[str], value: str,
                         probs: Mapping[str, float] | None = None) -> DataFrame:
-    """Every row against the band of all *other* rows of its group.
+    """Every row against the band of all *other* rows of its group; null where half of these or more are null.
 
     Without a row at place i, the k-th smallest of the rest is the k-th of all
-    where k < i and the (k+1)-th otherwise. Four picks per quantile therefore
-    serve every row at once, instead of one cohort per subject.
+    where k < i and the (k+1)-th otherwise; without a null row nothing changes.
+    Six picks per quantile therefore serve every row at once, instead of one
+    cohort per subject, and the share of nulls among the others follows from two counts.
     """
     probs = dict(probs or {"median": 0.5, "lower": 0.15, "upper": 0.85})
     keys = list(keys)
     pos = ordered.positions(df, keys, value)
+    n = F.col("tied_total")
     picks = []
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("tied_total") - 2)
-        for tag, k in (("lo", F.floor(at)), ("lo1", F.floor(at) + 1), ("hi", F.ceil(at)), ("hi1", F.ceil(at) + 1)):
+        rest, every = F.lit(float(p)) * (n - 2), F.lit(float(p)) * (n - 1)
+        for tag, k in (("lo", F.floor(rest)), ("lo1", F.floor(rest) + 1), ("hi", F.ceil(rest)), ("hi1", F.ceil(rest) + 1),
+                       ("all_lo", F.floor(every)), ("all_hi", F.ceil(every))):
             inside = (F.col("tied_before") <= k) & (k < F.col("tied_before") + F.col("tied"))
             picks.append(F.max(F.when(inside, F.col(value))).alias(f"_{name}_{tag}"))
     found = pos.groupBy(*keys).agg(F.max("tied_total").alias("_n"), *picks)
-    here = df.filter(F.col(value).isNotNull()).join(pos.select(*keys, value, "tied_before"), keys + [value]).join(found, keys)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count_if(F.col(value).isNull()).alias("_nulls"))
+    here = df.join(pos.select(*keys, value, F.col("tied_before").alias("_place")), keys + [value], "left").join(counts, keys).join(found, keys, "left")
+    missing = F.col(value).isNull()
+    most = F.col("_nulls") - missing.cast("long") < 0.5 * (F.col("_rows") - 1)
     outs = []
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_n") - 2)
-        lo = F.when(F.floor(at) < F.col("tied_before"), F.col(f"_{name}_lo")).otherwise(F.col(f"_{name}_lo1"))
-        hi = F.when(F.ceil(at) < F.col("tied_before"), F.col(f"_{name}_hi")).otherwise(F.col(f"_{name}_hi1"))
-        outs.append(F.when(F.col("_n") > 1, lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        rest, every = F.lit(float(p)) * (F.col("_n") - 2), F.lit(float(p)) * (F.col("_n") - 1)
+        lo = F.when(F.floor(rest) < F.col("_place"), F.col(f"_{name}_lo")).otherwise(F.col(f"_{name}_lo1"))
+        hi = F.when(F.ceil(rest) < F.col("_place"), F.col(f"_{name}_hi")).otherwise(F.col(f"_{name}_hi1"))
+        a, z = F.col(f"_{name}_all_lo"), F.col(f"_{name}_all_hi")
+        band = F.when(missing, a + (z - a) * (every - F.floor(every))).when(F.col("_n") > 1, lo + (hi - lo) * (rest - F.floor(rest)))
+        outs.append(F.when(most, band).alias(name))
     return here.select(*df.columns, *outs)
 
 

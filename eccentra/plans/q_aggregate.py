@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from eccentra.functions import geometry as G
-from eccentra.operators import cells, cohort, images, joins, montage, ordered, profiles
+from eccentra.operators import cells, cohort, images, joins, montage, ordered, profiles, smoothing
+from eccentra.plans.q_ordered import robust_lowess
 from eccentra.plans.q_projection import parsed
 from eccentra.plans.registry import query
+from eccentra.session import cut
 
 KEY = ["subject_id", "session_id", "axis"]
 
@@ -148,11 +150,34 @@ def _(b):
     return cohort.percentile_band(t, ["axis", "e10", "layer"], "v")
 
 
-@query("compare_to_band", """
-    SELECT a.subject_id, a.axis, a.e10, a.density, median(o.density) AS median, quantile_cont(o.density, 15e-2) AS lower, quantile_cont(o.density, 85e-2) AS upper
-    FROM v_profile a LEFT JOIN v_profile o ON o.axis = a.axis AND o.e10 = a.e10 AND o.subject_id <> a.subject_id GROUP BY a.subject_id, a.axis, a.e10, a.density""", rounded="median lower upper")
-def _(b):
-    return cohort.leave_one_out_bands(b.v_profile.select("subject_id", "axis", "e10", "density"), ["axis", "e10"], "density")
+BANDED = """base AS (SELECT subject_id, axis, e10, density FROM v_profile),
+    long AS (SELECT subject_id, axis, e10, 'density' AS feature, density AS v FROM base UNION ALL
+      SELECT b.subject_id, b.axis, b.e10, f.feature, l.thickness FROM base b CROSS JOIN (VALUES ('GCL+IPL'), ('Choroid'), ('RNFL')) f(feature)
+      LEFT JOIN v_layer_profile l ON l.subject_id = b.subject_id AND l.axis = b.axis AND l.e10 = b.e10 AND l.layer = f.feature),
+    oth AS (SELECT a.subject_id, a.axis, a.e10, a.feature, a.v, median(o.v) AS median, quantile_cont(o.v, 15e-2) AS lower, quantile_cont(o.v, 85e-2) AS upper,
+        count(*) FILTER (o.subject_id IS NOT NULL AND o.v IS NULL) < 5e-1 * count(o.subject_id) AS most
+      FROM long a LEFT JOIN long o ON o.axis = a.axis AND o.e10 = a.e10 AND o.feature = a.feature AND o.subject_id <> a.subject_id GROUP BY a.subject_id, a.axis, a.e10, a.feature, a.v),
+    band AS (SELECT subject_id, axis, e10, feature, v AS result, CASE WHEN most THEN median END AS median, CASE WHEN most THEN lower END AS lower, CASE WHEN most THEN upper END AS upper FROM oth)"""
+
+
+@query("compare_to_band", f"""WITH {BANDED}, curves AS MATERIALIZED (SELECT subject_id, axis, feature, e10, u.curve, u.w FROM band, LATERAL (VALUES ('result', result), ('median', median), ('lower', lower), ('upper', upper)) u(curve, w)),
+    {robust_lowess("(SELECT * FROM curves WHERE feature <> 'density')", 'subject_id, axis, feature, curve', '(e10 / 10e0)', 'w')},
+    every AS (SELECT subject_id, axis, feature, e10, curve, fit FROM lw UNION ALL SELECT subject_id, axis, feature, e10, curve, w FROM curves WHERE feature = 'density')
+    SELECT subject_id, axis, e10, feature, max(fit) FILTER (curve = 'result') AS result, max(fit) FILTER (curve = 'median') AS median, max(fit) FILTER (curve = 'lower') AS lower, max(fit) FILTER (curve = 'upper') AS upper
+    FROM every GROUP BY subject_id, axis, e10, feature""", rounded="result median lower upper", digits=3)
+def _(b):
+    """Every subject against all others, density and layers alike; layers' curves are smoothed."""
+    key = ["subject_id", "axis", "e10"]
+    base = b.v_profile.select(*key, "density")
+    layers = base.select(*key, F.explode(F.array(*[F.lit(x) for x in ("GCL+IPL", "Choroid", "RNFL")])).alias("feature")).join(
+        b.v_layer_profile.select(*key, F.col("layer").alias("feature"), F.col("thickness").alias("result")), [*key, "feature"], "left")
+    long = layers.unionByName(base.select(*key, F.lit("density").alias("feature"), F.col("density").alias("result")))
+    band = cut(cohort.leave_one_out_bands(long, ["axis", "e10", "feature"], "result"))
+    names = ["result", "median", "lower", "upper"]
+    curves = band.filter("feature <> 'density'").unpivot([*key, "feature"], names, "curve", "w").withColumn("x", F.col("e10") / 10.0)
+    smooth = smoothing.lowess(curves, ["subject_id", "axis", "feature", "curve"], "x", "w", everywhere=True).withColumn("e10", F.round(F.col("x") * 10).cast("int"))
+    wide = smooth.groupBy(*key, "feature").agg(*[F.max(F.when(F.col("curve") == c, F.col("w"))).alias(c) for c in names])
+    return wide.unionByName(band.filter("feature = 'density'").select(*wide.columns))
 
 
 @query("central_summary", """SELECT subject_id, axis, avg(density) AS density_mean, median(density) AS density_median, stddev_samp(density) AS density_std,
