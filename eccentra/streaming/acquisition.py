@@ -75,22 +75,23 @@ def applied(fold: Any, before: float | None) -> float | None:
 
 
 class Average(StatefulProcessor):
-    """Average per key. The state of a key without readings for ``live_ms`` of event time is dropped."""
+    """Average per key. After ``live_ms`` of event time without readings it starts anew, and the state is dropped."""
 
     def __init__(self, key: str, live_ms: int):
         self.key, self.live_ms = key, live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("average", "v double")
+        self.state = handle.getValueState("average", "v double, at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Any], timers: Any) -> Iterator[Row]:
         held = self.state.get()
-        v = held[0] if held else None
+        v, at = (held[0], held[1]) if held else (None, None)
         slots = sorted(rows, key=lambda r: r.at)  # a row per slot
-        for r in slots:
-            v = applied(r.fold, v)
-        self.state.update((v,))
+        for r in slots:  # the timer may not have gone off yet
+            v = applied(r.fold, v if at is not None and r.at - at <= self.live_ms else None)
+            at = r.at
+        self.state.update((v, at))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(slots[-1].at + self.live_ms)
