@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood by a bidirectional window network.
 
 Every token is predicted from ``SIDE`` tokens before and after it: their
-embeddings are summed per place, squashed and mapped to a softmax over the
-classes of the vocabulary. The summed log-probabilities of a document's tokens, each given
+embeddings are summed per place, squashed and mapped to a softmax in two levels: over
+groups of ``GROUP`` classes of the vocabulary, and over the classes of the token's group, so
+that a token costs no exponentials of other groups. The summed log-probabilities of a document's tokens, each given
 both its sides, are its score; the mean makes lengths comparable.
 
 The vocabulary is made of word hashes counted over all documents. All of them and
@@ -45,6 +46,8 @@ by_value(__name__)
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 320, 64, 2, 12, 16
 OWN, LISTED = 16, 1 << 16
 ROUNDS, RATE, BATCH = 2, 0.5, 256
+#: Classes of a group, and places scored at once.
+GROUP, SCORED = 128, 4096
 EVERY = ROUNDS
 CLASSES = FREQUENT + HASHED
 
@@ -71,7 +74,8 @@ def start_weights(seed: int = 7, classes: int = CLASSES) -> dict[str, np.ndarray
     rng = np.random.default_rng(seed)
     return {"embed": rng.normal(0, 0.1, (classes + 1, WIDTH)).astype(np.float32),
             "inner": rng.normal(0, 0.3, (2 * SIDE * WIDTH, HIDDEN)).astype(np.float32), "bias": np.zeros(HIDDEN, dtype=np.float32),
-            "outer": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32), "base": np.zeros(classes, dtype=np.float32)}
+            "outer": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32), "base": np.zeros(classes, dtype=np.float32),
+            "top": rng.normal(0, 0.1, (HIDDEN, -(-classes // GROUP))).astype(np.float32), "head": np.zeros(-(-classes // GROUP), dtype=np.float32)}
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -118,49 +122,80 @@ def windows(tokens: np.ndarray, borders: np.ndarray, places: np.ndarray, pad: in
     return out
 
 
-def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, hidden, log-probabilities)."""
-    x = w["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ w["inner"] + w["bias"])
-    z = h @ w["outer"] + w["base"]
+def hidden(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, hidden values)."""
+    x = w["embed"][around].reshape(len(around), around.shape[1] * WIDTH)
+    return x, np.tanh(x @ w["inner"] + w["bias"])
+
+
+def normed(z: np.ndarray) -> np.ndarray:
+    """Log-softmax of every row, in place."""
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, hidden, log-probabilities of all classes)."""
+    x, h = hidden(w, around)
+    groups = normed(h @ w["top"] + w["head"])
+    z = h @ w["outer"] + w["base"]
+    for g in range(groups.shape[1]):
+        z[:, g * GROUP: (g + 1) * GROUP] = normed(z[:, g * GROUP: (g + 1) * GROUP]) + groups[:, g: g + 1]
     return x, h, z
 
 
-def exponents(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, hidden and a one, their map to the classes, softmax before division by its sums), in few passes."""
-    x = w["embed"][around].reshape(len(around), -1)
-    h = np.ones((len(around), HIDDEN + 1), dtype=x.dtype)
-    np.tanh(x @ w["inner"] + w["bias"], out=h[:, :-1])
-    last = np.concatenate([w["outer"], w["base"][None, :]])
-    z = h @ last
-    if not np.abs(last).sum(axis=0).max() < 50:  # else exp stays far from overflow, as hidden values are within -1 and 1
-        z -= z.max(axis=1, keepdims=True)
-    return x, h, last, np.exp(z, out=z)
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Softmax of every row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the targets by group, and the groups' borders in it."""
+    group = target // GROUP
+    order = np.argsort(group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group))])
 
 
 def chosen(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of every target."""
-    e = exponents(w, around)[-1]
-    with np.errstate(divide="ignore"):
-        out = np.log(e[np.arange(len(target)), target]) - np.log(e @ np.ones(e.shape[1], dtype=e.dtype))
-    gone = np.flatnonzero(~np.isfinite(out))
-    if len(gone):
-        out[gone] = forward(w, around[gone])[2][np.arange(len(gone)), target[gone]]
+    """Log-probability of every target: that of its group, and its own among the group's classes alone."""
+    order, borders = by_group(target)
+    _, h = hidden(w, around[order])
+    groups, picked, out = normed(h @ w["top"] + w["head"]), target[order], np.empty(len(target), dtype=h.dtype)
+    for g in range(len(borders) - 1):
+        a, b, lo = borders[g], borders[g + 1], g * GROUP
+        if a < b:
+            z = normed(h[a:b] @ w["outer"][:, lo: lo + GROUP] + w["base"][lo: lo + GROUP])
+            out[order[a:b]] = groups[a:b, g] + z[np.arange(b - a), picked[a:b] - lo]
     return out
 
 
 def step(w: dict, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient step on a batch, in place."""
-    x, h, last, g = exponents(w, around)
-    g *= (1 / (len(target) * (g @ np.ones(g.shape[1], dtype=g.dtype))))[:, None]
-    g[np.arange(len(target)), target] -= 1 / len(target)
-    back = (g @ w["outer"].T) * (1 - h[:, :-1] ** 2)
+    order, borders = by_group(target)
+    around, picked, n = around[order], target[order], len(target)
+    x, h = hidden(w, around)
+    p = softmax(h @ w["top"] + w["head"])
+    p[np.arange(n), picked // GROUP] -= 1
+    p /= n
+    back = p @ w["top"].T
+    w["top"] -= rate * (h.T @ p)
+    w["head"] -= rate * p.sum(axis=0)
+    for g in range(len(borders) - 1):
+        a, b, lo = borders[g], borders[g + 1], g * GROUP
+        if a < b:
+            own, base, mine = w["outer"][:, lo: lo + GROUP], w["base"][lo: lo + GROUP], h[a:b]
+            q = softmax(mine @ own + base)
+            q[np.arange(b - a), picked[a:b] - lo] -= 1
+            q /= n
+            back[a:b] += q @ own.T
+            own -= rate * (mine.T @ q)
+            base -= rate * q.sum(axis=0)
+    back *= 1 - h**2
     inputs = back @ w["inner"].T
-    out = h.T @ g
-    w["outer"] -= rate * out[:-1]
-    w["base"] -= rate * out[-1]
     w["inner"] -= rate * (x.T @ back)
     w["bias"] -= rate * back.sum(axis=0)
     at = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
@@ -258,7 +293,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
     return shaped(weights, classes)
 
 
-def scores(docs: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabulary, block: int = BATCH) -> DataFrame:
+def scores(docs: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabulary, block: int = SCORED) -> DataFrame:
     """(doc_id, n_tokens, log_probability, mean_log_probability)."""
     sent = docs.sparkSession.sparkContext.broadcast((weights, (*vocabulary[:-1], None)))
 

@@ -529,7 +529,7 @@ def test_gradients_match_differences():
     loss = lambda: -op8.forward(w, around)[2][np.arange(6), target].mean()
     after = {k: v.copy() for k, v in w.items()}
     op8.step(after, around, target, 1.0)
-    for k, at in (("embed", (int(around[0, 1]), 3)), ("inner", (5, 2)), ("bias", (1,)), ("outer", (4, int(target[0]))), ("base", (int(target[1]),))):
+    for k, at in (("embed", (int(around[0, 1]), 3)), ("inner", (5, 2)), ("bias", (1,)), ("outer", (4, int(target[0]))), ("base", (int(target[1]),)), ("top", (2, int(target[2]) // op8.GROUP)), ("head", (0,))):
         grad, keep_, e = w[k][at] - after[k][at], w[k][at], 1e-5
         w[k][at] = keep_ + e
         up = loss()
@@ -537,6 +537,10 @@ def test_gradients_match_differences():
         down = loss()
         w[k][at] = keep_
         assert abs((up - down) / (2 * e) - grad) < 1e-6
+    logs = op8.forward(w, around)[2]
+    assert np.allclose(np.exp(logs).sum(axis=1), 1)
+    assert np.allclose(op8.chosen(w, around, target), logs[np.arange(6), target])
+    assert len(op8.chosen(w, around[:0], target[:0])) == 0
 
 
 # ---- 9
