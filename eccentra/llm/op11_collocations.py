@@ -42,8 +42,8 @@ by_value(__name__)
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Share of a phrase's occurrences inside one longer phrase, in hundredths, from which it is dropped.
 INSIDE = 80
-#: Bytes of text taken at once, and phrases counted before they are passed on.
-CHUNK, HELD = 4 << 20, 1 << 20
+#: Bytes of text taken at once, phrases counted before they are passed on, and rows passed on at once.
+CHUNK, HELD, SENT = 1 << 20, 1 << 18, 1 << 16
 #: Keys drawn per range when ranges are cut.
 DRAWN = 32
 #: Parts of a language that are ranked by themselves first.
@@ -147,7 +147,9 @@ def counted_phrases(texts: DataFrame, order: int, shorter: np.ndarray) -> DataFr
             parts = parts[by]
             new = np.append(True, (parts[1:] != parts[:-1]).any(axis=1))
             at = np.flatnonzero(new)
-            return pa.RecordBatch.from_arrays([packed(parts[at]), pa.array(np.diff(np.append(at, len(parts))))], ["key", "c"])
+            n = np.diff(np.append(at, len(parts)))
+            for lo in range(0, len(at), SENT):
+                yield pa.RecordBatch.from_arrays([packed(parts[at[lo: lo + SENT]]), pa.array(n[lo: lo + SENT])], ["key", "c"])
 
         for batch in batches:
             tongues = batch.column("tongue").to_numpy().view(np.uint64)
@@ -169,9 +171,9 @@ def counted_phrases(texts: DataFrame, order: int, shorter: np.ndarray) -> DataFr
                 if len(at):
                     held.append((joined(key[at], words[at + order - 1], order - 1), np.stack([tongue[at]] + [words[at + k] for k in range(order)], axis=1)))
                 if sum(len(h) for h, _ in held) >= HELD:
-                    yield out()
+                    yield from out()
         if held:
-            yield out()
+            yield from out()
 
     return texts.mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
