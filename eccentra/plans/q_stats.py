@@ -3,10 +3,11 @@
 from pyspark.sql import Window as W, functions as F
 
 from eccentra.functions import geometry as G
-from eccentra.operators import cohort, joins, peaks, stats
+from eccentra.operators import cohort, joins, peaks, profiles, smoothing, stats
 from eccentra.plans.q_join import REG, REG_SQL
-from eccentra.plans.q_ordered import scale_space
+from eccentra.plans.q_ordered import robust_lowess, scale_space
 from eccentra.plans.registry import query
+from eccentra.session import cut
 
 KEY = ["subject_id", "session_id", "axis"]
 
@@ -66,6 +67,32 @@ def _(b):
     return stats.spearman(s, keys + ["part"], "density", "thickness", bounded=True).drop("p")
 
 
+FILLED = """lt AS (SELECT subject_id, layer, axis, e10, thickness, lead(e10) OVER w AS ne, lead(thickness) OVER w AS nv FROM v_layer_profile WINDOW w AS (PARTITION BY subject_id, layer, axis ORDER BY e10)),
+    filled AS (SELECT subject_id, axis, layer, CAST(g.e AS INT) AS e10, CASE WHEN g.e = e10 THEN thickness ELSE thickness + (nv - thickness) * (g.e - e10) / (ne - e10) END AS thickness
+      FROM lt, range(-100, 101) g(e) WHERE g.e = e10 OR (ne - e10 <= 4 AND g.e > e10 AND g.e < ne))"""
+STEP = "floor({} * 1048576e0 + 5e-1) / 1048576e0"
+
+
+@query("layer_analysis", f"""WITH {FILLED}, {robust_lowess('filled', 'subject_id, axis, layer', 'e10', 'thickness')},
+    sm AS (SELECT subject_id, axis, layer, e10, fit AS thickness FROM lw), {scale_space('sm', 'subject_id, axis, layer', 'e10', 'thickness')},
+    both_ AS (SELECT subject_id, axis, layer, e10, density, {STEP.format('sm.thickness')} AS thickness FROM sm JOIN v_profile p USING (subject_id, axis, e10)),
+    s AS (SELECT both_.*, lower, upper, u.part FROM both_ JOIN least USING (subject_id, axis, layer),
+      LATERAL (SELECT unnest(list_filter([CASE WHEN e10 < 0 AND lower IS NULL THEN 'left' END, CASE WHEN e10 > 0 AND lower IS NULL THEN 'right' END, CASE WHEN e10 < 0 AND e10 <= lower THEN 'first' END,
+        CASE WHEN e10 < 0 AND e10 >= lower THEN 'second' END, CASE WHEN e10 > 0 AND e10 <= upper THEN 'third' END, CASE WHEN e10 > 0 AND e10 >= upper THEN 'fourth' END], lambda x: x IS NOT NULL)) AS part) AS u)
+    SELECT subject_id, axis, layer, part, any_value(lower) AS lower, any_value(upper) AS upper, any_value(rho) AS rho, any_value(n) AS n
+    FROM s JOIN (SELECT subject_id, axis, layer, part, {clean('rho')} AS rho, n FROM {rho_sql('s', 'subject_id, axis, layer, part', 'density', 'thickness')} AS r) AS q USING (subject_id, axis, layer, part) GROUP BY subject_id, axis, layer, part""", rounded="rho", digits=4)
+def _(b):
+    """The whole way of a subject: mean thickness per step, small gaps filled, LOWESS, the two peaks, rank correlation with density by part."""
+    keys = ["subject_id", "axis", "layer"]
+    filled = profiles.fill_small_gaps(b.v_layer_profile.select(*keys, "e10", "thickness"), keys, "thickness")
+    smooth = cut(smoothing.lowess(filled, keys, "e10", "thickness").withColumn("e10", F.col("e10").cast("int")))  # read twice
+    limits = peaks.two_peaks_one_valley(smooth, keys, "e10", "thickness").drop("sigma")
+    both = b.v_profile.select("subject_id", "axis", "e10", "density").join(smooth, ["subject_id", "axis", "e10"])
+    parts = peaks.split_parts(both.withColumn("thickness", F.floor(F.col("thickness") * 1048576.0 + 0.5) / 1048576.0), limits, keys)
+    rho = stats.spearman(parts, keys + ["part"], "density", "thickness", bounded=True).drop("p")
+    return rho.join(limits, keys).select(*keys, "part", "lower", "upper", "rho", "n")
+
+
 ECC = f"""{PAIRS}, ew AS (SELECT *, {r_tail('rho', 'n')} AS p FROM {rho_sql('pairs', 'axis, e10, layer', 'density', 'thickness')} AS r WHERE n > 2 AND isfinite(rho))"""
 
 
