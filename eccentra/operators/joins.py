@@ -54,35 +54,56 @@ def within_distance(points: DataFrame, image: Sequence[str], d: float) -> DataFr
 def nearest_distance(points: DataFrame, image: Sequence[str], start: int = 16) -> DataFrame:
     """Distance of every distinct position to the nearest other point.
 
-    Positions look in the nine cells around them; those without a certain
-    answer (nothing closer than one cell side) go on with cells twice as wide
-    until none is open: an image with two positions has an answer for both.
+    Positions look in the nine cells around them, which hold 9 * ``start`` ** 2
+    positions at most. Those without a certain answer (nothing closer than one
+    cell side) descend a pyramid of occupied cells, so that a lone point
+    beside a dense patch meets the cells at the patch's near edge and not the patch.
     Positions holding several points have distance 0. A point alone on its
     image stays null.
     """
     image = list(image)
     spots = cut(distinct_points(points, image))
     counts = spots.groupBy(*image).agg(F.count("*").alias("_spots"))
-    done = [spots.filter("n_here > 1").select(*image, "x", "y", "n_here", F.lit(0.0).alias("distance"))]
+    here = [*image, "x", "y", "n_here"]
+    several = spots.filter("n_here > 1").select(*here, F.lit(0.0).alias("distance"))
     alone = spots.filter("n_here = 1").join(counts, image)
-    done.append(alone.filter("_spots = 1").select(*image, "x", "y", "n_here", F.lit(None).cast("double").alias("distance")))
-    open_ = alone.filter("_spots > 1").drop("_spots")
-    size = start
-    while True:
-        other = _cells(spots, size).select(*image, "_cx", "_cy", F.col("x").alias("bx"), F.col("y").alias("by"))
-        dx, dy = F.col("x").cast("long") - F.col("bx"), F.col("y").cast("long") - F.col("by")
-        best = F.min(F.when((dx != 0) | (dy != 0), dx * dx + dy * dy)).alias("_d2")
-        tried = cut(_around(open_, size).join(other, image + ["_cx", "_cy"]).groupBy(*image, "x", "y", "n_here").agg(best))
-        sure = F.col("_d2").isNotNull() & (F.col("_d2") <= F.lit(float(size)) * size)
-        done.append(tried.filter(sure).select(*image, "x", "y", "n_here", F.sqrt(F.col("_d2").cast("double")).alias("distance")))
-        open_ = tried.filter(~sure).drop("_d2")
-        if open_.isEmpty():
-            break
-        size *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    single = alone.filter("_spots = 1").select(*here, F.lit(None).cast("double").alias("distance"))
+    other = _cells(spots, start).select(*image, "_cx", "_cy", F.col("x").alias("bx"), F.col("y").alias("by"))
+    dx, dy = F.col("x").cast("long") - F.col("bx"), F.col("y").cast("long") - F.col("by")
+    best = F.min(F.when((dx != 0) | (dy != 0), dx * dx + dy * dy)).alias("_d2")
+    tried = cut(_around(alone.filter("_spots > 1").drop("_spots"), start).join(other, image + ["_cx", "_cy"]).groupBy(*here).agg(best))
+    sure = F.col("_d2").isNotNull() & (F.col("_d2") <= F.lit(float(start)) * start)
+    near = tried.filter(sure).select(*here, F.sqrt(F.col("_d2").cast("double")).alias("distance"))
+    open_ = cut(tried.filter(~sure).select(*here))
+    out = several.unionByName(single).unionByName(near)
+    return out if open_.isEmpty() else out.unionByName(_descended(open_, spots, image))
+
+
+def _descended(open_: DataFrame, spots: DataFrame, image: list[str]) -> DataFrame:
+    """The nearest other spot of every position, from the top of a pyramid of occupied cells downwards.
+
+    A cell is the box of its spots. At each level the cells whose near side is beyond
+    the far side of another one drop out, and the others are opened.
+    """
+    box = ["_x0", "_x1", "_y0", "_y1"]
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    levels = [cut(spots.select(*image, x.alias("_cx"), y.alias("_cy"), x.alias("_x0"), x.alias("_x1"), y.alias("_y0"), y.alias("_y1")))]
+    low, high = spots.agg(F.min(F.least("x", "y")), F.max(F.greatest("x", "y"))).first()
+    for _ in range(int(max(abs(low), abs(high))).bit_length()):  # then an image has four cells at most
+        up = [F.shiftright(c, 1).alias(c) for c in ("_cx", "_cy")]
+        levels.append(cut(levels[-1].groupBy(*image, *up).agg(*[(F.min if c[-1] == "0" else F.max)(c).alias(c) for c in box])))
+    own = [*image, "x", "y", "n_here"]
+    found = open_.join(levels[-1].select(*image, "_cx", "_cy"), image)
+    for level in levels[-2::-1]:
+        below = level.withColumns({"_px": F.shiftright("_cx", 1), "_py": F.shiftright("_cy", 1)})
+        t = found.select(*own, F.col("_cx").alias("_px"), F.col("_cy").alias("_py")).join(below, [*image, "_px", "_py"])
+        t = t.filter(~((F.col("_x0") == x) & (F.col("_x1") == x) & (F.col("_y0") == y) & (F.col("_y1") == y)))  # the position itself
+        zero = F.lit(0).cast("long")
+        nx, ny = F.greatest(zero, F.col("_x0") - x, x - F.col("_x1")), F.greatest(zero, F.col("_y0") - y, y - F.col("_y1"))
+        fx, fy = F.greatest(x - F.col("_x0"), F.col("_x1") - x), F.greatest(y - F.col("_y0"), F.col("_y1") - y)
+        t = t.withColumns({"_near": nx * nx + ny * ny, "_far": F.min(fx * fx + fy * fy).over(W.partitionBy(*image, "x", "y"))})
+        found = cut(t.filter("_near <= _far").select(*own, "_cx", "_cy", "_near"))
+    return found.groupBy(*own).agg(F.sqrt(F.min("_near").cast("double")).alias("distance"))
 
 
 def regions_of(df: DataFrame, value: Column, regions: Sequence[tuple[str, float, float]]) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eccentra.operators import cohort, ordered, peaks, smoothing, stats
+from eccentra.operators import cohort, joins, ordered, peaks, smoothing, stats
 from eccentra.streaming import acquisition as A, folder
 
 
@@ -212,6 +212,31 @@ def test_parts_follow_the_peaks_of_a_profile(spark):
     assert {(r["k"], r["part"]): r["n"] for r in parts} == {(1, "first"): 15, (1, "second"): 6, (1, "third"): 8, (1, "fourth"): 13, (2, "left"): 20, (2, "right"): 20}
 
 
+def test_nearest_point_of_lone_points_beside_a_dense_patch(spark, monkeypatch):
+    """Equal to brute force, and a lone point meets few cells of a patch of 40,000 positions."""
+    patch = [(1, a, c) for a in range(1000, 1200) for c in range(300, 500)]
+    lone = [(1, 0, 0), (1, -700, 900), (1, 3000, 420), (2, -5, -5), (2, 900, 4), (3, 1, 1), (4, 7, 7), (4, 7, 7), (1, 5000, 5000)]
+    most = []
+    plain = joins.cut
+
+    def counted(df):
+        out = plain(df)
+        if "_near" in out.columns:
+            most.append(out.groupBy("image", "x", "y").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(joins, "cut", counted)
+    out = joins.nearest_distance(spark.createDataFrame(patch + lone, "image int, x int, y int"), ["image"])
+    got = {(r["image"], r["x"], r["y"]): r["distance"] for r in out.filter("image > 1 OR x < 1000 OR x >= 1200 OR (x + y) % 97 = 0").collect()}
+    assert out.count() == len(patch) + len(lone) - 1
+    for k in lone:
+        rest = [(b, c) for a, b, c in patch + lone if a == k[0] and (b, c) != k[1:]]
+        want = 0.0 if k[0] == 4 else min((math.dist(k[1:], q) for q in rest), default=None)
+        assert got[k] == want if want is None else math.isclose(got[k], want)
+    assert all(d == 1.0 for (i, a, _), d in got.items() if i == 1 and 1000 <= a < 1200)
+    assert most and max(most) < 200
+
+
 def test_weighted_quantiles(spark):
     rows = [(1, 1.0, 3), (1, 5.0, 1), (1, 7.0, 4)]
     out = ordered.quantiles_weighted(spark.createDataFrame(rows, "k int, v double, m long"), ["k"], "v", F.col("m"), {"q": 0.4, "m": 0.5}).first()
