@@ -299,7 +299,17 @@ def _(b):
     return images.normalized_cdf(images.level_histogram(b.v_tile, ["tile_id"]), ["tile_id"])
 
 
-@query("histogram_valley_threshold")
+VALLEY = f"""{HIST}, hv AS (SELECT label, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY b.bin) AS v FROM (SELECT label, unnest(range(0, 64)) AS bin FROM (SELECT DISTINCT label FROM lh)) AS b LEFT JOIN lh USING (label, bin) GROUP BY label),
+    hs AS (SELECT label, 64 AS n, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(-8, 9), lambda d: exp(-5e-1 * d * d / 4e0) * v[1 + CASE WHEN i + d < 0 THEN -1 - i - d WHEN i + d > 63 THEN 127 - i - d ELSE i + d END]))
+      / list_sum(list_transform(range(-8, 9), lambda d: exp(-5e-1 * d * d / 4e0)))) AS s FROM hv),
+    ht AS (SELECT *, list_filter(range(1, 65), lambda i: i = 1 OR s[i] <> s[i - 1]) AS st FROM hs),
+    hp AS (SELECT label, (st[k] + st[k + 1] - 3) // 2 AS place, s[st[k]] AS top FROM (SELECT *, unnest(list_filter(range(2, len(st)), lambda k: s[st[k]] > s[st[k - 1]] AND s[st[k]] > s[st[k + 1]])) AS k FROM ht) AS u),
+    hm AS (SELECT label, coalesce(arg_max(place, struct_pack(a := top, b := -place)) FILTER (place > 315e-1 - sqrt(4095 / 12e0)), min(place)) AS peak FROM hp GROUP BY label),
+    hc AS (SELECT label, i, (s[i + 3] - s[i + 2]) - (s[i + 2] - s[i + 1]) AS d FROM hs JOIN hm USING (label), range(0, 62) r(i) WHERE i + 1 < peak - 3 AND i >= 25e-2 * peak AND i <= 75e-2 * peak),
+    hb AS (SELECT label, arg_max(i, struct_pack(a := d, b := -i)) AS i FROM hc GROUP BY label)"""
+
+
+@query("histogram_valley_threshold", f"WITH {VALLEY} SELECT label, CAST(coalesce(hb.i, 32) AS INT) AS threshold FROM hs LEFT JOIN hb USING (label)")
 def _(b):
     h = b.v_tile.groupBy("label", F.floor(F.col("v") / 4).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     keys = h.select("label").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(63))))
@@ -446,7 +456,15 @@ def _(b):
     return I.max_slope(pit(b), ["subject_id"])
 
 
-@query("surface_flatness")
+@query("surface_flatness", """
+    WITH kn AS (SELECT i, CASE WHEN q < 8 THEN q ELSE 15 - q END AS j, sum(w) / (SELECT sum(exp(-5e-1 * d * d / 4e0)) FROM range(-8, 9) t(d)) AS w
+      FROM (SELECT i, exp(-5e-1 * d * d / 4e0) AS w, ((i + d) % 16 + 16) % 16 AS q FROM range(0, 8) a(i), range(-8, 9) b(d)) AS k GROUP BY ALL),
+    v AS (SELECT tile_id, CAST(floor(pos / 8) AS INT) AS r, pos % 8 AS c, v FROM v_tile), s AS (SELECT t.tile_id, a.i AS r, b.i AS c, sum(a.w * b.w * t.v) AS v FROM v t JOIN kn a ON a.j = t.r JOIN kn b ON b.j = t.c GROUP BY t.tile_id, a.i, b.i),
+    rest AS (SELECT tile_id, r, c, v.v - s.v AS v FROM v JOIN s USING (tile_id, r, c)), r2 AS (SELECT t.tile_id, a.i AS r, b.i AS c, sum(a.w * b.w * t.v) AS v FROM rest t JOIN kn a ON a.j = t.r JOIN kn b ON b.j = t.c GROUP BY t.tile_id, a.i, b.i),
+    z AS (SELECT tile_id, r, c, s.v + r2.v AS z FROM s JOIN r2 USING (tile_id, r, c)),
+    g AS (SELECT *, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / CASE WHEN r IN (0, 7) THEN 1 ELSE 2 END AS gx, (coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / CASE WHEN c IN (0, 7) THEN 1 ELSE 2 END AS gy
+      FROM z WINDOW x AS (PARTITION BY tile_id, c ORDER BY r), y AS (PARTITION BY tile_id, r ORDER BY c))
+    SELECT tile_id, 1 / quantile_cont(sqrt(gx * gx + gy * gy), 4e-1) AS flatness FROM g WHERE (r - 35e-1) * (r - 35e-1) + (c - 35e-1) * (c - 35e-1) <= 9 GROUP BY tile_id""", rounded="flatness", digits=4)
 def _(b):
     t = b.v_tile.select("tile_id", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).alias("c"), "v")
     inside = (F.col("_x") - 3.5) * (F.col("_x") - 3.5) + (F.col("_y") - 3.5) * (F.col("_y") - 3.5) <= 9
