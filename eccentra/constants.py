@@ -21,3 +21,7 @@ LAYER_ALIASES = {
 }
 # Layers whose vector lengths set the goal length of CVI vectors.
 LAYERS_THICKNESS = ("RNFL", "GCL+IPL", "INL+OPL", "ONL", "PhotoR+RPE", "Choroid", "OS")
+
+# Points that a surface is thinned to, the least it needs, and the shift and width of the fall-off.
+SURFACE_TARGET, SURFACE_LEAST = 30000, 1000
+SURFACE_THINNING = (1.58853363, 1.03617677, 1.62750008, 0.9)

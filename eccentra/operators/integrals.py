@@ -242,14 +242,21 @@ def flatness(surface: DataFrame, keys: Sequence[str], row: str, col: str, value:
     return q.select(*keys, F.when(F.col("q") > 0, 1 / F.nullif(F.col("q"), F.lit(0.0))).alias("flatness"))
 
 
-def thin_surface(points: DataFrame, share: Column, seed: int = 7) -> DataFrame:
-    """Keep every point with the probability ``share``.
+def thin_surface(points: DataFrame, keys: Sequence[str], distance: Column, value: str, ids: Sequence[str], target: int = K.SURFACE_TARGET, least: int = K.SURFACE_LEAST) -> DataFrame:
+    """Known points of a surface, thinned with their distance from the centre to about ``target``; surfaces of fewer than ``least`` have none.
 
-    The draw is a hash of the point, so a repeated task keeps the same points
-    and equal points share their fate.
+    Up to ``target`` all stay. Beyond, a point stays with a probability that falls off past a
+    shift, which depends on the surface's size. The draw is a digest of the
+    point's ``ids``, so a repeated task keeps the same points and equal points share their fate.
     """
-    draw = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns], F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return points.filter(draw < share)
+    known = points.filter(F.col(value).isNotNull())
+    size = known.groupBy(*keys).agg(F.count("*").cast("double").alias("_size")).filter(F.col("_size") >= least)
+    a, b, c, width = K.SURFACE_THINNING
+    shift = a - F.ln(b * F.col("_size") / target - 1) / c
+    beyond = F.greatest(distance - shift, F.lit(0.0)) / width
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *ids)), 1, 10), 16, 10).cast("double") / float(1 << 40)
+    stays = (F.col("_size") <= target) | (draw < F.when(F.col("_size") > target, F.exp(-beyond * beyond)))
+    return known.join(size, list(keys)).filter(stays).select(*points.columns)
 
 
 def blend_sources(far: DataFrame, near: DataFrame, keys: Sequence[str], value: str, near_limit: float, far_limit: float) -> DataFrame:

@@ -471,10 +471,16 @@ def _(b):
     return I.flatness(t, ["tile_id"], "r", "c", "v", inside, 1.0, 1.0)
 
 
-@query("surface_sample")
-def _(b):
+@query("surface_sample", """WITH p AS (SELECT image_id, x, y, CASE WHEN image_id % 7 = 0 AND x >= 80 OR image_id % 3 = 1 AND x >= 400 THEN NULL ELSE quality END AS v FROM v_points),
+    n AS (SELECT image_id, CAST(count(v) AS DOUBLE) AS size FROM p GROUP BY image_id HAVING count(v) >= 100),
+    d AS (SELECT p.*, size, greatest(sqrt(power((x - 360) / 120e0, 2) + power((y - 360) / 120e0, 2)) - CASE WHEN size > 400 THEN 158853363e-8 - ln(103617677e-8 * size / 400 - 1) / 162750008e-8 END, 0) / 9e-1 AS beyond,
+        CAST('0x' || substr(md5(image_id || '|' || x || '|' || y), 1, 10) AS BIGINT) / 1099511627776e0 AS draw FROM p JOIN n USING (image_id) WHERE v IS NOT NULL)
+    SELECT image_id, x, y, v FROM d WHERE size <= 400 OR draw < exp(-beyond * beyond)""")
+def _(b):
+    """Images of 600 points thinned to about 400; some have fewer known points, some too few."""
+    v = F.when(((F.col("image_id") % 7 == 0) & (F.col("x") >= 80)) | ((F.col("image_id") % 3 == 1) & (F.col("x") >= 400)), None).otherwise(F.col("quality"))
     d = F.sqrt(F.pow((F.col("x") - 360) / 120.0, F.lit(2.0)) + F.pow((F.col("y") - 360) / 120.0, F.lit(2.0)))
-    return I.thin_surface(b.v_points, F.exp(-d * d)).select("image_id", "x", "y", "quality")
+    return I.thin_surface(b.v_points.select("image_id", "x", "y", v.alias("v")), ["image_id"], d, "v", ["image_id", "x", "y"], target=400, least=100)
 
 
 @query("blend_sources", """
