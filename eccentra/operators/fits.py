@@ -52,34 +52,40 @@ def exponential(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float
                 rates: Sequence[float] | None = None) -> DataFrame:
     """y = p0 + p1*exp(-p2*x) with non-negative values under soft L1.
 
-    Each profile (at most 200 points) is expanded by a grid of rates; for one
-    rate the model is a line in exp(-p2*x).
+    For one rate the model is a line in exp(-p2*x). A profile has at most 200
+    points and meets all rates of a grid at once, as an array in the task that holds it; of
+    rates that are equally good to a thousandth the least is taken. A profile
+    without known points has nulls.
     """
     keys = list(keys)
-    grid = list(rates) if rates is not None else [0.02 * 1.06 ** k for k in range(90)]
-    t = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).alias("_y"))
-         .withColumn("rate", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-         .withColumn("_u", F.exp(-F.col("rate") * F.col("_x"))).withColumn("_w", F.lit(1.0)))
-    w = W.partitionBy(*keys, "rate")
-    U, Y = F.col("_u"), F.col("_y")
-
-    def bounded(t):
-        t = _weighted_line(t, w, U, Y)
-        mean = F.col("_sy") / F.col("_s")
-        alone = F.greatest(F.lit(0.0), F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0)))
-        p0, p1 = F.col("_p0"), F.col("_p1")
-        return (t.withColumn("_q1", F.when(p1 < 0, 0.0).when(p0 < 0, alone).otherwise(p1))
-                .withColumn("_q0", F.when(p1 < 0, F.greatest(F.lit(0.0), mean)).when(p0 < 0, 0.0).otherwise(p0)))
-    for _ in range(rounds):
-        t = bounded(t)
-        r = (Y - F.col("_q0") - F.col("_q1") * U) / scale
-        t = t.withColumn("_w", 1 / F.sqrt(1 + r * r))
-    t = bounded(t)
-    r = (Y - F.col("_q0") - F.col("_q1") * U) / scale
-    loss = t.groupBy(*keys, "rate").agg(F.first("_q0").alias("p0"), F.first("_q1").alias("p1"),
-                                        F.sum(2 * scale * scale * (F.sqrt(1 + r * r) - 1)).alias("loss"))
-    best = loss.groupBy(*keys).agg(F.min(F.struct("loss", "rate", "p0", "p1")).alias("b"))
-    return best.select(*keys, F.col("b.p0").alias("p0"), F.col("b.p1").alias("p1"), F.col("b.rate").alias("p2"), F.col("b.loss").alias("loss"))
+    grid = np.array(rates if rates is not None else [0.02 * 1.06 ** k for k in range(90)], dtype=float)
+    d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    names = ["p0", "p1", "p2", "loss"]
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def bounded(u, v, w):
+        s, su, sv, suu, suv = w.sum(1), (w * u).sum(1), (w * v).sum(1), (w * u * u).sum(1), (w * u * v).sum(1)
+        det = s * suu - su * su
+        p1 = np.where(np.abs(det) > 1e-12 * s * suu, (s * suv - su * sv) / np.where(det != 0, det, 1), 0)
+        p0 = (sv - p1 * su) / s
+        alone = np.maximum(0, suv / np.where(suu != 0, suu, 1))
+        return np.where(p1 < 0, np.maximum(0, sv / s), np.where(p0 < 0, 0, p0)), np.where(p1 < 0, 0, np.where(p0 < 0, alone, p1))
+
+    def fit(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["_x", "_y"])
+        if not len(pdf):
+            return pd.DataFrame([[*key, None, None, None, None]], columns=[f.name for f in schema])
+        u, v = np.exp(-grid[:, None] * pdf["_x"].to_numpy()[None, :]), pdf["_y"].to_numpy()[None, :]
+        w = np.ones_like(u)
+        for turn in range(rounds + 1):
+            q0, q1 = bounded(u, v, w)
+            r = (v - q0[:, None] - q1[:, None] * u) / scale
+            w = 1 / np.sqrt(1 + r * r)
+        loss = (2 * scale * scale * (np.sqrt(1 + r * r) - 1)).sum(1)
+        best = min(range(len(grid)), key=lambda i: (math.floor(loss[i] * 1024 + 0.5), grid[i]))
+        return pd.DataFrame([[*key, q0[best], q1[best], grid[best], loss[best]]], columns=[f.name for f in schema])
+
+    return d.groupBy(*keys).applyInPandas(fit, schema)
 
 
 # --- two-sided model of the log density ---------------------------------------------------------------

@@ -211,7 +211,21 @@ def _(b):
 
 # --- fits --------------------------------------------------------------------------------------------
 
-@query("profile_fit_exponential")
+def exponential_sql(source: str, keys: str, scale: str = "3e3", rounds: int = 3) -> str:
+    """CTEs: ``ex``, the soft-L1 fit of p0 + p1 * exp(-p2 * x) for every profile and rate of the grid."""
+    def one(no: int, w: str) -> str:
+        return f"""m{no} AS (SELECT {keys}, rate, sum({w}) AS s, sum({w} * u) AS su, sum({w} * y) AS sv, sum({w} * u * u) AS suu, sum({w} * u * y) AS suv FROM t{no} GROUP BY {keys}, rate),
+    a{no} AS (SELECT *, CASE WHEN abs(s * suu - su * su) > 1e-12 * s * suu THEN (s * suv - su * sv) / nullif(s * suu - su * su, 0) ELSE 0 END AS p1 FROM m{no}),
+    b{no} AS (SELECT *, (sv - p1 * su) / s AS p0 FROM a{no}),
+    q{no} AS (SELECT {keys}, rate, CASE WHEN p1 < 0 THEN greatest(0, sv / s) WHEN p0 < 0 THEN 0 ELSE p0 END AS q0, CASE WHEN p1 < 0 THEN 0 WHEN p0 < 0 THEN greatest(0, suv / nullif(suu, 0)) ELSE p1 END AS q1 FROM b{no}),
+    t{no + 1} AS MATERIALIZED (SELECT {keys}, rate, u, y, q0, q1, 1 / sqrt(1 + power((y - q0 - q1 * u) / {scale}, 2)) AS w FROM (SELECT * FROM (SELECT {keys}, rate, u, y FROM t{no}) AS z JOIN q{no} USING ({keys}, rate)) AS zz)"""
+    steps = ", ".join(one(no, "1e0" if no == 0 else "w") for no in range(rounds + 1))
+    return f"""t0 AS MATERIALIZED (SELECT {keys}, r.rate, exp(-r.rate * x) AS u, y FROM {source} AS src, (SELECT 2e-2 * power(106e-2, k) AS rate FROM range(0, 90) g(k)) AS r), {steps},
+    ex AS (SELECT {keys}, rate, any_value(q0) AS q0, any_value(q1) AS q1, sum(2 * {scale} * {scale} * (1 / w - 1)) AS loss FROM t{rounds + 1} GROUP BY {keys}, rate)"""
+
+
+@query("profile_fit_exponential", f"""WITH {exponential_sql("(SELECT subject_id, axis, abs(e10) / 1e1 AS x, density AS y FROM v_profile WHERE abs(e10) BETWEEN 10 AND 100 AND density > 2e4 / (1 + power(abs(e10) / 1e1, 14e-1)))", 'subject_id, axis')}
+    SELECT subject_id, axis, q0 AS p0, q1 AS p1, rate AS p2, loss FROM ex QUALIFY row_number() OVER (PARTITION BY subject_id, axis ORDER BY floor(loss * 1024 + 5e-1), rate) = 1""", rounded="p0 p1 p2 loss", digits=3)
 def _(b):
     from eccentra.operators.cells import obvious_low_filter
     t = obvious_low_filter(b.v_profile, "density").withColumn("x", F.abs("e10") / 10.0)
