@@ -1,18 +1,21 @@
 """Collocations, line runs and centroid clustering against plain Python, and as SQL on a hostile table."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from eccentra.llm import op11_collocations as op11, op12_line_runs as op12, op13_centroids as op13
+from eccentra.llm import op2_bottom_k as op2, op11_collocations as op11, op12_line_runs as op12, op13_centroids as op13
 from eccentra.llm.common import fresh
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,3 +287,46 @@ def test_bound_never_loses_the_nearest_and_spares_work():
         assert (who == full.argmin(axis=1)).all() and (d == full.min(axis=1)).all()
         if scale >= 1:
             assert measured < 0.5 * full.size
+
+
+# ---- fingerprints, against a plain bottom-k
+
+def plain_sketch(text, k=256, width=5):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    out = set()
+    for i in range(max(len(hashes) - width + 1, 1) if hashes else 0):
+        h = 42
+        for x in hashes[i: i + width]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed=h)
+        out.add(h - 2**64 if h >= 2**63 else h)
+    return sorted(out)[:k]
+
+
+def plain_likeness(a, b, k=256):
+    if not a and not b:
+        return 1.0
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union)
+
+
+def test_fingerprints_equal_a_plain_bottom_k(spark):
+    """Every column of the query: sketch, edited text, likeness to it and to the next document."""
+    r = random.Random(5)
+    base = " ".join("w%d" % r.randrange(900) for _ in range(700))
+    texts = [base, base, base[:2000] + " other " + base[2100:], "", None, "one two", "one two three four five six", "\u00c9t\u00e9 A\tB\nc " * 80] + [
+        " ".join("v%d" % r.randrange(300) for _ in range(r.randrange(400))) for _ in range(20)]
+    rows = list(enumerate(texts))
+    path = write(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {x["doc_id"]: x for x in op2.query(spark, path).collect()}
+    down = sorted(rows, reverse=True)
+    for (d, t), (_, nxt) in zip(down, down[1:] + down[:1]):
+        t, nxt = t or "", nxt or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b, c = plain_sketch(t), plain_sketch(edited), plain_sketch(nxt)
+        x = got[d]
+        assert x["n_chars"] == len(t) and x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert base64.b64decode(x["fingerprint"].replace("\r\n", "")) == b"".join(struct.pack(">q", h) for h in a)
+        assert base64.b64decode(x["edited_fingerprint"].replace("\r\n", "")) == b"".join(struct.pack(">q", h) for h in b)
+        assert math.isclose(x["near_edited"], plain_likeness(a, b)) and math.isclose(x["near_next"], plain_likeness(a, c))
