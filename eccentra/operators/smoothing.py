@@ -93,7 +93,8 @@ def savgol_weights(width: int, degree: int = 2) -> np.ndarray:
 
 def savgol(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, degree: int = 2) -> DataFrame:
     """Savitzky-Golay filter; at the ends the polynomial of the outermost
-    window is read off. Profiles shorter than the window stay as they are."""
+    window is read off. Profiles shorter than the window stay as they are, with
+    ``smoothed`` false."""
     m, h = savgol_weights(width, degree), width // 2
     t = indexed(df.select(*keys, order, value), keys, order)
     n, i = F.col("_n"), F.col("_i")
@@ -109,7 +110,7 @@ def savgol(df: DataFrame, keys: Sequence[str], order: str, value: str, width: in
                        & (i < F.greatest(F.lit(0), F.least(j - h, n - width)) + width))
     s = t.filter(n >= width).select(*keys, value, F.explode(F.transform(targets, hit)).alias("_h"))
     g = s.groupBy(*keys, F.col("_h.j").alias("_i")).agg(F.sum(F.col("_h.w") * F.col(value)).alias("_s"))
-    return t.join(g, [*keys, "_i"], "left").select(*keys, order, F.coalesce("_s", value).alias(value))
+    return t.join(g, [*keys, "_i"], "left").select(*keys, order, F.coalesce("_s", value).alias(value), (n >= width).alias("smoothed"))
 
 
 def _windows(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:

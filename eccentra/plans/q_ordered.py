@@ -153,7 +153,7 @@ def savgol_sql(width):
     rows = ", ".join(f"({p}, {q}, {float(m[p, q])!r}::DOUBLE)" for p in range(width) for q in range(width))
     return f"""WITH {DENSE}, sw(p, q, w) AS (VALUES {rows}),
       t AS (SELECT *, greatest(0, least(e10 + 100 - {h}, 201 - {width})) AS start FROM dn)
-      SELECT t.subject_id, t.axis, t.e10, sum(sw.w * o.v) AS v FROM t JOIN sw ON sw.p = t.e10 + 100 - t.start JOIN dn o ON o.subject_id = t.subject_id AND o.axis = t.axis AND o.e10 + 100 = t.start + sw.q
+      SELECT t.subject_id, t.axis, t.e10, sum(sw.w * o.v) AS v, TRUE AS smoothed FROM t JOIN sw ON sw.p = t.e10 + 100 - t.start JOIN dn o ON o.subject_id = t.subject_id AND o.axis = t.axis AND o.e10 + 100 = t.start + sw.q
       GROUP BY t.subject_id, t.axis, t.e10"""
 
 

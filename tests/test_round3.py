@@ -161,6 +161,13 @@ def test_lowess_is_read_off_at_null_places(spark):
     assert all(math.isclose(out[float(i)], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in range(60))
 
 
+def test_profiles_shorter_than_the_window_are_flagged(spark):
+    rows = [(1, i, float(i * i)) for i in range(15)] + [(2, i, float(i % 3)) for i in range(7)]
+    out = smoothing.savgol(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], "i", "v", 11).collect()
+    assert {(r["k"], r["smoothed"]) for r in out} == {(1, True), (2, False)}
+    assert all(r["v"] == r["i"] % 3 for r in out if r["k"] == 2)
+
+
 # ---- bands, ranges, parts
 
 def test_bands_of_all_others_with_nulls(spark):
