@@ -111,15 +111,17 @@ def classes_of(words: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def windows(tokens: np.ndarray, borders: np.ndarray, places: np.ndarray, pad: int = CLASSES) -> np.ndarray:
-    """The ``2 * SIDE`` neighbours of the tokens at ``places``; beyond a text's ends the class ``pad``."""
-    doc = np.searchsorted(borders, places, side="right") - 1
-    out = np.full((len(places), 2 * SIDE), pad, dtype=np.int64)
-    for col, step in enumerate([s for s in range(-SIDE, SIDE + 1) if s]):
-        at = places + step
-        good = (at >= borders[doc]) & (at < borders[doc + 1])
-        out[good, col] = tokens[at[good]]
-    return out
+def laid_out(tokens: np.ndarray, borders: np.ndarray, pad: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' classes with ``SIDE`` times ``pad`` between them, and every token's place there."""
+    at = np.arange(len(tokens)) + np.repeat(np.arange(1, len(borders)) * SIDE, np.diff(borders))
+    laid = np.full(len(tokens) + SIDE * len(borders), pad, dtype=np.int64)
+    laid[at] = tokens
+    return laid, at
+
+
+def near_of(laid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ``2 * SIDE`` neighbours of the tokens at these places of the layout."""
+    return laid[at[:, None] + np.array([s for s in range(-SIDE, SIDE + 1) if s])]
 
 
 def hidden(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,9 +269,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
                 nonlocal held, seen
                 if not held or sum(len(t) for _, t in held) < least:
                     return
-                around, target = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
+                near, target = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
                 for lo in range(0, len(target), BATCH):
-                    step(w, around[lo: lo + BATCH], target[lo: lo + BATCH], RATE)
+                    step(w, near[lo: lo + BATCH], target[lo: lo + BATCH], RATE)
                 seen, held = seen + len(target), []
 
             for batch in batches:
@@ -278,7 +280,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
                     tokens = classes_of(words, voc)
                     places = training_places(words, borders, turn)
                     if len(places):
-                        held.append((windows(tokens, borders, places, classes), tokens[places]))
+                        laid, at = laid_out(tokens, borders, classes)
+                        held.append((near_of(laid, at[places]), tokens[places]))
                     learn(8 * BATCH)
             learn(1)
             if seen:
@@ -306,9 +309,9 @@ def scores(docs: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabula
                 words, borders = word_hashes(data, offsets)
                 tokens = classes_of(words, voc)
                 each = np.empty(len(tokens))
+                laid, at = laid_out(tokens, borders, pad)
                 for a in range(0, len(tokens), block):
-                    places = np.arange(a, min(a + block, len(tokens)))
-                    each[places] = chosen(w, windows(tokens, borders, places, pad), tokens[places])
+                    each[a: a + block] = chosen(w, near_of(laid, at[a: a + block]), tokens[a: a + block])
                 # the word within its class: here if it is listed, or else as a row for the join
                 inner = np.flatnonzero(tokens >= voc.own)
                 at, known = found(words[inner], voc.listed)
