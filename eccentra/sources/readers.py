@@ -1,8 +1,9 @@
 """Readers of the cohort file formats.
 
 All readers take a glob over the whole cohort, so one scan serves every
-subject; subject and session come from the path. Missing values in any of the
-files' spellings (NaN, empty, infinite) become null here and nowhere else.
+subject; subject and session come from the path. Of a ``packed`` cohort (see the
+writers) they come from columns. Missing values in any of the files' spellings
+(NaN, empty, infinite) become null here and nowhere else.
 """
 
 from __future__ import annotations
@@ -22,17 +23,28 @@ def _glob(spark: SparkSession):
     return spark.read.option("recursiveFileLookup", "true")
 
 
-def _visits(spark: SparkSession, schema, named: bool):
+def _visits(spark: SparkSession, schema, named: bool, packed: bool = False):
     """A reader of files in folders per subject and session, and their two ids.
 
     Folders named ``Subject=../Session=..`` are partitions: filters on the ids
-    leave out files. Other folder names are read recursively and parsed.
+    leave out files. Other folder names are read recursively and parsed. In packed
+    files the ids are the first two columns.
     """
     own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if not named:
+    if not named and not packed:
         return _glob(spark).schema(own), path_ids(), own.names
-    both = T.StructType([*own.fields, T.StructField("Subject", T.IntegerType()), T.StructField("Session", T.IntegerType())])
-    return spark.read.schema(both), [F.col("Subject").alias("subject_id"), F.col("Session").alias("session_id")], own.names
+    ids = [T.StructField("Subject", T.IntegerType()), T.StructField("Session", T.IntegerType())]
+    both = T.StructType([*ids, *own.fields] if packed else [*own.fields, *ids])
+    return spark.read.schema(both), _column_ids(), own.names
+
+
+def _column_ids() -> list[Column]:
+    return [F.col("Subject").alias("subject_id"), F.col("Session").alias("session_id")]
+
+
+def _documents(spark: SparkSession, path: str, packed: bool) -> DataFrame:
+    """(subject_id, session_id, value): the lines of text files."""
+    return spark.read.parquet(path).select(*_column_ids(), "value") if packed else _glob(spark).text(path).select(*path_ids(), "value")
 
 
 def path_ids() -> list[Column]:
@@ -47,14 +59,20 @@ def null_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def cohort_results(spark: SparkSession, path: str, layers: Sequence[str], skip: tuple[int, int] | None = None, named: bool = True) -> DataFrame:
+def cohort_results(spark: SparkSession, path: str, layers: Sequence[str], skip: tuple[int, int] | None = None, named: bool = True, packed: bool = False) -> DataFrame:
     """All result tables within +-10 degrees, one session optionally left out.
 
     The first line of each file names the separator and is skipped as a
     comment; empty files give no rows.
     """
-    read, ids, names = _visits(spark, schemas.results(layers), named)
-    df = read.option("header", "true").option("comment", "s").csv(path).select(*ids, *[F.col(f"`{c}`") for c in names]).filter(F.abs("location") <= 10)
+    own = schemas.results(layers)
+    if packed:
+        lines = _documents(spark, path, True).filter(~F.col("value").startswith("s") & ~F.col("value").startswith(own.names[0] + ","))
+        cells = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)).alias("v")
+        df = lines.select("subject_id", "session_id", cells).select("subject_id", "session_id", "v.*").filter(F.abs("location") <= 10)
+    else:
+        read, ids, names = _visits(spark, own, named)
+        df = read.option("header", "true").option("comment", "s").csv(path).select(*ids, *[F.col(f"`{c}`") for c in names]).filter(F.abs("location") <= 10)
     if skip is not None:
         df = df.filter(~((F.col("subject_id") == skip[0]) & (F.col("session_id") == skip[1])))
     return null_missing(df)
@@ -66,9 +84,9 @@ def subject_results(results: DataFrame) -> DataFrame:
     return results.join(first, ["subject_id", "session_id"], "left_semi")
 
 
-def density_profiles(spark: SparkSession, path: str, named: bool = True) -> DataFrame:
+def density_profiles(spark: SparkSession, path: str, named: bool = True, packed: bool = False) -> DataFrame:
     """The profile table in long form (kind, axis), missing values dropped."""
-    read, ids, names = _visits(spark, schemas.DENSITY_PROFILE, named)
+    read, ids, names = _visits(spark, schemas.DENSITY_PROFILE, named, packed)
     wide = null_missing(read.option("header", "true").option("sep", ";").csv(path).select(*ids, *names))
     cols = [c for c in names if c != "ecc"]
     long = wide.unpivot(["subject_id", "session_id", "ecc"], cols, "name", "density").filter("density IS NOT NULL")
@@ -76,17 +94,16 @@ def density_profiles(spark: SparkSession, path: str, named: bool = True) -> Data
     return long.select("subject_id", "session_id", kind.alias("kind"), F.substring("name", -1, 1).alias("axis"), "ecc", "density")
 
 
-def raw_densities(spark: SparkSession, path_x: str, path_y: str, named: bool = True) -> DataFrame:
+def raw_densities(spark: SparkSession, path_x: str, path_y: str, named: bool = True, packed: bool = False) -> DataFrame:
     parts = []
     for axis, path in (("X", path_x), ("Y", path_y)):
-        read, ids, _ = _visits(spark, schemas.DENSITY_RAW, named)
+        read, ids, _ = _visits(spark, schemas.DENSITY_RAW, named, packed)
         parts.append(read.option("header", "true").option("sep", ";").csv(path).select(*ids, F.lit(axis).alias("axis"), "ecc", "density"))
     return null_missing(parts[0].unionByName(parts[1]))
 
 
-def _layer_vectors(spark: SparkSession, path: str) -> DataFrame:
-    docs = _glob(spark).text(path)
-    d = docs.select(*path_ids(), F.from_json("value", schemas.LAYER_DOC).alias("d"))
+def _layer_vectors(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    d = _documents(spark, path, packed).select("subject_id", "session_id", F.from_json("value", schemas.LAYER_DOC).alias("d"))
     s = d.select("subject_id", "session_id", "d.spacing", F.explode("d.study").alias("study", "slices"))
     s = s.select("subject_id", "session_id", "spacing", "study", F.explode("slices").alias("slice", "layers"))
     s = s.select("subject_id", "session_id", "spacing", "study", F.col("slice").cast("int").alias("slice"), F.explode("layers").alias("name", "body"))
@@ -99,20 +116,20 @@ def _samples(vectors: DataFrame) -> DataFrame:
     return out.withColumn("thickness", F.when(~F.isnan(v) & (v != 0), v))
 
 
-def layer_documents(spark: SparkSession, path: str) -> DataFrame:
+def layer_documents(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """One row per sample of every layer vector of JSON documents, one document
     per line."""
-    return _samples(_layer_vectors(spark, path))
+    return _samples(_layer_vectors(spark, path, packed))
 
 
-def _slice_vectors(spark: SparkSession, path: str) -> DataFrame:
-    s = _glob(spark).text(path).select(*path_ids(), F.explode(F.from_json("value", schemas.SLICE_DOC)["study"]).alias("study", "slices"))
+def _slice_vectors(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    s = _documents(spark, path, packed).select("subject_id", "session_id", F.explode(F.from_json("value", schemas.SLICE_DOC)["study"]).alias("study", "slices"))
     s = s.select("subject_id", "session_id", "study", F.explode("slices").alias("slice", "body"))
     s = s.select("subject_id", "session_id", "study", F.col("slice").cast("int").alias("slice"), F.posexplode("body.vector").alias("pos", "v"))
     return s.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str) -> DataFrame:
+def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str, packed: bool = False) -> DataFrame:
     """Samples of all three layer documents of a visit.
 
     OS vectors are stretched to the length of their slice's PR_RPE vector; a slice
@@ -120,15 +137,15 @@ def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str) ->
     trimmed to the mean length of the study's thickness vectors, cut to a whole number.
     """
     study, at = ["subject_id", "session_id", "study"], ["subject_id", "session_id", "study", "slice"]
-    vectors = _layer_vectors(spark, thickness)
+    vectors = _layer_vectors(spark, thickness, packed)
     size = F.size("vector")
     goals = vectors.filter(F.col("layer").isin(list(K.LAYERS_THICKNESS))).groupBy(*study).agg(F.floor(F.avg(size)).cast("int").alias("goal"))
     spacing = vectors.groupBy(*study).agg(F.min("spacing").alias("spacing"))
     lengths = vectors.filter(F.col("layer") == K.LAYER_ALIASES["PR_RPE"]).select(*at, size.alias("goal"))
-    raw = _slice_vectors(spark, os)
+    raw = _slice_vectors(spark, os, packed)
     given = grid.resample(raw.join(lengths.filter("goal > 0"), at), at, "pos", "v", "goal")
     missing = lengths.filter("goal > 0").join(raw, at, "left_anti").select(*at, F.explode(F.sequence(F.lit(0), F.col("goal") - 1)).alias("pos"), F.lit(None).cast("double").alias("v"))
-    trimmed = grid.trim_null_edges(_slice_vectors(spark, cvis).join(goals, study), at, "pos", "v", "goal")
+    trimmed = grid.trim_null_edges(_slice_vectors(spark, cvis, packed).join(goals, study), at, "pos", "v", "goal")
     more = given.unionByName(missing).withColumn("layer", F.lit("OS")).unionByName(trimmed.withColumn("layer", F.lit("CVI"))).join(spacing, study)
     out = _samples(vectors)
     return out.unionByName(more.withColumnRenamed("v", "thickness").select(*out.columns))
@@ -152,10 +169,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return null_missing(spark.read.schema(schemas.BASELINE).option("header", "true").csv(path))
 
 
-def fovea_parameters(spark: SparkSession, path: str, names: Sequence[str], named: bool = True) -> DataFrame:
+def fovea_parameters(spark: SparkSession, path: str, names: Sequence[str], named: bool = True, packed: bool = False) -> DataFrame:
     """Long ``param;value`` files -> one row per subject and session; values
     that are not numbers are null, header rows drop out, of repeated ones the largest stays."""
-    read, ids, _ = _visits(spark, schemas.PARAMETERS, named)
+    read, ids, _ = _visits(spark, schemas.PARAMETERS, named, packed)
     t = read.option("sep", ";").csv(path).select(*ids, "param", F.col("value").try_cast("double").alias("value")).filter(F.col("param").isin(list(names)))
     return t.groupBy("subject_id", "session_id").pivot("param", list(names)).agg(F.max("value"))
 
@@ -173,14 +190,17 @@ def position_lut(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     return f.join(lut, "number").select(*files.columns, "number", F.col("X").alias("x"), (-F.col("Y")).alias("y"), F.col("range"))
 
 
-def component_locations(spark: SparkSession, path: str) -> DataFrame:
+def component_locations(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Corrected montage files: components with the centre of their file and
     the image size taken from the least rotated component.
 
     The metadata row is the one whose name is a pair of numbers; a montage is a
-    folder, which may hold several part files.
+    folder, which may hold several part files; in packed files it is the first column.
     """
-    raw = _glob(spark).schema(schemas.COMPONENTS).option("quote", '"').csv(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/", 1))
+    if packed:
+        raw = spark.read.schema(T.StructType([T.StructField("file", T.StringType()), *schemas.COMPONENTS.fields])).option("quote", '"').csv(path)
+    else:
+        raw = _glob(spark).schema(schemas.COMPONENTS).option("quote", '"').csv(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/", 1))
     pair = r"^\((-?[\d.]+), ?(-?[\d.]+)\)$"
     head = raw.filter(F.col("name").rlike(pair)).select(
         "file", F.regexp_extract("name", pair, 1).cast("double").alias("centre_x"), F.regexp_extract("name", pair, 2).cast("double").alias("centre_y"))

@@ -1,7 +1,9 @@
 """Writers of the result tables.
 
 Each takes a whole cohort and writes it partitioned by subject and session;
-rows are sorted inside a file where the format needs an order.
+rows are sorted inside a file where the format needs an order. A folder per visit
+costs more than its rows where a cohort has very many: ``packed`` writes the same
+lines with the ids as columns before them, in as many files as there are tasks.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def results_wide(densities: DataFrame, layers: DataFrame | None, layer_names: Se
     return full.withColumn("location", F.col("e10") / 10.0).select(*key, "location", *[F.col(f"`{n}`") for n in names])
 
 
-def write_results(wide: DataFrame, path: str) -> None:
-    """``sep=,`` line, header, then rows by location, one file per session."""
+def write_results(wide: DataFrame, path: str, packed: bool = False) -> None:
+    """``sep=,`` line, header, then rows by location, one file per session (packed: one run of rows)."""
     cols = [c for c in wide.columns if c not in ("subject_id", "session_id")]
 
     def cell(c: str) -> Column:
@@ -49,7 +51,15 @@ def write_results(wide: DataFrame, path: str) -> None:
     top = keys.withColumn("_h", F.explode(F.array(
         F.struct(F.lit(-1e9).alias("_at"), F.lit("sep=,").alias("line")), F.struct(F.lit(-1e8).alias("_at"), F.lit(",".join(cols)).alias("line")))))
     out = _tree(rows.unionByName(top.select("subject_id", "session_id", "_h.*"))).repartition(*TREE).sortWithinPartitions(*TREE, "_at")
-    out.select(*TREE, "line").write.partitionBy(*TREE).mode("overwrite").text(path)
+    if packed:
+        write_packed(out.select(*TREE, F.col("line").alias("value")), path)
+    else:
+        out.select(*TREE, "line").write.partitionBy(*TREE).mode("overwrite").text(path)
+
+
+def write_packed(lines: DataFrame, path: str) -> None:
+    """(Subject, Session, value): lines of text files."""
+    lines.select(*TREE, "value").write.mode("overwrite").parquet(path)
 
 
 def _eight_digits(c: Column) -> Column:
@@ -57,19 +67,23 @@ def _eight_digits(c: Column) -> Column:
     return F.when(c.isNotNull(), F.format_string("%.8g", c))
 
 
-def write_density_profile(profile: DataFrame, scalars: DataFrame, path: str) -> None:
+def write_density_profile(profile: DataFrame, scalars: DataFrame, path: str, packed: bool = False) -> None:
     """Profile columns and subject scalars as two tables."""
     cols = [c for c in profile.columns if c not in ("subject_id", "session_id")]
     text = profile.select("subject_id", "session_id", *[_eight_digits(F.col(c)).alias(c) for c in cols])
-    (_tree(text).repartition(*TREE).sortWithinPartitions(*TREE).write.partitionBy(*TREE).mode("overwrite")
-     .option("header", "true").option("sep", ";").csv(f"{path}/profile"))
+    _write_csv(_tree(text), f"{path}/profile", packed)
     scalars.write.mode("overwrite").parquet(f"{path}/scalars")
 
 
-def write_raw_densities(raw: DataFrame, path: str) -> None:
+def _write_csv(rows: DataFrame, path: str, packed: bool) -> None:
+    out = rows if packed else rows.repartition(*TREE).sortWithinPartitions(*TREE)
+    (out.write if packed else out.write.partitionBy(*TREE)).mode("overwrite").option("header", "true").option("sep", ";").csv(path)
+
+
+def write_raw_densities(raw: DataFrame, path: str, packed: bool = False) -> None:
     for axis in "XY":
         t = raw.filter(F.col("axis") == axis).select("subject_id", "session_id", "ecc", "density")
-        (_tree(t).repartition(*TREE).write.partitionBy(*TREE).mode("overwrite").option("header", "true").option("sep", ";").csv(f"{path}/{axis}"))
+        _write_csv(_tree(t), f"{path}/{axis}", packed)
 
 
 def write_feature_sheets(table: DataFrame, path: str) -> None:

@@ -18,3 +18,31 @@ def test_patch_pairs_are_not_broadcast(spark, name):
     with redirect_stdout(out):
         entry.queries()[name](spark, SF).explain("formatted")
     assert "Broadcast" not in out.getvalue()
+
+
+PACKED = ["scan_fovea_params", "scan_layer_json", "write_tile_counts", "scan_density_raw", "scan_layer_thickness", "scan_density_csv",
+          "scan_subject_results", "scan_component_locations", "scan_cohort_results", "write_density_profile"]
+
+
+@pytest.mark.parametrize("name", PACKED)
+def test_number_of_files_does_not_follow_the_cohort(spark, name, tmp_path, monkeypatch):
+    """Folders written by a query: none per subject, image or montage."""
+    from eccentra.plans import q_source
+
+    monkeypatch.setattr(q_source, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    assert entry.queries()[name](spark, SF).count() > 0
+    folders = [d for d, _, _ in os.walk(tmp_path)]
+    assert len(folders) <= 5 and not any("=" in os.path.basename(d) for d in folders)
+
+
+def test_packed_results_hold_the_lines_of_the_files(spark, tmp_path):
+    from eccentra.sources import readers as R, writers as Wr
+
+    wide = spark.createDataFrame([(s, v, e / 10, float(e) if e % 2 else None, None) for s in (1, 2) for v in (1, 2) for e in (-1, 0, 1)],
+                                 "subject_id int, session_id int, location double, densities_X double, densities_Y double")
+    Wr.write_results(wide, f"{tmp_path}/tree")
+    Wr.write_results(wide, f"{tmp_path}/packed", packed=True)
+    lines = [r["value"] for r in spark.read.parquet(f"{tmp_path}/packed").filter("Subject = 2 AND Session = 1").collect()]
+    assert lines == ["sep=,", "location,densities_X,densities_Y", "-0.1,-1.0,", "0.0,,", "0.1,1.0,"]
+    one, two = R.cohort_results(spark, f"{tmp_path}/tree", []), R.cohort_results(spark, f"{tmp_path}/packed", [], packed=True)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.schema == two.schema
