@@ -56,13 +56,14 @@ def _(b):
 
 @query("exponential_average_stream", """SELECT user_id, list_reduce(list(struct_pack(v := v, ok := TRUE) ORDER BY ts, event_id), lambda acc, x: struct_pack(
       v := CASE WHEN x.v IS NULL THEN NULL WHEN acc.v IS NULL THEN x.v ELSE 25e-2 * x.v + 75e-2 * acc.v END, ok := TRUE)).v AS average
-    FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS v FROM events
-      WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE) AS t GROUP BY user_id""", rounded="average")
+    FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE value END AS v FROM events) AS t GROUP BY user_id""", rounded="average")
 def _(b):
-    """Averages up to the last slot of six hours that the watermark has closed."""
+    """Averages of all readings: the last delivery ends with a mark of a later time, with which the watermark closes every slot but the mark's own."""
     A.stateful(b.spark)
     e = b.events.select("user_id", F.col("ts").cast("timestamp"), "event_id", F.when(F.col("event_id") % 211 != 0, F.col("value")).alias("v"))
-    out = A.drain(A.exponential_average(_arrive(b, e, "readings", slices=3, files_per_batch=None), "user_id", ["ts", "event_id"], "v", 0.25, slot="6 hours"), "averages")
+    end = F.max("ts") + F.expr("INTERVAL 7 HOURS")  # a slot and the delay of the watermark, and more
+    mark = e.agg(end.alias("ts")).select(F.lit(None).cast("long").alias("user_id"), "ts", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("v")).filter("ts IS NOT NULL")
+    out = A.drain(A.exponential_average(_arrive(b, e.unionByName(mark), "readings", slices=3, files_per_batch=None), "user_id", ["ts", "event_id"], "v", 0.25, slot="6 hours"), "averages")
     return out.groupBy("user_id").agg(F.max_by("average", "last_ts").alias("average"))
 
 
