@@ -46,3 +46,44 @@ def test_packed_results_hold_the_lines_of_the_files(spark, tmp_path):
     assert lines == ["sep=,", "location,densities_X,densities_Y", "-0.1,-1.0,", "0.0,,", "0.1,1.0,"]
     one, two = R.cohort_results(spark, f"{tmp_path}/tree", []), R.cohort_results(spark, f"{tmp_path}/packed", [], packed=True)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.schema == two.schema
+
+
+def test_threshold_is_the_least_of_equal_ones(spark):
+    """Three bins of one tile each: both cuts part the tiles equally well, in exact numbers."""
+    from eccentra.operators import peaks
+
+    rows = [(g, b * step, n) for g, (step, n) in enumerate([(1, 1), (3, 1), (7, 3), (5, 7), (11, 9)]) for b in range(3)]
+    rows += [(9, 0, 9), (9, 25, 1), (9, 50, 9)]
+    h = spark.createDataFrame(rows, "image_id int, bin long, n long")
+    got = {r["image_id"]: r["threshold"] for r in peaks.otsu(h, ["image_id"]).collect()}
+    assert got == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.5, 4: 0.5, 9: 0.5}
+
+
+def test_tail_in_sql_of_millions_of_pairs():
+    import math
+
+    import duckdb
+
+    from eccentra.plans import q_stats
+
+    for n in (5, 40, 4000, 8_000_000):
+        for z in (0.1, 1.3, 3.0):
+            r = z / math.sqrt(n - 2 + z * z)
+            (new,), = duckdb.sql("SELECT " + q_stats.r_tail(f"CAST({r!r} AS DOUBLE)", f"CAST({n} AS BIGINT)", narrow=True)).fetchall()
+            if n > 4000:
+                assert abs(new - math.erfc(z / math.sqrt(2))) < 1e-6
+            else:
+                (old,), = duckdb.sql("SELECT " + q_stats.r_tail(f"CAST({r!r} AS DOUBLE)", f"CAST({n} AS BIGINT)")).fetchall()
+                assert abs(new - old) < 1e-7
+
+
+def test_significant_correlations_are_listed_in_the_ratio(spark):
+    rows = entry.queries()["significant_ratio"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_significant"] for r in rows) > 0
+    assert all(len(r["rhos"] or []) == r["n_significant"] and (r["rhos"] is None or list(r["rhos"]) == sorted(r["rhos"])) for r in rows)
+
+
+def test_streamed_average_takes_the_last_slot(spark):
+    """The stream ends with the same averages as the batch."""
+    stream, batch = ({r["user_id"]: r["average"] for r in entry.queries()[n](spark, SF).collect()} for n in ("exponential_average_stream", "exponential_average_state"))
+    assert stream == batch and None not in stream
