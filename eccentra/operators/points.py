@@ -55,14 +55,20 @@ def merge_close(points: DataFrame, image: Sequence[str], d: float) -> DataFrame:
     return centroids(labelled(points, image, d), image, "component")
 
 
+#: Positions of an image whose components are merged in one group of rows, about.
+HELD = 16384
+
+
 def merge_greedy(points: DataFrame, image: Sequence[str], d: float) -> DataFrame:
     """Order-dependent merging: each still unlabelled point takes every point
     within ``d``, also from earlier groups; order is by (x, y).
 
     Labels never reach beyond a component at distance ``d``, so components are
-    independent tasks.
+    independent. A group of rows holds many small ones: the components of an image are
+    dealt to a group per ``HELD`` positions.
     """
     spots = labelled(points, image, d)
+    image = list(image)
     schema = T.StructType([*[spots.schema[c] for c in image], spots.schema["component"], T.StructField("x", T.IntegerType()),
                            T.StructField("y", T.IntegerType()), T.StructField("n_here", T.LongType()), T.StructField("label", T.LongType())])
 
@@ -77,13 +83,10 @@ def merge_greedy(points: DataFrame, image: Sequence[str], d: float) -> DataFrame
                 label[lo:hi][near] = i
         return pdf.assign(label=label)[[f.name for f in schema]]
 
-    groups = spots.select(*image, "component", "x", "y", "n_here")
-    sizes = groups.groupBy(*image, "component").agg(F.count("*").alias("_n"))
-    single = groups.join(sizes.filter("_n = 1").drop("_n"), [*image, "component"], "left_semi").withColumn("label", F.lit(0).cast("bigint"))
-    many = groups.join(sizes.filter("_n > 1").drop("_n"), [*image, "component"], "left_semi")
-    walked = many.groupBy(*image, "component").applyInPandas(walk, schema)
-    out = walked.unionByName(single.select(*[f.name for f in schema])).withColumn("_l", F.struct("component", "label"))
-    return centroids(out, image, "_l")
+    sizes = spots.groupBy(*image).agg(F.ceil(F.count("*") / HELD).alias("_groups"))
+    dealt = spots.join(sizes, image).select(*image, "component", "x", "y", "n_here", F.pmod(F.xxhash64("component"), "_groups").alias("_group"))
+    walked = dealt.groupBy(*image, "_group").applyInPandas(walk, schema)
+    return centroids(walked.withColumn("_l", F.struct("component", "label")), image, "_l")
 
 
 def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: str) -> DataFrame:
