@@ -87,3 +87,45 @@ def test_streamed_average_takes_the_last_slot(spark):
     """The stream ends with the same averages as the batch."""
     stream, batch = ({r["user_id"]: r["average"] for r in entry.queries()[n](spark, SF).collect()} for n in ("exponential_average_stream", "exponential_average_state"))
     assert stream == batch and None not in stream
+
+
+@pytest.mark.parametrize("n, width", [(1, 50), (40, 2000), (700, 60), (3000, 900), (3000, 5000)])
+def test_nearest_in_tiles_is_brute_force(n, width):
+    import numpy as np
+
+    from eccentra.operators import joins
+
+    rng = np.random.default_rng(n + width)
+    at = np.unique(rng.integers(-width, width, (n, 2)), axis=0)
+    x, y = at[:, 0], at[:, 1]
+    mine = rng.random(len(x)) < 0.7
+    d = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    np.fill_diagonal(d, 1 << 40)
+    want = d.min(axis=1)[mine]
+    assert joins._nearest_squared(x, y, mine, 64).tolist() == np.where(want <= 64 * 64, want, -1).tolist()
+
+
+def test_nearest_distance_writes_little(spark, monkeypatch):
+    """A sparse image is answered by the tiles: no pyramid, and no position meets nine cells."""
+    from eccentra.operators import joins
+
+    monkeypatch.setattr(joins, "_descended", lambda *a: pytest.fail("descended"))
+    rows = [(1, 40 * i + j % 7, 40 * j + i % 5) for i in range(30) for j in range(30)] + [(2, 3, 4), (3, 500, 9), (3, 530, 9), (3, 530, 9)]
+    df = spark.createDataFrame(rows, "image_id int, x int, y int")
+    out = {(r["image_id"], r["x"], r["y"]): r["distance"] for r in joins.nearest_distance(df, ["image_id"]).collect()}
+    for (i, x, y), got in out.items():
+        others = [(x - b) ** 2 + (y - c) ** 2 for a, b, c in rows if a == i and (b, c) != (x, y)]
+        want = 0.0 if rows.count((i, x, y)) > 1 else min(others) ** 0.5 if others else None
+        assert got == want
+    assert len(out) == 903
+
+
+def test_greedy_groups_hold_many_components(spark, monkeypatch):
+    """Components of an image share groups, whatever these are; results do not depend on it."""
+    from eccentra.operators import points as P
+
+    rows = [(1, 37 * i % 400 + k * 5, 53 * i % 380) for i in range(120) for k in range(i % 4 + 1)]
+    df = spark.createDataFrame(rows, "image_id int, x int, y int")
+    one = sorted(map(tuple, P.merge_greedy(df, ["image_id"], 12).collect()))
+    monkeypatch.setattr(P, "HELD", 10)
+    assert sorted(map(tuple, P.merge_greedy(df, ["image_id"], 12).collect())) == one and sum(r[-1] for r in one) == len(rows)
