@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from eccentra.operators import ordered
+from eccentra.operators import batches, ordered
 from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,9 +113,9 @@ def savgol(df: DataFrame, keys: Sequence[str], order: str, value: str, width: in
     return t.join(g, [*keys, "_i"], "left").select(*keys, order, F.coalesce("_s", value).alias(value), (n >= width).alias("smoothed"))
 
 
-def _windows(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """First place of the ``k`` values of the sorted ``x`` nearest to each value of ``at``."""
-    lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(x) - k, dtype=np.int64)
+def _windows(x: np.ndarray, at: np.ndarray, k: int, first: np.ndarray | int = 0, last: np.ndarray | int | None = None) -> np.ndarray:
+    """First place of the ``k`` values of the sorted ``x`` nearest to each value of ``at``, within the places ``first`` to ``last`` (left out)."""
+    lo, hi = np.zeros(len(at), dtype=np.int64) + first, np.full(len(at), (len(x) if last is None else last) - k, dtype=np.int64)
     while (lo < hi).any():
         mid = (lo + hi) // 2
         ahead = at - x[mid] > x[np.minimum(mid + k, len(x) - 1)] - at
@@ -123,22 +123,29 @@ def _windows(x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return lo
 
 
-def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, k: int, spread: float, cells: int = 1 << 20) -> np.ndarray:
-    """Local lines at ``at`` over the ``k`` nearest of the sorted ``x``, NaN where no weight is left; a bounded number of ``cells`` at a time."""
-    start, out = _windows(x, at, k), np.empty(len(at))
+def _local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray, k: int, spread: np.ndarray | float, cells: int = 1 << 20,
+                 first: np.ndarray | int = 0, last: np.ndarray | int | None = None) -> np.ndarray:
+    """Local lines at ``at`` over the ``k`` nearest of the sorted ``x``, NaN where no weight is left; a bounded number of ``cells`` at a time.
+
+    Profiles may lie end to end: ``first`` and ``last`` then bound the own one of each value of ``at``.
+    """
+    start, out = _windows(x, at, k, first, last), np.empty(len(at))
+    level = 0.001 * np.broadcast_to(spread, len(at))
     rows = max(1, cells // k)
     for a in range(0, len(at), rows):
         near = start[a: a + rows, None] + np.arange(k)
         u = x[near] - at[a: a + rows, None]
         reach = np.maximum(np.maximum(np.abs(u[:, 0]), np.abs(u[:, -1])), 1e-12)[:, None]
-        w = (1 - np.minimum(np.abs(u) / reach, 1) ** 3) ** 3 * robust[near]
+        near_by = 1 - (np.minimum(np.abs(u) / reach, 1)) ** 3
+        w = near_by * near_by * near_by * robust[near]
         total = w.sum(1)
         w /= np.where(total > 0, total, 1)[:, None]
         v = y[near]
         mx, my = (w * u).sum(1), (w * v).sum(1)
         u -= mx[:, None]
-        sx, sxy = (w * u * u).sum(1), (w * u * v).sum(1)
-        slope = np.where(np.sqrt(sx) > 0.001 * spread, sxy / np.where(sx > 0, sx, 1), 0)
+        w *= u
+        sx, sxy = (w * u).sum(1), (w * v).sum(1)
+        slope = np.where(np.sqrt(sx) > level[a: a + rows], sxy / np.where(sx > 0, sx, 1), 0)
         out[a: a + rows] = np.where(total > 0, my - slope * mx, np.nan)
     return out
 
@@ -147,40 +154,83 @@ def _bisquare(r: np.ndarray, scale: float) -> np.ndarray:
     return (1 - np.minimum(r / scale, 1) ** 2) ** 2
 
 
-def _lowess_array(x: np.ndarray, y: np.ndarray, share: float, rounds: int) -> np.ndarray:
-    """Robust local lines of one profile, ordered by x, over the nearest ``share`` of its known values; read off at every x."""
+def _lowess_arrays(x: np.ndarray, y: np.ndarray, starts: np.ndarray, share: float, rounds: int) -> np.ndarray:
+    """Robust local lines of profiles laid end to end, each ordered by x, over the nearest ``share`` of its known values; read off at every x."""
+    own, count, out = batches.owners(starts, len(x)), len(starts), y.astype(float)
     known = ~np.isnan(y)
-    kx, ky = x[known], y[known].astype(float)
-    n = len(kx)
-    k = int(share * n + 1e-10)
-    if k < 2 or n < 3:
-        return y.astype(float)
-    robust, spread = np.ones(n), kx.max() - kx.min()
+    kx, ky, of = x[known], y[known].astype(float), own[known]
+    n = np.bincount(of, minlength=count)
+    last = np.cumsum(n)
+    first = last - n
+    k = np.where(n >= 3, (share * n + 1e-10).astype(np.int64), 0)
+    ends = np.where(n > 0, n, 1) - 1
+    spread, top = np.zeros(count), np.zeros(count)
+    some = n > 0
+    if some.any():
+        spread[some] = kx[(first + ends)[some]] - kx[first[some]]
+        top[some] = np.maximum.reduceat(np.abs(ky), first[some])
+    widths = [w for w in np.unique(k) if w >= 2]
+
+    def fit(at: np.ndarray, owner: np.ndarray, robust: np.ndarray) -> np.ndarray:
+        found = np.full(len(at), np.nan)
+        for w in widths:
+            rows = np.flatnonzero(k[owner] == w)
+            o = owner[rows]
+            found[rows] = _local_lines(kx, ky, robust, at[rows], int(w), spread[o], 1 << 17, first[o], last[o])
+        return found
+
+    robust = np.ones(len(kx))
     for _ in range(rounds):
-        fit = _local_lines(kx, ky, robust, kx, k, spread)
-        r = np.abs(ky - np.where(np.isnan(fit), ky, fit))
-        scale = 6 * np.median(r)
-        if scale <= 1e-12 * np.abs(ky).max():  # an exact fit: only rounding is left
-            break
-        robust = _bisquare(r, scale)
-    out = _local_lines(kx, ky, robust, x, k, spread)
-    return np.where(np.isnan(out), y, out)
+        f = fit(kx, of, robust)
+        r = np.abs(ky - np.where(np.isnan(f), ky, f))
+        scale = 6 * batches.medians(r, of, count)
+        moved = (scale > 1e-12 * top)[of]  # the others fit exactly: only rounding is left, and weights stay
+        robust[moved] = _bisquare(r[moved], scale[of][moved])
+    f = fit(x, own, robust)
+    return np.where(np.isnan(f), out, f)
 
 
-def lowess(df: DataFrame, keys: Sequence[str], x: str, y: str, share: float = 0.1, rounds: int = 3, everywhere: bool = False) -> DataFrame:
+def _lowess_array(x: np.ndarray, y: np.ndarray, share: float, rounds: int) -> np.ndarray:
+    """The same for one profile."""
+    return _lowess_arrays(x, y, np.zeros(1, dtype=np.int64), share, rounds)
+
+
+def lowess(df: DataFrame, keys: Sequence[str], x: str, y: str | Sequence[str], share: float = 0.1, rounds: int = 3, everywhere: bool = False) -> DataFrame:
     """Robust local linear smoothing of gridded profiles; ``everywhere`` also where the value is null.
 
-    A profile has at most a few hundred positions and is array work inside the
-    task that holds it. For readings without that bound see ``lowess_blocks``.
+    A profile has at most a few hundred positions; many of them are array work at
+    once inside the task that holds them. Several columns ``y`` over the same positions
+    are smoothed each by its own known values, then ``everywhere``. For readings without that bound see ``lowess_blocks``.
     """
-    d = df if everywhere else df.filter(F.col(y).isNotNull())
-    d = d.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    ys = [y] if isinstance(y, str) else list(y)
+    if len(ys) > 1 and not everywhere:
+        raise ValueError("several columns are smoothed everywhere")
+    d = df if everywhere else df.filter(F.col(ys[0]).isNotNull())
+    d = d.select(*keys, *[F.col(c).cast("double").alias(c) for c in (x, *ys)])
+
+    def work(values, starts):
+        at, own = values[x], batches.owners(starts, len(values[x]))
+        found = {x: at}
+        for c in ys:
+            order = np.lexsort((values[c], at, own))  # values at one place in their order
+            found[c] = np.empty(len(at))
+            found[c][order] = _lowess_arrays(at[order], values[c][order], starts, share, rounds)
+        return np.arange(len(at)), found
+
+    return batches.map_profiles(d, keys, [x], [x, *ys], work, [(c, "double") for c in (x, *ys)])
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y], kind="stable")
-        return pdf.assign(**{y: _lowess_array(pdf[x].to_numpy(), pdf[y].to_numpy(dtype=float), share, rounds)})
+def _lowess_readings(d: DataFrame, keys: Sequence[str], x: str, y: str, share: float, rounds: int) -> DataFrame:
+    """``lowess_blocks`` of groups that one task can hold."""
+    def work(values, starts):
+        at, v = values["_x"], values["_y"]
+        fit = _lowess_arrays(at, v, starts, share, rounds)
+        new = np.r_[True, (at[1:] != at[:-1]) | (v[1:] != v[:-1])]
+        new[starts] = True
+        first = np.flatnonzero(new)
+        return first, {x: at[first], y: fit[first]}
 
-    return d.groupBy(*keys).applyInPandas(fit, d.schema)
+    return batches.map_profiles(d, keys, ["_x", "_y"], ["_x", "_y"], work, [(x, "double"), (y, "double")])
 
 
 def lowess_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, share: float = 0.1, rounds: int = 3, least: int = 4096) -> DataFrame:
@@ -190,11 +240,17 @@ def lowess_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, share: flo
     neighbourhood, k = share * n readings. A block is sent the k readings beside it
     on either side, so a reading is in three or four blocks and a block is about three
     neighbourhoods. Between rounds the median of the residuals is taken over
-    the whole group, by sorting in parallel. Groups too small for a line keep their values.
+    the whole group, by sorting in parallel. Groups too small for a line keep their values. Groups
+    of up to ``least`` readings need no blocks: each is smoothed whole, many in a task.
     """
     keys = list(keys)
     one = F.lit(1).cast("long")
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    large = cut(d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*keys))
+    if large.isEmpty():
+        return _lowess_readings(d, keys, x, y, share, rounds)
+    small = _lowess_readings(d.join(large, keys, "left_anti"), keys, x, y, share, rounds)
+    d = d.join(large, keys, "left_semi")
     at = ordered.running_sums(d, keys, ["_x", "_y"], {"_m": one})
     size = d.groupBy(*keys).agg((F.max("_x") - F.min("_x")).alias("_spread"), F.max(F.abs("_y")).alias("_top"))
     k = F.floor(F.lit(share) * F.col("_m_total") + 1e-10).cast("long")
@@ -232,7 +288,7 @@ def lowess_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, share: flo
         u = F.least(F.col("_res") / F.nullif(scale, F.lit(0.0)), F.lit(1.0))
         points = cut(res.join(mid, keys).withColumn("_r", F.when(held, F.col("_r")).otherwise(F.pow(1 - u * u, 2))).select(*points.columns))
     out = fitted(points).select(*keys, F.col("_x").alias(x), F.nanvl("_fit", "_y").alias(y))
-    return out.unionByName(rest.select(*keys, F.col("_x").alias(x), F.col("_y").alias(y)))
+    return out.unionByName(rest.select(*keys, F.col("_x").alias(x), F.col("_y").alias(y))).unionByName(small)
 
 
 def to_grid_varying_gap(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = 100) -> DataFrame:

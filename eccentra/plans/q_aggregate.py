@@ -174,9 +174,9 @@ def _(b):
     long = layers.unionByName(base.select(*key, F.lit("density").alias("feature"), F.col("density").alias("result")))
     band = cut(cohort.leave_one_out_bands(long, ["axis", "e10", "feature"], "result"))
     names = ["result", "median", "lower", "upper"]
-    curves = band.filter("feature <> 'density'").unpivot([*key, "feature"], names, "curve", "w").withColumn("x", F.col("e10") / 10.0)
-    smooth = smoothing.lowess(curves, ["subject_id", "axis", "feature", "curve"], "x", "w", everywhere=True).withColumn("e10", F.round(F.col("x") * 10).cast("int"))
-    wide = smooth.groupBy(*key, "feature").agg(*[F.max(F.when(F.col("curve") == c, F.col("w"))).alias(c) for c in names])
+    curves = band.filter("feature <> 'density'").withColumn("x", F.col("e10") / 10.0)
+    smooth = smoothing.lowess(curves, ["subject_id", "axis", "feature"], "x", names, everywhere=True)
+    wide = smooth.select("subject_id", "axis", F.round(F.col("x") * 10).cast("int").alias("e10"), "feature", *names)
     return wide.unionByName(band.filter("feature = 'density'").select(*wide.columns))
 
 
