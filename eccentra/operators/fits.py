@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from eccentra.constants import MM_PER_DEGREE
-from eccentra.operators import ordered
+from eccentra.operators import batches, ordered
 from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,62 +91,125 @@ def exponential(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float
 # --- two-sided model of the log density ---------------------------------------------------------------
 # log d = P - b*X + d*(1/(X + e) - 1/e) on each side of the centre, X in mm; P is shared.
 
-def _loss(res: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Asymmetric weighted soft L1: central readings may lie too low, outer
-    ones too high, so those directions are not punished."""
+LEAST, MOST = np.array([0, 0.5, 0, 0.5]), np.array([0.5, 1.0, 0.5, 1.0])
+
+
+def _normal_solve(m: np.ndarray, v: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Solutions of many small symmetric systems in their ``free`` unknowns, the others 0;
+    systems that are nearly singular have the shortest solution."""
+    n = v.shape[1]
+    a = np.where(free[:, :, None] & free[:, None, :], m, 0) + np.where(free, 0, 1)[:, :, None] * np.eye(n)
+    b = np.where(free, v, 0)
+    whole, weak = np.abs(a[:, range(n), range(n)]), np.zeros(len(a), bool)
+    low = a.copy()
+    for i in range(n):  # elimination without exchange of rows: the diagonal is positive unless nearly singular
+        weak |= ~(low[:, i, i] > 1e-11 * whole[:, i])
+        pivot = np.where(low[:, i, i] != 0, low[:, i, i], 1)
+        f = low[:, i + 1:, i] / pivot[:, None]
+        low[:, i + 1:, i:] -= f[:, :, None] * low[:, i, None, i:]
+        b[:, i + 1:] -= f * b[:, i, None]
+    out = np.zeros_like(b)
+    for i in range(n - 1, -1, -1):
+        pivot = np.where(low[:, i, i] != 0, low[:, i, i], 1)
+        out[:, i] = (b[:, i] - (low[:, i, i + 1:] * out[:, i + 1:]).sum(1)) / pivot
+    for j in np.flatnonzero(weak):
+        f = free[j]
+        out[j] = 0
+        out[j, f] = np.linalg.lstsq(m[j][np.ix_(f, f)], v[j, f], rcond=None)[0]
+    return out
+
+
+def _bilateral(x: np.ndarray, y: np.ndarray, n: np.ndarray, of: np.ndarray, centre: np.ndarray, el: np.ndarray, er: np.ndarray, peak: np.ndarray, rounds: int = 6):
+    """Loss (infinite where the shape is not allowed) and P, b_l, d_l, b_r, d_r of many shapes at once.
+
+    Profiles are the rows of ``x``, ``y`` and the weights ``n``, which end in zero weights; shape i is tried on
+    profile ``of[i]``. The loss is an asymmetric weighted soft L1: central readings may lie too low, outer ones
+    too high, so those directions are not punished.
+    """
     c = 0.3
-    outer = 1 / (1 + np.exp(-5 * (dist - 1)))
-    soft = lambda v: 2 * c * (np.sqrt(1 + (v / c) ** 2) - 1)
-    w = 1 - np.exp(-5 * dist)
-    return w * (outer * soft(np.where(res < c, res, 0)) + (1 - outer) * soft(np.where(res > -c, res, 0)))
-
-
-def _bilateral(x: np.ndarray, y: np.ndarray, n: np.ndarray, centres, shapes, peak: tuple[float, float], rounds: int = 6):
-    """Best (loss, centre, e_l, e_r, P, b_l, d_l, b_r, d_r) over the grid."""
-    best = None
+    pairs, row = np.unique(np.c_[of, centre], axis=0, return_inverse=True)  # shapes share their centre's distances
+    row = row.ravel()
+    px, po = x[pairs[:, 0].astype(int)], pairs[:, 1][:, None]
+    dist = np.abs(px - po)
+    outer, w0, left = (1 / (1 + np.exp(-5 * (dist - 1))))[row], (1 - np.exp(-5 * dist))[row], (px < po)[row]
+    dist = dist[row]
+    e = np.where(left, el[:, None], er[:, None])
+    g = 1 / (dist + e) - 1 / e
+    Y, N = y[of], n[of]
+    one = np.ones_like(dist)
+    # what the sums of a round are made of: 1, y, then per side dist, g, their products and products with y
+    parts = [one, Y]
+    for s in (left, ~left):
+        h, k = np.where(s, dist, 0), np.where(s, g, 0)
+        parts += [h, k, h * h, h * k, k * k, h * Y, k * Y]
+    feats = np.stack(parts, axis=2)
+    lo, hi = np.c_[peak[of, 0], np.tile(LEAST, (len(of), 1))], np.c_[peak[of, 1], np.tile(MOST, (len(of), 1))]
+    p = np.c_[0.5 * peak[of].sum(1), np.tile([0.17, 0.86, 0.17, 0.86], (len(of), 1))]
+
+    def curve(p, left, dist, g):
+        return p[:, :1] - np.where(left, p[:, 1, None], p[:, 3, None]) * dist + np.where(left, p[:, 2, None], p[:, 4, None]) * g
+
+    base = N * w0
+    w = base
+    for _ in range(rounds):
+        t = (w[:, None, :] @ feats)[:, 0, :]
+        m, v = np.zeros((len(of), 5, 5)), np.empty((len(of), 5))
+        m[:, 0, 0], v[:, 0] = t[:, 0], t[:, 1]
+        for at, i in ((2, 1), (9, 3)):
+            m[:, 0, i] = m[:, i, 0] = -t[:, at]
+            m[:, 0, i + 1] = m[:, i + 1, 0] = t[:, at + 1]
+            m[:, i, i], m[:, i + 1, i + 1] = t[:, at + 2], t[:, at + 4]
+            m[:, i, i + 1] = m[:, i + 1, i] = -t[:, at + 3]
+            v[:, i], v[:, i + 1] = -t[:, at + 5], t[:, at + 6]
+        free, live = np.ones((len(of), 5), bool), np.arange(len(of))
+        for _ in range(5):  # clamp to the bounds, refit the rest
+            f, q = free[live], p[live]
+            rest = v[live] - (m[live] @ np.where(f, 0, q)[:, :, None])[:, :, 0]
+            q = np.where(f, _normal_solve(m[live], rest, f), q)
+            out = f & ((q < lo[live]) | (q > hi[live]))
+            p[live] = np.clip(q, lo[live], hi[live])
+            free[live] &= ~out
+            live = live[out.any(1) & free[live].any(1)]
+            if not len(live):
+                break
+        r = Y - curve(p, left, dist, g)
+        pull = outer * (r < c) + (1 - outer) * (r > -c)
+        w = base * np.maximum(pull, 1e-6) / np.sqrt(1 + (r / c) ** 2)
+
+    def model(v):
+        d, s = np.abs(v - centre[:, None]), v < centre[:, None]
+        ee = np.where(s, el[:, None], er[:, None])
+        return curve(p, s, d, 1 / (d + ee) - 1 / ee)
     steps = np.linspace(-MM_PER_DEGREE, MM_PER_DEGREE, 21)
-    for c in centres:
-        side, dist = x < c, np.abs(x - c)
-        for el in shapes:
-            for er in shapes:
-                e = np.where(side, el, er)
-                g = 1 / (dist + e) - 1 / e
-                a = np.c_[np.ones_like(x), np.where(side, -dist, 0), np.where(side, g, 0), np.where(side, 0, -dist), np.where(side, 0, g)]
-                p = np.array([0.5 * sum(peak), 0.17, 0.86, 0.17, 0.86])
-                w = n * (1 - np.exp(-5 * dist))
-                lo = np.array([peak[0], 0, 0.5, 0, 0.5])
-                hi = np.array([peak[1], 0.5, 1.0, 0.5, 1.0])
-                for _ in range(rounds):
-                    aw = a * w[:, None]
-                    free = np.ones(5, bool)
-                    q = p.copy()
-                    for _ in range(5):  # clamp to the bounds, refit the rest
-                        rhs = aw.T @ y - aw.T @ (a[:, ~free] @ q[~free])
-                        q[free] = np.linalg.lstsq(aw[:, free].T @ a[:, free], rhs[free], rcond=None)[0]
-                        out = free & ((q < lo) | (q > hi))
-                        q = np.clip(q, lo, hi)
-                        if not out.any():
-                            break
-                        free &= ~out
-                        if not free.any():
-                            break
-                    p = q
-                    r = y - a @ p
-                    outer = 1 / (1 + np.exp(-5 * (dist - 1)))
-                    pull = outer * (r < 0.3) + (1 - outer) * (r > -0.3)
-                    w = n * (1 - np.exp(-5 * dist)) * np.maximum(pull, 1e-6) / np.sqrt(1 + (r / 0.3) ** 2)
-
-                def model(v):
-                    d, s = np.abs(v - c), v < c
-                    ee = np.where(s, el, er)
-                    return p[0] - np.where(s, p[1], p[3]) * d + np.where(s, p[2], p[4]) * (1 / (d + ee) - 1 / ee)
-                rise = np.abs(model(steps + 1e-4) - model(steps)) / 1e-4
-                if min(model(np.array([3.0, -3.0]))) < math.log(7200) or rise.max() > 10:
-                    continue
-                loss = float((n * _loss(y - model(x), dist)).sum() / n.sum())
-                if best is None or loss < best[0]:
-                    best = (loss, c, el, er, *p)
-    return best
+    rise = np.abs(model(steps + 1e-4) - model(steps)) / 1e-4
+    allowed = (model(np.array([3.0, -3.0])).min(1) >= math.log(7200)) & (rise.max(1) <= 10)
+    soft = 2 * c * (np.sqrt(1 + (r / c) ** 2) - 1)
+    lost = base * (outer * np.where(r < c, soft, 0) + (1 - outer) * np.where(r > -c, soft, 0))
+    return np.where(allowed, lost.sum(1) / N.sum(1), np.inf), p
+
+
+def _best_shapes(x: np.ndarray, y: np.ndarray, n: np.ndarray, peak: np.ndarray, tries: list[tuple], cells: int = 1 << 17) -> np.ndarray:
+    """(loss, centre, e_l, e_r, P, b_l, d_l, b_r, d_r) of the first best of every profile's tries (centres, shapes); the loss is infinite for none."""
+    out = np.full((len(x), 9), np.inf)
+    lots, size = [[]], 0
+    for i, (centres, shapes) in enumerate(tries):
+        size += len(centres) * len(shapes) ** 2 * x.shape[1]
+        if lots[-1] and size > cells:
+            lots.append([])
+            size = len(centres) * len(shapes) ** 2 * x.shape[1]
+        lots[-1].append(i)
+    for lot in lots:
+        grid = np.array([(k, c, a, b) for k, i in enumerate(lot) for c in tries[i][0] for a in tries[i][1] for b in tries[i][1]]).reshape(-1, 4)
+        if not len(grid):
+            continue
+        of = grid[:, 0].astype(int)
+        loss, p = _bilateral(x[lot], y[lot], n[lot], of, *grid[:, 1:].T, peak[lot])
+        for k, i in enumerate(lot):
+            mine = np.flatnonzero(of == k)
+            if len(mine):
+                best = mine[np.argmin(loss[mine])]
+                out[i] = [loss[best], *grid[best, 1:], *p[best]]
+    return out
 
 
 BILATERAL_FIELDS = ["loss", "centre", "e_left", "e_right", "log_peak", "b_left", "d_left", "b_right", "d_right"]
@@ -164,33 +227,34 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
             (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_n"),
             (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("_t")]
     d = df.filter(F.col(density) > 0).select(*keys, *cols)
-    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(f, T.DoubleType()) for f in BILATERAL_FIELDS] + [T.StructField("reason", T.StringType())])
-
-    def fit(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, n = pdf["_x"].to_numpy() * MM_PER_DEGREE, np.log(pdf["_y"].to_numpy()), pdf["_n"].to_numpy()
-        peak = (math.log(145_000), math.log(350_000))
-        t = pdf["_t"].iloc[0]
-        if t is not None and not math.isnan(t):
-            peak = (max(peak[0], math.log(max(t - 5000, 1))), min(peak[1], math.log(t + 5000)))
-
-        def row(values, reason):
-            return pd.DataFrame([[*key, *values, reason]], columns=[f.name for f in schema])
-
-        missing = [None] * len(BILATERAL_FIELDS)
-        if len(x) < 6:
-            return row(missing, "too few points")
-        if peak[0] > peak[1]:
-            return row(missing, "no room for the peak")
-        best = _bilateral(x, y, n, np.linspace(-0.1, 0.1, 5), (0.1, 0.25, 0.4, 0.6), peak)
-        if best is None:
-            return row(missing, "no allowed shape")
-        c, shapes = best[1], sorted({round(v, 3) for e in best[2:4] for v in (e - 0.06, e, e + 0.06) if 0.1 <= v <= 0.6})
-        fine = _bilateral(x, y, n, (c - 0.025, c, c + 0.025), shapes, peak)
-        if fine is not None and fine[0] < best[0]:
-            best = fine
-        return row(best, None)
-
-    return d.groupBy(*keys).applyInPandas(fit, schema)
+    names = ["_x", "_y", "_n", "_t"]
+
+    def work(values, starts):
+        size = np.diff(np.r_[starts, len(values["_x"])])
+        peak = np.tile([math.log(145_000), math.log(350_000)], (len(starts), 1))
+        t = values["_t"][starts].astype(float)
+        held = ~np.isnan(t)
+        peak[held, 0] = np.maximum(peak[held, 0], np.log(np.maximum(t[held] - 5000, 1)))
+        peak[held, 1] = np.minimum(peak[held, 1], np.log(t[held] + 5000))
+        reason = np.where(size < 6, "too few points", np.where(peak[:, 0] > peak[:, 1], "no room for the peak", "no allowed shape")).astype(object)
+        found = np.full((len(starts), 9), np.nan)
+        todo = np.flatnonzero((size >= 6) & (peak[:, 0] <= peak[:, 1]))
+        for some in np.array_split(todo[np.argsort(size[todo], kind="stable")], max(1, len(todo) // 16)):
+            if not len(some):
+                continue
+            at = np.minimum(np.arange(size[some].max()), size[some, None] - 1)
+            inside = np.arange(at.shape[1]) < size[some, None]
+            at = starts[some, None] + at
+            x, y, n = values["_x"][at] * MM_PER_DEGREE, np.log(values["_y"][at]), np.where(inside, values["_n"][at], 0.0)
+            best = _best_shapes(x, y, n, peak[some], [(np.linspace(-0.1, 0.1, 5), (0.1, 0.25, 0.4, 0.6))] * len(some))
+            fit = np.flatnonzero(np.isfinite(best[:, 0]))
+            near = [((c - 0.025, c, c + 0.025), sorted({round(v, 3) for e in ee for v in (e - 0.06, e, e + 0.06) if 0.1 <= v <= 0.6})) for c, *ee in best[fit, 1:4]]
+            fine = _best_shapes(x[fit], y[fit], n[fit], peak[some][fit], near)
+            best[fit] = np.where((fine[:, 0] < best[fit, 0])[:, None], fine, best[fit])
+            found[some[fit]], reason[some[fit]] = best[fit], None
+        return starts, {**dict(zip(BILATERAL_FIELDS, found.T.copy())), "reason": reason}
+
+    return batches.map_profiles(d, keys, ["_x"], names, work, [*[(f, "double") for f in BILATERAL_FIELDS], ("reason", "string")])
 
 
 def peak_target(fits: DataFrame, subject: Sequence[str]) -> DataFrame:
