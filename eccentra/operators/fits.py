@@ -282,7 +282,9 @@ def band_split(df: DataFrame, log_density: Column, model: Column, slope: Column,
 
 # --- Theil-Sen ----------------------------------------------------------------------------------------
 
-PAIR_BLOCK = 2048
+PAIR_BLOCK = 4096
+PAIR_ROWS = 32
+PAIR_TASKS = 2000
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -298,14 +300,15 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     d = cut_complete(df, keys, x, y)
     n = d.groupBy(*keys).agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    own = d.join(n, keys).withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
+    pairs = n.agg(F.sum(blocks.cast("long") * (blocks + 1) / 2)).first()[0] or 1
+    own = d.join(n, keys).repartition("_i").withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
     dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select(*keys, F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), "_b", "_x", "_y")
     # about a hundred points a group give the edges
     some = own.filter(F.pmod(F.xxhash64("_i", F.lit(3)), F.ceil(F.col("n") / 96)) == 0).groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y")).alias("_s"))
     edges = cut(n.join(some, keys, "left").select(*keys, _edges("_s").alias("_e")))
 
-    counted = _by_blocks(dealt, edges, keys, None)
+    counted = _by_blocks(dealt, edges, keys, None, pairs)
     below = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bins = cut(counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0).cast("long"))))
     lim = cut(_limits(d, keys, n.join(bins.groupBy(*keys).agg(F.sum("_n").alias("m")), keys)))
@@ -313,7 +316,7 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     want = lim.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.col(k).alias("_k")) for k in names])).alias("_w")).select(*keys, "_w._name", "_w._k")
     hit = cut(bins.join(want, keys).filter("_before <= _k AND _k < _before + _n").select(*keys, "_bin", "_name", (F.col("_k") - F.col("_before")).alias("_k")))
     chosen = edges.join(hit.groupBy(*keys).agg(F.collect_set("_bin").alias("_bins")), keys)
-    listed = _by_blocks(dealt, chosen, keys, "_bins")
+    listed = _by_blocks(dealt, chosen, keys, "_bins", pairs)
     pos = ordered.running_sums(listed, keys + ["_bin"], ["_s"], {"_c": F.col("_n")})
     got = pos.join(hit, keys + ["_bin"]).filter("_c_before <= _k AND _k < _c_before + _c")
     r = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == k, F.col("_s"))).alias(k) for k in names])
@@ -335,50 +338,71 @@ def _edges(samples: pd.Series) -> pd.Series:
 
 def _slopes(a: np.ndarray, b: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
     dx, dy = b[None, :, 0] - a[:, None, 0], b[None, :, 1] - a[:, None, 1]
+    if which is None and dx.all():
+        return np.divide(dy, dx, out=dy).ravel()
     good = dx != 0 if which is None else (dx != 0) & which
     return dy[good] / dx[good]
 
 
-def _by_blocks(dealt: DataFrame, edges: DataFrame, keys: Sequence[str], bins: str | None) -> DataFrame:
-    """Slopes of every pair of blocks: counts per interval, or with ``bins`` the
-    distinct slopes in those intervals with their numbers."""
-    keys = list(keys)
-    told = dealt.select(*keys, "_p", "_q").distinct().join(edges, keys)
-    rows = dealt.withColumn("_e", F.lit(None).cast("array<double>")).withColumn("_bins", F.lit(None).cast("array<int>"))
-    told = told.select(*keys, "_p", "_q", F.lit(None).cast("int").alias("_b"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), "_e",
-                       (F.col(bins) if bins else F.lit(None)).cast("array<int>").alias("_bins"))
-    both = rows.unionByName(told)
-    out = [both.schema[k] for k in keys] + [T.StructField("_bin", T.IntegerType())] + ([T.StructField("_s", T.DoubleType())] if bins else []) + [T.StructField("_n", T.LongType())]
-    schema = T.StructType(out)
-
+def _block_work(keys: Sequence[str], names: Sequence[str], listed: bool):
+    """The slopes of one pair of blocks, as ``_by_blocks`` has them."""
     def work(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         own = key[: len(keys)]
         info = pdf[pdf["_e"].notna()]
         if not len(info):
-            return pd.DataFrame(columns=schema.names)
+            return pd.DataFrame(columns=names)
         e = np.asarray(info["_e"].iloc[0], dtype=float)
-        wanted = None if bins is None else np.asarray(info["_bins"].iloc[0], dtype=int)
+        wanted = None if not listed else np.asarray(info["_bins"].iloc[0], dtype=int)
         pts = pdf[pdf["_e"].isna()]
         p, q = key[len(keys):]
         a = pts.loc[pts["_b"] == p, ["_x", "_y"]].to_numpy()
         b = a if p == q else pts.loc[pts["_b"] == q, ["_x", "_y"]].to_numpy()
         total, found = np.zeros(len(e) + 1, dtype=np.int64), []
-        for lo in range(0, len(a), 256):
-            part = a[lo: lo + 256]
+        for lo in range(0, len(a), PAIR_ROWS):
+            part = a[lo: lo + PAIR_ROWS]
             which = (np.arange(len(b))[None, :] > np.arange(lo, lo + len(part))[:, None]) if p == q else None
             s = _slopes(part, b, which)
-            at = np.searchsorted(e, s, side="right")
+            if wanted is not None:  # only those between the outermost wanted edges are sorted
+                some = s >= e[wanted.min() - 1] if wanted.min() > 0 else np.ones(len(s), bool)
+                s = s[some & ~(s >= e[wanted.max()])] if wanted.max() < len(e) else s[some]
+            # a few edges are sought among sorted slopes, not the slopes among the edges
+            s.sort()
+            ends = np.r_[0, np.searchsorted(s, e, side="left"), len(s)]
             if wanted is None:
-                total += np.bincount(at, minlength=len(total))
+                total += np.diff(ends)
             else:
-                found.append(s[np.isin(at, wanted)])
+                for w in wanted:  # tied slopes once, with their number
+                    some = s[ends[w]: ends[w + 1]]
+                    first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]][: len(some)])
+                    found.append((some[first], np.diff(np.r_[first, len(some)])))
         if wanted is None:
             k = np.flatnonzero(total)
-            return pd.DataFrame({**dict(zip(keys, own)), "_bin": k.astype("int32"), "_n": total[k]}, columns=schema.names)
-        s, c = np.unique(np.concatenate(found) if found else np.zeros(0), return_counts=True)
-        return pd.DataFrame({**dict(zip(keys, own)), "_bin": np.searchsorted(e, s, side="right").astype("int32"), "_s": s, "_n": c}, columns=schema.names)
+            return pd.DataFrame({**dict(zip(keys, own)), "_bin": k.astype("int32"), "_n": total[k]}, columns=names)
+        s, at = np.unique(np.concatenate([v for v, _ in found] or [np.zeros(0)]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([k for _, k in found] or [np.zeros(0)]), len(s)).astype(np.int64)
+        return pd.DataFrame({**dict(zip(keys, own)), "_bin": np.searchsorted(e, s, side="right").astype("int32"), "_s": s, "_n": c}, columns=names)
+
+    return work
+
+
+def _by_blocks(dealt: DataFrame, edges: DataFrame, keys: Sequence[str], bins: str | None, pairs: float) -> DataFrame:
+    """Slopes of every pair of blocks: counts per interval, or with ``bins`` the
+    distinct slopes in those intervals with their numbers.
+
+    The ``pairs`` of blocks are shuffled by themselves: a join on the group leaves a whole group
+    in one task, which would do for grouping by pairs, and their few bytes would be coalesced.
+    """
+    keys = list(keys)
+    told = dealt.select(*keys, "_p", "_q").distinct().join(edges, keys)
+    rows = dealt.withColumn("_e", F.lit(None).cast("array<double>")).withColumn("_bins", F.lit(None).cast("array<int>"))
+    told = told.select(*keys, "_p", "_q", F.lit(None).cast("int").alias("_b"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), "_e",
+                       (F.col(bins) if bins else F.lit(None)).cast("array<int>").alias("_bins"))
+    both = rows.unionByName(told)
+    out = [both.schema[k] for k in keys] + [T.StructField("_bin", T.IntegerType())] + ([T.StructField("_s", T.DoubleType())] if bins else []) + [T.StructField("_n", T.LongType())]
+    schema = T.StructType(out)
 
-    return both.groupBy(*keys, "_p", "_q").applyInPandas(work, schema)
+    apart = both.repartition(int(min(max(pairs, 1), PAIR_TASKS)), *keys, "_p", "_q")
+    return apart.groupBy(*keys, "_p", "_q").applyInPandas(_block_work(keys, schema.names, bins is not None), schema)
 
 
 def cut_complete(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from contextlib import redirect_stdout
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,44 @@ def test_profiles_longer_than_a_lot(spark):
     df = spark.range(1000).selectExpr("cast(id % 3 as int) AS k", "cast(id as double) AS v")
     out = batches.map_profiles(df, ["k"], ["v"], ["v"], lambda values, starts: (starts, {"s": np.add.reduceat(values["v"], starts)}), [("s", "double")], rows=7)
     assert {r["k"]: r["s"] for r in out.collect()} == {k: float(sum(range(k, 1000, 3))) for k in range(3)}
+
+
+def test_slopes_are_not_looked_up_one_by_one(spark, monkeypatch):
+    """Every search is for the few edges, in sorted slopes; tied slopes and places, and slopes equal to an edge."""
+    calls, plain = [], np.searchsorted
+
+    def counted(a, v, **how):
+        calls.append(np.size(v))
+        return plain(a, v, **how)
+
+    monkeypatch.setattr(fits.np, "searchsorted", counted)
+    rng = random.Random(6)
+    pts = [(float(rng.randint(0, 30)), float(rng.randint(0, 5))) for _ in range(300)]
+    a = np.array(pts)
+    s = np.sort(fits._slopes(a, a, np.triu(np.ones((300, 300), bool), 1)))
+    edges = np.unique(np.quantile(s, np.linspace(0, 1, 40)[1:-1]))
+    work = fits._block_work(["g"], ["g", "_bin", "_n"], False)
+    pdf = pd.DataFrame({"_b": [0] * 300, "_x": a[:, 0], "_y": a[:, 1], "_e": None, "_bins": None})
+    pdf.loc[300] = [None, None, None, edges, None]
+    got = work((1, 0, 0), pdf)
+    assert max(calls) <= len(edges)
+    assert dict(zip(got["_bin"], got["_n"])) == {k: n for k, n in enumerate(np.bincount(plain(edges, s, side="right"))) if n}
+
+
+def test_pairs_of_blocks_of_one_group_are_many_tasks(spark, monkeypatch):
+    """One group: its block pairs are spread, and the answer is that of all pairs."""
+    monkeypatch.setattr(fits, "PAIR_BLOCK", 50)
+    rng = random.Random(7)
+    pts = [(1, rng.random(), float(rng.randint(0, 9))) for _ in range(400)]
+    seen, plain = [], fits._by_blocks
+
+    def watched(*args):
+        out = plain(*args)
+        seen.append(len({r[0] for r in out.select(F.spark_partition_id()).collect()}))
+        return out
+
+    monkeypatch.setattr(fits, "_by_blocks", watched)
+    got = fits.theil_sen(spark.createDataFrame(pts, "g int, x double, y double"), ["g"], "x", "y").first()
+    a = np.array([p[1:] for p in pts])
+    assert got["slope"] == pytest.approx(np.median(fits._slopes(a, a, np.triu(np.ones((400, 400), bool), 1))))
+    assert min(seen) > 4
