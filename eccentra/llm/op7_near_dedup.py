@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eccentra.llm.common import (U64, by_value, components, content_filter, discard, keep, mix, passes, randoms, shingle_sets, table, text_chunks)
+from eccentra.llm.common import (SEGMENT, U64, by_value, components, content_filter, discard, keep, mix, passes, randoms, shingle_sets, table, text_chunks)
 from eccentra.llm.op9_suffix_dedup import some_texts, text_filter
 
 by_value(__name__)
@@ -56,7 +56,7 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
     """(id, key, n_shingles, cid, sig): class and signature of every document; both null without a set."""
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, limit=SEGMENT):
                 sets, at = shingle_sets(data, offsets, width)
                 n = np.diff(at)
                 some = np.flatnonzero(n)

@@ -130,7 +130,7 @@ def runs(texts: DataFrame, filled: np.ndarray | None = None) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(unseen(batch, seen)))
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            for lo, _, data, offsets in text_chunks(batch):
+            for lo, _, data, offsets in text_chunks(batch, limit=SEGMENT):
                 text, i, n, d, bucket, rank = runs_of(data, offsets, gram, whole)
                 if sent is not None and len(text):
                     good = in_filter(bucket.view(np.int64), mix(bucket).view(np.int64), sent.value)
@@ -185,7 +185,7 @@ def hashed_parts(rows: DataFrame, windows: bool) -> DataFrame:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             lists = batch.column("runs")
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, limit=SEGMENT):
                 part = lists.slice(lo, hi - lo)
                 counts = np.diff(part.offsets.to_numpy())
                 flat = part.flatten()
