@@ -32,6 +32,7 @@ their neighbours. Extra columns are ignored.
 
 from __future__ import annotations
 
+from math import isfinite
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +50,8 @@ ROUNDS, RATE, BATCH = 2, 0.5, 256
 #: Classes of a group, and places scored at once.
 GROUP, SCORED = 128, 4096
 EVERY = ROUNDS
+#: Exponentials are tried as they are first.
+BEYOND = {"over": "ignore", "divide": "ignore", "invalid": "ignore"}
 CLASSES = FREQUENT + HASHED
 
 
@@ -126,8 +129,10 @@ def near_of(laid: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def hidden(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, hidden values)."""
-    x = w["embed"][around].reshape(len(around), around.shape[1] * WIDTH)
-    return x, np.tanh(x @ w["inner"] + w["bias"])
+    x = w["embed"].take(around, axis=0).reshape(len(around), around.shape[1] * WIDTH)
+    h = x @ w["inner"]
+    h += w["bias"]
+    return x, np.tanh(h, out=h)
 
 
 def normed(z: np.ndarray) -> np.ndarray:
@@ -147,61 +152,107 @@ def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return x, h, z
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    """Softmax of every row, in place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exponentials of every row, their sum, its reciprocal, what was taken off the row before): the greatest value where plain
+    exponentials leave the range of numbers, and nothing elsewhere."""
+    ones = np.ones(z.shape[1], dtype=z.dtype)
+    e = np.exp(z)
+    total = e @ ones
+    inverse = 1 / total
+    if isfinite(total @ total + inverse @ inverse):
+        return e, total, inverse, 0.0
+    top = z.max(axis=1)
+    e = np.exp(z - top[:, None])
+    total = e @ ones
+    return e, total, 1 / total, top
+
+
+def by_group(target: np.ndarray, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """Order of the targets by batch and group, their groups and places in a matrix of their group's classes in that order, and
+    the groups' borders within each batch."""
+    batches, groups = -(-len(target) // batch), int(target.max()) // GROUP + 1
+    key = np.arange(len(target)) // batch * groups + target // GROUP
+    order = np.argsort(key.astype(np.int16) if batches * groups < 1 << 15 else key, kind="stable")  # so few bits are sorted by counting
+    counts = np.bincount(key, minlength=batches * groups)
+    key = key[order]
+    before = np.cumsum(counts) - counts
+    places = (np.arange(len(target)) - before[key]) * GROUP + target[order] % GROUP
+    ends = counts.reshape(batches, groups).cumsum(axis=1)
+    return order, key % groups, places, [[0, *row] for row in ends.tolist()]
+
+
+def own_logits(w: dict, h: np.ndarray, g: int) -> np.ndarray:
+    """Logits of the classes of a group."""
+    z = h @ w["outer"][:, g * GROUP: (g + 1) * GROUP]
+    z += w["base"][g * GROUP: (g + 1) * GROUP]
     return z
 
 
-def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the targets by group, and the groups' borders in it."""
-    group = target // GROUP
-    order = np.argsort(group, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(group))])
+def at_places(z: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places of a matrix ``GROUP`` wide in one that may be narrower, as it is of the last group."""
+    return places if z.shape[1] == GROUP else places // GROUP * z.shape[1] + places % GROUP
 
 
 def chosen(w: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of every target: that of its group, and its own among the group's classes alone."""
-    order, borders = by_group(target)
-    _, h = hidden(w, around[order])
-    groups, picked, out = normed(h @ w["top"] + w["head"]), target[order], np.empty(len(target), dtype=h.dtype)
-    for g in range(len(borders) - 1):
-        a, b, lo = borders[g], borders[g + 1], g * GROUP
-        if a < b:
-            z = normed(h[a:b] @ w["outer"][:, lo: lo + GROUP] + w["base"][lo: lo + GROUP])
-            out[order[a:b]] = groups[a:b, g] + z[np.arange(b - a), picked[a:b] - lo]
+    if not len(target):
+        return np.empty(0, dtype=w["top"].dtype)
+    order, group, places, (borders,) = by_group(target, len(target))
+    _, h = hidden(w, around.take(order, axis=0))
+    z, out = h @ w["top"] + w["head"], np.empty(len(target), dtype=h.dtype)
+    with np.errstate(**BEYOND):
+        _, total, _, off = exponentials(z)
+        logs = z[np.arange(len(z)), group] - off - np.log(total)
+        for g, (a, b) in enumerate(zip(borders, borders[1:])):
+            if a < b:
+                z = own_logits(w, h[a:b], g)
+                _, total, _, off = exponentials(z)
+                logs[a:b] += z.ravel()[at_places(z, places[a:b])] - off - np.log(total)
+    out[order] = logs
     return out
 
 
+def steps(w: dict, around: np.ndarray, target: np.ndarray, rate: float, batch: int) -> None:
+    """One gradient step on every batch of so many places, in place; what does not need the weights is done for all batches at once."""
+    order, group, places, borders = by_group(target, batch)
+    around, kinds = around.take(order, axis=0), w["top"].shape[1]
+    group = np.arange(len(group)) % batch * kinds + group
+    cells = np.arange(w["embed"].size).reshape(w["embed"].shape)
+    with np.errstate(**BEYOND):
+        for k, ends in enumerate(borders):
+            lo = k * batch
+            near, n = around[lo: lo + batch], ends[-1]
+            x, h = hidden(w, near)
+            # exponentials less their sum at the target are the gradients by the logits, but for a factor by row; it goes to the smaller side
+            e, total, inverse, _ = exponentials(h @ w["top"] + w["head"])
+            inverse *= rate / n
+            e.reshape(-1)[group[lo: lo + n]] -= total
+            e *= inverse[:, None]
+            back = e @ w["top"].T
+            w["top"] -= h.T @ e
+            w["head"] -= e.sum(axis=0)
+            for g, (a, b) in enumerate(zip(ends, ends[1:])):
+                if a < b:
+                    own, mine = w["outer"][:, g * GROUP: (g + 1) * GROUP], h[a:b]
+                    e, total, inverse, _ = exponentials(own_logits(w, mine, g))
+                    inverse *= rate / n
+                    e.reshape(-1)[at_places(e, places[lo + a: lo + b])] -= total
+                    part = e @ own.T
+                    part *= inverse[:, None]
+                    back[a:b] += part
+                    own -= (mine * inverse[:, None]).T @ e
+                    w["base"][g * GROUP: (g + 1) * GROUP] -= inverse @ e
+            h *= h
+            back -= back * h
+            inputs = back @ w["inner"].T
+            w["inner"] -= x.T @ back
+            w["bias"] -= back.sum(axis=0)
+            w["embed"] -= np.bincount(cells.take(near.ravel(), axis=0).ravel(), inputs.ravel(), cells.size).reshape(cells.shape)
+
+
 def step(w: dict, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient step on a batch, in place."""
-    order, borders = by_group(target)
-    around, picked, n = around[order], target[order], len(target)
-    x, h = hidden(w, around)
-    p = softmax(h @ w["top"] + w["head"])
-    p[np.arange(n), picked // GROUP] -= 1
-    p /= n
-    back = p @ w["top"].T
-    w["top"] -= rate * (h.T @ p)
-    w["head"] -= rate * p.sum(axis=0)
-    for g in range(len(borders) - 1):
-        a, b, lo = borders[g], borders[g + 1], g * GROUP
-        if a < b:
-            own, base, mine = w["outer"][:, lo: lo + GROUP], w["base"][lo: lo + GROUP], h[a:b]
-            q = softmax(mine @ own + base)
-            q[np.arange(b - a), picked[a:b] - lo] -= 1
-            q /= n
-            back[a:b] += q @ own.T
-            own -= rate * (mine.T @ q)
-            base -= rate * q.sum(axis=0)
-    back *= 1 - h**2
-    inputs = back @ w["inner"].T
-    w["inner"] -= rate * (x.T @ back)
-    w["bias"] -= rate * back.sum(axis=0)
-    at = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    w["embed"] -= rate * np.bincount(at, inputs.ravel(), w["embed"].size).reshape(w["embed"].shape).astype(inputs.dtype)
+    steps(w, around, target, rate, len(target))
 
 
 def own_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,8 +321,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict
                 if not held or sum(len(t) for _, t in held) < least:
                     return
                 near, target = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
-                for lo in range(0, len(target), BATCH):
-                    step(w, near[lo: lo + BATCH], target[lo: lo + BATCH], RATE)
+                steps(w, near, target, RATE, BATCH)
                 seen, held = seen + len(target), []
 
             for batch in batches:
