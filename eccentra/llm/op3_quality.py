@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eccentra.llm.common import SPACE, U64, by_value, table, text_chunks, word_hashes
+from eccentra.llm.common import SEGMENT, SPACE, U64, by_value, table, text_chunks, word_hashes
 
 by_value(__name__)
 
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
         own = Model.__new__(Model)
         own.__dict__.update(sent.value)
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch, text_col):
+            for lo, hi, data, offsets in text_chunks(batch, text_col, SEGMENT):
                 score = own.score(term_counts(data, offsets))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score)], [*names, name])
 

@@ -39,6 +39,18 @@ def test_runs_and_hashes_take_little_memory():
     assert most_allocated(lambda: common.word_hashes(data, np.array([0, len(data)]))) < 16
 
 
+def test_batches_of_texts_are_small(spark, tmp_path):
+    """In a step's last write too, which is made by others: before, all 3,000 rows (12 MB) at once."""
+    spark.range(3000).selectExpr("id as doc_id", "repeat('abcd', 1000) as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    got = [r["n"] for r in common.table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 12e6 and max(got) < 3e6
+
+
 def plain_step(w, around, target, rate):
     """One gradient step, written out class by class."""
     n, g = len(target), op8.GROUP
