@@ -86,7 +86,7 @@ def test_patches_of_neighbours_equal_trying_all(spark):
     assert got == {k: min(v) for k, v in best.items()}
 
 
-@pytest.mark.parametrize("name", ["best_reference_patch", "same_vs_cross_count"])
+@pytest.mark.parametrize("name", ["best_reference_patch", "same_vs_cross_count", "cross_patch_radius_join"])
 def test_pairs_of_patches_are_no_rows(spark, name):
     """Before, both images' patches were exploded and elements joined once per neighbour."""
     text = plan(entry.queries()[name](spark, SF))
