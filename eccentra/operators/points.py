@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from eccentra import constants as K
-from eccentra.operators import graph, images, joins
+from eccentra.operators import batches, closeness, graph, images, joins
 from eccentra.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,13 +46,57 @@ def centroids(spots: DataFrame, image: Sequence[str], label: str) -> DataFrame:
         F.bround(F.sum(F.col("y") * F.col("n_here")) / n, 0).cast("int").alias("y"), n.alias("n_points")).drop(label)
 
 
+def split_tiles(points: DataFrame, image: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Points of images that lie in one tile, and those of the others (none: no such image).
+
+    Images with a point of no known place, and points of no known image, are among the others.
+    """
+    image = list(image)
+
+    def inside(c: str) -> Column:
+        return (F.col(c) >= -joins.HALO) & (F.col(c) < joins.TILE - joins.HALO)
+
+    known = F.lit(True)
+    for c in image:
+        known = known & F.col(c).isNotNull()
+    odd = points.filter(~known | ~F.coalesce(inside("x") & inside("y"), F.lit(False)))
+    if odd.isEmpty():
+        return points, None
+    wide = cut(odd.filter(known).select(*image).distinct())
+    return points.filter(known).join(wide, image, "left_anti"), points.join(wide, image, "left_semi").unionByName(points.filter(~known))
+
+
 def merge_close(points: DataFrame, image: Sequence[str], d: float) -> DataFrame:
     """Clusters of points linked by steps of at most ``d`` -> rounded centroid.
 
     With two points enough for a cluster, density clustering and single linkage
     cut at ``d`` give the same groups; lone points stay as they are.
+    Images of one tile are worked on as arrays, many at a time; others exchange labels.
     """
-    return centroids(labelled(points, image, d), image, "component")
+    image = list(image)
+    near, wide = split_tiles(points, image)
+
+    def work(values, starts):
+        own = batches.owners(starts, len(values["x"]))
+        return _middles(values, closeness.components(own, values["x"], values["y"], d))
+
+    out = _in_tiles(joins.distinct_points(near, image), image, ["n_here"], work)
+    return out if wide is None else out.unionByName(centroids(labelled(wide, image, d), image, "component"))
+
+
+MIDDLE = [("x", "int"), ("y", "int"), ("n_points", "bigint")]
+
+
+def _middles(values: dict, label: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Rounded weighted means of the positions of a label, in the rows of those that give it."""
+    at, of = np.unique(label, return_inverse=True)
+    n = values["n_here"]
+    total = np.bincount(of, n, len(at))
+    return at, {**{c: np.rint(np.bincount(of, values[c].astype(np.int64) * n, len(at)) / total).astype(np.int32) for c in ("x", "y")}, "n_points": total.astype(np.int64)}
+
+
+def _in_tiles(spots: DataFrame, image: list[str], columns: list[str], work, results=MIDDLE, kept=None) -> DataFrame:
+    return batches.map_profiles(spots, image, ["x", "y"], ["x", "y", *columns], work, results, kept=kept)
 
 
 #: Positions of an image whose components are merged in one group of rows, about.

@@ -3,12 +3,13 @@
 import io
 import math
 import random
+from collections import Counter
 from contextlib import redirect_stdout
 
 import pytest
 
 import __spark_entry__ as entry
-from eccentra.operators import montage
+from eccentra.operators import closeness, graph, joins, montage, points as P
 from eccentra.plans import q_join
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,65 @@ def test_pairs_of_patches_are_no_rows(spark, name):
     """Before, both images' patches were exploded and elements joined once per neighbour."""
     text = plan(entry.queries()[name](spark, SF))
     assert "posexplode" not in text and "Join" not in text and text.count("Exchange") == 1
+
+
+def scattered(seed: int):
+    """Sparse, dense and repeated positions on several images, one of them wider than a tile, and one point without a place."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(s), rng.randrange(s), float(rng.randrange(9))) for i, (n, s) in enumerate([(1, 5), (300, 400), (400, 40), (200, 60), (900, 30)]) for _ in range(n)]
+    return rows + [(7, rng.randrange(3) * 900 + rng.randrange(30), rng.randrange(30) - 5, float(rng.randrange(9))) for _ in range(150)] + [(8, None, 3, 1.0), (8, 4, 3, None), (8, 6, 3, 1.0)]
+
+
+def one_by_one(spots, order, d):
+    label = {}
+    for p in order:
+        if p not in label:
+            label.update({o: p for o in spots if o[0] == p[0] and None not in (*o, *p) and (o[1] - p[1]) ** 2 + (o[2] - p[2]) ** 2 <= d * d} or {p: p})
+    return label
+
+
+def middles(label, count):
+    groups = {}
+    for p, to in label.items():
+        groups.setdefault(to, []).append(p)
+    out = []
+    for to, held in groups.items():
+        n = sum(count[p] for p in held)
+        out.append((to[0], *[None if to[i] is None else round(sum(p[i] * count[p] for p in held) / n) for i in (1, 2)], n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("dense", [0, 24, 10**9])
+def test_close_points_equal_one_by_one(spark, monkeypatch, dense):
+    monkeypatch.setattr(closeness, "DENSE", dense)
+    monkeypatch.setattr(closeness, "STEP", 100)
+    rows = [r for r in scattered(5) if dense == 24 or r[0] < 7]  # the wide image once, its rounds are slow
+    df = spark.createDataFrame(rows, "image_id int, x int, y int, quality double").repartition(5)
+    count = Counter(r[:3] for r in rows)
+    order = sorted(count, key=lambda p: (p[0], p[1] is None, p[1] or 0, p[2]))
+    assert sorted(map(tuple, P.merge_greedy(df, ["image_id"], 12).collect()), key=str) == middles(one_by_one(count, order, 12), count)
+    best = {}
+    for *p, q in rows:
+        best[tuple(p)] = max(best.get(tuple(p), -1.0), -1.0 if q is None else q)
+    label = one_by_one(best, sorted(order, key=lambda p: -best[p]), 9)
+    got = sorted(((r["image_id"], r["x"], r["y"]) for r in P.suppress_close(df, ["image_id"], 9, "quality").collect()), key=str)
+    assert got == sorted((p for p, to in label.items() if p == to), key=str)
+    root = {p: p for p in count}
+    for _ in count:
+        new = {p: min([root[o] for o in count if o[0] == p[0] and None not in (*o, *p) and (o[1] - p[1]) ** 2 + (o[2] - p[2]) ** 2 <= 81] or [p]) for p in count}
+        if new == root:
+            break
+        root = new
+    assert sorted(map(tuple, P.merge_close(df, ["image_id"], 9).collect()), key=str) == middles(root, count)
+
+
+@pytest.mark.parametrize("name", ["merge_close_points_dbscan"])
+def test_images_of_one_tile_need_no_rounds(spark, name, monkeypatch):
+    """Before, pairs and the labels of every round were written to the checkpoint folder."""
+    def none(df):
+        raise AssertionError("checkpoint")
+
+    for m in (P, graph, joins):
+        monkeypatch.setattr(m, "cut", none)
+    text = plan(entry.queries()[name](spark, SF))
+    assert "Join" not in text and text.count("Exchange") <= 2
