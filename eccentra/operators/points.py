@@ -107,12 +107,27 @@ def merge_greedy(points: DataFrame, image: Sequence[str], d: float) -> DataFrame
     """Order-dependent merging: each still unlabelled point takes every point
     within ``d``, also from earlier groups; order is by (x, y).
 
+    Images of one tile are worked on as arrays, many at a time.
+    """
+    image = list(image)
+    near, wide = split_tiles(points, image)
+
+    def work(values, starts):
+        own = batches.owners(starts, len(values["x"]))
+        return _middles(values, closeness.taken(own, values["x"], values["y"], d, np.arange(len(own))))
+
+    out = _in_tiles(joins.distinct_points(near, image), image, ["n_here"], work)
+    return out if wide is None else out.unionByName(_merge_greedy_wide(wide, image, d))
+
+
+def _merge_greedy_wide(points: DataFrame, image: list[str], d: float) -> DataFrame:
+    """``merge_greedy`` of images of any extent.
+
     Labels never reach beyond a component at distance ``d``, so components are
     independent. A group of rows holds many small ones: the components of an image are
     dealt to a group per ``HELD`` positions.
     """
     spots = labelled(points, image, d)
-    image = list(image)
     schema = T.StructType([*[spots.schema[c] for c in image], spots.schema["component"], T.StructField("x", T.IntegerType()),
                            T.StructField("y", T.IntegerType()), T.StructField("n_here", T.LongType()), T.StructField("label", T.LongType())])
 
