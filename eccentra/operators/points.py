@@ -152,10 +152,29 @@ def suppress_close(points: DataFrame, image: Sequence[str], d: float, quality: s
     """Keep the best of close points: best first, each kept point removes its
     neighbours of lower quality (ties: smaller position first).
 
+    Images of one tile are worked on as arrays, many at a time.
+    """
+    image = list(image)
+    near, wide = split_tiles(points, image)
+
+    def work(values, starts):
+        own, q = batches.owners(starts, len(values["x"])), values[quality]
+        none = values["_none"] == 1
+        nan = np.isnan(q) & ~none  # NaN is larger than any number, as in Spark
+        order = np.lexsort((np.where(np.isnan(q), 0, -q), ~nan, none))
+        return np.flatnonzero(closeness.taken(own, values["x"], values["y"], d, order) == np.arange(len(q))), {}
+
+    best = near.groupBy(*image, "x", "y").agg(F.max(quality).alias(quality)).withColumn("_none", F.col(quality).isNull().cast("int"))
+    out = _in_tiles(best, image, [quality, "_none"], work, [], kept=[*image, "x", "y", quality])
+    return out if wide is None else out.unionByName(_suppress_close_wide(wide, image, d, quality))
+
+
+def _suppress_close_wide(points: DataFrame, image: list[str], d: float, quality: str) -> DataFrame:
+    """``suppress_close`` of images of any extent.
+
     Every round all points that beat their undecided neighbours are kept at
     once, which gives the same set as going through them one by one.
     """
-    image = list(image)
     best = points.groupBy(*image, "x", "y").agg(F.max(quality).alias(quality))
     spots = cut(best.withColumn("spot", _spot("x", "y")))
     pairs = joins.within_distance(spots, image, d).select(*image, _spot("ax", "ay").alias("sa"), _spot("bx", "by").alias("sb"))

@@ -144,7 +144,7 @@ def test_close_points_equal_one_by_one(spark, monkeypatch, dense):
     assert sorted(map(tuple, P.merge_close(df, ["image_id"], 9).collect()), key=str) == middles(root, count)
 
 
-@pytest.mark.parametrize("name", ["merge_close_points_dbscan", "merge_close_points_greedy"])
+@pytest.mark.parametrize("name", ["merge_close_points_dbscan", "merge_close_points_greedy", "suppress_close_low_quality"])
 def test_images_of_one_tile_need_no_rounds(spark, name, monkeypatch):
     """Before, pairs and the labels of every round were written to the checkpoint folder."""
     def none(df):
