@@ -78,15 +78,9 @@ def _edges(df: DataFrame, keys: Sequence[str], pos: str, v: str) -> DataFrame:
             .withColumn("_last", F.max(known).over(w)))
 
 
-def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal: int | str) -> DataFrame:
-    """Strip null ends to about the goal length (within 8 %), else centre crop. ``goal`` is a number or a column.
-
-    Positions restart at 0 and remaining nulls become 0; vectors without any
-    value are dropped.
-    """
-    e = _edges(df, keys, pos, v).filter(F.col("_first").isNotNull())
-    n, s, z = F.col("_n"), F.col("_first"), F.col("_n") - 1 - F.col("_last")
-    goal = F.col(goal) if isinstance(goal, str) else F.lit(goal)
+def _trimmed(n: Column, first: Column, last: Column, goal: Column) -> tuple[Column, Column]:
+    """First and stop position of a vector of ``n`` that is trimmed to about the goal length."""
+    s, z = first, n - 1 - last
     left, right = n - z - goal, n - s - goal
     ns = F.when(left > 0, F.least(s, left)).otherwise(s)
     ne = F.when(right > 0, F.least(z, right)).otherwise(z)
@@ -95,7 +89,17 @@ def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal:
     close = (ratio > 0.92) & (ratio < 1.08)
     half = F.floor((n - goal) / 2).cast("int")
     start = F.when(near, s).when(close, ns).otherwise(half)
-    stop = n - F.when(near, z).when(close, ne).otherwise(n - half - goal)
+    return start, n - F.when(near, z).when(close, ne).otherwise(n - half - goal)
+
+
+def trim_null_edges(df: DataFrame, keys: Sequence[str], pos: str, v: str, goal: int | str) -> DataFrame:
+    """Strip null ends to about the goal length (within 8 %), else centre crop. ``goal`` is a number or a column.
+
+    Positions restart at 0 and remaining nulls become 0; vectors without any
+    value are dropped.
+    """
+    e = _edges(df, keys, pos, v).filter(F.col("_first").isNotNull())
+    start, stop = _trimmed(F.col("_n"), F.col("_first"), F.col("_last"), F.col(goal) if isinstance(goal, str) else F.lit(goal))
     return (e.filter((F.col(pos) >= start) & (F.col(pos) < stop))
             .select(*keys, (F.col(pos) - start).cast("int").alias(pos), F.coalesce(F.col(v), F.lit(0.0)).alias(v)))
 
@@ -120,6 +124,26 @@ def resample(df: DataFrame, keys: Sequence[str], pos: str, v: str, length: int |
         *keys, pos, F.when(F.col("_x") != 0, F.col("_x")).alias(v))
 
 
+def resample_array(vector: Column, length: Column) -> Column:
+    """``resample`` of a vector held as an array."""
+    x, span, goal = F.transform(vector, lambda v: F.coalesce(v, F.lit(0.0))), F.size(vector) - 1, length - 1
+
+    def value(j: Column) -> Column:
+        at = F.when(goal == 0, 0.0).otherwise(j * span / F.when(goal != 0, goal.cast("double")))
+        p = F.floor(at).cast("int")
+        one, two = F.get(x, p), F.get(x, F.least(p + 1, span))
+        return one + (two - one) * (at - p)
+
+    return F.transform(F.sequence(F.lit(0), goal), lambda j: F.nullif(value(j), F.lit(0.0)))
+
+
+def trim_array(vector: Column, goal: Column) -> Column:
+    """``trim_null_edges`` of a vector held as an array; null if there is no value in it."""
+    known = F.filter(F.transform(vector, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
+    start, stop = _trimmed(F.size(vector), F.array_min(known), F.array_max(known), goal)
+    return F.when(F.size(known) > 0, F.transform(F.slice(vector, start + 1, stop - start), lambda v: F.coalesce(v, F.lit(0.0))))
+
+
 def fill_zero_gaps(df: DataFrame, keys: Sequence[str], pos: str, v: str) -> DataFrame:
     """Zeros between samples are interpolated to whole numbers, ends are held."""
     w = W.partitionBy(*keys).orderBy(pos)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from eccentra import constants as K, schemas
 from eccentra.operators import grid
@@ -125,8 +125,8 @@ def layer_documents(spark: SparkSession, path: str, packed: bool = False) -> Dat
 def _slice_vectors(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     s = _documents(spark, path, packed).select("subject_id", "session_id", F.explode(F.from_json("value", schemas.SLICE_DOC)["study"]).alias("study", "slices"))
     s = s.select("subject_id", "session_id", "study", F.explode("slices").alias("slice", "body"))
-    s = s.select("subject_id", "session_id", "study", F.col("slice").cast("int").alias("slice"), F.posexplode("body.vector").alias("pos", "v"))
-    return s.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    vector = F.transform("body.vector", lambda v: F.when(~F.isnan(v), v))
+    return s.select("subject_id", "session_id", "study", F.col("slice").cast("int").alias("slice"), vector.alias("vector")).filter(F.size("vector") > 0)
 
 
 def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str, packed: bool = False) -> DataFrame:
@@ -135,20 +135,34 @@ def layer_collection(spark: SparkSession, thickness: str, cvis: str, os: str, pa
     OS vectors are stretched to the length of their slice's PR_RPE vector; a slice
     of thicknesses without one has that many nulls. Null ends of CVI vectors are
     trimmed to the mean length of the study's thickness vectors, cut to a whole number.
+
+    Documents are parsed once, and the vectors of a study meet as rows in one shuffle; samples become rows at the end.
     """
     study, at = ["subject_id", "session_id", "study"], ["subject_id", "session_id", "study", "slice"]
     vectors = _layer_vectors(spark, thickness, packed)
-    size = F.size("vector")
-    goals = vectors.filter(F.col("layer").isin(list(K.LAYERS_THICKNESS))).groupBy(*study).agg(F.floor(F.avg(size)).cast("int").alias("goal"))
-    spacing = vectors.groupBy(*study).agg(F.min("spacing").alias("spacing"))
-    lengths = vectors.filter(F.col("layer") == K.LAYER_ALIASES["PR_RPE"]).select(*at, size.alias("goal"))
-    raw = _slice_vectors(spark, os, packed)
-    given = grid.resample(raw.join(lengths.filter("goal > 0"), at), at, "pos", "v", "goal")
-    missing = lengths.filter("goal > 0").join(raw, at, "left_anti").select(*at, F.explode(F.sequence(F.lit(0), F.col("goal") - 1)).alias("pos"), F.lit(None).cast("double").alias("v"))
-    trimmed = grid.trim_null_edges(_slice_vectors(spark, cvis, packed).join(goals, study), at, "pos", "v", "goal")
-    more = given.unionByName(missing).withColumn("layer", F.lit("OS")).unionByName(trimmed.withColumn("layer", F.lit("CVI"))).join(spacing, study)
-    out = _samples(vectors)
-    return out.unionByName(more.withColumnRenamed("v", "thickness").select(*out.columns))
+    both = vectors.withColumn("kind", F.lit("T"))
+    for kind, path in (("OS", os), ("CVI", cvis)):
+        more = _slice_vectors(spark, path, packed).select("*", F.lit(kind).alias("layer"), F.lit(kind).alias("kind"))
+        both = both.unionByName(more.filter("subject_id IS NOT NULL AND session_id IS NOT NULL"), allowMissingColumns=True)
+    size, own = F.size("vector"), F.col("kind") == "T"
+    pr_rpe = own & (F.col("layer") == K.LAYER_ALIASES["PR_RPE"])
+    near, far = W.partitionBy(*at), W.partitionBy(*study)
+    t = both.repartition(*study).sortWithinPartitions(*at).withColumns({
+        "_goal": F.floor(F.avg(F.when(own & F.col("layer").isin(list(K.LAYERS_THICKNESS)), size)).over(far)).cast("int"),
+        "_spacing": F.min(F.when(own, F.col("spacing"))).over(far)})
+    t = t.withColumns({"_long": F.max(F.when(pr_rpe & (size > 0), size)).over(near), "_has_os": F.max(F.col("kind") == "OS").over(near)})
+
+    def made(layer: str, spacing: str, vector: Column) -> Column:
+        return F.struct(F.lit(layer).alias("layer"), F.col(spacing).alias("spacing"), vector.alias("vector"))
+
+    none = F.array_repeat(F.lit(None).cast("double"), size)
+    missing = pr_rpe & (size > 0) & ~F.col("_has_os") & F.col("subject_id").isNotNull() & F.col("session_id").isNotNull()
+    same = F.struct("layer", "spacing", F.transform("vector", lambda v: F.when(~F.isnan(v) & (v != 0), v)).alias("vector"))
+    out = (F.when(missing, F.array(same, made("OS", "_spacing", none))).when(own, F.array(same))
+           .when((F.col("kind") == "OS") & F.col("_long").isNotNull(), F.array(made("OS", "_spacing", grid.resample_array(F.col("vector"), F.col("_long")))))
+           .when((F.col("kind") == "CVI") & F.col("_goal").isNotNull(), F.array(made("CVI", "_spacing", grid.trim_array(F.col("vector"), F.col("_goal"))))))
+    t = t.select(*at, F.explode(out).alias("_v"))
+    return t.select("subject_id", "session_id", "_v.spacing", "study", "slice", "_v.layer", F.posexplode("_v.vector").alias("pos", "thickness"))
 
 
 def browse_export(spark: SparkSession, path: str, variant: str = "OCT_CUBE") -> DataFrame:

@@ -7,10 +7,12 @@ from collections import Counter
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eccentra.operators import closeness, graph, joins, montage, points as P
+from eccentra.operators import closeness, graph, grid, joins, montage, points as P
 from eccentra.plans import q_join
+from eccentra.sources import readers as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,3 +156,30 @@ def test_images_of_one_tile_need_no_rounds(spark, name, monkeypatch):
         monkeypatch.setattr(m, "cut", none)
     text = plan(entry.queries()[name](spark, SF))
     assert "Join" not in text and text.count("Exchange") <= 2
+
+
+def test_vectors_as_arrays_equal_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(1, 14), [None if rng.random() < 0.4 else float(rng.randint(-2, 2)) for _ in range(rng.randint(1, 25))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, goal int, v array<double>").repartition(3)
+    long = df.select("k", "goal", F.posexplode("v").alias("pos", "v"))
+    for by_rows, by_array in ((grid.resample, grid.resample_array), (grid.trim_null_edges, grid.trim_array)):
+        want = by_rows(long, ["k"], "pos", "v", "goal")
+        got = df.select("k", F.posexplode(by_array(F.col("v"), F.col("goal"))).alias("pos", "v"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count()
+
+
+def test_a_studys_documents_meet_once(spark, tmp_path):
+    """Before, the documents of thicknesses were parsed five times and joined by their samples."""
+    doc = '{"study": {"s": {"3": {"vector": [1.0, 2.0]}}}}'
+    thick = '{"study": {"s": {"3": {"PR_RPE": {"vector": [1.0, 0.0, 3.0]}}, "4": {"PR_RPE": {"vector": [5.0]}}}}, "spacing": {"x": 1.0, "y": 2.0, "z": 3.0}}'
+    for name, text in (("t", thick), ("c", doc), ("o", doc)):
+        spark.createDataFrame([(1, 2, text), (None, 2, text)], "Subject int, Session int, value string").write.parquet(f"{tmp_path}/{name}")
+    df = R.layer_collection(spark, *[f"{tmp_path}/{n}" for n in "tco"], packed=True)
+    text = plan(df)
+    assert text.count("from_json") == 3 and "Join" not in text and text.count("Exchange") == 1
+    got = sorted(((r["subject_id"], r["slice"], r["layer"], r["pos"], r["thickness"]) for r in df.collect()), key=str)
+    own = [(3, 0, 1.0), (3, 1, None), (3, 2, 3.0), (4, 0, 5.0)]
+    want = [(k, s, "PhotoR+RPE", p, v) for k in (1, None) for s, p, v in own]
+    want += [(1, 3, "OS", 0, 1.0), (1, 3, "OS", 1, 1.5), (1, 3, "OS", 2, 2.0), (1, 4, "OS", 0, None), (1, 3, "CVI", 0, 1.0), (1, 3, "CVI", 1, 2.0)]
+    assert got == sorted(want, key=str)
