@@ -95,126 +95,185 @@ LEAST, MOST = np.array([0, 0.5, 0, 0.5]), np.array([0.5, 1.0, 0.5, 1.0])
 
 
 def _normal_solve(m: np.ndarray, v: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Solutions of many small symmetric systems in their ``free`` unknowns, the others 0;
+    """``_solved`` with the systems in front."""
+    return _solved(np.moveaxis(m, 0, 2), v.T, free.T).T
+
+
+def _solved(m: np.ndarray, v: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Solutions (unknown, system) of many small symmetric systems in their ``free`` unknowns, the others 0;
     systems that are nearly singular have the shortest solution."""
-    n = v.shape[1]
-    a = np.where(free[:, :, None] & free[:, None, :], m, 0) + np.where(free, 0, 1)[:, :, None] * np.eye(n)
-    b = np.where(free, v, 0)
-    whole, weak = np.abs(a[:, range(n), range(n)]), np.zeros(len(a), bool)
-    low = a.copy()
+    n = len(v)
+    low = np.where(free[:, None] & free[None], m, 0.0)
+    low[range(n), range(n)] += ~free
+    b = np.where(free, v, 0.0)
+    whole, weak = np.abs(low[range(n), range(n)]), np.zeros(v.shape[1], bool)
     for i in range(n):  # elimination without exchange of rows: the diagonal is positive unless nearly singular
-        weak |= ~(low[:, i, i] > 1e-11 * whole[:, i])
-        pivot = np.where(low[:, i, i] != 0, low[:, i, i], 1)
-        f = low[:, i + 1:, i] / pivot[:, None]
-        low[:, i + 1:, i:] -= f[:, :, None] * low[:, i, None, i:]
-        b[:, i + 1:] -= f * b[:, i, None]
+        weak |= ~(low[i, i] > 1e-11 * whole[i])
+        pivot = np.where(low[i, i] != 0, low[i, i], 1)
+        for k in range(i + 1, n):
+            f = low[k, i] / pivot
+            low[k, i:] -= f * low[i, i:]
+            b[k] -= f * b[i]
     out = np.zeros_like(b)
     for i in range(n - 1, -1, -1):
-        pivot = np.where(low[:, i, i] != 0, low[:, i, i], 1)
-        out[:, i] = (b[:, i] - (low[:, i, i + 1:] * out[:, i + 1:]).sum(1)) / pivot
+        pivot = np.where(low[i, i] != 0, low[i, i], 1)
+        out[i] = (b[i] - (low[i, i + 1:] * out[i + 1:]).sum(0)) / pivot
     for j in np.flatnonzero(weak):
-        f = free[j]
-        out[j] = 0
-        out[j, f] = np.linalg.lstsq(m[j][np.ix_(f, f)], v[j, f], rcond=None)[0]
+        f = free[:, j]
+        out[:, j] = 0
+        out[f, j] = np.linalg.lstsq(m[:, :, j][np.ix_(f, f)], v[f, j], rcond=None)[0]
     return out
 
 
-def _bilateral(x: np.ndarray, y: np.ndarray, n: np.ndarray, of: np.ndarray, centre: np.ndarray, el: np.ndarray, er: np.ndarray, peak: np.ndarray, rounds: int = 6):
-    """Loss (infinite where the shape is not allowed) and P, b_l, d_l, b_r, d_r of many shapes at once.
-
-    Profiles are the rows of ``x``, ``y`` and the weights ``n``, which end in zero weights; shape i is tried on
-    profile ``of[i]``. The loss is an asymmetric weighted soft L1: central readings may lie too low, outer ones
-    too high, so those directions are not punished.
+def _clamped(m: np.ndarray, v: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+    """Solves into ``p``, in which unknowns outside their bounds are clamped and the rest fitted again."""
+    free, live = np.ones(v.shape, bool), np.arange(v.shape[1])
+    for _ in range(5):
+        f, q, a = free[:, live], p[:, live], m[:, :, live]
+        held = np.where(f, 0.0, q)
+        rest = v[:, live] - (a * held).sum(1) if held.any() else v[:, live]
+        q = np.where(f, _solved(a, rest, f), q)
+        out = f & ((q < lo[:, live]) | (q > hi[:, live]))
+        p[:, live] = np.clip(q, lo[:, live], hi[:, live])
+        free[:, live] = f & ~out
+        live = live[out.any(0) & (f & ~out).any(0)]
+        if not len(live):
+            break
+
+
+def _bilateral(x: np.ndarray, y: np.ndarray, n: np.ndarray, centre: np.ndarray, el: np.ndarray, er: np.ndarray, peak: np.ndarray, rounds: int = 6):
+    """Loss (infinite where the shape is not allowed) by profile, centre and shapes of both sides, and P, b_l, d_l, b_r, d_r before them.
+
+    Profiles are the rows of ``x``, ``y`` and the weights ``n``, which end in zero weights, and of the centres and shapes that are tried. What
+    depends on a centre alone, or on one side's shape, is held once: sums over a round's weights are products of matrices. The loss is an
+    asymmetric weighted soft L1: central readings may lie too low, outer ones too high, so those directions are not punished.
     """
     c = 0.3
-    pairs, row = np.unique(np.c_[of, centre], axis=0, return_inverse=True)  # shapes share their centre's distances
-    row = row.ravel()
-    px, po = x[pairs[:, 0].astype(int)], pairs[:, 1][:, None]
-    dist = np.abs(px - po)
-    outer, w0, left = (1 / (1 + np.exp(-5 * (dist - 1))))[row], (1 - np.exp(-5 * dist))[row], (px < po)[row]
-    dist = dist[row]
-    e = np.where(left, el[:, None], er[:, None])
-    g = 1 / (dist + e) - 1 / e
-    Y, N = y[of], n[of]
-    one = np.ones_like(dist)
-    # what the sums of a round are made of: 1, y, then per side dist, g, their products and products with y
-    parts = [one, Y]
-    for s in (left, ~left):
-        h, k = np.where(s, dist, 0), np.where(s, g, 0)
-        parts += [h, k, h * h, h * k, k * k, h * Y, k * Y]
-    feats = np.stack(parts, axis=2)
-    lo, hi = np.c_[peak[of, 0], np.tile(LEAST, (len(of), 1))], np.c_[peak[of, 1], np.tile(MOST, (len(of), 1))]
-    p = np.c_[0.5 * peak[of].sum(1), np.tile([0.17, 0.86, 0.17, 0.86], (len(of), 1))]
-
-    def curve(p, left, dist, g):
-        return p[:, :1] - np.where(left, p[:, 1, None], p[:, 3, None]) * dist + np.where(left, p[:, 2, None], p[:, 4, None]) * g
-
-    base = N * w0
-    w = base
-    for _ in range(rounds):
-        t = (w[:, None, :] @ feats)[:, 0, :]
-        m, v = np.zeros((len(of), 5, 5)), np.empty((len(of), 5))
-        m[:, 0, 0], v[:, 0] = t[:, 0], t[:, 1]
-        for at, i in ((2, 1), (9, 3)):
-            m[:, 0, i] = m[:, i, 0] = -t[:, at]
-            m[:, 0, i + 1] = m[:, i + 1, 0] = t[:, at + 1]
-            m[:, i, i], m[:, i + 1, i + 1] = t[:, at + 2], t[:, at + 4]
-            m[:, i, i + 1] = m[:, i + 1, i] = -t[:, at + 3]
-            v[:, i], v[:, i + 1] = -t[:, at + 5], t[:, at + 6]
-        free, live = np.ones((len(of), 5), bool), np.arange(len(of))
-        for _ in range(5):  # clamp to the bounds, refit the rest
-            f, q = free[live], p[live]
-            rest = v[live] - (m[live] @ np.where(f, 0, q)[:, :, None])[:, :, 0]
-            q = np.where(f, _normal_solve(m[live], rest, f), q)
-            out = f & ((q < lo[live]) | (q > hi[live]))
-            p[live] = np.clip(q, lo[live], hi[live])
-            free[live] &= ~out
-            live = live[out.any(1) & free[live].any(1)]
-            if not len(live):
-                break
-        r = Y - curve(p, left, dist, g)
-        pull = outer * (r < c) + (1 - outer) * (r > -c)
-        w = base * np.maximum(pull, 1e-6) / np.sqrt(1 + (r / c) ** 2)
-
-    def model(v):
-        d, s = np.abs(v - centre[:, None]), v < centre[:, None]
-        ee = np.where(s, el[:, None], er[:, None])
-        return curve(p, s, d, 1 / (d + ee) - 1 / ee)
+    count, tried, A, B, L = len(x), centre.shape[1], el.shape[1], er.shape[1], x.shape[1]
+    q = count * tried
+    of, po = np.repeat(np.arange(count), tried), centre.reshape(-1, 1)
+    px, Y, N = x[of], y[of], n[of]
+    dist, left = np.abs(px - po), px < po
+    outer, base = 1 / (1 + np.exp(-5 * (dist - 1))), N * (1 - np.exp(-5 * dist))
+    hl, hr, one = np.where(left, dist, 0), np.where(left, 0, dist), np.ones_like(dist)
+
+    def side(e, own):
+        e = e[of][:, :, None]
+        return np.where(own[:, None], 1 / (dist[:, None] + e) - 1 / e, 0)
+    gl, gr = side(el, left), side(er, ~left)
+    shared = np.stack([one, Y, hl, hl * hl, hl * Y, hr, hr * hr, hr * Y], axis=2)
+    plain = np.stack([Y, one, hl, hr], axis=1)
+    sides = [np.stack([g, g * h[:, None], g * g, g * Y[:, None]], axis=3) for g, h in ((gl, hl), (gr, hr))]
+    many = (q, A, B)
+    lo, hi = (np.empty((5, *many)) for _ in range(2))
+    for to, limits, i in ((lo, LEAST, 0), (hi, MOST, 1)):
+        to[0] = peak[of, i][:, None, None]
+        to[1:] = np.asarray(limits)[:, None, None, None]
+    p = np.empty((5, *many))
+    p[0], p[1:] = (0.5 * peak[of].sum(1))[:, None, None], np.array([0.17, 0.86, 0.17, 0.86])[:, None, None, None]
+    m, v = np.zeros((5, 5, *many)), np.empty((5, *many))
+    r, t, w, far = np.empty((*many, L)), np.empty((*many, L)), np.empty((*many, L)), np.empty((*many, L), bool)
+    w[:] = base[:, None, None]
+    low, high = (base * np.maximum(o, 1e-6) for o in (outer, 1 - outer))
+    for k in range(rounds):
+        s = np.moveaxis((w.reshape(q, A * B, L) @ shared).reshape(*many, 8), 3, 0)
+        m[0, 0], v[0] = s[0], s[1]
+        for i, at, g in ((1, 2, np.moveaxis(w @ sides[0], 3, 0)), (3, 5, np.moveaxis(w.transpose(0, 2, 1, 3) @ sides[1], 3, 0).swapaxes(2, 3))):
+            m[0, i] = m[i, 0] = -s[at]
+            m[0, i + 1] = m[i + 1, 0] = g[0]
+            m[i, i], m[i + 1, i + 1] = s[at + 1], g[2]
+            m[i, i + 1] = m[i + 1, i] = -g[1]
+            v[i], v[i + 1] = -s[at + 2], g[3]
+        _clamped(m.reshape(5, 5, -1), v.reshape(5, -1), p.reshape(5, -1), lo.reshape(5, -1), hi.reshape(5, -1))
+        terms = np.stack([np.ones(many), -p[0], p[1], p[3]], axis=3).reshape(q, A * B, 4)
+        np.matmul(terms, plain, out=r.reshape(q, A * B, L))  # what the curve leaves
+        r -= np.multiply(gl[:, :, None], p[2][..., None], out=t)
+        r -= np.multiply(gr[:, None], p[4][..., None], out=t)
+        if k == rounds - 1:
+            break
+        w[:] = base[:, None, None]
+        np.copyto(w, high[:, None, None], where=np.greater_equal(r, c, out=far))
+        np.copyto(w, low[:, None, None], where=np.less_equal(r, -c, out=far))
+        np.multiply(r, 1 / c, out=t)
+        t *= t
+        t += 1
+        w /= np.sqrt(t, out=t)
+
+    def model(z):
+        d, s = np.abs(z - po), z < po
+        gs = [1 / (d[:, None] + e[of][:, :, None]) - 1 / e[of][:, :, None] for e in (el, er)]
+        s = s[:, None, None]
+        return p[0][..., None] - np.where(s, p[1][..., None], p[3][..., None]) * d[:, None, None] + np.where(s, p[2][..., None] * gs[0][:, :, None], p[4][..., None] * gs[1][:, None])
     steps = np.linspace(-MM_PER_DEGREE, MM_PER_DEGREE, 21)
     rise = np.abs(model(steps + 1e-4) - model(steps)) / 1e-4
-    allowed = (model(np.array([3.0, -3.0])).min(1) >= math.log(7200)) & (rise.max(1) <= 10)
-    soft = 2 * c * (np.sqrt(1 + (r / c) ** 2) - 1)
-    lost = base * (outer * np.where(r < c, soft, 0) + (1 - outer) * np.where(r > -c, soft, 0))
-    return np.where(allowed, lost.sum(1) / N.sum(1), np.inf), p
+    allowed = (model(np.array([3.0, -3.0])).min(3) >= math.log(7200)) & (rise.max(3) <= 10)
+    np.multiply(r, 1 / c, out=t)
+    soft = 2 * c * (np.sqrt(1 + t * t) - 1)
+    soft *= base[:, None, None]
+    lost = (outer[:, None, None] * np.where(r < c, soft, 0) + (1 - outer)[:, None, None] * np.where(r > -c, soft, 0)).sum(3)
+    loss = np.where(allowed, lost / N.sum(1)[:, None, None], np.inf)
+    return loss.reshape(count, tried, A, B), p.reshape(5, count, tried, A, B)
 
 
-def _best_shapes(x: np.ndarray, y: np.ndarray, n: np.ndarray, peak: np.ndarray, tries: list[tuple], cells: int = 1 << 17) -> np.ndarray:
-    """(loss, centre, e_l, e_r, P, b_l, d_l, b_r, d_r) of the first best of every profile's tries (centres, shapes); the loss is infinite for none."""
+def _best_shapes(x: np.ndarray, y: np.ndarray, n: np.ndarray, peak: np.ndarray, centre: np.ndarray, el: np.ndarray, er: np.ndarray, cells: int = 1 << 18) -> np.ndarray:
+    """(loss, centre, e_l, e_r, P, b_l, d_l, b_r, d_r) of the first best of every profile's tries; the loss is infinite for none."""
     out = np.full((len(x), 9), np.inf)
-    lots, size = [[]], 0
-    for i, (centres, shapes) in enumerate(tries):
-        size += len(centres) * len(shapes) ** 2 * x.shape[1]
-        if lots[-1] and size > cells:
-            lots.append([])
-            size = len(centres) * len(shapes) ** 2 * x.shape[1]
-        lots[-1].append(i)
-    for lot in lots:
-        grid = np.array([(k, c, a, b) for k, i in enumerate(lot) for c in tries[i][0] for a in tries[i][1] for b in tries[i][1]]).reshape(-1, 4)
-        if not len(grid):
-            continue
-        of = grid[:, 0].astype(int)
-        loss, p = _bilateral(x[lot], y[lot], n[lot], of, *grid[:, 1:].T, peak[lot])
-        for k, i in enumerate(lot):
-            mine = np.flatnonzero(of == k)
-            if len(mine):
-                best = mine[np.argmin(loss[mine])]
-                out[i] = [loss[best], *grid[best, 1:], *p[best]]
+    step = max(1, cells // max(1, centre.shape[1] * el.shape[1] * er.shape[1] * x.shape[1]))
+    for at in range(0, len(x), step):
+        lot = slice(at, at + step)
+        loss, p = _bilateral(x[lot], y[lot], n[lot], centre[lot], el[lot], er[lot], peak[lot])
+        row, best = np.arange(len(loss)), loss.reshape(len(loss), -1).argmin(1)
+        c, a, b = np.unravel_index(best, loss.shape[1:])
+        out[lot] = np.c_[loss[row, c, a, b], centre[lot][row, c], el[lot][row, a], er[lot][row, b], p[:, row, c, a, b].T]
     return out
 
 
+def _shapes_about(ee: np.ndarray) -> list[float]:
+    """Shapes to try on both sides about the best ones, two to six."""
+    return sorted({round(v, 3) for e in ee.tolist() for v in (e - 0.06, e, e + 0.06) if 0.1 <= v <= 0.6})
+
+
 BILATERAL_FIELDS = ["loss", "centre", "e_left", "e_right", "log_peak", "b_left", "d_left", "b_right", "d_right"]
 
 
+def _fit_profiles(values: dict, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``BILATERAL_FIELDS`` by profile and the reason of those without a fit; ``wanted`` peaks hold, NaN is none."""
+    size = np.diff(np.r_[starts, len(values["_x"])])
+    peak = np.tile([math.log(145_000), math.log(350_000)], (len(starts), 1))
+    held = ~np.isnan(wanted)
+    peak[held, 0] = np.maximum(peak[held, 0], np.log(np.maximum(wanted[held] - 5000, 1)))
+    peak[held, 1] = np.minimum(peak[held, 1], np.log(wanted[held] + 5000))
+    reason = np.where(size < 6, "too few points", np.where(peak[:, 0] > peak[:, 1], "no room for the peak", "no allowed shape")).astype(object)
+    found = np.full((len(starts), 9), np.nan)
+    todo = np.flatnonzero((size >= 6) & (peak[:, 0] <= peak[:, 1]))
+    for some in np.array_split(todo[np.argsort(size[todo], kind="stable")], max(1, len(todo) // 64)):
+        if not len(some):
+            continue
+        at = np.minimum(np.arange(size[some].max()), size[some, None] - 1)
+        inside = np.arange(at.shape[1]) < size[some, None]
+        at = starts[some, None] + at
+        x, y, n = values["_x"][at] * MM_PER_DEGREE, np.log(values["_y"][at]), np.where(inside, values["_n"][at], 0.0)
+        e = np.tile([0.1, 0.25, 0.4, 0.6], (len(some), 1))
+        best = _best_shapes(x, y, n, peak[some], np.tile(np.linspace(-0.1, 0.1, 5), (len(some), 1)), e, e)
+        fit = np.flatnonzero(np.isfinite(best[:, 0]))
+        near = [_shapes_about(ee) for ee in best[fit, 2:4]]
+        tries = np.array([len(t) for t in near], np.int64)
+        for k in np.unique(tries):
+            mine = np.flatnonzero(tries == k)
+            e, mine = np.array([near[i] for i in mine]), fit[mine]
+            fine = _best_shapes(x[mine], y[mine], n[mine], peak[some][mine], best[mine, 1, None] + [-0.025, 0, 0.025], e, e)
+            best[mine] = np.where((fine[:, 0] < best[mine, 0])[:, None], fine, best[mine])
+        found[some[fit]], reason[some[fit]] = best[fit], None
+    return found, reason
+
+
+FIT_RESULTS = [*[(f, "double") for f in BILATERAL_FIELDS], ("reason", "string")]
+
+
+def _fit_columns(ecc_deg: str, density: str, weight: str | None) -> list[Column]:
+    return [F.col(ecc_deg).cast("double").alias("_x"), F.col(density).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_n")]
+
+
 def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, weight: str | None = None,
               target: str | None = None) -> DataFrame:
     """Two-sided fit of gridded profiles (at most 201 weighted points each).
@@ -223,55 +282,46 @@ def bilateral(df: DataFrame, keys: Sequence[str], ecc_deg: str, density: str, we
     5000 of it. Profiles without a fit have nulls and a ``reason``: too few
     points, no room for the peak, or no allowed shape.
     """
-    cols = [F.col(ecc_deg).cast("double").alias("_x"), F.col(density).alias("_y"),
-            (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_n"),
-            (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("_t")]
-    d = df.filter(F.col(density) > 0).select(*keys, *cols)
-    names = ["_x", "_y", "_n", "_t"]
+    wanted = (F.col(target).cast("double") if target else F.lit(None).cast("double")).alias("_t")
+    d = df.filter(F.col(density) > 0).select(*keys, *_fit_columns(ecc_deg, density, weight), wanted)
 
     def work(values, starts):
-        size = np.diff(np.r_[starts, len(values["_x"])])
-        peak = np.tile([math.log(145_000), math.log(350_000)], (len(starts), 1))
-        t = values["_t"][starts].astype(float)
-        held = ~np.isnan(t)
-        peak[held, 0] = np.maximum(peak[held, 0], np.log(np.maximum(t[held] - 5000, 1)))
-        peak[held, 1] = np.minimum(peak[held, 1], np.log(t[held] + 5000))
-        reason = np.where(size < 6, "too few points", np.where(peak[:, 0] > peak[:, 1], "no room for the peak", "no allowed shape")).astype(object)
-        found = np.full((len(starts), 9), np.nan)
-        todo = np.flatnonzero((size >= 6) & (peak[:, 0] <= peak[:, 1]))
-        for some in np.array_split(todo[np.argsort(size[todo], kind="stable")], max(1, len(todo) // 16)):
-            if not len(some):
-                continue
-            at = np.minimum(np.arange(size[some].max()), size[some, None] - 1)
-            inside = np.arange(at.shape[1]) < size[some, None]
-            at = starts[some, None] + at
-            x, y, n = values["_x"][at] * MM_PER_DEGREE, np.log(values["_y"][at]), np.where(inside, values["_n"][at], 0.0)
-            best = _best_shapes(x, y, n, peak[some], [(np.linspace(-0.1, 0.1, 5), (0.1, 0.25, 0.4, 0.6))] * len(some))
-            fit = np.flatnonzero(np.isfinite(best[:, 0]))
-            near = [((c - 0.025, c, c + 0.025), sorted({round(v, 3) for e in ee for v in (e - 0.06, e, e + 0.06) if 0.1 <= v <= 0.6})) for c, *ee in best[fit, 1:4]]
-            fine = _best_shapes(x[fit], y[fit], n[fit], peak[some][fit], near)
-            best[fit] = np.where((fine[:, 0] < best[fit, 0])[:, None], fine, best[fit])
-            found[some[fit]], reason[some[fit]] = best[fit], None
+        found, reason = _fit_profiles(values, starts, values["_t"][starts].astype(float))
         return starts, {**dict(zip(BILATERAL_FIELDS, found.T.copy())), "reason": reason}
 
-    return batches.map_profiles(d, keys, ["_x"], names, work, [*[(f, "double") for f in BILATERAL_FIELDS], ("reason", "string")])
+    return batches.map_profiles(d, keys, ["_x"], ["_x", "_y", "_n", "_t"], work, FIT_RESULTS)
 
 
-def peak_target(fits: DataFrame, subject: Sequence[str]) -> DataFrame:
-    """Common peak of both axes: each axis weighs by the loss of the other."""
-    x, y = F.col("axis") == "X", F.col("axis") == "Y"
-    s = fits.groupBy(*subject).agg(
-        F.max(F.when(x, F.struct("loss", F.exp("log_peak").alias("peak")))).alias("x"), F.max(F.when(y, F.struct("loss", F.exp("log_peak").alias("peak")))).alias("y"))
-    both = F.col("x.loss") + F.col("y.loss")
-    t = F.when(both > 0, (F.col("y.loss") * F.col("x.peak") + F.col("x.loss") * F.col("y.peak")) / F.nullif(both, F.lit(0.0)))
-    return s.select(*subject, F.coalesce(t, F.col("x.peak"), F.col("y.peak")).alias("target"))
+def _common_peaks(of: np.ndarray, axis: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Wanted peak of every profile, common to its subject's axes: each axis weighs by the loss of the other, NaN for none."""
+    loss, peak = (np.full((2, of.max(initial=-1) + 1), np.nan) for _ in range(2))
+    for i, name in enumerate("XY"):
+        own = axis == name
+        loss[i, of[own]], peak[i, of[own]] = found[own, 0], np.exp(found[own, 4])
+    both = loss.sum(0)
+    one = np.where(np.isnan(peak[0]), peak[1], peak[0])
+    some = both > 0
+    one[some] = ((loss[1] * peak[0] + loss[0] * peak[1])[some]) / both[some]
+    return one[of]
 
 
 def bilateral_both_axes(df: DataFrame, subject: Sequence[str], ecc_deg: str, density: str, weight: str | None = None) -> DataFrame:
-    """Second pass of the two-sided fit with the peak shared by the two axes."""
-    first = bilateral(df, [*subject, "axis"], ecc_deg, density, weight)
-    t = peak_target(first, subject)
-    return bilateral(df.join(t, list(subject)), [*subject, "axis"], ecc_deg, density, weight, target="target")
+    """Two-sided fit in two passes: the peaks of the first one, joined over the two axes, are wanted in the second.
+
+    A subject's axes are sorted side by side, so that both passes see them in one task.
+    """
+    subject = list(subject)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: a row is much work, tasks shall not be coalesced by their bytes
+    d = df.filter(F.col(density) > 0).dropna(subset=subject).select(*subject, "axis", *_fit_columns(ecc_deg, density, weight)).repartition(tasks, *subject)
+
+    def work(values, starts):
+        axis, of = values["axis"], batches.owners(starts, len(values["_x"]))
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (axis[1:] != axis[:-1])])
+        found, _ = _fit_profiles(values, first, np.full(len(first), np.nan))
+        found, reason = _fit_profiles(values, first, _common_peaks(of[first], axis[first], found))
+        return first, {**dict(zip(BILATERAL_FIELDS, found.T.copy())), "reason": reason}
+
+    return batches.map_profiles(d, subject, ["axis", "_x"], ["axis", "_x", "_y", "_n"], work, FIT_RESULTS, kept=[*subject, "axis"])
 
 
 def band_split(df: DataFrame, log_density: Column, model: Column, slope: Column, width: float = 0.2) -> DataFrame:

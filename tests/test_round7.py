@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eccentra.operators import closeness, graph, grid, joins, montage, points as P
+from eccentra.operators import closeness, fits, graph, grid, joins, montage, points as P
 from eccentra.plans import q_join
 from eccentra.sources import readers as R
 
@@ -183,3 +183,27 @@ def test_a_studys_documents_meet_once(spark, tmp_path):
     want = [(k, s, "PhotoR+RPE", p, v) for k in (1, None) for s, p, v in own]
     want += [(1, 3, "OS", 0, 1.0), (1, 3, "OS", 1, 1.5), (1, 3, "OS", 2, 2.0), (1, 4, "OS", 0, None), (1, 3, "CVI", 0, 1.0), (1, 3, "CVI", 1, 2.0)]
     assert got == sorted(want, key=str)
+
+
+def test_both_passes_of_a_fit_see_a_subject_in_one_task(spark):
+    """As two fits with the peaks joined between them; before, profiles were made, shuffled and sorted twice."""
+    rng = random.Random(4)
+    rows = []
+    for s in range(7):
+        for axis in ("X", "Y", "Z")[: 1 + s % 3]:
+            for e10 in sorted(rng.sample(range(-100, 101), 4 if (s, axis) == (4, "Y") else 90)):
+                rows.append((s, axis, e10 / 10, rng.randint(100, 8000) + 1.5e6 * (1 + s % 4) / (10 + abs(e10)), rng.randint(1, 3)))
+    rows += [(8, "Y", 0.1 * k, 10.0, 1) for k in range(12)] + [(None, "X", 0.1 * k, 1e5, 1) for k in range(12)]
+    df = spark.createDataFrame(rows, "s int, axis string, x double, d double, n int").repartition(5)
+    got = fits.bilateral_both_axes(df, ["s"], "x", "d", "n")
+    text = plan(got)
+    assert "Join" not in text and text.count("MapInArrow") == 1
+    first = fits.bilateral(df, ["s", "axis"], "x", "d", "n")
+    x, y = (F.max(F.when(F.col("axis") == a, F.struct("loss", F.exp("log_peak").alias("peak")))).alias(a) for a in "XY")
+    common = (F.col("Y.loss") * F.col("X.peak") + F.col("X.loss") * F.col("Y.peak")) / (F.col("X.loss") + F.col("Y.loss"))
+    target = first.groupBy("s").agg(x, y).select("s", F.coalesce(common, "X.peak", "Y.peak").alias("target"))
+    want = fits.bilateral(df.join(target, ["s"]), ["s", "axis"], "x", "d", "n", target="target")
+    got, want = ({(r["s"], r["axis"]): r for r in t.collect()} for t in (got, want))
+    assert set(got) == set(want) and len(got) == 14 and sum(r["loss"] is not None for r in got.values()) >= 8
+    for k, r in want.items():
+        assert got[k]["reason"] == r["reason"] and [got[k][f] for f in fits.BILATERAL_FIELDS] == pytest.approx([r[f] for f in fits.BILATERAL_FIELDS], abs=1e-8), k
